@@ -55,6 +55,22 @@ def r6(c) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def rhalf(c, digits: int = 6) -> Column:
+    """Round half up on the binary value: floor(x·10^d + 0.5) / 10^d.
+
+    Engines disagree on ``round`` at exact decimal ties (one rounds the printed
+    decimal, the other the binary value); this form is the same IEEE arithmetic
+    everywhere. SQL: ``floor(x * 1e6 + 0.5) / 1e6``.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    k = float(10 ** digits)
+    return F.floor(c.cast("double") * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
+
+
+def rhalf_sql(x: str, digits: int = 6) -> str:
+    return f"(CAST(floor(({x}) * {float(10 ** digits)!r} + 0.5) AS DOUBLE) / {float(10 ** digits)!r})"
+
+
 def corr_from_moments(n, sx, sy, sxx, syy, sxy) -> Column:
     """Pearson r from sums; NULL when a side is constant."""
     cov = sxy - sx * sy / n

@@ -95,10 +95,16 @@ def clean_up(df: DataFrame, key: str, target: str, patterns=None, max_levels: in
     out = coerce_numeric(out, "id")
     feats = features_of(out, ("id", target))
     zero_cols = feats + ([target] if zero_rule_on_target else [])
-    # One pass for both profiles: distinct counts and non-null counts of every column.
-    prof = nunique_map(out, zero_cols)
-    out = zero_to_null(out, zero_cols, max_levels, prof)
-    out = drop_empty_columns(out, feats)
+    # One aggregate pass gives, per column: distinct values, non-null cells, zero cells.
+    long = to_long(out, [], zero_cols).where(F.col("value").isNotNull())
+    prof = (long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("feature").agg(F.count(F.lit(1)).alias("nu"), F.sum("c").alias("nn"),
+                                    F.sum(F.when(F.col("value") == 0, F.col("c")).otherwise(0)).alias("nz"))
+            .collect())
+    nu = {r["feature"]: int(r["nu"]) for r in prof}
+    left = {r["feature"]: int(r["nn"]) - (int(r["nz"]) if r["nu"] > max_levels else 0) for r in prof}
+    out = zero_to_null(out, zero_cols, max_levels, {c: nu.get(c, 0) for c in zero_cols})
+    out = drop_empty_columns(out, feats, {f: left.get(f, 0) for f in feats})
     return drop_null_target(out, target)
 
 

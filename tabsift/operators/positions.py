@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 2_000_000
+HASH_BUCKET_BITS = 16
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -39,32 +40,33 @@ def _cols(cols) -> list[str]:
 
 
 def hash_positions(df: DataFrame, group_cols, hash_col: str, tie_col: str, out: str = "pos",
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   bucket_bits: int = HASH_BUCKET_BITS) -> DataFrame:
     """0-based position of each row inside its group, ordered by (hash_col, tie_col).
 
     ``hash_col`` must be a uniform non-negative 52-bit integer (``portable.hash52``).
+    Its top ``bucket_bits`` bits cut every group into 2**bucket_bits balanced
+    buckets (1e12 rows → ~1.5e7 per bucket at 16 bits). Bucket offsets come from
+    a groups × buckets count table joined on (group, bucket), which is the same
+    key the window needs, so the rows are shuffled once. No action is run.
     """
     group_cols = _cols(group_cols)
-    largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    n_buckets = 1
-    while largest / n_buckets > rows_per_bucket:
-        n_buckets *= 2
-    if n_buckets == 1:
-        w = Window.partitionBy(*group_cols).orderBy(hash_col, tie_col)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    shift = 52 - int(math.log2(n_buckets))
-    b = df.withColumn("_bkt", F.shiftright(F.col(hash_col), shift))
+    b = df.withColumn("_bkt", F.shiftright(F.col(hash_col), 52 - bucket_bits))
     counts = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     wo = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0))).drop("_bn")
     w = Window.partitionBy(*group_cols, "_bkt").orderBy(hash_col, tie_col)
-    return (b.join(small_side(offsets), [*group_cols, "_bkt"])
+    return (b.join(offsets, [*group_cols, "_bkt"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("_bkt", "_off"))
 
 
 def value_positions(df: DataFrame, group_cols, value_col: str, sum_cols=(),
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    return value_positions_info(df, group_cols, value_col, sum_cols, rows_per_bucket)[0]
+
+
+def value_positions_info(df: DataFrame, group_cols, value_col: str, sum_cols=(),
+                         rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
     """One row per (group, distinct non-null value) with exact running counts.
 
     Columns: group cols, ``value``, ``cnt`` (rows with this value), ``cum`` (rows
@@ -77,7 +79,8 @@ def value_positions(df: DataFrame, group_cols, value_col: str, sum_cols=(),
     aggs = [F.count(F.lit(1)).alias("cnt")] + [F.sum(c).alias(f"s_{c}") for c in sum_cols]
     d = (df.where(F.col(value_col).isNotNull())
          .groupBy(*group_cols, F.col(value_col).alias("value")).agg(*aggs))
-    largest = d.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    info = d.groupBy(*group_cols).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    largest, n_groups = (info[0] or 0), (info[1] or 0)
     n_buckets = max(1, math.ceil(largest / rows_per_bucket))
     run_cols = ["cnt"] + [f"s_{c}" for c in sum_cols]
     if n_buckets == 1:
@@ -114,7 +117,7 @@ def value_positions(df: DataFrame, group_cols, value_col: str, sum_cols=(),
           for c in sum_cols],
         (off("nd") + F.row_number().over(w) - 1).cast("bigint").alias("k"),
     )
-    return out
+    return out, n_groups
 
 
 def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, out: str = "q") -> DataFrame:
@@ -125,8 +128,8 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, out: str =
     """
     group_cols = _cols(group_cols)
     probs = [float(p) for p in probs]
-    pos = value_positions(df, group_cols, value_col)
-    n = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    pos, n_groups = value_positions_info(df, group_cols, value_col)
+    n = pos.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
     h = F.col("prob") * (F.col("_n") - 1).cast("double")
     targets = (n.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
                .withColumn("_h", h)
@@ -134,8 +137,9 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, out: str =
                .withColumn("_hi", F.ceil("_h").cast("bigint"))
                .withColumn("_r", F.explode(F.array(F.col("_lo"), F.col("_hi"))))
                .dropDuplicates([*group_cols, "prob", "_r"]))
-    t = small_side(targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_cols],
-                                  "prob", "_h", "_lo", "_hi", "_r"))
+    t = targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_cols], "prob", "_h", "_lo", "_hi", "_r")
+    if n_groups * len(probs) * 2 <= BROADCAST_MAX_ROWS:  # size known from the group count
+        t = F.broadcast(t)
     cond = [F.col(g) == F.col(f"_t_{g}") for g in group_cols] + [
         F.col("cum") <= F.col("_r"), F.col("_r") < F.col("cum") + F.col("cnt")]
     hit = pos.join(t, cond).select(*group_cols, "prob", "_h", "_lo", "_hi", "_r", "value")

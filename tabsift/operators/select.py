@@ -34,13 +34,15 @@ def variance_threshold(df: DataFrame, features, p: float = 0.99) -> list[str]:
 
 # ---------------------------------------------------------------- FS-2
 def target_corr_ranking(df: DataFrame, features, target: str = "target", method: str = "pearson",
-                        key: str = "id") -> DataFrame:
+                        key: str = "id", pairs: DataFrame | None = None) -> DataFrame:
     """FS-2: (rank, feature, abs_corr) with abs_corr = |round(r, 2)| descending.
 
     Ties keep column order; columns without a correlation (constant) rank last.
+    ``pairs`` may pass a precomputed ``pair_corr`` over features + target.
     """
     pos = {f: i for i, f in enumerate(features)}
-    pc = pair_corr(df, list(features) + [target], method, key).where(F.col("b") == target)
+    pc = pairs if pairs is not None else pair_corr(df, list(features) + [target], method, key)
+    pc = pc.where((F.col("b") == target) & F.col("a").isin(list(features)))
     order = F.create_map(*[x for f, i in pos.items() for x in (F.lit(f), F.lit(i))])
     t = pc.select(F.col("a").alias("feature"), F.abs(F.round("r", 2)).alias("abs_corr"))
     w = Window.orderBy(F.desc_nulls_last("abs_corr"), order[F.col("feature")])  # p rows: one small task
@@ -52,14 +54,13 @@ def rank_by_target_corr(df: DataFrame, features, target: str = "target", method:
 
 
 # ---------------------------------------------------------------- FS-4
-def correlation_drops(df: DataFrame, features, importance: DataFrame, thresh: float = 0.95,
-                      method: str = "pearson", key: str = "id") -> DataFrame:
+def correlation_drops(pairs: DataFrame, importance: DataFrame, thresh: float = 0.95) -> DataFrame:
     """FS-4 core as a query: features with a better-ranked partner whose |round(r,2)| > thresh.
 
-    ``importance`` has (rank, feature). The rule is not greedy: a partner counts
-    even when it is itself dropped.
+    ``pairs`` is a ``pair_corr`` table, ``importance`` has (rank, feature). The
+    rule is not greedy: a partner counts even when it is itself dropped.
     """
-    pc = pair_corr(df, features, method, key).select("a", "b", F.abs(F.round("r", 2)).alias("ar"))
+    pc = pairs.select("a", "b", F.abs(F.round("r", 2)).alias("ar"))
     both = pc.unionByName(pc.select(F.col("b").alias("a"), F.col("a").alias("b"), "ar"))
     imp = F.broadcast(importance.select("feature", "rank"))  # p rows
     x = (both.join(imp.withColumnRenamed("feature", "a").withColumnRenamed("rank", "rank_a"), "a")
@@ -70,10 +71,15 @@ def correlation_drops(df: DataFrame, features, importance: DataFrame, thresh: fl
 
 def correlation_filter(df: DataFrame, features, target: str = "target", thresh: float = 0.95,
                        method: str = "pearson", key: str = "id") -> tuple[list[str], DataFrame]:
-    """FS-4: drop features too correlated with a better-ranked one; remaining in column order."""
-    ranking = target_corr_ranking(df, features, target, method, key)
-    drops = correlation_drops(df, features, ranking, thresh, method, key)
-    dropped = {r["feature"] for r in drops.collect()}
+    """FS-4: drop features too correlated with a better-ranked one; remaining in column order.
+
+    One pass of pairwise moments over features + target serves both the
+    ranking and the pair table (p² rows, cached).
+    """
+    pairs = pair_corr(df, list(features) + [target], method, key).cache()
+    ranking = target_corr_ranking(df, features, target, method, key, pairs=pairs)
+    feat_pairs = pairs.where(F.col("b") != target)
+    dropped = {r["feature"] for r in correlation_drops(feat_pairs, ranking, thresh).collect()}
     return [f for f in features if f not in dropped], ranking
 
 

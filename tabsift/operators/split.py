@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash52
-from .positions import hash_positions, small_side
+from .positions import hash_positions
 
 
 def generate_seeds(init: int, n: int) -> list[int]:
@@ -86,7 +86,8 @@ def stratified_split(df: DataFrame, test_frac: float, seed: int | None = None, k
     quotas = class_quotas(d, test_frac, target, stratify)
     d = d.withColumn("_h", hash52(F.col(key), F.col("seed")))
     d = hash_positions(d, [*keys, *strata], "_h", key, out="_pos")
-    q = small_side(quotas.select(*keys, *strata, "quota"))
+    # seeds x classes rows: bounded by the parameters and the class count of a class target
+    q = F.broadcast(quotas.select(*keys, *strata, "quota"))
     out = (d.join(q, [*keys, *strata])
            .withColumn("part", F.when(F.col("_pos") < F.col("quota"), F.lit("test")).otherwise(F.lit("train")))
            .drop("_h", "_pos", "quota"))
