@@ -182,9 +182,11 @@ FROM part"""
 FIXTURE_SQL = {"w1": W1_SQL, "w2": W2_SQL, "w3": W3_SQL, "w4": W4_SQL, "w5": W5_SQL}
 
 
-def with_fixtures(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_fixtures(body: str, *names: str, extra: list[tuple[str, str]] | None = None,
+                  recursive: bool = False) -> str:
     """Prefix ``body`` with CTEs for the named fixtures and extra (name, sql) pairs."""
     ctes = [f"{n} AS (\n{FIXTURE_SQL[n]}\n)" for n in names]
     for name, sql in extra or []:
         ctes.append(f"{name} AS (\n{sql}\n)")
-    return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(ctes) + "\n" + body if ctes else body
