@@ -148,7 +148,7 @@ def repeated_stratified_kfold(df: DataFrame, n_splits: int = 3, n_repeats: int =
     Inside each (repeat, class) rows are ordered by md5(id|seed|repeat) and dealt
     to folds round-robin (position mod n_splits).
     """
-    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).cast("bigint"))
+    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))))
     d = d.withColumn("_h", hash52(F.col(key), F.lit(str(int(seed))), F.col("repeat")))
     strata = [target] if stratify else []
     d = hash_positions(d, ["repeat", *strata], "_h", key, out="_pos")

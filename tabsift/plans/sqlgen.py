@@ -26,16 +26,24 @@ def h52(*parts: str) -> str:
     return f"CAST(('0x' || {h13(*parts)}) AS BIGINT)"
 
 
-def quotas(src: str, frac: float, keys: list[str], strata: list[str]) -> str:
-    """Per (keys, class) test quota: ceil(frac·n) shared by largest remainder (ties by class)."""
+def largest_remainder(cls: str, keys: list[str], strata: list[str], total: str, out: str) -> str:
+    """Share ``total`` (an expression of n = Σ n_c per keys) over the classes of ``cls``
+    (keys…, strata…, n_c) in proportion to n_c; leftover units to the largest fractions, ties by class."""
     kk = ", ".join(keys + strata)
     pk = ("PARTITION BY " + ", ".join(keys)) if keys else ""
-    cls = strata[0] if strata else "0"
-    return f"""SELECT {kk}, CAST(fl + CASE WHEN row_number() OVER ({pk} ORDER BY ex - fl DESC, {cls}) <= nt - sum(fl) OVER ({pk}) THEN 1 ELSE 0 END AS BIGINT) AS quota
+    cls_col = strata[0] if strata else "0"
+    return f"""SELECT {kk + ', ' if kk else ''}n_c, CAST(fl + CASE WHEN row_number() OVER ({pk} ORDER BY ex - fl DESC, {cls_col}) <= nt - sum(fl) OVER ({pk}) THEN 1 ELSE 0 END AS BIGINT) AS {out}
 FROM (SELECT *, floor(ex) AS fl FROM (
   SELECT *, CAST(nt AS DOUBLE) * CAST(n_c AS DOUBLE) / CAST(n AS DOUBLE) AS ex FROM (
-    SELECT *, ceil({float(frac)!r} * CAST(sum(n_c) OVER ({pk}) AS DOUBLE)) AS nt, sum(n_c) OVER ({pk}) AS n FROM (
-      SELECT {kk}, count(*) AS n_c FROM {src} GROUP BY {kk}))))"""
+    SELECT *, {total} AS nt FROM (SELECT *, sum(n_c) OVER ({pk}) AS n FROM {cls}))))"""
+
+
+def quotas(src: str, frac: float, keys: list[str], strata: list[str]) -> str:
+    """Per (keys, class) test quota: ceil(frac·n) shared by largest remainder (ties by class)."""
+    grp = keys + strata
+    sel = ", ".join(grp) + ", " if grp else ""
+    cls = f"(SELECT {sel}count(*) AS n_c FROM {src}" + (f" GROUP BY {', '.join(grp)})" if grp else ")")
+    return largest_remainder(cls, keys, strata, f"ceil({float(frac)!r} * CAST(n AS DOUBLE))", "quota")
 
 
 def split(src: str, frac: float, seed_expr: str, keys: list[str], strata: list[str], key: str = "id") -> str:
