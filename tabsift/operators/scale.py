@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .frames import nunique_profile, to_long
 from .positions import exact_quantiles, quantile_columns, small_side
 
+BOUNDS = 1e-7  # fixed value: closeness to the range ends of the quantile map
+
 SCALERS = ("l1_norm", "l2_norm", "z_score_norm", "min_max_norm", "max_abs_norm", "robust_norm",
            "quantile_norm", "power_norm")
 
@@ -140,10 +142,11 @@ def quantile_norm(df: DataFrame, features, by=(), part_col: str = "part", n_quan
         q_i, q_n = F.element_at(qs, i), F.element_at(qs, i + 1)
         hi_i, lo_n = F.element_at(hi, i), F.element_at(lo, i + 1)
         exact = (F.element_at(lo, i) + hi_i) / 2.0
+        # values within 1e-7 of the train range ends map to the ends (bounds rule of the reference)
         val = (F.when(x.isNull(), F.lit(None).cast("double"))
-               .when(i == 0, F.lit(0.0))
+               .when(x - F.lit(BOUNDS) < F.lit(g[0][0]), F.lit(0.0))
+               .when(x + F.lit(BOUNDS) > F.lit(g[-1][0]), F.lit(1.0))
                .when(x == q_i, exact)
-               .when(i == len(g), F.lit(1.0))
                .otherwise(hi_i + (x - q_i) * (lo_n - hi_i) / (q_n - q_i)))
         exprs.append(val.alias(c))
     return buck.select(*exprs)
