@@ -66,8 +66,8 @@ def target_summary_binary(df: DataFrame, target: str = "target") -> DataFrame:
     )
 
 
-def target_summary_regression(df: DataFrame, target: str = "target") -> DataFrame:
-    """EX-7: describe(): count, mean, sample std, min, median, max (rounded to 2)."""
+def target_summary_regression(df: DataFrame, target: str = "target", digits: int | None = 2) -> DataFrame:
+    """EX-7: describe(): count, mean, sample std, min, median, max (rounded to ``digits``)."""
     one = df.select(F.lit(0).alias("_g"), F.col(target).cast("double").alias("value"))
     med = quantile_columns(one, ["_g"], "value", {"median": 0.5})
     agg = one.groupBy("_g").agg(
@@ -75,7 +75,8 @@ def target_summary_regression(df: DataFrame, target: str = "target") -> DataFram
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     j = agg.join(med, "_g")
-    return j.select(*[F.round(c, 2).alias(c) for c in ["count", "mean", "std", "min", "median", "max"]])
+    cols = ["count", "mean", "std", "min", "median", "max"]
+    return j.select(*[(F.round(c, digits) if digits is not None else F.col(c)).alias(c) for c in cols])
 
 
 def box_stats(df: DataFrame, features, by=(), key: str = "id") -> DataFrame:
