@@ -49,6 +49,34 @@ def target_corr_ranking(df: DataFrame, features, target: str = "target", method:
     return t.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", "abs_corr")
 
 
+def target_corr_by(df: DataFrame, features, by, target: str = "target") -> DataFrame:
+    """(by…, feature, r): Pearson r of each feature with the target per by-group (pairwise complete).
+
+    Long form with one aggregate per (by, feature): partial aggregation keeps the
+    shuffle at groups × features rows whatever the row count.
+    """
+    by = list(by)
+    long = to_long(df, [*by, target], features).where(F.col("value").isNotNull() & F.col(target).isNotNull())
+    v, y = F.col("value"), F.col(target)
+    m = long.groupBy(*by, "feature").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("sx"), F.sum(y).alias("sy"),
+        F.sum(v * v).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(v * y).alias("sxy"))
+    from ..functions.portable import corr_from_moments
+    r = F.when(F.col("n") >= 2, corr_from_moments(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"),
+                                                   F.col("syy"), F.col("sxy")))
+    return m.select(*by, "feature", r.alias("r"))
+
+
+def ranked_by_target_corr(df: DataFrame, features, by, target: str = "target", job: str = "corr_rank") -> DataFrame:
+    """(by…, job, rank, feature): per by-group ranking by |round(r, 2)|, column order on ties."""
+    by = list(by)
+    pos = {f: i for i, f in enumerate(features)}
+    order = F.create_map(*[x for f, i in pos.items() for x in (F.lit(f), F.lit(i))])
+    t = target_corr_by(df, features, by, target).withColumn("abs_corr", F.abs(F.round("r", 2)))
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("abs_corr"), order[F.col("feature")])  # p rows per group
+    return t.select(*by, F.lit(job).alias("job"), F.row_number().over(w).cast("bigint").alias("rank"), "feature")
+
+
 def rank_by_target_corr(df: DataFrame, features, target: str = "target", method: str = "pearson") -> list[str]:
     return [r["feature"] for r in target_corr_ranking(df, features, target, method).orderBy("rank").collect()]
 
@@ -178,16 +206,25 @@ def binned_mutual_info(df: DataFrame, features, target: str = "target", bins: in
     return cell.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
-def sulov(df: DataFrame, features, target: str = "target", limit: float = 0.95, key: str = "id") -> list[str]:
-    """FS-7: among pairs with |r| > limit, drop the member with the smaller mutual information."""
-    mi = {r["feature"]: r["mi"] for r in binned_mutual_info(df, features, target).collect()}
+def sulov_table(df: DataFrame, features, target: str = "target", limit: float = 0.95, key: str = "id") -> DataFrame:
+    """FS-7: (feature, mi, kept). Among pairs with |r| > limit the member with the smaller
+    mutual information (compared at 9 decimals; the earlier column on ties) is dropped."""
+    from ..functions.portable import rhalf
+    mi_df = binned_mutual_info(df, features, target).withColumn("mi9", rhalf("mi", 9))
+    mi = {r["feature"]: (r["mi9"], r["mi"]) for r in mi_df.collect()}  # one row per feature
     drop = set()
-    for r in pair_corr(df, features, "pearson", key).where(F.abs("r") > limit).collect():
+    for r in pair_corr(df, features, "pearson", key).where(F.abs("r") > limit).collect():  # pairs above the limit
         a, b = r["a"], r["b"]
-        ma, mb = mi.get(a, 0.0), mi.get(b, 0.0)
-        drop.add(b if (ma, -features.index(a)) > (mb, -features.index(b)) else a)
-    kept = [f for f in features if f not in drop]
-    return sorted(kept, key=lambda f: (-mi.get(f, 0.0), features.index(f)))
+        ka = (mi.get(a, (0.0, 0.0))[0], -features.index(a))
+        kb = (mi.get(b, (0.0, 0.0))[0], -features.index(b))
+        drop.add(b if ka > kb else a)
+    return mi_df.select("feature", "mi", (~F.col("feature").isin(sorted(drop))).alias("kept"))
+
+
+def sulov(df: DataFrame, features, target: str = "target", limit: float = 0.95, key: str = "id") -> list[str]:
+    """FS-7 as a feature list, best mutual information first."""
+    rows = sulov_table(df, features, target, limit, key).where("kept").collect()
+    return [r["feature"] for r in sorted(rows, key=lambda r: (-r["mi"], features.index(r["feature"])))]
 
 
 # ---------------------------------------------------------------- FS-14 / FS-15
