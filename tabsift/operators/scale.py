@@ -7,11 +7,15 @@ with a zero scale replaced by 1; their parameters are one small table.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import nunique_profile, to_long
-from .positions import exact_quantiles, quantile_columns, small_side
+from .positions import exact_quantile_grid, quantile_columns, small_side
 
 BOUNDS = 1e-7  # fixed value: closeness to the range ends of the quantile map
 
@@ -97,56 +101,47 @@ def fit_quantile_grid(train: DataFrame, features, by=(), n_quantiles: int = 1000
     long = to_long(train, by, features).where(F.col("value").isNotNull())
     n_train = train.count()
     m = max(2, min(n_quantiles, n_train))
-    refs = [i / (m - 1) for i in range(m)]
-    return exact_quantiles(long, [*by, "feature"], "value", refs, out="qv").withColumnRenamed("prob", "ref")
+    return exact_quantile_grid(long, [*by, "feature"], "value", m, out="qv").withColumnRenamed("prob", "ref")
+
+
+def _quantile_map_udf(qs, refs):
+    """Arrow-batched map of one column through a quantile grid (forward and backward
+    linear interpolation averaged; values within BOUNDS of the range ends → 0 / 1)."""
+    q = np.asarray(qs, dtype="float64")
+    r = np.asarray(refs, dtype="float64")
+
+    @F.pandas_udf("double")
+    def qmap(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(dtype="float64", na_value=np.nan)
+        out = 0.5 * (np.interp(v, q, r) - np.interp(-v, -q[::-1], -r[::-1]))
+        out = np.where(v - BOUNDS < q[0], 0.0, out)
+        out = np.where(v + BOUNDS > q[-1], 1.0, out)
+        out = np.where(np.isnan(v), np.nan, out)
+        return pd.Series(np.clip(out, 0.0, 1.0)).where(~np.isnan(v), None)
+
+    return qmap
 
 
 def quantile_norm(df: DataFrame, features, by=(), part_col: str = "part", n_quantiles: int = 1000) -> DataFrame:
     """NO-7: map each value to [0, 1] through the train quantiles, interpolating linearly.
 
-    A value equal to a (possibly repeated) quantile gets the mean of the lowest
-    and highest reference of that quantile (forward and backward look-up
-    averaged); values outside the train range are clipped to 0 or 1. The
-    segment of a value is found by ``Bucketizer`` (binary search on the JVM),
-    the segment ends come from literal arrays: O(1) expression size per feature.
+    The grid (≤ n_quantiles exact quantiles per feature, linear interpolation)
+    is fitted on train by Spark; the map itself is a vectorised pandas UDF per
+    feature (Arrow batches, map-only, no shuffle) that averages the forward and
+    backward interpolation, so a repeated quantile value maps to the middle of
+    its references; values within 1e-7 of the train range ends map to 0 or 1.
     """
     if by:
         raise NotImplementedError("quantile_norm fits one grid; split by key first")
-    from pyspark.ml.feature import Bucketizer
-
     grid = fit_quantile_grid(_train(df, part_col), features, by, n_quantiles)
-    steps = grid.groupBy("feature", "qv").agg(F.min("ref").alias("r_lo"), F.max("ref").alias("r_hi"))
-    # Collected: at most n_quantiles numbers per feature.
     per = {}
-    for r in steps.collect():
-        per.setdefault(r["feature"], []).append((float(r["qv"]), float(r["r_lo"]), float(r["r_hi"])))
-    feats = [f for f in features if f in per]
-    if not feats:
-        return df
-    inf = float("inf")
-    tmp = {f: f"_qb_{i}" for i, f in enumerate(feats)}
-    splits = [[-inf] + [q for q, _, _ in sorted(per[f])] + [inf] for f in feats]
-    buck = Bucketizer(splitsArray=splits, inputCols=feats, outputCols=[tmp[f] for f in feats],
-                      handleInvalid="keep").transform(df)
+    for r in grid.collect():  # at most n_quantiles rows per feature
+        per.setdefault(r["feature"], []).append((float(r["ref"]), float(r["qv"])))
     exprs = []
     for c in df.columns:
-        if c not in tmp:
+        if c in per:
+            g = sorted(per[c])
+            exprs.append(_quantile_map_udf([qv for _, qv in g], [ref for ref, _ in g])(F.col(c)).alias(c))
+        else:
             exprs.append(F.col(c))
-            continue
-        g = sorted(per[c])
-        qs = F.array(*[F.lit(q) for q, _, _ in g])
-        lo = F.array(*[F.lit(a) for _, a, _ in g])
-        hi = F.array(*[F.lit(b) for _, _, b in g])
-        i = F.col(tmp[c]).cast("int")  # x in [q_i, q_{i+1}) -> bucket i+1 (1-based element_at index)
-        x = F.col(c)
-        q_i, q_n = F.element_at(qs, i), F.element_at(qs, i + 1)
-        hi_i, lo_n = F.element_at(hi, i), F.element_at(lo, i + 1)
-        exact = (F.element_at(lo, i) + hi_i) / 2.0
-        # values within 1e-7 of the train range ends map to the ends (bounds rule of the reference)
-        val = (F.when(x.isNull(), F.lit(None).cast("double"))
-               .when(x - F.lit(BOUNDS) < F.lit(g[0][0]), F.lit(0.0))
-               .when(x + F.lit(BOUNDS) > F.lit(g[-1][0]), F.lit(1.0))
-               .when(x == q_i, exact)
-               .otherwise(hi_i + (x - q_i) * (lo_n - hi_i) / (q_n - q_i)))
-        exprs.append(val.alias(c))
-    return buck.select(*exprs)
+    return df.select(*exprs)
