@@ -1,3 +1,129 @@
-"""Queries."""
+"""Model queries (ML-*): fits on the W1 study table (cleaned, split, train medians filled)
+and regressions on W2; voting queries read the predictions fixture W3 and have oracles."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.portable import r6
+from ..operators import models as ml
+from ..operators import select as sel
+from ..operators.evaluate import roc_auc
+from ..operators.split import repeated_stratified_kfold
+from ..sources.fixtures import predictions, with_fixtures
+from . import sqlgen
+from .flagship import VAR_P, prepared_train_test
+from .q_scale import _prepared as w2_prepared
+from .registry import query
+
+SEED = 42
+
+
+def model_data(spark, sf_dir):
+    """(all rows cached, features kept by the variance filter, train, test) of W1."""
+    imp, feats = prepared_train_test(spark, sf_dir)
+    imp = imp.cache()
+    train = imp.where(F.col("part") == "train")
+    kept = sel.variance_threshold(train, feats, VAR_P)
+    return imp, kept, train, imp.where(F.col("part") == "test")
+
+
+def fit_predict(spark, sf_dir, name, params):
+    _, feats, train, test = model_data(spark, sf_dir)
+    n = train.count()
+    tr = ml.assemble(ml.class_weights(train, "target"), feats)
+    model = ml.make_estimator(name, ml.BINARY, {**params, "n_rows": n}, SEED).fit(tr)
+    out = ml.predict_scores(model, ml.assemble(test, feats), name)
+    return out.select("id", F.col("target").cast("int").alias("y_true"), "score", "y_pred", "score_kind")
+
+
+@query("ml_class_weights", with_fixtures(
+    "SELECT target, n_c, round(CAST((SELECT count(*) FROM sp WHERE part = 'train') AS DOUBLE) / (2.0 * n_c), 6) AS weight "
+    "FROM (SELECT target, count(*) AS n_c FROM sp WHERE part = 'train' GROUP BY target)", "w1",
+    extra=[("sp", sqlgen.split("w1", 0.3, "'42'", [], ["target"]))]))
+def ml_class_weights(spark, sf_dir):
+    _, _, train, _ = model_data(spark, sf_dir)
+    w = ml.class_weights(train, "target")
+    return w.groupBy("target").agg(F.count(F.lit(1)).alias("n_c"), r6(F.first("weight")).alias("weight"))
+
+
+MODEL_PARAMS = {
+    "logistic_regression": {"penalty": "l2", "C": 1.0, "max_iter": 100},
+    "svm": {"C": 1.0, "max_iter": 100},
+    "forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt", "bootstrap": True},
+    "extreme_forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt"},
+    "adaboost": {"n_estimators": 5, "learning_rate": 1.0},
+    "xgboost": {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3},
+}
+
+for _name, _params in MODEL_PARAMS.items():
+    def _q(spark, sf_dir, _n=_name, _p=_params):
+        return fit_predict(spark, sf_dir, _n, _p)
+    query(f"ml_{_name}")(_q)
+
+
+REG_PARAMS = {"lasso": {"alpha": 10.0}, "lassolars": {"alpha": 10.0}, "elastic_net": {"alpha": 10.0, "l1_ratio": 0.5},
+              "omp": {"n_nonzero_coefs": 3}}
+REG_FEATS = ["acctbal", "order_month", "priority", "nation", "is_building", "n_lines", "qty", "price", "disc", "tax"]
+
+for _name, _params in REG_PARAMS.items():
+    def _r(spark, sf_dir, _n=_name, _p=_params):
+        d = w2_prepared(spark, sf_dir).cache()
+        tr = ml.assemble(d.where("part = 'train'"), REG_FEATS)
+        model = ml.make_estimator(_n, ml.REGRESSION, _p, SEED, label="totalprice").fit(tr)
+        out = ml.predict_scores(model, ml.assemble(d.where("part = 'test'"), REG_FEATS), _n, ml.REGRESSION)
+        return out.select("id", F.col("totalprice").alias("y_true"), "score")
+    query(f"ml_{_name}")(_r)
+
+
+@query("ml_grid_search")
+def ml_grid_search(spark, sf_dir):
+    _, feats, train, _ = model_data(spark, sf_dir)
+    folds = repeated_stratified_kfold(train, 3, 1, SEED)
+    _, _, cv = ml.grid_search(train, feats, "logistic_regression", {"penalty": ["l2"], "C": [0.1, 10.0], "max_iter": [50]}, folds)
+    return cv
+
+
+R = "experiment, seed, job, n_top"
+
+
+@query("ml_voting_soft", with_fixtures(
+    f"SELECT {R}, id, avg(score) AS proba, count(DISTINCT model) AS n_models, "
+    f"CASE WHEN avg(score) >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM w3 GROUP BY {R}, id", "w3"))
+def ml_voting_soft(spark, sf_dir):
+    return ml.soft_vote(predictions(spark, sf_dir), ["experiment", "seed", "job", "n_top", "id"])
+
+
+@query("ml_voting_regression", with_fixtures(
+    f"SELECT {R}, id, avg(score) AS prediction, count(DISTINCT model) AS n_models FROM w3 GROUP BY {R}, id", "w3"))
+def ml_voting_regression(spark, sf_dir):
+    return ml.vote_regression(predictions(spark, sf_dir), ["experiment", "seed", "job", "n_top", "id"])
+
+
+@query("ml_verify_top_n")
+def ml_verify_top_n(spark, sf_dir):
+    """ML-16: for n in the list (≤ the number of ranked features), fit each model on the top n
+    features of the ranking and score the test part."""
+    imp, feats, train, test = model_data(spark, sf_dir)
+    ranking = [r["feature"] for r in sel.target_corr_ranking(train, feats).orderBy("rank").collect()]
+    n_list = [n for n in (2, 4, 6) if n <= len(ranking)] or [len(ranking)]
+    rows = []
+    n = train.count()
+    for n_top in n_list:
+        top = ranking[:n_top]
+        for name in ("logistic_regression", "forest"):
+            tr = ml.assemble(ml.class_weights(train, "target"), top)
+            model = ml.make_estimator(name, ml.BINARY, {**MODEL_PARAMS[name], "n_rows": n}, SEED).fit(tr)
+            pr = ml.predict_scores(model, ml.assemble(test, top), name)
+            auc = roc_auc(pr.select(F.lit(0).alias("run"), "id", F.col("target").cast("int").alias("y_true"), "score"),
+                          ["run"]).first()["roc_auc"]
+            rows.append((n_top, name, auc))
+    return spark.createDataFrame(rows, "n_top int, model string, roc_auc double")
+
+
+@query("ml_predict_scores")
+def ml_predict_scores(spark, sf_dir):
+    """ML-17: margins of a margin model and probabilities of a tree model, side by side."""
+    a = fit_predict(spark, sf_dir, "logistic_regression", MODEL_PARAMS["logistic_regression"]).withColumn("model", F.lit("logistic_regression"))
+    b = fit_predict(spark, sf_dir, "forest", MODEL_PARAMS["forest"]).withColumn("model", F.lit("forest"))
+    return a.unionByName(b)
