@@ -25,17 +25,19 @@ def _div(a, b) -> Column:
 
 # ---------------------------------------------------------------- distinct-score table
 def score_table(pred: DataFrame, run=RUN) -> DataFrame:
-    """Per (run, distinct score): pos, neg at the score, cum_pos/cum_neg strictly below,
-    k (ascending index), P, N, m (number of distinct scores)."""
+    """Per (run, distinct score): _pos, _neg at the score, _cum_pos/_cum_neg strictly below,
+    _k (ascending index), _P, _N, _m (number of distinct scores). Internal names start with
+    an underscore so that they never meet a caller's run key."""
     run = list(run)
-    d = pred.select(*run, "score", F.col("y_true").cast("bigint").alias("pos"),
-                    (1 - F.col("y_true").cast("bigint")).alias("neg"))
-    vp = value_positions(d, run, "score", ["pos", "neg"])
-    tot = vp.groupBy(*run).agg(F.sum("s_pos").alias("P"), F.sum("s_neg").alias("N"),
-                               F.count(F.lit(1)).alias("m"))
+    d = pred.select(*run, "score", F.col("y_true").cast("bigint").alias("_yp"),
+                    (1 - F.col("y_true").cast("bigint")).alias("_yn"))
+    vp = value_positions(d, run, "score", ["_yp", "_yn"])
+    tot = vp.groupBy(*run).agg(F.sum("s__yp").alias("_P"), F.sum("s__yn").alias("_N"),
+                               F.count(F.lit(1)).alias("_m"))
     return (vp.join(tot, run)
-            .select(*run, F.col("value").alias("score"), F.col("s_pos").alias("pos"), F.col("s_neg").alias("neg"),
-                    "cum_pos", "cum_neg", "k", "P", "N", "m"))
+            .select(*run, F.col("value").alias("score"), F.col("s__yp").alias("_pos"), F.col("s__yn").alias("_neg"),
+                    F.col("cum__yp").alias("_cum_pos"), F.col("cum__yn").alias("_cum_neg"), F.col("k").alias("_k"),
+                    "_P", "_N", "_m"))
 
 
 def _confusion(pred: DataFrame, run, thr: Column) -> DataFrame:
@@ -71,20 +73,20 @@ def roc_auc(pred: DataFrame, run=RUN) -> DataFrame:
     """EV-1: Mann–Whitney AUC with average ranks for ties; NULL for a one-class run."""
     run = list(run)
     st = score_table(pred, run)
-    rank = F.col("cum_pos") + F.col("cum_neg") + (F.col("pos") + F.col("neg") + 1) / 2.0
-    g = st.groupBy(*run, "P", "N").agg(F.sum(F.col("pos") * rank).alias("R"))
-    u = F.col("R") - F.col("P") * (F.col("P") + 1) / 2.0
-    return g.select(*run, _div(u, F.col("P") * F.col("N")).alias("roc_auc"))
+    rank = F.col("_cum_pos") + F.col("_cum_neg") + (F.col("_pos") + F.col("_neg") + 1) / 2.0
+    g = st.groupBy(*run, "_P", "_N").agg(F.sum(F.col("_pos") * rank).alias("_R"))
+    u = F.col("_R") - F.col("_P") * (F.col("_P") + 1) / 2.0
+    return g.select(*run, _div(u, F.col("_P") * F.col("_N")).alias("roc_auc"))
 
 
 def average_precision(pred: DataFrame, run=RUN) -> DataFrame:
     """EV-2: Σ over distinct scores (descending) of ΔRecall · Precision."""
     run = list(run)
     st = score_table(pred, run)
-    tp = F.col("P") - F.col("cum_pos")
-    fp = F.col("N") - F.col("cum_neg")
-    term = _div(F.col("pos"), F.col("P")) * _div(tp, tp + fp)
-    return st.groupBy(*run).agg(F.sum(F.when(F.col("pos") > 0, term)).alias("average_precision"))
+    tp = F.col("_P") - F.col("_cum_pos")
+    fp = F.col("_N") - F.col("_cum_neg")
+    term = _div(F.col("_pos"), F.col("_P")) * _div(tp, tp + fp)
+    return st.groupBy(*run).agg(F.sum(F.when(F.col("_pos") > 0, term)).alias("average_precision"))
 
 
 def pos_rate(pred: DataFrame, run=RUN) -> DataFrame:
@@ -120,21 +122,21 @@ def roc_points(pred: DataFrame, run=RUN, drop_intermediate: bool = True) -> Data
     """
     run = list(run)
     st = score_table(pred, run)
-    lower = st.select(*run, (F.col("k") + 1).alias("k"), F.col("pos").alias("pos_lo"), F.col("neg").alias("neg_lo"))
-    j = st.join(lower, [*run, "k"], "left")
-    keep = ((F.col("k") == 0) | (F.col("k") == F.col("m") - 1)
-            | (F.col("pos") != F.col("pos_lo")) | (F.col("neg") != F.col("neg_lo")))
+    lower = st.select(*run, (F.col("_k") + 1).alias("_k"), F.col("_pos").alias("_pos_lo"), F.col("_neg").alias("_neg_lo"))
+    j = st.join(lower, [*run, "_k"], "left")
+    keep = ((F.col("_k") == 0) | (F.col("_k") == F.col("_m") - 1)
+            | (F.col("_pos") != F.col("_pos_lo")) | (F.col("_neg") != F.col("_neg_lo")))
     if drop_intermediate:
         j = j.where(keep)
-    tps = F.col("P") - F.col("cum_pos")
-    fps = F.col("N") - F.col("cum_neg")
-    pts = j.select(*run, F.col("score").alias("thr"), fps.alias("fps"), tps.alias("tps"), "P", "N")
-    start = (st.where(F.col("k") == F.col("m") - 1)
+    tps = F.col("_P") - F.col("_cum_pos")
+    fps = F.col("_N") - F.col("_cum_neg")
+    pts = j.select(*run, F.col("score").alias("thr"), fps.alias("fps"), tps.alias("tps"), "_P", "_N")
+    start = (st.where(F.col("_k") == F.col("_m") - 1)
              .select(*run, (F.col("score") + 1).alias("thr"), F.lit(0).cast("bigint").alias("fps"),
-                     F.lit(0).cast("bigint").alias("tps"), "P", "N"))
+                     F.lit(0).cast("bigint").alias("tps"), "_P", "_N"))
     allp = pts.unionByName(start)
-    return allp.select(*run, "thr", _div(F.col("fps"), F.col("N")).alias("fpr"),
-                       _div(F.col("tps"), F.col("P")).alias("tpr"), "fps", "tps")
+    return allp.select(*run, "thr", _div(F.col("fps"), F.col("_N")).alias("fpr"),
+                       _div(F.col("tps"), F.col("_P")).alias("tpr"), "fps", "tps")
 
 
 def optimal_point(points: DataFrame, run, objective: Column, name: str) -> DataFrame:
@@ -194,13 +196,13 @@ def auc_trapz(pred: DataFrame, run=RUN, auto_flip: bool = True) -> DataFrame:
     run = list(run)
     st = score_table(pred, run)
     # point at distinct index k and its predecessor on the curve (next higher score, k + 1; start point above the top)
-    fpr = _div(F.col("N") - F.col("cum_neg"), F.col("N"))
-    tpr = _div(F.col("P") - F.col("cum_pos"), F.col("P"))
-    cur = st.select(*run, "k", "m", fpr.alias("f"), tpr.alias("t"))
-    prev = cur.select(*run, (F.col("k") - 1).alias("k"), F.col("f").alias("f0"), F.col("t").alias("t0"))
-    j = cur.join(prev, [*run, "k"], "left").select(
-        *run, "f", "t", F.coalesce("f0", F.when(F.col("k") == F.col("m") - 1, F.lit(0.0))).alias("f0"),
-        F.coalesce("t0", F.when(F.col("k") == F.col("m") - 1, F.lit(0.0))).alias("t0"))
+    fpr = _div(F.col("_N") - F.col("_cum_neg"), F.col("_N"))
+    tpr = _div(F.col("_P") - F.col("_cum_pos"), F.col("_P"))
+    cur = st.select(*run, "_k", "_m", fpr.alias("f"), tpr.alias("t"))
+    prev = cur.select(*run, (F.col("_k") - 1).alias("_k"), F.col("f").alias("f0"), F.col("t").alias("t0"))
+    j = cur.join(prev, [*run, "_k"], "left").select(
+        *run, "f", "t", F.coalesce("f0", F.when(F.col("_k") == F.col("_m") - 1, F.lit(0.0))).alias("f0"),
+        F.coalesce("t0", F.when(F.col("_k") == F.col("_m") - 1, F.lit(0.0))).alias("t0"))
     area = j.groupBy(*run).agg(F.sum((F.col("f") - F.col("f0")) * (F.col("t") + F.col("t0")) / 2.0).alias("auc"))
     if not auto_flip:
         return area.select(*run, "auc", F.lit(False).alias("flipped"))
