@@ -102,13 +102,13 @@ def permutation_importance(train: DataFrame, features, target: str = "target", n
     run_keys = ["feature", "rep"]
     # original order: position by md5(id|seed); permuted order per (feature, rep): position by md5(id|seed|feature|rep)
     d0 = (base.withColumn("_g", F.lit(0)).withColumn("_h", hash52(F.col("id"), F.lit(str(seed)))))
-    d0 = hash_positions(d0, ["_g"], "_h", "id", out="pos").drop("_g", "_h")
+    d0 = hash_positions(d0, ["_g"], "_h", "id", out="pos", max_group_rows=n).drop("_g", "_h")
     src = to_long(d0, ["pos"], features).withColumnRenamed("value", "pv")  # value of row at position pos
     ex = base.withColumn("_fr", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                                                     for f in features for r in range(n_repeats)]))).select(
         "*", F.col("_fr.feature").alias("feature"), F.col("_fr.rep").alias("rep")).drop("_fr")
     ex = ex.withColumn("_h", hash52(F.col("id"), F.lit(str(seed)), F.col("feature"), F.col("rep")))
-    ex = hash_positions(ex, run_keys, "_h", "id", out="pos").drop("_h")
+    ex = hash_positions(ex, run_keys, "_h", "id", out="pos", max_group_rows=n).drop("_h")
     ex = ex.join(src, ["feature", "pos"])  # row at permuted position takes the value of the row at that original position
     swapped = ex.select("id", target, "feature", "rep",
                         *[F.when(F.col("feature") == f, F.col("pv")).otherwise(F.col(f)).alias(f) for f in features])

@@ -39,18 +39,31 @@ def _cols(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def bucket_bits_for(max_group_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hash bits needed so that a group of ``max_group_rows`` rows falls into buckets of
+    at most ``rows_per_bucket`` rows (16 bits when the size is unknown)."""
+    if max_group_rows is None:
+        return HASH_BUCKET_BITS
+    return max(0, min(24, math.ceil(math.log2(max(1.0, max_group_rows / rows_per_bucket)))))
+
+
 def hash_positions(df: DataFrame, group_cols, hash_col: str, tie_col: str, out: str = "pos",
-                   bucket_bits: int = HASH_BUCKET_BITS) -> DataFrame:
+                   bucket_bits: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, ordered by (hash_col, tie_col).
 
     ``hash_col`` must be a uniform non-negative 52-bit integer (``portable.hash52``).
-    Its top ``bucket_bits`` bits cut every group into 2**bucket_bits balanced
-    buckets (1e12 rows → ~1.5e7 per bucket at 16 bits). Bucket offsets come from
-    a groups × buckets count table joined on (group, bucket), which is the same
-    key the window needs, so the rows are shuffled once. No action is run.
+    Its top bits cut every group into 2**bits balanced buckets, bits chosen from
+    ``max_group_rows`` when the caller knows the group sizes (16 bits otherwise:
+    1e12 rows → ~1.5e7 per bucket). Bucket offsets come from a groups × buckets count
+    table joined on (group, bucket), the same key the window needs, so the rows are
+    shuffled once. Groups small enough for one task use a plain window. No action is run.
     """
     group_cols = _cols(group_cols)
-    b = df.withColumn("_bkt", F.shiftright(F.col(hash_col), 52 - bucket_bits))
+    bits = bucket_bits if bucket_bits is not None else bucket_bits_for(max_group_rows)
+    if bits == 0:
+        w = Window.partitionBy(*group_cols).orderBy(hash_col, tie_col)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    b = df.withColumn("_bkt", F.shiftright(F.col(hash_col), 52 - bits))
     counts = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     wo = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0))).drop("_bn")

@@ -22,11 +22,14 @@ def random_oversample(train: DataFrame, seed: int = 0, target: str = "target", k
     """
     cls = train.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
     cls = cls.withColumn("need", F.max("n_c").over(Window.partitionBy(F.lit(0))) - F.col("n_c"))  # classes: tiny
+    crow = cls.collect()
+    cls = train.sparkSession.createDataFrame(crow, cls.schema)
+    largest = max((r["n_c"] for r in crow), default=0)
     draws = _chunked_sequence(cls.where(F.col("need") > 0), [target], "need", "k")
     draws = draws.withColumn("_pos", F.pmod(hash52(F.lit(str(seed)), F.lit("os"), F.col(target), F.col("k")), F.col("n_c")))
     drawn = draws.groupBy(target, "_pos").agg(F.count(F.lit(1)).alias("_times"))
     d = train.withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit("os")))
-    d = hash_positions(d, [target], "_h", key, out="_pos")
+    d = hash_positions(d, [target], "_h", key, out="_pos", max_group_rows=largest)
     copies = (d.join(drawn, [target, "_pos"])
               .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
               .drop("_h", "_pos", "_times", "_rep").withColumn("synthetic", F.lit(1)))

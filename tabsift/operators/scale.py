@@ -29,9 +29,9 @@ def _train(df: DataFrame, part_col: str = "part") -> DataFrame:
 
 def scalable_features(train: DataFrame, features, by=(), max_levels: int = 3) -> list[str]:
     """Features with more than ``max_levels`` distinct values in train (in every by-group)."""
-    prof = nunique_profile(train, features, by)
-    low = {r["feature"] for r in prof.where(F.col("n_unique") <= max_levels).select("feature").distinct().collect()}
-    present = {r["feature"] for r in prof.select("feature").distinct().collect()}
+    rows = nunique_profile(train, features, by).collect()  # (by-groups ×) features rows
+    low = {r["feature"] for r in rows if r["n_unique"] <= max_levels}
+    present = {r["feature"] for r in rows}
     return [f for f in features if f in present and f not in low]
 
 

@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.portable import hash52
 from .positions import hash_positions
@@ -83,11 +84,14 @@ def stratified_split(df: DataFrame, test_frac: float, seed: int | None = None, k
     d = df.withColumn("seed", F.lit(int(seed)).cast("bigint")) if own_seed else df
     keys = _seed_keys(d)
     strata = [target] if stratify else []
-    quotas = class_quotas(d, test_frac, target, stratify)
+    # seeds x classes rows (bounded by the parameters and the classes of a class target): collected
+    # once, they give the group sizes for the position buckets and are broadcast back
+    qrows = class_quotas(d, test_frac, target, stratify).select(*keys, *strata, "n_c", "quota").collect()
+    qschema = d.select(*keys, *strata).schema.add("n_c", T.LongType()).add("quota", T.LongType())
+    q = F.broadcast(d.sparkSession.createDataFrame(qrows, qschema).drop("n_c"))
+    largest = max((r["n_c"] for r in qrows), default=0)
     d = d.withColumn("_h", hash52(F.col(key), F.col("seed")))
-    d = hash_positions(d, [*keys, *strata], "_h", key, out="_pos")
-    # seeds x classes rows: bounded by the parameters and the class count of a class target
-    q = F.broadcast(quotas.select(*keys, *strata, "quota"))
+    d = hash_positions(d, [*keys, *strata], "_h", key, out="_pos", max_group_rows=largest)
     out = (d.join(q, [*keys, *strata])
            .withColumn("part", F.when(F.col("_pos") < F.col("quota"), F.lit("test")).otherwise(F.lit("train")))
            .drop("_h", "_pos", "quota"))
@@ -125,12 +129,15 @@ def stratified_bootstrap(df: DataFrame, seed: int, boot: int = 0, test_frac: flo
     wk = Window.partitionBy("seed", "boot")
     cls = cls.withColumn("_m", F.floor(F.lit(1.0 - float(test_frac)) * F.sum("n_c").over(wk).cast("double")))
     cls = _largest_remainder(cls, ["seed", "boot"], target, "_m", "m_c").drop("_m")
+    crow = cls.collect()  # classes of one (seed, boot): tiny
+    cls = d.sparkSession.createDataFrame(crow, cls.schema)
+    largest = max((r["n_c"] for r in crow), default=0)
     draws = _chunked_sequence(cls, ["seed", "boot", target], "m_c", "k")
     draws = draws.withColumn(
         "_pos", F.pmod(hash52(F.col("seed"), F.col("boot"), F.col(target), F.col("k")), F.col("n_c")))
     drawn = draws.groupBy("seed", "boot", target, "_pos").agg(F.count(F.lit(1)).alias("_times"))
     d = d.withColumn("_h", hash52(F.col(key), F.col("seed"), F.col("boot")))
-    d = hash_positions(d, ["seed", "boot", target], "_h", key, out="_pos")
+    d = hash_positions(d, ["seed", "boot", target], "_h", key, out="_pos", max_group_rows=largest)
     hit = d.join(drawn, ["seed", "boot", target, "_pos"])
     return (hit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
             .drop("_h", "_pos", "_times", "_rep"))
@@ -151,7 +158,8 @@ def repeated_stratified_kfold(df: DataFrame, n_splits: int = 3, n_repeats: int =
     d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))))
     d = d.withColumn("_h", hash52(F.col(key), F.lit(str(int(seed))), F.col("repeat")))
     strata = [target] if stratify else []
-    d = hash_positions(d, ["repeat", *strata], "_h", key, out="_pos")
+    largest = df.groupBy(*strata).count().agg(F.max("count")).first()[0] if strata else df.count()
+    d = hash_positions(d, ["repeat", *strata], "_h", key, out="_pos", max_group_rows=largest)
     return d.withColumn("fold", F.pmod(F.col("_pos"), F.lit(n_splits)).cast("bigint")).drop("_h", "_pos")
 
 

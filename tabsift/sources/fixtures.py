@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _study(df: DataFrame) -> DataFrame:
+    """Study tables are narrow numeric tables derived from wide sources (document texts, line
+    items); the multi-pass operators read them several times, so they are kept cached.
+    Identical plans share one cached copy."""
+    return df.cache()
+
+
 def _count_chars(text, chars: str):
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -32,7 +39,7 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     t = F.col("text")
     n_chars = F.col("n_chars").cast("double")
-    return d.join(lab, "doc_id").select(
+    return _study(d.join(lab, "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("quality").cast("double").alias("target"),
         n_chars.alias("n_chars"),
@@ -48,7 +55,7 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("const_one"),
         F.when(F.col("doc_id") % 7 == 3, F.lit(None).cast("double"))
          .otherwise((F.col("n_chars") % 50).cast("double")).alias("holey"),
-    )
+    ))
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +70,7 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("l_discount"), 6).alias("disc"),
         F.round(F.max("l_tax"), 6).alias("tax"),
     )
-    return (
+    return _study(
         o.join(c, c.c_custkey == o.o_custkey)
         .join(x, x.l_orderkey == o.o_orderkey, "left")
         .select(
