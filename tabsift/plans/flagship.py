@@ -29,13 +29,12 @@ def prepared_train_test(spark: SparkSession, sf_dir: str, seed: int = SEED, test
     """W1 cleaned, split and median-imputed (fit on train). Returns (frame, features)."""
     clean = clean_up(doc_features(spark, sf_dir), "id", "target")
     feats = features_of(clean)
-    split = stratified_split(clean, test_frac, seed)
-    return simple_impute(split, feats), feats
+    split = stratified_split(clean, test_frac, seed).cache()  # read by the median fit and by the fill
+    return simple_impute(split, feats).cache(), feats  # the selection steps below read it several times
 
 
 def feature_ranking(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
     imp, feats = prepared_train_test(spark, sf_dir, seed)
-    imp = imp.cache()  # reused by five small aggregate passes; recomputable, so cache only
     train = imp.where(F.col("part") == "train")
     kept = variance_threshold(train, feats, VAR_P)
     normed, _ = normalise(imp.select("id", *kept, "target", "part"), kept, "z_score_norm")

@@ -20,8 +20,10 @@ PREP = [("sp", sqlgen.split("w2", 0.3, "'7'", [], ["target"])),
 
 
 def _prepared(spark, sf_dir):
-    split = sp.stratified_split(order_features(spark, sf_dir), 0.3, 7)
-    return imp.simple_impute(split, W2_FEATURES).select("id", "target", "part", *W2_FEATURES)
+    """W2 split (seed 7) with train medians filled; cached because every normaliser reads it
+    for its distinct-value profile, its fit and its output."""
+    split = sp.stratified_split(order_features(spark, sf_dir), 0.3, 7).cache()
+    return imp.simple_impute(split, W2_FEATURES).select("id", "target", "part", *W2_FEATURES).cache()
 
 
 # per-feature (shift, scale) over train in SQL; a zero scale becomes 1
