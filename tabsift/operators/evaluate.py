@@ -24,14 +24,14 @@ def _div(a, b) -> Column:
 
 
 # ---------------------------------------------------------------- distinct-score table
-def score_table(pred: DataFrame, run=RUN) -> DataFrame:
+def score_table(pred: DataFrame, run=RUN, max_run_rows: int | None = None) -> DataFrame:
     """Per (run, distinct score): _pos, _neg at the score, _cum_pos/_cum_neg strictly below,
     _k (ascending index), _P, _N, _m (number of distinct scores). Internal names start with
     an underscore so that they never meet a caller's run key."""
     run = list(run)
     d = pred.select(*run, "score", F.col("y_true").cast("bigint").alias("_yp"),
                     (1 - F.col("y_true").cast("bigint")).alias("_yn"))
-    vp = value_positions(d, run, "score", ["_yp", "_yn"])
+    vp = value_positions(d, run, "score", ["_yp", "_yn"], max_group_rows=max_run_rows)
     tot = vp.groupBy(*run).agg(F.sum("s__yp").alias("_P"), F.sum("s__yn").alias("_N"),
                                F.count(F.lit(1)).alias("_m"))
     return (vp.join(tot, run)
@@ -69,10 +69,12 @@ def threshold_metrics(pred: DataFrame, run=RUN, threshold: float = 0.5) -> DataF
     return confusion_metrics(_confusion(pred, run, F.lit(float(threshold))), run)
 
 
-def roc_auc(pred: DataFrame, run=RUN) -> DataFrame:
-    """EV-1: Mann–Whitney AUC with average ranks for ties; NULL for a one-class run."""
+def roc_auc(pred: DataFrame, run=RUN, max_run_rows: int | None = None) -> DataFrame:
+    """EV-1: Mann–Whitney AUC with average ranks for ties; NULL for a one-class run.
+
+    ``max_run_rows`` may state an upper bound of a run's size (skips the sizing pass)."""
     run = list(run)
-    st = score_table(pred, run)
+    st = score_table(pred, run, max_run_rows)
     rank = F.col("_cum_pos") + F.col("_cum_neg") + (F.col("_pos") + F.col("_neg") + 1) / 2.0
     g = st.groupBy(*run, "_P", "_N").agg(F.sum(F.col("_pos") * rank).alias("_R"))
     u = F.col("_R") - F.col("_P") * (F.col("_P") + 1) / 2.0

@@ -244,8 +244,8 @@ def grid_search(df: DataFrame, features, name: str, grid: dict, folds: DataFrame
             m = make_estimator(name, task, params, seed).fit(tr)
             pr = predict_scores(m, te, name, task)
             if task == BINARY:
-                s = roc_auc(pr.select(F.lit(0).alias("run"), "id", F.col(label).cast("int").alias("y_true"), "score"),
-                            ["run"]).first()["roc_auc"]
+                s = roc_auc(pr.select(F.lit(0).alias("run_"), "id", F.col(label).cast("int").alias("y_true"), "score"),
+                            ["run_"], n).first()["roc_auc"]
             else:
                 s = -pr.agg(F.avg(F.abs(F.col("score") - F.col(label)))).first()[0]
             scores.append(s if s is not None else float("nan"))

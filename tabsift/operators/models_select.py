@@ -132,10 +132,10 @@ def _fit(train, feats, name, params, seed, target, n=None, weighted=None):
                              weight=None if name == "adaboost" else "weight").fit(d)
 
 
-def _auc(model, test, feats, name, target):
+def _auc(model, test, feats, name, target, n_test=None):
     pr = ml.predict_scores(model, ml.assemble(test, feats), name)
     return roc_auc(pr.select(F.lit(0).alias("run_"), "id", F.col(target).cast("int").alias("y_true"), "score"),
-                   ["run_"]).first()["roc_auc"]
+                   ["run_"], n_test).first()["roc_auc"]
 
 
 def _rfe_path(train, test, feats, name, params, seed, target, min_features):
@@ -143,11 +143,12 @@ def _rfe_path(train, test, feats, name, params, seed, target, min_features):
     feats = list(feats)
     out = []
     n = train.count()
+    n_test = test.count() if test is not None else None
     weighted = ml.class_weights(train, target).cache()
     while True:
         model = _fit(train, feats, name, params, seed, target, n, weighted)
         if test is not None:
-            out.append((len(feats), _auc(model, test, feats, name, target)))
+            out.append((len(feats), _auc(model, test, feats, name, target, n_test)))
         if len(feats) <= min_features:
             weighted.unpersist()
             return out, feats, model

@@ -74,12 +74,13 @@ def hash_positions(df: DataFrame, group_cols, hash_col: str, tie_col: str, out:
 
 
 def value_positions(df: DataFrame, group_cols, value_col: str, sum_cols=(),
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    return value_positions_info(df, group_cols, value_col, sum_cols, rows_per_bucket)[0]
+                    rows_per_bucket: int = ROWS_PER_BUCKET, max_group_rows: int | None = None) -> DataFrame:
+    return value_positions_info(df, group_cols, value_col, sum_cols, rows_per_bucket, max_group_rows)[0]
 
 
 def value_positions_info(df: DataFrame, group_cols, value_col: str, sum_cols=(),
-                         rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+                         rows_per_bucket: int = ROWS_PER_BUCKET,
+                         max_group_rows: int | None = None) -> tuple[DataFrame, int]:
     """One row per (group, distinct non-null value) with exact running counts.
 
     Columns: group cols, ``value``, ``cnt`` (rows with this value), ``cum`` (rows
@@ -92,8 +93,12 @@ def value_positions_info(df: DataFrame, group_cols, value_col: str, sum_cols=(),
     aggs = [F.count(F.lit(1)).alias("cnt")] + [F.sum(c).alias(f"s_{c}") for c in sum_cols]
     d = (df.where(F.col(value_col).isNotNull())
          .groupBy(*group_cols, F.col(value_col).alias("value")).agg(*aggs))
-    info = d.groupBy(*group_cols).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    largest, n_groups = (info[0] or 0), (info[1] or 0)
+    if max_group_rows is not None and max_group_rows <= rows_per_bucket:
+        # the caller knows every group is small (e.g. one held-out fold): no sizing pass needed
+        largest, n_groups = max_group_rows, BROADCAST_MAX_ROWS
+    else:
+        info = d.groupBy(*group_cols).count().agg(F.max("count"), F.count(F.lit(1))).first()
+        largest, n_groups = (info[0] or 0), (info[1] or 0)
     n_buckets = max(1, math.ceil(largest / rows_per_bucket))
     run_cols = ["cnt"] + [f"s_{c}" for c in sum_cols]
     if n_buckets == 1:
