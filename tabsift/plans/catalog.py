@@ -11,7 +11,7 @@ query("flagship_feature_ranking", feature_ranking_sql())(feature_ranking)
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from . import q_clean, q_explore, q_split_impute, q_scale, q_select, q_evaluate, q_summarise  # noqa: F401
-    from . import q_io, q_models, q_explain  # noqa: F401
+    from . import q_io, q_models, q_explain, q_neighbours  # noqa: F401
 
 
 __all__ = ["ORACLES", "QUERIES", "load_all"]
