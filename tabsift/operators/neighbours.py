@@ -37,11 +37,14 @@ def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id",
     r = refs.select(F.col(key).alias("rid"), *[F.col(f).alias(f"r_{f}") for f in feats],
                     proj.alias("t")).cache()
     n = r.count()
-    # dense position in (t, rid) order: rows per distinct t from value_positions, ties by rid
-    vp = value_positions(r, [], "t")
+    # dense position in t order: rows before each distinct t from value_positions; rows sharing a t
+    # (duplicates) are numbered by bucketed hash positions, so a heavy tie never sits in one task
+    vp = value_positions(r, [], "t").cache()
+    biggest = vp.agg(F.max("cnt")).first()[0] or 1
+    r = r.withColumn("_h", hash52(F.col("rid"), F.lit("knn")))
+    r = hash_positions(r, ["t"], "_h", "rid", out="_tie", max_group_rows=biggest)
     r = (r.join(vp.select(F.col("value").alias("t"), "cum"), "t")
-          .withColumn("pos", F.col("cum") + F.row_number().over(Window.partitionBy("t").orderBy("rid")) - 1)
-          .drop("cum")).cache()
+          .withColumn("pos", F.col("cum") + F.col("_tie")).drop("cum", "_tie", "_h")).cache()
     q = queries.select(F.col(key).alias("qid"), *[F.col(f).alias(f"q_{f}") for f in feats], proj.alias("tq"))
     # a query's position: the reference rows with smaller t (queries are usually reference rows too)
     qpos = q.join(r.select(F.col("t").alias("tq"), F.col("pos").alias("p0")).groupBy("tq").agg(F.min("p0").alias("qp")),
@@ -171,3 +174,75 @@ def adasyn(train: DataFrame, features, target: str = "target", k: int = 5, seed:
                                         F.lit(min(k, n_min - 1))) + 1)
     nn = knn(mino, mino, features, k, key, seed=seed)
     return _synthesize(per.select("k", key, "rank"), mino, nn, features, target, cls, seed, key, "adasyn")
+
+
+def _mode_of_neighbours(nn: DataFrame, rows: DataFrame, col: str, key: str) -> DataFrame:
+    """(qid, col): most frequent value of ``col`` among each query's neighbours (smallest value on ties)."""
+    v = nn.join(rows.select(F.col(key).alias("rid"), F.col(col).alias("_v")), "rid")
+    c = v.groupBy("qid", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return c.groupBy("qid").agg(F.max(F.struct(F.col("_c"), (-F.col("_v")).alias("_nv"))).alias("_b")).select(
+        "qid", (-F.col("_b._nv")).alias(col))
+
+
+def smotenc(train: DataFrame, numeric, categorical, target: str = "target", k: int = 5, seed: int = 0,
+            key: str = "id") -> DataFrame:
+    """OS-6: SMOTE on mixed features. Distance: Euclidean on the numeric features plus, per
+    categorical mismatch, the median of the minority's numeric standard deviations squared (one-hot
+    columns scaled by med/√2 reproduce it exactly). Numeric values are interpolated; a categorical
+    value is the most frequent one among the base row's k nearest minority neighbours."""
+    cls, n_min, n_maj = _minority(train, target)
+    mino = train.where(F.col(target) == cls).select(key, *numeric, *categorical).cache()
+    stds = mino.agg(*[F.stddev_samp(f).alias(f) for f in numeric]).first()
+    med = float(np.median([stds[f] or 0.0 for f in numeric])) if numeric else 1.0
+    levels = {c: sorted(r[c] for r in mino.select(c).distinct().collect() if r[c] is not None) for c in categorical}
+    scale = med / np.sqrt(2.0)
+    onehot = [(F.col(c) == F.lit(v)).cast("double") * F.lit(scale) for c in categorical for v in levels[c]]
+    names = [f"_oh_{i}" for i in range(len(onehot))]
+    emb = mino.select(key, *numeric, *[e.alias(nm) for e, nm in zip(onehot, names)])
+    nn = knn(emb, emb, list(numeric) + names, k, key, seed=seed)
+    need = n_maj - n_min
+    spark = train.sparkSession
+    if need <= 0:
+        return spark.createDataFrame([], _schema(list(numeric) + list(categorical), target, key))
+    d = mino.withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit("smotenc")))
+    d = hash_positions(d, [], "_h", key, out="_pos", max_group_rows=n_min).select(key, "_pos")
+    draws = (spark.range(need).withColumnRenamed("id", "k")
+             .withColumn("_pos", F.pmod(hash52(F.lit(str(seed)), F.lit("smotenc"), F.col("k")), F.lit(n_min)))
+             .withColumn("rank", F.pmod(hash52(F.lit(str(seed)), F.lit("nn"), F.col("k")), F.lit(min(k, n_min - 1))) + 1))
+    base = draws.join(d, "_pos").select("k", key, "rank")
+    syn = _synthesize(base, mino, nn, list(numeric), target, cls, seed, key, "smotenc")
+    for c in categorical:
+        syn = syn.join(_mode_of_neighbours(nn, mino, c, key).withColumnRenamed("qid", "base_id"), "base_id")
+    return syn
+
+
+def smoten(train: DataFrame, categorical, target: str = "target", k: int = 5, seed: int = 0,
+           key: str = "id") -> DataFrame:
+    """OS-5: SMOTE for categorical features. The value difference metric with r = 2 is the
+    Euclidean distance between per-value class-share vectors, so each value is embedded as its
+    class shares and the exact kNN applies; each new value is the most frequent value among the
+    base row's k nearest minority neighbours."""
+    cls, n_min, n_maj = _minority(train, target)
+    classes = sorted(r[target] for r in train.select(target).distinct().collect())
+    emb = train.select(key, target, *categorical)
+    names = []
+    for c in categorical:
+        share = train.groupBy(c).agg(*[(F.sum((F.col(target) == F.lit(y)).cast("double")) / F.count(F.lit(1))).alias(
+            f"_s_{c}_{i}") for i, y in enumerate(classes)])
+        emb = emb.join(F.broadcast(share), c, "left")  # one row per category level
+        names += [f"_s_{c}_{i}" for i in range(len(classes))]
+    mino_emb = emb.where(F.col(target) == cls).cache()
+    nn = knn(mino_emb, mino_emb, names, k, key, seed=seed)
+    need = n_maj - n_min
+    spark = train.sparkSession
+    mino = train.where(F.col(target) == cls).select(key, *categorical)
+    if need <= 0:
+        return spark.createDataFrame([], f"draw bigint, base_id bigint, {', '.join(f'{c} double' for c in categorical)}")
+    d = mino.withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit("smoten")))
+    d = hash_positions(d, [], "_h", key, out="_pos", max_group_rows=n_min).select(key, "_pos")
+    draws = (spark.range(need).withColumnRenamed("id", "k")
+             .withColumn("_pos", F.pmod(hash52(F.lit(str(seed)), F.lit("smoten"), F.col("k")), F.lit(n_min))))
+    out = draws.join(d, "_pos").select(F.col("k").alias("draw"), F.col(key).alias("base_id"))
+    for c in categorical:
+        out = out.join(_mode_of_neighbours(nn, mino, c, key).withColumnRenamed("qid", "base_id"), "base_id")
+    return out.withColumn(target, F.lit(float(cls)))

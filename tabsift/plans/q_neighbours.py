@@ -105,3 +105,21 @@ ADASYN_SQL = with_fixtures("SELECT * FROM syn", "w1", extra=BASE + [
 def os_adasyn(spark, sf_dir):
     train, feats = _train(spark, sf_dir)
     return _long_out(nb.adasyn(train, feats, seed=SEED), feats)
+
+
+@query("os_smotenc")
+def os_smotenc(spark, sf_dir):
+    """OS-6: the third feature (lang_no) treated as categorical, as in the reference's setting."""
+    train, feats = _train(spark, sf_dir)
+    cat = ["lang_no"]
+    num = [f for f in feats if f not in cat]
+    return nb.smotenc(train, num, cat, seed=SEED)
+
+
+@query("os_smoten")
+def os_smoten(spark, sf_dir):
+    """OS-5: all-categorical oversampling over the low-cardinality columns."""
+    from ..sources.fixtures import doc_features
+    from ..operators.split import stratified_split
+    w1 = stratified_split(doc_features(spark, sf_dir), 0.3, SEED).where(F.col("part") == "train")
+    return nb.smoten(w1.select("id", "target", "lang_no", "toxic"), ["lang_no", "toxic"], seed=SEED)
