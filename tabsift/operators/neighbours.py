@@ -1,7 +1,7 @@
 """Exact k nearest neighbours without forming all row pairs, and the SMOTE family built on it
 (OS-2 smote, OS-3 borderline smote, OS-7 adasyn).
 
-kNN: every reference row gets t = u·x for a fixed unit vector u and a dense position in
+kNN: every reference row gets t = u·x for the unit vector u of largest spread and a dense position in
 t-order (bucketed positions, no group-wide window). Positions are cut into blocks of W rows;
 a query meets the reference rows of its own and the two adjacent blocks through an equi-join
 on the block number, so each query sees at most 3W candidates. Because |t − t_q| ≤ ‖x − q‖,
@@ -22,17 +22,37 @@ from ..functions.portable import hash52, hash_unit
 from .positions import hash_positions, value_positions
 
 
-def _direction(p: int, seed: int) -> list[float]:
+def _direction(refs: DataFrame, features, seed: int) -> list[float]:
+    """Unit vector of the largest spread of ``refs`` (top eigenvector of the covariance, from one
+    moments pass and a p × p solve on the driver); a seeded random direction if that fails."""
+    from .stats import pair_moments
+    p = len(features)
+    try:
+        m = {(r["a"], r["b"]): r for r in pair_moments(refs, features, with_diag=True).collect()}
+        cov = np.zeros((p, p))
+        for i, a in enumerate(features):
+            for j, b in enumerate(features):
+                r = m.get((a, b)) or m.get((b, a))
+                if r is None or r["n"] < 2:
+                    raise ValueError("too few rows")
+                sa, sb = (r["sa"], r["sb"]) if (a, b) in m else (r["sb"], r["sa"])
+                cov[i, j] = r["sab"] / r["n"] - (sa / r["n"]) * (sb / r["n"])
+        w, v = np.linalg.eigh(cov)
+        u = v[:, int(np.argmax(w))]
+        if np.all(np.isfinite(u)) and np.linalg.norm(u) > 0:
+            return list(u / np.linalg.norm(u))
+    except (ValueError, np.linalg.LinAlgError):
+        pass
     v = np.random.default_rng(seed).normal(size=p)
     return list(v / np.linalg.norm(v))
 
 
-def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", window: int = 64,
+def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", window: int = 256,
         exclude_self: bool = True, seed: int = 0) -> DataFrame:
     """(qid, rid, dist, rank) for the k nearest reference rows of every query row (rank 1 = nearest,
     ties by reference key). Rows must have no missing feature."""
     feats = list(features)
-    u = _direction(len(feats), seed)
+    u = _direction(refs, feats, seed)
     proj = sum((F.col(f) * F.lit(float(w)) for f, w in zip(feats, u)), F.lit(0.0))
     r = refs.select(F.col(key).alias("rid"), *[F.col(f).alias(f"r_{f}") for f in feats],
                     proj.alias("t")).cache()
@@ -72,7 +92,8 @@ def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id",
               & (F.col("t_above").isNull() | (F.col("tq") + F.col("dk") < F.col("t_above"))))
         full = w >= n  # one block holds every row: nothing can be outside
         good = chk.where(ok | F.lit(full)).select("qid").cache()
-        res = top.join(good, "qid").select("qid", "rid", "dist", F.col("rank").cast("bigint").alias("rank"))
+        res = top.join(good, "qid").select("qid", "rid", "dist", F.col("rank").cast("bigint").alias("rank")).cache()
+        res.count()  # queries × k rows; kept so later rounds do not recompute this one
         found = res if found is None else found.unionByName(res)
         pending = pending.join(good, "qid", "left_anti").cache()
         if full or pending.count() == 0:
@@ -246,3 +267,127 @@ def smoten(train: DataFrame, categorical, target: str = "target", k: int = 5, se
     for c in categorical:
         out = out.join(_mode_of_neighbours(nn, mino, c, key).withColumnRenamed("qid", "base_id"), "base_id")
     return out.withColumn(target, F.lit(float(cls)))
+
+
+def _generate(base: DataFrame, rows: DataFrame, nn: DataFrame, features, target, cls, seed, key, tag, step):
+    """x + step·u·(neighbour − x) for each (k, key, rank) in ``base`` (step < 0 extrapolates away)."""
+    pick = base.join(nn.select(F.col("qid").alias(key), "rid", "rank"), [key, "rank"])
+    x = rows.select(key, *features)
+    nbr = rows.select(F.col(key).alias("rid"), *[F.col(f).alias(f"n_{f}") for f in features])
+    j = pick.join(x, key).join(nbr, "rid")
+    u = F.lit(float(step)) * hash_unit(F.lit(str(seed)), F.lit(tag + "-u"), F.col("k"))
+    return j.select(F.col("k").alias("draw"), F.col(key).alias("base_id"), F.col("rid").alias("neighbour_id"),
+                    *[(F.col(f) + u * (F.col(f"n_{f}") - F.col(f))).alias(f) for f in features],
+                    F.lit(float(cls)).alias(target))
+
+
+def _draws_over(spark, rows: DataFrame, n_rows: int, count: int, seed: int, tag: str, k_nn: int, key: str, offset: int = 0):
+    """``count`` draws (k = offset…) of a base row (hash position mod n_rows) and a neighbour rank."""
+    d = rows.select(key).withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit(tag)))
+    d = hash_positions(d, [], "_h", key, out="_pos", max_group_rows=n_rows).select(key, "_pos")
+    draws = (spark.range(offset, offset + count).withColumnRenamed("id", "k")
+             .withColumn("_pos", F.pmod(hash52(F.lit(str(seed)), F.lit(tag), F.col("k")), F.lit(n_rows)))
+             .withColumn("rank", F.pmod(hash52(F.lit(str(seed)), F.lit("nn"), F.col("k")), F.lit(k_nn)) + 1))
+    return draws.join(d, "_pos").select("k", key, "rank")
+
+
+def svm_smote(train: DataFrame, features, target: str = "target", k: int = 5, m: int = 10, out_step: float = 0.5,
+              seed: int = 0, key: str = "id") -> DataFrame:
+    """OS-4: bases are the minority support vectors of a linear SVM (minority rows on or inside the
+    margin, y·f(x) ≤ 1). Among a base's m nearest rows of any class: all majority → noise (dropped);
+    at least half majority → danger, new rows interpolate towards minority neighbours; otherwise safe,
+    new rows extrapolate away from them (step −out_step). The danger share of the new rows is a
+    Beta(10, 10) draw fixed by the seed."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import vector_to_array
+    from .models import assemble
+    cls, n_min, n_maj = _minority(train, target)
+    spark = train.sparkSession
+    need = n_maj - n_min
+    empty = spark.createDataFrame([], _schema(features, target, key))
+    if need <= 0:
+        return empty
+    lab = train.select(key, target, *features).withColumn("_y", (F.col(target) == F.lit(float(cls))).cast("double"))
+    svm = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=100).fit(assemble(lab, features, "_x"))
+    margin = vector_to_array(F.col("rawPrediction"))[1]
+    sv = (svm.transform(assemble(lab, features, "_x")).where((F.col("_y") == 1) & (margin <= 1.0))
+          .select(key, *features).cache())
+    if sv.count() == 0:
+        return empty
+    allr = train.select(key, target, *features)
+    nn_all = knn(sv, allr, features, m, key, seed=seed)
+    maj = (nn_all.join(allr.select(F.col(key).alias("rid"), F.col(target).alias("_t")), "rid").groupBy("qid")
+           .agg(F.sum((F.col("_t") != F.lit(float(cls))).cast("int")).alias("n_maj")))
+    kind = maj.select(F.col("qid").alias(key), F.when(F.col("n_maj") >= m, "noise")
+                      .when(F.col("n_maj") * 2 >= m, "danger").otherwise("safe").alias("kind")).cache()
+    mino = train.where(F.col(target) == cls).select(key, *features).cache()
+    nn = knn(mino, mino, features, k, key, seed=seed)
+    frac = float(np.random.default_rng(seed).beta(10, 10))
+    danger = kind.where("kind = 'danger'").select(key)
+    safe = kind.where("kind = 'safe'").select(key)
+    n_d, n_s = danger.count(), safe.count()
+    n_danger = int(frac * (need + 1)) if n_s else need
+    n_danger = need if n_s == 0 else (0 if n_d == 0 else n_danger)
+    out = empty
+    k_nn = min(k, n_min - 1)
+    if n_danger > 0 and n_d > 0:
+        out = out.unionByName(_generate(_draws_over(spark, danger, n_d, n_danger, seed, "svm-d", k_nn, key),
+                                        mino, nn, features, target, cls, seed, key, "svm", 1.0))
+    if need - n_danger > 0 and n_s > 0:
+        out = out.unionByName(_generate(_draws_over(spark, safe, n_s, need - n_danger, seed, "svm-s", k_nn, key, n_danger),
+                                        mino, nn, features, target, cls, seed, key, "svm", -out_step))
+    return out
+
+
+def kmeans_smote(train: DataFrame, features, target: str = "target", k: int = 5, n_clusters: int = 8, seed: int = 0,
+                 key: str = "id") -> DataFrame:
+    """OS-8: k-means over all rows; clusters whose minority share is at least the overall minority share
+    and that hold more than k minority rows are oversampled. A cluster's weight is its sparsity
+    (RMS distance between its minority rows, from moments, to the power of the feature count, over its
+    minority count), normalised; SMOTE then runs inside each cluster. Within-cluster neighbours are
+    exact: a cluster column scaled beyond the data diameter separates the clusters in the search."""
+    from pyspark.ml.clustering import KMeans
+    from .models import assemble
+    cls, n_min, n_maj = _minority(train, target)
+    spark = train.sparkSession
+    need = n_maj - n_min
+    empty = spark.createDataFrame([], _schema(features, target, key))
+    if need <= 0:
+        return empty
+    x = assemble(train.select(key, target, *features), features, "_x")
+    km = KMeans(k=n_clusters, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x)
+    lab = km.transform(x).select(key, target, "cluster", *features).cache()
+    share = n_min / float(n_min + n_maj)
+    is_min = (F.col(target) == F.lit(float(cls))).cast("double")
+    cs = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(is_min).alias("n_min"),
+                                    *[F.var_pop(F.when(is_min == 1, F.col(f))).alias(f"v_{f}") for f in features])
+    p = len(features)
+    rows = [r for r in cs.collect() if r["n_min"] > k and r["n_min"] / r["n"] >= share]  # ≤ n_clusters rows
+    if not rows:
+        return empty
+    weights = {}
+    for r in rows:
+        nm = r["n_min"]
+        rms = (2.0 * nm / (nm - 1) * sum((r[f"v_{f}"] or 0.0) for f in features)) ** 0.5  # RMS pairwise distance
+        weights[r["cluster"]] = (rms ** p) / nm if rms > 0 else 0.0
+    tot = sum(weights.values())
+    if tot <= 0:
+        return empty
+    keep = list(weights)
+    mino = lab.where((F.col(target) == F.lit(float(cls))) & F.col("cluster").isin(keep)).cache()
+    span = mino.agg(*[(F.max(f) - F.min(f)).alias(f) for f in features]).first()
+    diameter = float(sum((span[f] or 0.0) ** 2 for f in features) ** 0.5) or 1.0
+    emb = mino.withColumn("_cl", F.col("cluster").cast("double") * F.lit(10.0 * diameter))
+    nn = knn(emb, emb, list(features) + ["_cl"], k, key, seed=seed)
+    out = empty
+    offset = 0
+    for c in sorted(keep):
+        cnt = int(round(weights[c] / tot * need))
+        if cnt <= 0:
+            continue
+        rows_c = mino.where(F.col("cluster") == c)
+        n_c = int([r["n_min"] for r in rows if r["cluster"] == c][0])
+        base = _draws_over(spark, rows_c, n_c, cnt, seed, f"kms-{c}", min(k, n_c - 1), key, offset)
+        out = out.unionByName(_generate(base, mino, nn, features, target, cls, seed, key, "kms", 1.0))
+        offset += cnt
+    return out

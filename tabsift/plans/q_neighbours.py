@@ -123,3 +123,15 @@ def os_smoten(spark, sf_dir):
     from ..operators.split import stratified_split
     w1 = stratified_split(doc_features(spark, sf_dir), 0.3, SEED).where(F.col("part") == "train")
     return nb.smoten(w1.select("id", "target", "lang_no", "toxic"), ["lang_no", "toxic"], seed=SEED)
+
+
+@query("os_svm_smote")
+def os_svm_smote(spark, sf_dir):
+    train, feats = _train(spark, sf_dir)
+    return _long_out(nb.svm_smote(train, feats, seed=SEED), feats)
+
+
+@query("os_kmeans_smote")
+def os_kmeans_smote(spark, sf_dir):
+    train, feats = _train(spark, sf_dir)
+    return _long_out(nb.kmeans_smote(train, feats, n_clusters=4, seed=SEED), feats)
