@@ -9,9 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, token_ids
-from .common import table
+from . import decontaminate, packing, pii, quality, simhash, token_ids, toxicity
+from .common import crc_mod, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +38,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.reports(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_ids.write_token_files(table(spark, sf_dir, "documents"))
     return token_ids.read_token_files(files, keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {}
