@@ -148,35 +148,23 @@ class Block:
                 yield item_id, best[0] / len(item), best[0], window + best[1], window + best[2]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, span: int = SPAN, min_words: int = MIN_ITEM_WORDS,
-          min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block_chars: int = BLOCK_CHARS, text: str = "text",
-          doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and benchmark item it holds: doc_id, item_id, score, points, start, end (code points, end exclusive).
-
-    ``score`` is the alignment's points over the item's words (1: a full copy). Words are runs of word characters,
-    lower-cased. Null or empty texts and items, and items under ``min_words`` words, match nothing; equal items and
-    repeated documents each give their rows; of several equally good places the first counts. Only the named columns
-    are read. An empty table on either side gives an empty result.
-    """
-    spark = docs.sparkSession
-    schema = T.StructType([*fields(docs, doc_id), T.StructField(item_id, benchmark.schema[item_id].dataType),
-                           T.StructField("score", T.DoubleType()), T.StructField("points", T.LongType()),
-                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    arrow = arrow_schema(schema)
+def prepared_blocks(docs: DataFrame, benchmark: DataFrame, n: int, span: int, min_words: int, block_chars: int, text: str,
+                    item_id: str, item_text: str) -> Iterator[Block]:
+    """The benchmark's blocks, each with its seeds chosen by the counts over all of ``docs``."""
     items = benchmark.select(item_id, item_text).filter(F.col(item_text).isNotNull())
     chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
     blocks = 1 + chars // block_chars
-    result = spark.createDataFrame([], schema)
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == b)
-        rows = sorted((tuple(r) for r in mine.collect()), key=repr)
+        rows = sorted((tuple(r) for r in mine.collect()), key=repr)  # about block_chars characters
         block = Block(rows, n, min_words)
         if not block.items:
             continue
-        first = spark.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], held=first) -> Iterator[pa.RecordBatch]:
-            block, total = held.value, np.zeros(len(held.value.keys), dtype=np.int64)
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            total = np.zeros(len(block.keys), dtype=np.int64)
             for batch in pieces_of(batches, text):
                 for value in batch.column(text).to_pylist():
                     _, index = block.found(block.ids(words_of(value)), block.keys)
@@ -188,10 +176,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, span: int
         got = docs.select(text).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
         counts[got["i"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)  # at most the block's n-grams
         block.choose(counts, span)
-        second = spark.sparkContext.broadcast(block)
+        yield block
+
 
-        def search(batches: Iterator[pa.RecordBatch], held=second) -> Iterator[pa.RecordBatch]:
-            block = held.value
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, span: int = SPAN, min_words: int = MIN_ITEM_WORDS,
+          min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block_chars: int = BLOCK_CHARS, text: str = "text",
+          doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and benchmark item it holds: doc_id, item_id, score, points, start, end (code points, end exclusive).
+
+    ``score`` is the alignment's points over the item's words (1: a full copy). Words are runs of word characters,
+    lower-cased. Null or empty texts and items, and items under ``min_words`` words, match nothing; equal items and
+    repeated documents each give their rows; of several equally good places the first counts. Only the named columns
+    are read. An empty table on either side gives an empty result.
+    """
+    spark = docs.sparkSession
+    schema = T.StructType([*fields(docs, doc_id), T.StructField(item_id, benchmark.schema[item_id].dataType),
+                           T.StructField("score", T.DoubleType()), T.StructField("points", T.LongType()),
+                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    arrow = arrow_schema(schema)
+    result = spark.createDataFrame([], schema)
+    for block in prepared_blocks(docs, benchmark, n, span, min_words, block_chars, text, item_id, item_text):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
             for batch in pieces_of(batches, text):
                 out: list[tuple] = []
                 for key, value in zip(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist(), strict=True):
@@ -204,3 +212,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, span: int
 
         result = result.unionByName(docs.select(doc_id, text).mapInArrow(search, schema))
     return result
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, span: int = SPAN, min_words: int = MIN_ITEM_WORDS,
+                    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block_chars: int = BLOCK_CHARS, text: str = "text",
+                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a leak, all columns kept: searched as in ``leaks``, without a join."""
+    arrow, left = arrow_schema(docs.schema), docs
+    for block in prepared_blocks(docs, benchmark, n, span, min_words, block_chars, text, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for batch in pieces_of(batches, text):
+                clean = [next(block.leaks(words_of(v), min_share, min_points), None) is None for v in batch.column(text).to_pylist()]
+                some = batch.filter(pa.array(clean, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(some.columns, arrow, strict=True)], schema=arrow)
+
+        left = left.mapInArrow(keep, docs.schema)
+    return left

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, token_ids, toxicity
+from . import decontaminate, html_text, lm, packing, pii, quality, simhash, token_ids, toxicity, urls
 from .common import crc_mod, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+    return toxicity.toxicity(docs, model).withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +50,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.reports(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
+    found = lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("train")), "train")
+    return found.withColumn("held_out", held)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_ids.write_token_files(table(spark, sf_dir, "documents"))
     return token_ids.read_token_files(files, keep_ids=False)
@@ -51,9 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_html": op8_html,
+    "op9_lm": op9_lm,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {}

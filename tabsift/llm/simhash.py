@@ -193,3 +193,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     named = rooted.join(least, "root").select("fp", "component_id")
     return (found.join(named, "fp")
             .select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one whose doc_id names the group.
+
+    Rows of one doc_id are one document; where a doc_id is repeated, the row with the least text stays. Rows without a
+    doc_id cannot stand for a group and are never removed.
+    """
+    found = written(near_duplicates(docs, shingle, max_bits, text, doc_id).select(doc_id, "component_id"), "near-duplicates")
+    stay = found.filter(F.col(doc_id) == F.col("component_id")).select(doc_id)
+    kept = docs.filter(F.col(doc_id).isNotNull()).join(stay, doc_id, "left_semi").select(*docs.columns)
+    if stay.groupBy(doc_id).count().filter("count > 1").limit(1).count():
+        from pyspark.sql import Window
+        name = "row"
+        while name in docs.columns:
+            name += "_"
+        order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (doc_id, text)))
+        kept = kept.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
+    if found.filter(F.col(doc_id).isNull()).limit(1).count():
+        kept = kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    return kept
