@@ -2,8 +2,8 @@
 
 The items of the benchmark are the query set: they are taken in blocks of bounded text, and a block with its seeds goes to
 every task. A first pass over all documents counts how often each n-gram of the block occurs in the corpus; of every
-``span`` successive n-grams of an item the rarest becomes a seed, so any run of ``n + span - 1`` shared words holds a seed
-however common its words are. A second pass looks the seeds up in every text and aligns the item with the words around
+``span`` successive n-grams of an item the rarest that does occur becomes a seed, so the parts of an item that the corpus
+holds are seeded all along, however common their words are. A second pass looks the seeds up in every text and aligns the item with the words around
 them (match +1, mismatch and gap -1). Edited or paraphrased copies lose a point or two an edit and still score high.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from .common import arrow_schema, batch_of, fields, pieces_of
 
 #: Words of a seed; successive n-grams of an item of which the rarest is a seed.
-SEED_WORDS, SPAN = 3, 4
+SEED_WORDS, SPAN = 3, 3
 #: Items with fewer words cannot be told from chance and are not searched.
 MIN_ITEM_WORDS = 8
 #: A pair is a leak from this share of the item's best score on, or from so many points on.
@@ -35,7 +36,12 @@ _WORD = re.compile(r"\w+")
 
 def words_of(text: str | None) -> list[str]:
     """Runs of word characters, lower-cased."""
-    found = _WORD.findall(text) if text else []
+    if not text:
+        return []
+    lowered = text.lower()
+    if len(lowered) == len(text):  # else a letter became several, and word boundaries could move
+        return _WORD.findall(lowered)
+    found = _WORD.findall(text)
     return " ".join(found).lower().split(" ") if found else []
 
 
@@ -85,7 +91,7 @@ class Block:
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return np.array(list(map(get, words, repeat(-1))), dtype=np.int64)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """The key of the n-gram at each place; negative where a word is foreign to the block."""
@@ -110,15 +116,16 @@ class Block:
         return places[hit], at[hit]
 
     def choose(self, counts: np.ndarray, span: int) -> None:
-        """Of every ``span`` successive n-grams of an item, the one with the least corpus count (the first on ties)."""
+        """Of every ``span`` successive n-grams of an item, the one with the least corpus count over 0 (the first on ties)."""
         seeds = defaultdict(list)
         for number, (_, ids) in enumerate(self.items):
             grams = self.grams(ids)
-            rarity = counts[np.searchsorted(self.keys, grams)]
-            width = min(span, len(grams))
-            windows = np.lib.stride_tricks.sliding_window_view(rarity, width)
+            rarity = counts[np.searchsorted(self.keys, grams)].astype(np.float64)
+            rarity[rarity == 0] = np.inf
+            windows = np.lib.stride_tricks.sliding_window_view(rarity, min(span, len(grams)))
             for place in np.unique(np.arange(len(windows)) + windows.argmin(axis=1)).tolist():
-                seeds[int(grams[place])].append((number, place))
+                if rarity[place] < np.inf:
+                    seeds[int(grams[place])].append((number, place))
         self.seeds = dict(seeds)
         self.seed_keys = np.array(sorted(seeds), dtype=np.int64)
 

@@ -20,7 +20,7 @@ from .common import arrow_schema, ascii_lower, batch_of
 BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
 #: Rules a table may hold; they travel with every task.
 MAX_RULES = 100_000
-STEPS, RATE, DECAY = 400, 0.5, 1e-4
+STEPS, RATE, DECAY = 1200, 0.5, 1e-4
 
 #: The small labelled table is built from these words: names of sites and of pages worth keeping, and of those not.
 GOOD_SITES = ("news.city-times.example", "www.library.example", "docs.openproject.example", "blog.garden.example", "university.example",
