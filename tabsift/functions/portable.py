@@ -72,12 +72,12 @@ def rhalf_sql(x: str, digits: int = 6) -> str:
 
 
 def corr_from_moments(n, sx, sy, sxx, syy, sxy) -> Column:
-    """Pearson r from sums; NULL when a side is constant."""
+    """Pearson r from sums of (nearly) centred values, held to [-1, 1]; NULL when a side is constant."""
     cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
-    den = F.sqrt(vx * vy)
-    return F.when(den > 0, F.try_divide(cov, den))
+    vx = F.greatest(sxx - sx * sx / n, F.lit(0.0))
+    vy = F.greatest(syy - sy * sy / n, F.lit(0.0))
+    den = F.sqrt(vx) * F.sqrt(vy)
+    return F.when(den > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, den))))
 
 
 def sigmoid(c) -> Column:

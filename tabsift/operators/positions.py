@@ -8,13 +8,14 @@ split into value buckets:
 * ``hash_positions`` numbers rows by a uniform 52-bit hash. Buckets are the
   top bits of the hash, so they are balanced by construction.
 * ``value_positions`` first collapses rows to distinct values (partial
-  aggregation merges hot values map-side), then cuts each group's distinct
-  values at approximate quantiles that are collected once (a bounded table,
-  groups x buckets) so every later step is deterministic. Offsets of the
-  buckets come from a small aggregate; inside a bucket a window sorts at most
-  ``rows_per_bucket`` distinct values.
-
-Both give exact results; buckets only bound the work per task.
+  aggregation merges hot values map-side), then deals them out by ranges of
+  (group, value). Offsets of the ranges come from a small aggregate; inside a
+  range a window sorts at most about ``rows_per_bucket`` distinct values.
+* ``exact_quantiles`` needs no order of a large group: sketches narrow a bracket
+  per (group, probability), what lies below it is counted, and only the values
+  inside the last brackets are shuffled and ranked.
+
+All give exact results; buckets and brackets only bound the work per task.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage: partition ids are then fixed."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _cols(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -97,31 +105,29 @@ def value_positions_info(df: DataFrame, group_cols, value_col: str, sum_cols=(),
         # the caller knows every group is small (e.g. one held-out fold): no sizing pass needed
         largest, n_groups = max_group_rows, BROADCAST_MAX_ROWS
     else:
-        info = d.groupBy(*group_cols).count().agg(F.max("count"), F.count(F.lit(1))).first()
-        largest, n_groups = (info[0] or 0), (info[1] or 0)
-    n_buckets = max(1, math.ceil(largest / rows_per_bucket))
+        info = d.groupBy(*group_cols).count().agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
+        largest, n_groups, n_values = (info[0] or 0), (info[1] or 0), (info[2] or 0)
     run_cols = ["cnt"] + [f"s_{c}" for c in sum_cols]
-    if n_buckets == 1:
+    if largest <= rows_per_bucket:
         d = d.withColumn("_bkt", F.lit(0))
         offsets = None
     else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = (d.groupBy(*group_cols)
-                  .agg(F.percentile_approx("value", probs, 10 * n_buckets).alias("_splits")))
-        # Collected once: groups x buckets numbers, so every later pass sees the same cuts.
-        rows = splits.collect()
-        spark = df.sparkSession
-        splits = spark.createDataFrame(rows, splits.schema)
-        d = (d.join(F.broadcast(splits), group_cols)
-             .withColumn("_bkt", F.size(F.filter("_splits", lambda s: s <= F.col("value"))))
-             .drop("_splits"))
+        # Range partitioning on (group, value) deals the distinct values out in order, a group over as many partitions as
+        # it needs; a partition is then a bucket, and its offset comes from a small partitions x groups table. No cut
+        # table and no array of cuts travels with the rows. The dealt rows are written once, so that every later pass
+        # sees the same partitions.
+        parts = max(2, math.ceil(n_values / rows_per_bucket))
+        d = (d.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in group_cols], "value")
+             .withColumn("_bkt", F.spark_partition_id()))
+        d = checkpointed(d)
         bt = d.groupBy(*group_cols, "_bkt").agg(
             *[F.sum(c).alias(f"_b_{c}") for c in run_cols], F.count(F.lit(1)).alias("_b_nd"))
-        wo = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = bt.select(*group_cols, "_bkt",
+        wo = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = bt.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_bkt").alias("_g_bkt"),
                             *[F.coalesce(F.sum(f"_b_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                               for c in run_cols + ["nd"]])
-        d = d.join(small_side(offsets), [*group_cols, "_bkt"])
+        on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols] + [F.col("_bkt") == F.col("_g_bkt")]
+        d = d.join(small_side(offsets), on).drop("_g_bkt", *[f"_g_{c}" for c in group_cols])
     w = Window.partitionBy(*group_cols, "_bkt").orderBy("value")
     wp = w.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -138,36 +144,100 @@ def value_positions_info(df: DataFrame, group_cols, value_col: str, sum_cols=(),
     return out, n_groups
 
 
-def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, out: str = "q") -> DataFrame:
+#: Cuts asked of a sketch inside a bracket, and the sketch's accuracy (its rank error is far below the cuts' distance).
+BRACKET_CUTS, SKETCH_ACCURACY = 64, 2000
+
+
+def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, out: str = "q",
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear-interpolation quantiles (numpy 'linear', SQL quantile_cont) per group.
 
     Returns group cols, ``prob``, ``out``. NULL values are ignored; a group with
-    no value gives no row.
+    no value gives no row. Groups of at most ``rows_per_bucket`` rows are ranked
+    whole. Where a group is larger, each wanted rank gets a bracket of values that
+    a sketch narrows round by round; what lies below a bracket is only counted, and
+    just the values inside the last one are shuffled and ranked. Exact either way.
     """
-    group_cols = _cols(group_cols)
-    probs = [float(p) for p in probs]
-    pos, n_groups = value_positions_info(df, group_cols, value_col)
-    n = pos.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
-    h = F.col("prob") * (F.col("_n") - 1).cast("double")
-    targets = (n.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
-               .withColumn("_h", h)
-               .withColumn("_lo", F.floor("_h").cast("bigint"))
-               .withColumn("_hi", F.ceil("_h").cast("bigint"))
-               .withColumn("_r", F.explode(F.array(F.col("_lo"), F.col("_hi"))))
-               .dropDuplicates([*group_cols, "prob", "_r"]))
-    t = targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_cols], "prob", "_h", "_lo", "_hi", "_r")
-    if n_groups * len(probs) * 2 <= BROADCAST_MAX_ROWS:  # size known from the group count
-        t = F.broadcast(t)
-    cond = [F.col(g) == F.col(f"_t_{g}") for g in group_cols] + [
-        F.col("cum") <= F.col("_r"), F.col("_r") < F.col("cum") + F.col("cnt")]
-    hit = pos.join(t, cond).select(*group_cols, "prob", "_h", "_lo", "_hi", "_r", "value")
-    res = hit.groupBy(*group_cols, "prob", "_h", "_lo").agg(
-        F.max_by("value", F.col("_r") == F.col("_lo")).alias("_vlo"),
-        F.max_by("value", F.col("_r") == F.col("_hi")).alias("_vhi"),
-    )
-    d = F.col("_h") - F.col("_lo").cast("double")
-    return res.select(*group_cols, "prob",
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * d).alias(out))
+    keys = _cols(group_cols)
+    probs = sorted({float(p) for p in probs})
+    x = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("value"))
+    if not keys:
+        x = x.withColumn("_all", F.lit(0))
+    groups = keys or ["_all"]
+    sizes = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= rows_per_bucket:
+        res = _ranked_whole(x, groups, probs, out)
+    else:
+        res = _ranked_in_brackets(x, groups, probs, out, rows_per_bucket)
+    return res if keys else res.drop("_all")
+
+
+def _between(low, high, h, lo):
+    return low + (high - low) * (h - lo)
+
+
+def _ranked_whole(x: DataFrame, groups, probs, out: str) -> DataFrame:
+    counted = x.groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    whole = Window.partitionBy(*groups)
+    ranked = (counted.withColumn("_n", F.sum("cnt").over(whole))
+              .withColumn("cum", F.coalesce(F.sum("cnt").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = F.lit(p) * (F.col("_n") - 1).cast("double")
+        for name, r in (("l", F.floor(h).cast("bigint")), ("u", F.ceil(h).cast("bigint"))):
+            hit = (F.col("cum") <= r) & (r < F.col("cum") + F.col("cnt"))
+            aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"_{name}{i}"))
+    found = ranked.groupBy(*groups).agg(F.max("_n").alias("_n"), *aggs)
+    rows = []
+    for i, p in enumerate(probs):
+        h = F.lit(p) * (F.col("_n") - 1).cast("double")
+        rows.append(F.struct(F.lit(p).alias("prob"), _between(F.col(f"_l{i}"), F.col(f"_u{i}"), h, F.floor(h).cast("double")).alias(out)))
+    return found.select(*groups, F.inline(F.array(*rows)))
+
+
+def _ranked_in_brackets(x: DataFrame, groups, probs, out: str, limit: int) -> DataFrame:
+    """One bracket per (group, prob): [low, high] with ``below`` rows under it and ``inside`` rows in it."""
+    def with_brackets(t: DataFrame) -> DataFrame:
+        side = t.select(*[F.col(c).alias(f"_t_{c}") for c in groups], *[c for c in t.columns if c not in groups])
+        return x.join(small_side(side), [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in groups]).drop(*[f"_t_{c}" for c in groups])
+
+    info = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    t = info.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+    h = F.col("prob") * (F.col("n") - 1).cast("double")
+    t = checkpointed(t.select(*groups, "prob", "n", "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"), F.lit(False).alias("last")))
+    cut_at = F.array(*[F.lit(i / BRACKET_CUTS) for i in range(BRACKET_CUTS + 1)])
+    while True:
+        wide = t.where((F.col("inside") > limit) & (F.col("low") < F.col("high")) & ~F.col("last"))
+        if not wide.limit(1).count():
+            break
+        ids = [*groups, "prob"]
+        held = with_brackets(wide).where(F.col("value").between(F.col("low"), F.col("high")))
+        cuts = held.groupBy(*ids, "n", "low", "high", "below", "inside").agg(F.percentile_approx("value", cut_at, SKETCH_ACCURACY).alias("_c"))
+        spot = F.floor((F.floor(h) - F.col("below")) / F.col("inside") * BRACKET_CUTS).cast("int")  # cell of the wanted rank
+        low2 = F.when(spot - 1 <= 0, F.col("low")).otherwise(F.element_at("_c", spot))
+        high2 = F.when(spot + 3 >= BRACKET_CUTS, F.col("high")).otherwise(F.element_at("_c", spot + 4))
+        narrow = checkpointed(cuts.select(*ids, "n", "low", "high", "below", "inside", low2.alias("low2"), high2.alias("high2")))
+        value = F.col("value")
+        counted = (with_brackets(narrow).where(value.between(F.col("low"), F.col("high2")))
+                   .groupBy(*ids, "n", "low", "high", "below", "inside", "low2", "high2")
+                   .agg(F.count(F.when(value < F.col("low2"), 1)).alias("_under"), F.count(F.when(value >= F.col("low2"), 1)).alias("_in")))
+        under, inside = F.col("below") + F.col("_under"), F.col("_in")
+        good = (F.floor(h) >= under) & (F.ceil(h) < under + inside)  # else the old bracket stays and is ranked as it is
+        slow = inside * 2 > F.col("inside")  # few values hold most rows: counting them is cheap
+        t = checkpointed(t.where(~((F.col("inside") > limit) & (F.col("low") < F.col("high")) & ~F.col("last"))).unionByName(
+            counted.select(*ids, "n", F.when(good, F.col("low2")).otherwise(F.col("low")).alias("low"),
+                           F.when(good, F.col("high2")).otherwise(F.col("high")).alias("high"),
+                           F.when(good, under).otherwise(F.col("below")).alias("below"),
+                           F.when(good, inside).otherwise(F.col("inside")).alias("inside"), (~good | slow).alias("last"))))
+    cells = with_brackets(t).where(F.col("value").between(F.col("low"), F.col("high")))
+    counted = cells.groupBy(*groups, "prob", "n", "below", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy(*groups, "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("cum", F.col("below") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+    hit = lambda r: (F.col("cum") <= r) & (r < F.col("cum") + F.col("cnt"))
+    found = ranked.groupBy(*groups, "prob").agg(F.max("n").alias("n"), F.max(F.when(hit(F.floor(h).cast("bigint")), F.col("value"))).alias("_l"),
+                                                F.max(F.when(hit(F.ceil(h).cast("bigint")), F.col("value"))).alias("_u"))
+    return found.select(*groups, "prob", _between(F.col("_l"), F.col("_u"), h, F.floor(h).cast("double")).alias(out))
 
 
 def exact_quantile_grid(df: DataFrame, group_cols, value_col: str, m: int, out: str = "q") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import nunique_map, to_long
-from .stats import pair_corr
+from .stats import corr_columns, pair_corr
 
 
 # ---------------------------------------------------------------- FS-1
@@ -57,14 +57,8 @@ def target_corr_by(df: DataFrame, features, by, target: str = "target") -> DataF
     """
     by = list(by)
     long = to_long(df, [*by, target], features).where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    v, y = F.col("value"), F.col(target)
-    m = long.groupBy(*by, "feature").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(v * v).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(v * y).alias("sxy"))
-    from ..functions.portable import corr_from_moments
-    r = F.when(F.col("n") >= 2, corr_from_moments(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"),
-                                                   F.col("syy"), F.col("sxy")))
-    return m.select(*by, "feature", r.alias("r"))
+    _, r = corr_columns(F.col("value"), F.col(target))
+    return long.groupBy(*by, "feature").agg(r.alias("r"))
 
 
 def ranked_by_target_corr(df: DataFrame, features, by, target: str = "target", job: str = "corr_rank") -> DataFrame:
@@ -131,27 +125,23 @@ def anova_f(df: DataFrame, features, target: str = "target") -> DataFrame:
     """(feature, f): one-way ANOVA F of each feature across target classes (one pass of sums)."""
     long = to_long(df, [target], features).where(F.col("value").isNotNull())
     cls = long.groupBy("feature", target).agg(
-        F.count(F.lit(1)).cast("double").alias("nc"), F.sum("value").alias("sc"),
-        F.sum(F.col("value") * F.col("value")).alias("ssc"))
+        F.count(F.lit(1)).cast("double").alias("nc"), F.avg("value").alias("mc"),
+        (F.var_pop("value") * F.count(F.lit(1))).alias("wc"))
+    w = Window.partitionBy("feature")  # classes of one feature
+    cls = cls.withColumn("m", F.sum(F.col("nc") * (F.col("mc") - F.min("mc").over(w))).over(w) / F.sum("nc").over(w) + F.min("mc").over(w))
     g = cls.groupBy("feature").agg(
-        F.sum("nc").alias("n"), F.sum("sc").alias("s"), F.sum("ssc").alias("ss"),
-        F.count(F.lit(1)).alias("k"), F.sum(F.col("sc") * F.col("sc") / F.col("nc")).alias("between_raw"))
-    ss_between = F.col("between_raw") - F.col("s") * F.col("s") / F.col("n")
-    ss_within = F.col("ss") - F.col("between_raw")
-    f = F.try_divide(ss_between / (F.col("k") - 1), ss_within / (F.col("n") - F.col("k")))
+        F.sum("nc").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("wc").alias("ss_within"),
+        F.sum(F.col("nc") * (F.col("mc") - F.col("m")) * (F.col("mc") - F.col("m"))).alias("ss_between"))
+    f = F.try_divide(F.try_divide(F.col("ss_between"), F.col("k") - 1), F.try_divide(F.col("ss_within"), F.col("n") - F.col("k")))
     return g.select("feature", F.when(F.col("k") > 1, f).alias("f"))
 
 
 def regression_f(df: DataFrame, features, target: str = "target") -> DataFrame:
     """(feature, f): F of a simple regression on the target, r²/(1−r²)·(n−2)."""
     long = to_long(df, [target], features).where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    v, y = F.col("value"), F.col(target)
-    m = long.groupBy("feature").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(v * v).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(v * y).alias("sxy"))
-    from ..functions.portable import corr_from_moments
-    r = corr_from_moments(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("sxy"))
-    return m.select("feature", F.try_divide(r * r, 1 - r * r) * (F.col("n") - 2)).toDF("feature", "f")
+    n, r = corr_columns(F.col("value"), F.col(target))
+    m = long.groupBy("feature").agg(n.alias("n"), r.alias("r"))
+    return m.select("feature", (F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("n") - 2)).alias("f"))
 
 
 def mrmr(df: DataFrame, features, k: int, target: str = "target", task: str = "binary_classification",

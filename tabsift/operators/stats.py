@@ -2,8 +2,8 @@
 
 All pairs of columns are summarised in ONE scan: each partition turns its
 rows into numpy blocks and emits the pairwise-complete sums of every column
-pair (n, Σa, Σb, Σa², Σb², Σab) — p² small rows per partition — which a
-group-by adds up. Work is O(rows · p²) in vectorised numpy, the shuffle is
+pair (n, Σa, Σb, Σa², Σb², Σab, of values less their column's centre) — p² small
+rows per partition — which a group-by adds up. Work is O(rows · p²) in vectorised numpy, the shuffle is
 O(partitions · p²), independent of the row count, and no row pairs or column
 self-joins are formed.
 """
@@ -22,8 +22,18 @@ from .positions import value_positions
 MOMENT_SCHEMA = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
 
 
-def _pair_sums(cols, with_diag: bool):
+def column_centers(df: DataFrame, cols) -> dict[str, float]:
+    """A value near each column's mean, from one aggregate; a constant column's own value. Sums taken about it do not cancel."""
+    cols = list(cols)
+    x = [F.col(c).cast("double") for c in cols]
+    row = df.agg(*[e for i, c in enumerate(x) for e in (F.avg(c).alias(f"m{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))]).first()
+    return {c: float(row[f"l{i}"] if row[f"l{i}"] == row[f"h{i}"] else row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0
+            for i, c in enumerate(cols)}
+
+
+def _pair_sums(cols, centers, with_diag: bool):
     p = len(cols)
+    shift = np.array([centers[c] for c in cols])
 
     def fn(batches):
         n = np.zeros((p, p))
@@ -35,7 +45,7 @@ def _pair_sums(cols, with_diag: bool):
             if len(pdf) == 0:
                 continue
             seen = True
-            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
+            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan) - shift
             m = (~np.isnan(x)).astype("float64")
             x0 = np.where(m > 0, x, 0.0)
             n += m.T @ m
@@ -53,11 +63,16 @@ def _pair_sums(cols, with_diag: bool):
     return fn
 
 
-def pair_moments(df: DataFrame, cols, with_diag: bool = False) -> DataFrame:
-    """(a, b, n, sa, sb, saa, sbb, sab) for every pair a before b in ``cols`` (pairwise complete)."""
+def pair_moments(df: DataFrame, cols, with_diag: bool = False, centers: dict[str, float] | None = None) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) for every pair a before b in ``cols`` (pairwise complete).
+
+    The sums are of values less their column's ``centers`` (found by one aggregate unless given), so that a large
+    offset costs no digits; add the centers back where raw means are needed.
+    """
     cols = list(cols)
+    centers = centers or column_centers(df, cols)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    part = x.mapInPandas(_pair_sums(cols, with_diag), MOMENT_SCHEMA)
+    part = x.mapInPandas(_pair_sums(cols, centers, with_diag), MOMENT_SCHEMA)
     return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "sb", "saa", "sbb", "sab"]])
 
 
@@ -74,6 +89,16 @@ def pair_corr(df: DataFrame, cols, method: str = "pearson", key: str = "id") ->
     return m.select("a", "b", r.alias("r"))
 
 
+def corr_columns(x, y):
+    """(n, r) aggregates over rows where both are present; engine-side central moments, NULL when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    n = F.count(a).cast("double")
+    va, vb = F.var_pop(a), F.var_pop(b)
+    r = F.try_divide(F.covar_pop(a, b), F.sqrt(va) * F.sqrt(vb))
+    return n, F.when((n >= 2) & (va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def corr_with(df: DataFrame, cols, target: str = "target", method: str = "pearson", key: str = "id") -> DataFrame:
     """(feature, r): correlation of each column with the target (pairwise complete)."""
     cols = [c for c in cols if c != target]
@@ -93,6 +118,9 @@ def rank_transform(df: DataFrame, key: str, cols) -> DataFrame:
 
 def distances(df: DataFrame, cols) -> DataFrame:
     """EX-5: Euclidean distance between columns over rows where both are present."""
-    m = pair_moments(df, cols)
-    d2 = F.col("saa") + F.col("sbb") - 2 * F.col("sab")
+    centers = column_centers(df, cols)
+    m = pair_moments(df, cols, centers=centers)
+    at = F.create_map(*[x for c, v in centers.items() for x in (F.lit(c), F.lit(v))])
+    apart = at[F.col("a")] - at[F.col("b")]
+    d2 = (F.col("saa") + F.col("sbb") - 2 * F.col("sab") + 2 * apart * (F.col("sa") - F.col("sb")) + F.col("n") * apart * apart)
     return m.select("a", "b", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("distance"))

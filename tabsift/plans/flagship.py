@@ -79,8 +79,7 @@ def feature_ranking_sql(seed: int = SEED) -> str:
                "ELSE (v.value - zs.mu) / zs.sd END AS value FROM v LEFT JOIN zs USING (feature)"),
         ("tn", "SELECT nz.*, fpos.fpos FROM nz JOIN fpos USING (feature) WHERE part = 'train'"),
         ("tcorr", "SELECT feature, abs(round(" + sqlgen.corr() + ", 2)) AS abs_corr FROM (SELECT feature, "
-                  "CAST(count(*) AS DOUBLE) AS n, sum(value) AS sx, sum(target) AS sy, sum(value * value) AS sxx, "
-                  "sum(target * target) AS syy, sum(value * target) AS sxy FROM tn WHERE value IS NOT NULL GROUP BY feature)"),
+                  + sqlgen.moments("value", "target") + " FROM tn WHERE value IS NOT NULL GROUP BY feature)"),
         ("rk", "SELECT feature, row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, fpos) AS rank "
                "FROM tcorr JOIN fpos USING (feature)"),
         ("pm", sqlgen.pair_moments("tn")),

@@ -36,9 +36,8 @@ def ex_prepare(spark, sf_dir):
 
 def _target_corr_sql(src: str, feats) -> list[tuple[str, str]]:
     return [("tl", sqlgen.unpivot(src, ["id", "target"], feats)),
-            ("tc", "SELECT feature, " + sqlgen.corr() + " AS r FROM (SELECT feature, CAST(count(*) AS DOUBLE) AS n, "
-                   "sum(value) AS sx, sum(target) AS sy, sum(value * value) AS sxx, sum(target * target) AS syy, "
-                   "sum(value * target) AS sxy FROM tl WHERE value IS NOT NULL AND target IS NOT NULL GROUP BY feature)")]
+            ("tc", "SELECT feature, " + sqlgen.corr() + " AS r FROM (SELECT feature, " + sqlgen.moments("value", "target")
+                   + " FROM tl WHERE value IS NOT NULL AND target IS NOT NULL GROUP BY feature)")]
 
 
 @query("ex_corr_to_target", with_fixtures("SELECT feature, round(r, 2) + 0.0 AS corr FROM tc", "w1",

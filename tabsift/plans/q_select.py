@@ -24,8 +24,7 @@ THR = f"CAST('{VAR_P * (1 - VAR_P)!r}' AS DOUBLE)"
 def _moments_by(src: str, by: str) -> str:
     """Per (by…, feature) moments of value with target over a long table."""
     b = f"{by}, " if by else ""
-    return (f"SELECT {b}feature, CAST(count(*) AS DOUBLE) AS n, sum(value) AS sx, sum(target) AS sy, sum(value * value) AS sxx, "
-            f"sum(target * target) AS syy, sum(value * target) AS sxy FROM {src} WHERE value IS NOT NULL AND target IS NOT NULL "
+    return (f"SELECT {b}feature, {sqlgen.moments('value', 'target')} FROM {src} WHERE value IS NOT NULL AND target IS NOT NULL "
             f"GROUP BY {b}feature")
 
 
@@ -68,10 +67,11 @@ def fs_correlation_filter(spark, sf_dir):
 def _mrmr_sql(src_long: str, feats, target_expr: str, task: str, extra_ctes) -> str:
     """K = 3 greedy steps unrolled; src_long has (id, target, feature, value)."""
     if task == "binary_classification":
-        fstat = ("SELECT feature, CASE WHEN k > 1 THEN ((br - s * s / n) / (k - 1)) / nullif((ss - br) / (n - k), 0) END AS f FROM "
-                 "(SELECT feature, sum(nc) AS n, sum(sc) AS s, sum(ssc) AS ss, count(*) AS k, sum(sc * sc / nc) AS br FROM "
-                 "(SELECT feature, target, CAST(count(*) AS DOUBLE) AS nc, sum(value) AS sc, sum(value * value) AS ssc FROM enc "
-                 "WHERE value IS NOT NULL GROUP BY feature, target) GROUP BY feature)")
+        fstat = ("SELECT feature, CASE WHEN k > 1 THEN (ssb / (k - 1)) / nullif(ssw / (n - k), 0) END AS f FROM "
+                 "(SELECT feature, sum(nc) AS n, count(*) AS k, sum(wc) AS ssw, sum(nc * (mc - gm) * (mc - gm)) AS ssb FROM "
+                 "(SELECT e.feature, e.target, CAST(count(*) AS DOUBLE) AS nc, avg(e.value) AS mc, var_pop(e.value) * count(*) AS wc, any_value(a.gm) AS gm "
+                 "FROM enc e JOIN (SELECT feature, avg(value) AS gm FROM enc WHERE value IS NOT NULL GROUP BY feature) a USING (feature) "
+                 "WHERE e.value IS NOT NULL GROUP BY e.feature, e.target) GROUP BY feature)")
     else:
         fstat = ("SELECT feature, (r * r) / nullif(1 - r * r, 0) * (n - 2) AS f FROM (SELECT feature, n, " + sqlgen.corr()
                  + " AS r FROM (" + _moments_by("enc", "") + "))")

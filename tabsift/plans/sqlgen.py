@@ -56,25 +56,26 @@ FROM (SELECT *, row_number() OVER ({pk} ORDER BY {h13(key, seed_expr)}, {key}) -
 JOIN ({quotas(src, frac, keys, strata)}) q ON {on}"""
 
 
-def corr(n: str = "n", sx: str = "sx", sy: str = "sy", sxx: str = "sxx", syy: str = "syy", sxy: str = "sxy") -> str:
-    """Pearson r from sums; NULL when a side is constant (same form as the Spark side)."""
-    cov = f"({sxy} - {sx} * {sy} / {n})"
-    vx = f"({sxx} - {sx} * {sx} / {n})"
-    vy = f"({syy} - {sy} * {sy} / {n})"
-    return f"CASE WHEN {n} >= 2 AND sqrt({vx} * {vy}) > 0 THEN {cov} / sqrt({vx} * {vy}) END"
+def corr() -> str:
+    """Pearson r from ``moments``; NULL when a side is constant."""
+    return "CASE WHEN n >= 2 AND vx > 0 AND vy > 0 THEN r END"
+
+
+def moments(x: str, y: str) -> str:
+    """n, both variances and the engine's own correlation of two expressions (rows where both are present)."""
+    return (f"CAST(count(*) AS DOUBLE) AS n, var_pop({x}) AS vx, var_pop({y}) AS vy, "
+            f"CASE WHEN var_pop({x}) > 0 AND var_pop({y}) > 0 THEN corr({x}, {y}) END AS r")
 
 
 def pair_moments(long: str, key: str = "id", extra_keys: list[str] | None = None) -> str:
-    """Pairwise-complete sums for feature pairs a < b (by position column ``fpos``) of a long table."""
+    """Pairwise-complete moments for feature pairs a < b (by position column ``fpos``) of a long table."""
     ek = extra_keys or []
     on = " AND ".join([f"x.{key} = y.{key}"] + [f"x.{c} = y.{c}" for c in ek])
     sel = ", ".join(f"x.{c}" for c in ek)
     sel = sel + ", " if sel else ""
     grp = ", ".join(f"x.{c}" for c in ek)
     grp = grp + ", " if grp else ""
-    return f"""SELECT {sel}x.feature AS a, y.feature AS b, CAST(count(*) AS DOUBLE) AS n,
-  sum(x.value) AS sx, sum(y.value) AS sy, sum(x.value * x.value) AS sxx, sum(y.value * y.value) AS syy,
-  sum(x.value * y.value) AS sxy
+    return f"""SELECT {sel}x.feature AS a, y.feature AS b, {moments("x.value", "y.value")}
 FROM {long} x JOIN {long} y ON {on} AND x.fpos < y.fpos
 WHERE x.value IS NOT NULL AND y.value IS NOT NULL
 GROUP BY {grp}x.feature, y.feature"""

@@ -52,3 +52,24 @@ def test_hash_positions_dense_and_bucket_independent(spark):
     for g in range(3):
         got = sorted(a[i] for i in range(1000) if i % 3 == g)
         assert got == list(range(len(got)))
+
+
+def test_positions_without_groups_in_buckets(spark):
+    df = spark.createDataFrame([(float(i * 7919 % 500),) for i in range(1500)] + [(None,)], "v double")
+    plain = sorted(tuple(r) for r in value_positions(df, [], "v").collect())
+    assert sorted(tuple(r) for r in value_positions(df, [], "v", rows_per_bucket=100).collect()) == plain
+    assert len(plain) == 500
+
+
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_quantiles_through_brackets(spark, groups):
+    """Large groups go through narrowed brackets: same numbers, also with heavy ties and a null group."""
+    rng = np.random.default_rng(5)
+    rows = [(1, float(v)) for v in rng.normal(size=4000)] + [(2, float(v)) for v in rng.integers(0, 3, 3000)] + [(None, float(v)) for v in rng.exponential(size=2500)]
+    df = spark.createDataFrame(rows + [(1, None)], "g int, v double").repartition(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    got = {(r["g"] if groups else 0, r["prob"]): r["q"] for r in exact_quantiles(df, groups, "v", probs, rows_per_bucket=50).collect()}
+    for g in ([1, 2, None] if groups else [0]):
+        vals = [v for gg, v in rows if not groups or gg == g]
+        for p in probs:
+            assert got[g, p] == pytest.approx(float(np.percentile(vals, 100 * p)), abs=1e-12), (g, p)
