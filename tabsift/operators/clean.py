@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import features_of, non_null_counts, nunique_map, to_long
+from .frames import features_of, levels_map, non_null_counts, to_long
 
 # Fixed value: what counts as a number in a text cell (sign, digits, decimal point, exponent).
 NUMERIC_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -64,7 +64,7 @@ def coerce_numeric(df: DataFrame, key: str = "id", columns=None) -> DataFrame:
 
 def zero_to_null(df: DataFrame, features, max_levels: int = 5, profile: dict | None = None) -> DataFrame:
     """CL-6: in features with more than ``max_levels`` distinct values, 0 means missing."""
-    profile = profile or nunique_map(df, features)
+    profile = profile or levels_map(df, features, max_levels)
     many = {f for f in features if profile[f] > max_levels}
     return df.select(*[F.when(F.col(c) != 0, F.col(c)).alias(c) if c in many else F.col(c) for c in df.columns])
 
@@ -95,16 +95,12 @@ def clean_up(df: DataFrame, key: str, target: str, patterns=None, max_levels: in
     out = coerce_numeric(out, "id")
     feats = features_of(out, ("id", target))
     zero_cols = feats + ([target] if zero_rule_on_target else [])
-    # One aggregate pass gives, per column: distinct values, non-null cells, zero cells.
-    long = to_long(out, [], zero_cols).where(F.col("value").isNotNull())
-    prof = (long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("feature").agg(F.count(F.lit(1)).alias("nu"), F.sum("c").alias("nn"),
-                                    F.sum(F.when(F.col("value") == 0, F.col("c")).otherwise(0)).alias("nz"))
-            .collect())
-    nu = {r["feature"]: int(r["nu"]) for r in prof}
-    left = {r["feature"]: int(r["nn"]) - (int(r["nz"]) if r["nu"] > max_levels else 0) for r in prof}
-    out = zero_to_null(out, zero_cols, max_levels, {c: nu.get(c, 0) for c in zero_cols})
-    out = drop_empty_columns(out, feats, {f: left.get(f, 0) for f in feats})
+    # Levels are counted up to the limit only; non-null and zero cells are one aggregate. No cell is shuffled.
+    nu = levels_map(out, zero_cols, max_levels)
+    row = out.agg(*[e for i, c in enumerate(zero_cols) for e in (F.count(F.col(c)).alias(f"n{i}"), F.count(F.when(F.col(c) == 0, 1)).alias(f"z{i}"))]).first()
+    left = {c: row[f"n{i}"] - (row[f"z{i}"] if nu[c] > max_levels else 0) for i, c in enumerate(zero_cols)}
+    out = zero_to_null(out, zero_cols, max_levels, nu)
+    out = drop_empty_columns(out, feats, {f: left[f] for f in feats})
     return drop_null_target(out, target)
 
 
@@ -129,7 +125,7 @@ def assert_no_nulls(df: DataFrame, columns) -> None:
 
 def drop_low_cardinality(df: DataFrame, features, levels=(1, 2), profile: dict | None = None) -> DataFrame:
     """CL-12: drop features with 1 or 2 distinct values."""
-    profile = profile or nunique_map(df, features)
+    profile = profile or levels_map(df, features, max(levels))
     drop = {f for f in features if profile[f] in set(levels)}
     return df.select(*[c for c in df.columns if c not in drop])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clean import drop_low_cardinality
-from .frames import nunique_map, to_long
+from .frames import levels_map, to_long
 from .impute import apply_fill, fit_median
 from .positions import quantile_columns
 from .scale import apply_linear, fit_linear
@@ -18,7 +18,7 @@ WHISKERS = 1.5
 def explore_prepare(df: DataFrame, features, target: str = "target") -> tuple[DataFrame, list[str]]:
     """EX-1: median impute (fit on all rows) → drop binary and constant → z-score → target re-attached."""
     filled = apply_fill(df, fit_median(df, features), features)
-    prof = nunique_map(filled, features)
+    prof = levels_map(filled, features, 2)
     kept = [f for f in features if prof[f] not in (1, 2)]
     out = drop_low_cardinality(filled, features, (1, 2), prof)
     if kept:

@@ -7,8 +7,10 @@ adding features adds rows, not generated code.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def features_of(df: DataFrame, exclude=("id", "target")) -> list[str]:
@@ -42,6 +44,39 @@ def nunique_profile(df: DataFrame, features, keys=()) -> DataFrame:
             .groupBy(*keys, "feature").agg(F.count(F.lit(1)).cast("bigint").alias("n_unique")))
 
 
+def levels_up_to(df: DataFrame, features, limit: int, keys=()) -> DataFrame:
+    """(keys…, feature, n_levels): distinct non-null values per feature, counted up to ``limit`` + 1 only.
+
+    Answers "more than ``limit`` levels?" without de-duplicating the table: each task keeps at most ``limit`` + 1 values
+    per feature and sends those, so the shuffle is tasks × features × (limit + 1) rows whatever the table's size.
+    """
+    keys, features = list(keys), list(features)
+    x = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
+    schema = T.StructType([*(x.schema[k] for k in keys), T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def few(batches):
+        seen: dict[tuple, set] = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            for k, part in groups:
+                for f in features:
+                    held = seen.setdefault((k if isinstance(k, tuple) else (k,), f), set())
+                    if len(held) <= limit:
+                        held.update(part[f].dropna().unique()[:limit + 1].tolist())
+        rows = [(*k, f, v) for (k, f), held in seen.items() for v in sorted(held)[:limit + 1]]
+        if rows:
+            yield pd.DataFrame(rows, columns=[*keys, "feature", "value"])
+
+    return (x.mapInPandas(few, schema).distinct().groupBy(*keys, "feature")
+            .agg(F.least(F.count(F.lit(1)), F.lit(limit + 1)).cast("bigint").alias("n_levels")))
+
+
+def levels_map(df: DataFrame, features, limit: int) -> dict[str, int]:
+    """Feature → distinct count, exact up to ``limit`` and ``limit`` + 1 beyond."""
+    got = {r["feature"]: r["n_levels"] for r in levels_up_to(df, features, limit).collect()}
+    return {f: int(got.get(f, 0)) for f in features}
+
+
 def nunique_map(df: DataFrame, features) -> dict[str, int]:
     """Feature → distinct count, collected (one number per feature)."""
     got = {r["feature"]: r["n_unique"] for r in nunique_profile(df, features).collect()}

@@ -69,16 +69,18 @@ def hash_positions(df: DataFrame, group_cols, hash_col: str, tie_col: str, out:
     group_cols = _cols(group_cols)
     bits = bucket_bits if bucket_bits is not None else bucket_bits_for(max_group_rows)
     if bits == 0:
-        w = Window.partitionBy(*group_cols).orderBy(hash_col, tie_col)
+        w = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy(hash_col, tie_col)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     b = df.withColumn("_bkt", F.shiftright(F.col(hash_col), 52 - bits))
     counts = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    wo = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0))).drop("_bn")
+    wo = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
+    offsets = offsets.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_bkt").alias("_g_bkt"), "_off")
     w = Window.partitionBy(*group_cols, "_bkt").orderBy(hash_col, tie_col)
-    return (b.join(offsets, [*group_cols, "_bkt"])
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols] + [F.col("_bkt") == F.col("_g_bkt")]
+    return (b.join(offsets, on)
             .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-            .drop("_bkt", "_off"))
+            .drop("_bkt", "_off", "_g_bkt", *[f"_g_{c}" for c in group_cols]))
 
 
 def value_positions(df: DataFrame, group_cols, value_col: str, sum_cols=(),

@@ -27,10 +27,15 @@ def random_oversample(train: DataFrame, seed: int = 0, target: str = "target", k
     largest = max((r["n_c"] for r in crow), default=0)
     draws = _chunked_sequence(cls.where(F.col("need") > 0), [target], "need", "k")
     draws = draws.withColumn("_pos", F.pmod(hash52(F.lit(str(seed)), F.lit("os"), F.col(target), F.col("k")), F.col("n_c")))
-    drawn = draws.groupBy(target, "_pos").agg(F.count(F.lit(1)).alias("_times"))
-    d = train.withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit("os")))
-    d = hash_positions(d, [target], "_h", key, out="_pos", max_group_rows=largest)
-    copies = (d.join(drawn, [target, "_pos"])
+    drawn = draws.groupBy(F.col(target).alias("_cls"), F.col("_pos").alias("_at")).agg(F.count(F.lit(1)).alias("_times"))
+    # only (key, class) of the classes that grow is numbered
+    grows = [r[target] for r in crow if r["need"] > 0]
+    ids = train.where(F.col(target).isin([v for v in grows if v is not None]) | (F.col(target).isNull() if None in grows else F.lit(False)))
+    ids = ids.select(key, target, hash52(F.col(key), F.lit(str(seed)), F.lit("os")).alias("_h"))
+    ids = hash_positions(ids, [target], "_h", key, out="_pos", max_group_rows=largest)
+    times = (ids.join(drawn, F.col(target).eqNullSafe(F.col("_cls")) & (F.col("_pos") == F.col("_at")))
+             .select(F.col(key).alias("_key"), "_times"))
+    copies = (train.join(times, F.col(key) == F.col("_key"))
               .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-              .drop("_h", "_pos", "_times", "_rep").withColumn("synthetic", F.lit(1)))
+              .drop("_key", "_times", "_rep").withColumn("synthetic", F.lit(1)))
     return train.withColumn("synthetic", F.lit(0)).unionByName(copies)

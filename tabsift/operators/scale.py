@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import nunique_profile, to_long
+from .frames import levels_up_to, to_long
 from .positions import exact_quantile_grid, quantile_columns, small_side
 
 BOUNDS = 1e-7  # fixed value: closeness to the range ends of the quantile map
@@ -29,8 +29,8 @@ def _train(df: DataFrame, part_col: str = "part") -> DataFrame:
 
 def scalable_features(train: DataFrame, features, by=(), max_levels: int = 3) -> list[str]:
     """Features with more than ``max_levels`` distinct values in train (in every by-group)."""
-    rows = nunique_profile(train, features, by).collect()  # (by-groups ×) features rows
-    low = {r["feature"] for r in rows if r["n_unique"] <= max_levels}
+    rows = levels_up_to(train, features, max_levels, by).collect()  # (by-groups ×) features rows
+    low = {r["feature"] for r in rows if r["n_levels"] <= max_levels}
     present = {r["feature"] for r in rows}
     return [f for f in features if f in present and f not in low]
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import nunique_map, to_long
+from .frames import levels_map, to_long
 from .stats import corr_columns, pair_corr
 
 
@@ -152,7 +152,7 @@ def mrmr(df: DataFrame, features, k: int, target: str = "target", task: str = "b
     first. Relevance (F) and all |r| are Spark aggregates; the K-step greedy loop
     runs on the p × p table on the driver.
     """
-    prof = nunique_map(df, features)
+    prof = levels_map(df, features, max_levels)
     cats = [f for f in features if prof[f] <= max_levels]
     enc = loo_target_encode(df, cats, target) if cats else df
     rel_df = anova_f(enc, features, target) if task == "binary_classification" else regression_f(enc, features, target)

@@ -70,31 +70,84 @@ def class_quotas(df: DataFrame, test_frac: float, target: str = "target", strati
     return _largest_remainder(cls, keys, target if stratify else "_cls", "_ntest", "quota").drop("_ntest")
 
 
+#: Classes (times seeds) a stratified split works with; more means the target is no class.
+MAX_CLASSES = 100_000
+
+
+def _null_safe(a: str, b: str):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def hash_cuts(d: DataFrame, groups, sizes: list, hash_col: str, key: str) -> DataFrame:
+    """(groups…, _cut_h, _cut_k): hash and key of the last of the first ``quota`` rows of every group, by (hash, key).
+
+    ``sizes`` holds rows with the group columns, n_c and quota. The hash is uniform, so the cut lies within a few
+    standard deviations of quota / n · 2^52: one pass counts the rows under that bracket and ranks the few inside it.
+    A group whose cut is not there (the odds are negligible) gets the whole range as its bracket.
+    """
+    spark, span = d.sparkSession, 1 << 52
+    schema = d.select(*groups).schema
+    for name in ("quota", "_low", "_high"):
+        schema = schema.add(name, T.LongType())
+
+    def ask(wide: bool, rows):
+        out = []
+        for r in rows:
+            n, q = r["n_c"], r["quota"]
+            margin = 8 * math.sqrt(q * (n - q) / n) + 16 if n else 0
+            low = 0 if wide else max(0, int((q - margin) / n * span))
+            high = span if wide else min(span, int((q + margin) / n * span) + 1)
+            out.append((*[r[g] for g in groups], q, low, high))
+        b = spark.createDataFrame(out, schema).select(*[F.col(g).alias(f"_b_{g}") for g in groups], "quota", "_low", "_high")
+        x = d.select(*groups, F.col(hash_col).alias("_h"), F.col(key).alias("_k"))
+        on = [_null_safe(g, f"_b_{g}") for g in groups]
+        near = x.join(F.broadcast(b), on if on else F.lit(True)).where(F.col("_h") < F.col("_high"))
+        gs = [F.col(f"_b_{g}").alias(g) for g in groups]
+        under = near.groupBy(*[f"_b_{g}" for g in groups]).agg(F.count(F.when(F.col("_h") < F.col("_low"), 1)).alias("_under"))
+        w = Window.partitionBy(*([f"_b_{g}" for g in groups] or [F.lit(0)])).orderBy("_h", "_k")
+        inside = near.where(F.col("_h") >= F.col("_low")).withColumn("_i", F.row_number().over(w))
+        on2 = [_null_safe(f"_b_{g}", f"_u_{g}") for g in groups]
+        u = under.select(*[F.col(f"_b_{g}").alias(f"_u_{g}") for g in groups], "_under")  # groups rows
+        hit = inside.join(F.broadcast(u), on2 if on2 else F.lit(True)).where(F.col("_i") + F.col("_under") == F.col("quota"))
+        return hit.select(*gs, F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_k")).collect()
+
+    wanted = [r for r in sizes if r["quota"] > 0]
+    found = ask(False, wanted) if wanted else []
+    have = {tuple(r[g] for g in groups) for r in found}
+    missing = [r for r in wanted if tuple(r[g] for g in groups) not in have]
+    if missing:
+        found += ask(True, missing)
+    out = d.select(*groups).schema.add("_cut_h", T.LongType()).add("_cut_k", d.schema[key].dataType)
+    return spark.createDataFrame([tuple(r) for r in found], out)
+
+
 def stratified_split(df: DataFrame, test_frac: float, seed: int | None = None, key: str = "id",
                      target: str = "target", stratify: bool = True) -> DataFrame:
     """SP-2 / SP-3 / SP-4: add ``part`` ∈ {train, test}.
 
     Per (seed, class) the rows are ordered by md5(id|seed) (ties by id); the
     first ``quota`` rows are test. With a ``seed`` column the split runs for all
-    seeds at once; otherwise ``seed`` is the literal seed.
+    seeds at once; otherwise ``seed`` is the literal seed. Rows with a missing
+    class are a class of their own. No row is moved: the quota-th hash of every
+    (seed, class) is found first, and a projection compares with it.
     """
     if not 0.0 < test_frac < 1.0:
         raise ValueError("test_frac must lie in (0, 1)")
     own_seed = "seed" not in df.columns
     d = df.withColumn("seed", F.lit(int(seed)).cast("bigint")) if own_seed else df
-    keys = _seed_keys(d)
-    strata = [target] if stratify else []
-    # seeds x classes rows (bounded by the parameters and the classes of a class target): collected
-    # once, they give the group sizes for the position buckets and are broadcast back
-    qrows = class_quotas(d, test_frac, target, stratify).select(*keys, *strata, "n_c", "quota").collect()
-    qschema = d.select(*keys, *strata).schema.add("n_c", T.LongType()).add("quota", T.LongType())
-    q = F.broadcast(d.sparkSession.createDataFrame(qrows, qschema).drop("n_c"))
-    largest = max((r["n_c"] for r in qrows), default=0)
+    groups = [*_seed_keys(d), *([target] if stratify else [])]
+    quotas = class_quotas(d, test_frac, target, stratify).select(*groups, "n_c", "quota")
+    rows = quotas.limit(MAX_CLASSES + 1).collect()  # seeds × classes
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {target!r}: split a continuous target without strata")
     d = d.withColumn("_h", hash52(F.col(key), F.col("seed")))
-    d = hash_positions(d, [*keys, *strata], "_h", key, out="_pos", max_group_rows=largest)
-    out = (d.join(q, [*keys, *strata])
-           .withColumn("part", F.when(F.col("_pos") < F.col("quota"), F.lit("test")).otherwise(F.lit("train")))
-           .drop("_h", "_pos", "quota"))
+    cuts = hash_cuts(d, groups, rows, "_h", key)
+    c = F.broadcast(cuts.select(*[F.col(g).alias(f"_c_{g}") for g in groups], "_cut_h", "_cut_k"))
+    on = [_null_safe(g, f"_c_{g}") for g in groups]
+    first = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_k")))
+    out = (d.join(c, on if on else F.lit(True), "left")
+           .withColumn("part", F.when(F.coalesce(first, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
+           .drop("_h", "_cut_h", "_cut_k", *[f"_c_{g}" for g in groups]))
     return out.drop("seed") if own_seed else out
 
 
@@ -135,12 +188,14 @@ def stratified_bootstrap(df: DataFrame, seed: int, boot: int = 0, test_frac: flo
     draws = _chunked_sequence(cls, ["seed", "boot", target], "m_c", "k")
     draws = draws.withColumn(
         "_pos", F.pmod(hash52(F.col("seed"), F.col("boot"), F.col(target), F.col("k")), F.col("n_c")))
-    drawn = draws.groupBy("seed", "boot", target, "_pos").agg(F.count(F.lit(1)).alias("_times"))
-    d = d.withColumn("_h", hash52(F.col(key), F.col("seed"), F.col("boot")))
-    d = hash_positions(d, ["seed", "boot", target], "_h", key, out="_pos", max_group_rows=largest)
-    hit = d.join(drawn, ["seed", "boot", target, "_pos"])
+    drawn = draws.groupBy(F.col(target).alias("_cls"), F.col("_pos").alias("_at")).agg(F.count(F.lit(1)).alias("_times"))
+    # only (key, class) is numbered; the rows themselves meet their count once, on the key
+    ids = d.select(key, target, hash52(F.col(key), F.col("seed"), F.col("boot")).alias("_h"))
+    ids = hash_positions(ids, [target], "_h", key, out="_pos", max_group_rows=largest)
+    times = ids.join(drawn, _null_safe(target, "_cls") & (F.col("_pos") == F.col("_at"))).select(F.col(key).alias("_key"), "_times")
+    hit = d.join(times, F.col(key) == F.col("_key"))
     return (hit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-            .drop("_h", "_pos", "_times", "_rep"))
+            .drop("_key", "_times", "_rep"))
 
 
 def out_of_bag(df: DataFrame, drawn: DataFrame, key: str = "id") -> DataFrame:
@@ -155,12 +210,15 @@ def repeated_stratified_kfold(df: DataFrame, n_splits: int = 3, n_repeats: int =
     Inside each (repeat, class) rows are ordered by md5(id|seed|repeat) and dealt
     to folds round-robin (position mod n_splits).
     """
-    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))))
-    d = d.withColumn("_h", hash52(F.col(key), F.lit(str(int(seed))), F.col("repeat")))
     strata = [target] if stratify else []
     largest = df.groupBy(*strata).count().agg(F.max("count")).first()[0] if strata else df.count()
-    d = hash_positions(d, ["repeat", *strata], "_h", key, out="_pos", max_group_rows=largest)
-    return d.withColumn("fold", F.pmod(F.col("_pos"), F.lit(n_splits)).cast("bigint")).drop("_h", "_pos")
+    # only (id, class) is numbered, once per repeat; the folds of a row come back to it as one array
+    ids = df.select(key, *strata).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_repeats - 1).cast("bigint"))))
+    ids = ids.withColumn("_h", hash52(F.col(key), F.lit(str(int(seed))), F.col("repeat")))
+    ids = hash_positions(ids, ["repeat", *strata], "_h", key, out="_pos", max_group_rows=largest)
+    folds = ids.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(
+        "repeat", F.pmod(F.col("_pos"), F.lit(n_splits)).cast("bigint").alias("fold"))).alias("_folds"))  # n_repeats entries
+    return df.join(folds, F.col(key) == F.col("_key")).select(*df.columns, F.inline("_folds"))
 
 
 def kfold(df: DataFrame, n_splits: int = 5, seed: int = 0, key: str = "id") -> DataFrame:
