@@ -14,11 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import value_positions
+from .positions import BROADCAST_MAX_ROWS, checkpointed, value_positions
 
 RUN = ["experiment", "seed", "job", "n_top", "model"]
 
 
+def per_run(df: DataFrame) -> DataFrame:
+    """A table with a few rows per run, materialised once in the shared folder and broadcast while it is small, so that
+    no prediction is shuffled on the run key; a larger one joins by shuffle."""
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() <= BROADCAST_MAX_ROWS else held
+
+
 def _div(a, b) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -26,18 +33,19 @@ def _div(a, b) -> Column:
 # ---------------------------------------------------------------- distinct-score table
 def score_table(pred: DataFrame, run=RUN, max_run_rows: int | None = None) -> DataFrame:
     """Per (run, distinct score): _pos, _neg at the score, _cum_pos/_cum_neg strictly below,
-    _k (ascending index), _P, _N, _m (number of distinct scores). Internal names start with
-    an underscore so that they never meet a caller's run key."""
+    _k (ascending index), _top (the highest score), _P, _N. Internal names start with
+    an underscore so that they never meet a caller's run key. The totals of a run come from
+    their own aggregate and are broadcast."""
     run = list(run)
     d = pred.select(*run, "score", F.col("y_true").cast("bigint").alias("_yp"),
                     (1 - F.col("y_true").cast("bigint")).alias("_yn"))
     vp = value_positions(d, run, "score", ["_yp", "_yn"], max_group_rows=max_run_rows)
-    tot = vp.groupBy(*run).agg(F.sum("s__yp").alias("_P"), F.sum("s__yn").alias("_N"),
-                               F.count(F.lit(1)).alias("_m"))
+    tot = per_run(d.where(F.col("score").isNotNull()).groupBy(*run).agg(F.sum("_yp").alias("_P"), F.sum("_yn").alias("_N")))
+    top = F.col("cum") + F.col("cnt") == F.col("_P") + F.col("_N")
     return (vp.join(tot, run)
             .select(*run, F.col("value").alias("score"), F.col("s__yp").alias("_pos"), F.col("s__yn").alias("_neg"),
                     F.col("cum__yp").alias("_cum_pos"), F.col("cum__yn").alias("_cum_neg"), F.col("k").alias("_k"),
-                    "_P", "_N", "_m"))
+                    top.alias("_top"), "_P", "_N"))
 
 
 def _confusion(pred: DataFrame, run, thr: Column) -> DataFrame:
@@ -101,11 +109,11 @@ def regression_metrics(pred: DataFrame, run=RUN, y: str = "y_true", yhat: str =
     yy = F.col(y).cast("double")
     e = yy - F.col(yhat).cast("double")
     g = pred.groupBy(*run).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy"),
-        F.sum(e).alias("se"), F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"))
+        F.count(F.lit(1)).cast("double").alias("n"), F.var_pop(yy).alias("vy"), F.var_pop(e).alias("ve"),
+        F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"))
     n = F.col("n")
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / n
-    var_e = F.col("see") - F.col("se") * F.col("se") / n
+    sst = F.col("vy") * n
+    var_e = F.col("ve") * n
     return g.select(*run,
                     (1 - _div(F.col("see"), sst)).alias("r2"),
                     (F.col("sae") / n).alias("mean_absolute_error"),
@@ -126,14 +134,14 @@ def roc_points(pred: DataFrame, run=RUN, drop_intermediate: bool = True) -> Data
     st = score_table(pred, run)
     lower = st.select(*run, (F.col("_k") + 1).alias("_k"), F.col("_pos").alias("_pos_lo"), F.col("_neg").alias("_neg_lo"))
     j = st.join(lower, [*run, "_k"], "left")
-    keep = ((F.col("_k") == 0) | (F.col("_k") == F.col("_m") - 1)
+    keep = ((F.col("_k") == 0) | F.col("_top")
             | (F.col("_pos") != F.col("_pos_lo")) | (F.col("_neg") != F.col("_neg_lo")))
     if drop_intermediate:
         j = j.where(keep)
     tps = F.col("_P") - F.col("_cum_pos")
     fps = F.col("_N") - F.col("_cum_neg")
     pts = j.select(*run, F.col("score").alias("thr"), fps.alias("fps"), tps.alias("tps"), "_P", "_N")
-    start = (st.where(F.col("_k") == F.col("_m") - 1)
+    start = (st.where("_top")
              .select(*run, (F.col("score") + 1).alias("thr"), F.lit(0).cast("bigint").alias("fps"),
                      F.lit(0).cast("bigint").alias("tps"), "_P", "_N"))
     allp = pts.unionByName(start)
@@ -184,13 +192,17 @@ def optimal_points(pred: DataFrame, run=RUN, costs: dict | None = None, slope: f
     best = outs[0]
     for o in outs[1:]:
         best = best.unionByName(o)
+    best = per_run(best)
     ind = (pts.join(best.select(*run, "cost", "opt"), run)
            .groupBy(*run, "cost").agg(F.sum((F.col("thr") > F.col("opt")).cast("bigint")).alias("ind")))
     acc = (pred.join(best.select(*run, "cost", "opt"), run)
            .groupBy(*run, "cost").agg(F.avg(((F.col("score") > F.col("opt")).cast("int") == F.col("y_true"))
                                             .cast("double")).alias("accuracy")))
-    return (best.join(ind, [*run, "cost"]).join(acc, [*run, "cost"])
-            .withColumn("q", F.col("tpr_opt") - F.lit(slope) * F.col("fpr_opt")))
+    out = (best.join(ind, [*run, "cost"]).join(acc, [*run, "cost"])
+           .withColumn("q", F.col("tpr_opt") - F.lit(slope) * F.col("fpr_opt")))
+    out = checkpointed(out)
+    pts.unpersist()
+    return out
 
 
 def auc_trapz(pred: DataFrame, run=RUN, auto_flip: bool = True) -> DataFrame:
@@ -198,14 +210,15 @@ def auc_trapz(pred: DataFrame, run=RUN, auto_flip: bool = True) -> DataFrame:
     run = list(run)
     st = score_table(pred, run)
     # point at distinct index k and its predecessor on the curve (next higher score, k + 1; start point above the top)
-    fpr = _div(F.col("_N") - F.col("_cum_neg"), F.col("_N"))
-    tpr = _div(F.col("_P") - F.col("_cum_pos"), F.col("_P"))
-    cur = st.select(*run, "_k", "_m", fpr.alias("f"), tpr.alias("t"))
+    # counts, not rates: twice the area in whole numbers is exact, so an area of one half is no matter of summation order
+    whole = lambda c: c.cast("decimal(19,0)")
+    cur = st.select(*run, "_k", "_top", "_P", "_N", whole(F.col("_N") - F.col("_cum_neg")).alias("f"), whole(F.col("_P") - F.col("_cum_pos")).alias("t"))
     prev = cur.select(*run, (F.col("_k") - 1).alias("_k"), F.col("f").alias("f0"), F.col("t").alias("t0"))
     j = cur.join(prev, [*run, "_k"], "left").select(
-        *run, "f", "t", F.coalesce("f0", F.when(F.col("_k") == F.col("_m") - 1, F.lit(0.0))).alias("f0"),
-        F.coalesce("t0", F.when(F.col("_k") == F.col("_m") - 1, F.lit(0.0))).alias("t0"))
-    area = j.groupBy(*run).agg(F.sum((F.col("f") - F.col("f0")) * (F.col("t") + F.col("t0")) / 2.0).alias("auc"))
+        *run, "_P", "_N", "f", "t", F.coalesce("f0", F.when(F.col("_top"), whole(F.lit(0)))).alias("f0"),
+        F.coalesce("t0", F.when(F.col("_top"), whole(F.lit(0)))).alias("t0"))
+    twice = j.groupBy(*run, "_P", "_N").agg(F.sum((F.col("f") - F.col("f0")) * (F.col("t") + F.col("t0"))).alias("_a"))
+    area = twice.select(*run, _div(F.col("_a"), F.lit(2.0) * F.col("_P") * F.col("_N")).alias("auc"))
     if not auto_flip:
         return area.select(*run, "auc", F.lit(False).alias("flipped"))
     return area.select(*run, F.when(F.col("auc") < 0.5, 1 - F.col("auc")).otherwise(F.col("auc")).alias("auc"),
@@ -215,7 +228,7 @@ def auc_trapz(pred: DataFrame, run=RUN, auto_flip: bool = True) -> DataFrame:
 def apply_threshold(pred: DataFrame, thresholds: DataFrame, run=RUN, thr_col: str = "youden_thr") -> DataFrame:
     """EV-16: pred = score ≥ threshold of the run (inclusive)."""
     run = list(run)
-    return (pred.join(thresholds.select(*run, F.col(thr_col).alias("thr")), run)
+    return (pred.join(per_run(thresholds.select(*run, F.col(thr_col).alias("thr"))), run)
             .withColumn("y_pred", (F.col("score") >= F.col("thr")).cast("int")))
 
 
@@ -299,6 +312,6 @@ def duplicate_thresholds(pred: DataFrame, run=RUN) -> DataFrame:
     run = list(run)
     c = pred.groupBy(*run, "score").agg(F.count(F.lit(1)).alias("n"))
     low = pred.groupBy(*run).agg(F.min("score").alias("_low"))
-    return (c.join(low, run).where((F.col("n") > 1) & (F.col("score") != F.col("_low")))
+    return (c.join(per_run(low), run).where((F.col("n") > 1) & (F.col("score") != F.col("_low")))
             .select(*run, F.col("score").alias("thr"), "n"))
 

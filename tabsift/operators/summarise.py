@@ -7,9 +7,10 @@ wins" ties use ``max(struct(value, -position))`` instead of ordered windows.
 
 from __future__ import annotations
 
+import itertools
 import math
-from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +22,31 @@ RUN = ev.RUN
 CELL = ["experiment", "job", "n_top", "model"]
 SCORE_METRICS = ["roc_auc", "average_precision", "recall", "specificity", "precision", "f1", "accuracy",
                  "balanced_accuracy", "pos_rate"]
+#: Size of the smaller sample up to which the U test is exact.
+EXACT_MAX = 8
 # Metrics where lower is better (fixed values).
 LOWER_IS_BETTER = ("mean_absolute_error", "mean_squared_error")
 
 
-def run_scores(pred: DataFrame, run=RUN, threshold: float = 0.5) -> DataFrame:
-    """Per-run metrics in long form (the stored ``scores`` table)."""
+def run_scores(pred: DataFrame, run=RUN, threshold: float | None = None, youden: bool = False) -> DataFrame:
+    """Per-run metrics in long form (the stored ``scores`` table).
+
+    The threshold metrics are taken at ``threshold``; by default at the score's own
+    middle: 0 where ``score_kind`` says margin, else 0.5. ``youden`` takes them at
+    each run's Youden threshold instead.
+    """
     run = list(run)
     auc = ev.roc_auc(pred, run)
     ap = ev.average_precision(pred, run)
-    thr = ev.threshold_metrics(pred, run, threshold).drop("tp", "fp", "tn", "fn")
+    if youden:
+        thr = ev.metrics_at_youden(pred, run)
+    elif threshold is None and "score_kind" in pred.columns:
+        middle = F.when(F.col("score_kind") == "margin", 0.0).otherwise(0.5)
+        thr = ev.threshold_metrics(pred.withColumn("score", F.col("score") - middle), run, 0.0)
+    else:
+        thr = ev.threshold_metrics(pred, run, 0.5 if threshold is None else threshold)
     pr = ev.pos_rate(pred, run)
-    wide = auc.join(ap, run).join(thr, run).join(pr, run)
+    wide = auc.join(ap, run).join(thr.drop("tp", "fp", "tn", "fn"), run).join(pr, run)
     return wide.unpivot(run, SCORE_METRICS, "metric", "value")
 
 
@@ -123,35 +137,46 @@ def mean_std_results(scores: DataFrame, models, jobs, metric: str = "roc_auc") -
 
 
 # ---------------------------------------------------------------- Mann–Whitney U
-@lru_cache(maxsize=None)
-def _u_counts(m: int, n: int) -> tuple[int, ...]:
-    """Number of arrangements of m + n ranks giving U = 0..m·n (no ties)."""
-    if m == 0 or n == 0:
-        return (1,)
-    a = _u_counts(m - 1, n)   # largest rank in the first sample: it beats all n others
-    b = _u_counts(m, n - 1)
-    out = [0] * (m * n + 1)
-    for k, c in enumerate(a):
-        out[k + n] += c
-    for k, c in enumerate(b):
-        out[k] += c
-    return tuple(out)
-
-
-def exact_u_table(spark, sizes) -> DataFrame:
-    """(n1, n2, u, sf): P(U ≥ u) under H0 for each (n1, n2), from the counting recursion."""
-    rows = []
-    for n1, n2 in sizes:
-        counts = _u_counts(int(n1), int(n2))
-        total = sum(counts)
-        tail = 0
-        for u in range(len(counts) - 1, -1, -1):
-            tail += counts[u]
-            rows.append((int(n1), int(n2), float(u), tail / total))
-    return spark.createDataFrame(rows, "n1 bigint, n2 bigint, u double, sf double")
-
-
-def mann_whitney(samples: DataFrame, group_cols, exact_max: int = 8) -> DataFrame:
+def u_counts(m: int, n: int) -> list[int]:
+    """Number of arrangements of m + n ranks giving U = 0..m·n (no ties).
+
+    These are the coefficients of the Gaussian binomial Π (1 − q^(n+i)) / (1 − q^i), i = 1..min(m, n): one loop of
+    multiplications and divisions by binomials in q, in whole numbers.
+    """
+    m, n = min(m, n), max(m, n)
+    size = m * n + 1
+    out = [0] * size
+    out[0] = 1
+    for i in range(1, m + 1):
+        for k in range(size - 1, n + i - 1, -1):
+            out[k] -= out[k - n - i]
+        for k in range(i, size):
+            out[k] += out[k - i]
+    return out
+
+
+def upper_tail(n1: int, n2: int, u: float) -> float:
+    """P(U ≥ u) under H0."""
+    counts = u_counts(int(n1), int(n2))
+    return sum(counts[max(0, math.ceil(u)):]) / sum(counts)
+
+
+def _exact_tail(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    held: dict = {}
+    out = []
+    for a, b, x in zip(n1, n2, u):
+        if min(a, b) > EXACT_MAX:  # not asked for: the normal approximation holds there
+            out.append(None)
+            continue
+        tail = held.get((a, b))
+        if tail is None:
+            counts = u_counts(int(a), int(b))
+            tail = held[a, b] = list(itertools.accumulate(reversed(counts)))[::-1]
+        out.append(tail[max(0, math.ceil(x))] / tail[0])
+    return pd.Series(out, dtype="float64")
+
+
+def mann_whitney(samples: DataFrame, group_cols, exact_max: int | None = None) -> DataFrame:
     """RS-8: two-sided Mann–Whitney U test per group of ``samples`` (group…, sample ∈ {a, b}, value).
 
     Exact null distribution when the smaller sample has ≤ ``exact_max`` values and
@@ -159,6 +184,7 @@ def mann_whitney(samples: DataFrame, group_cols, exact_max: int = 8) -> DataFram
     correction. Output: group…, n1, n2, u, p (rounded to 2).
     """
     group_cols = list(group_cols)
+    exact_max = EXACT_MAX if exact_max is None else min(exact_max, EXACT_MAX)
     d = samples.withColumn("is_a", (F.col("sample") == "a").cast("bigint"))
     vp = value_positions(d, group_cols, "value", ["is_a"])
     rank = F.col("cum").cast("double") + (F.col("cnt").cast("double") + 1.0) / 2.0
@@ -175,12 +201,8 @@ def mann_whitney(samples: DataFrame, group_cols, exact_max: int = 8) -> DataFram
     p_norm = F.lit(1.0) - erf(z / F.lit(math.sqrt(2.0)))
     exact = (F.least("n1", "n2") <= exact_max) & (F.col("tie") == 0)
     st = st.withColumn("_exact", exact).withColumn("_p_norm", p_norm)
-    sizes = [(r["n1"], r["n2"]) for r in st.where("_exact").select("n1", "n2").distinct().collect()]
-    if sizes:
-        tab = F.broadcast(exact_u_table(samples.sparkSession, sizes))  # Σ (n1·n2 + 1) rows over distinct sizes
-        st = st.join(tab, ["n1", "n2", "u"], "left")
-    else:
-        st = st.withColumn("sf", F.lit(None).cast("double"))
+    # the exact tail is worked out beside the data, once per group (the counts of a size pair are kept by the worker)
+    st = st.withColumn("sf", F.when(F.col("_exact"), F.pandas_udf(_exact_tail, "double")("n1", "n2", "u")))
     p = F.when(F.col("_exact"), F.least(2.0 * F.col("sf"), F.lit(1.0))).otherwise(
         F.least(F.greatest(F.col("_p_norm"), F.lit(0.0)), F.lit(1.0)))
     return st.select(*group_cols, "n1", "n2", "u", F.round(p, 2).alias("p"))
