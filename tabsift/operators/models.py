@@ -5,21 +5,26 @@ loops (boosting rounds, grid points, folds) stay on the driver and each step
 is a Spark job. Estimators the reference uses but Spark lacks are re-aimed:
 
 * svm (kernel) → linear ``LinearSVC``; the score is its margin;
-* extreme_forest → random forest without bootstrap and with random feature subsets;
-* adaboost → SAMME with depth-1 ``DecisionTreeClassifier`` rounds and a weight column;
-* lassolars / omp → L1 linear regression / greedy forward selection by residual correlation.
+* extreme_forest → trees over random cut points: each tree sees the features through cuts drawn for it alone;
+* adaboost → SAMME with depth-1 ``DecisionTreeClassifier`` rounds, AdaBoost.R2 for regression;
+* lassolars / omp → least-angle (lasso) path / orthogonal matching pursuit on one Gram matrix.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import random
+import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +50,31 @@ def class_weights(df: DataFrame, target: str = "target", out: str = "weight") ->
     return df.join(F.broadcast(w), target)
 
 
+#: The deepest tree that the engine's estimators grow.
+MAX_DEPTH = 30
+
+
 def _rf_depth(d):
-    return 30 if d is None else min(int(d), 30)
+    if d is None or int(d) > MAX_DEPTH:
+        raise ValueError(f"max_depth {d!r}: trees here are at most {MAX_DEPTH} deep; ask for {MAX_DEPTH} or less")
+    return int(d)
+
+
+def effective_grid(grid: dict) -> dict:
+    """The grid with depths that cannot be had (none, or beyond MAX_DEPTH) set to MAX_DEPTH, said aloud, and equal values once."""
+    if "max_depth" not in grid:
+        return grid
+    wanted = list(grid["max_depth"])
+    used = list(dict.fromkeys(MAX_DEPTH if d is None or d > MAX_DEPTH else d for d in wanted))
+    if used != wanted:
+        warnings.warn(f"max_depth {wanted} is tried as {used}: trees here are at most {MAX_DEPTH} deep", stacklevel=3)
+    return {**grid, "max_depth": used}
+
+
+def _subset(p: dict, default: str = "sqrt") -> str:
+    """``max_features`` as the engine names it: none or 1.0 is all, a share or a count stays a number."""
+    m = p.get("max_features", default)
+    return "all" if m is None or m == 1.0 else str(m)
 
 
 def make_estimator(name: str, task: str = BINARY, params: dict | None = None, seed: int = 0,
@@ -68,27 +96,32 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
         if name == "svm":
             return LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * p.get("n_rows", 1)),
                              maxIter=int(p.get("max_iter", 100)), standardization=False, **common, **wc)
-        if name in ("forest", "extreme_forest"):
-            extreme = name == "extreme_forest"
+        if name == "extreme_forest":
+            return ExtremeForest(int(p.get("n_estimators", 100)), _rf_depth(p.get("max_depth", 10)), _subset(p), task, seed, features, label, weight,
+                                 p.get("criterion", "gini"))
+        if name == "forest":
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), impurity=p.get("criterion", "gini"),
-                                          maxDepth=_rf_depth(p.get("max_depth", 10)),
-                                          featureSubsetStrategy={None: "all"}.get(p.get("max_features", "sqrt"),
-                                                                                  p.get("max_features", "sqrt")),
-                                          bootstrap=False if extreme else bool(p.get("bootstrap", True)),
-                                          maxBins=16 if extreme else 32, seed=seed, **common, **wc)
+                                          maxDepth=_rf_depth(p.get("max_depth", 10)), featureSubsetStrategy=_subset(p),
+                                          bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common, **wc)
         if name == "xgboost":
             return GBTClassifier(maxIter=int(p.get("n_estimators", 20)), stepSize=float(p.get("learning_rate", 0.1)),
-                                 maxDepth=_rf_depth(p.get("max_depth", 3)), seed=seed, **common, **wc)
+                                 maxDepth=_rf_depth(p.get("max_depth", 3)), featureSubsetStrategy=_subset(p, "all"), seed=seed, **common, **wc)
         if name == "adaboost":
             return AdaBoost(int(p.get("n_estimators", 10)), float(p.get("learning_rate", 1.0)), features, label, seed)
     else:
-        if name in ("forest", "extreme_forest"):
+        if name == "extreme_forest":
+            return ExtremeForest(int(p.get("n_estimators", 100)), _rf_depth(p.get("max_depth", 10)), _subset(p, "all"), task, seed, features, label, None, "variance")
+        if name == "forest":
             return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), maxDepth=_rf_depth(p.get("max_depth", 10)),
-                                         bootstrap=name != "extreme_forest", seed=seed, **common)
-        if name in ("xgboost", "adaboost"):
+                                         featureSubsetStrategy=_subset(p, "all"), bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common)
+        if name == "adaboost":
+            return AdaBoostR2(int(p.get("n_estimators", 50)), float(p.get("learning_rate", 1.0)), features, label, seed)
+        if name == "xgboost":
             return GBTRegressor(maxIter=int(p.get("n_estimators", 20)), stepSize=float(p.get("learning_rate", 0.1)),
-                                maxDepth=_rf_depth(p.get("max_depth", 3)), seed=seed, **common)
-        if name in ("lasso", "lassolars"):
+                                maxDepth=_rf_depth(p.get("max_depth", 3)), featureSubsetStrategy=_subset(p, "all"), seed=seed, **common)
+        if name == "lassolars":
+            return LassoPath(float(p.get("alpha", 1.0)), features, label)
+        if name == "lasso":
             return LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=1.0, standardization=False, **common)
         if name == "elastic_net":
             return LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=float(p.get("l1_ratio", 0.5)),
@@ -98,29 +131,37 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
     raise ValueError(name)
 
 
-# ---------------------------------------------------------------- boosting and OMP loops
+# ---------------------------------------------------------------- boosting, random cuts and Gram-matrix solvers
+def _stump_parts(model) -> tuple[int, float, float, float] | None:
+    """(feature, threshold, value left, value right) of a depth-1 tree; None if it is one leaf."""
+    root = model._java_obj.rootNode()
+    if root.subtreeDepth() == 0:
+        return None
+    return root.split().featureIndex(), root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction()
+
+
 class AdaBoostModel:
-    def __init__(self, stumps, alphas, features):
-        self.stumps, self.alphas, self.features = stumps, alphas, features
+    """``stumps``: (feature, threshold, left, right, alpha); alpha's share is the importance of its feature."""
+
+    def __init__(self, stumps, n_features, features):
+        self.stumps, self.n_features, self.features = stumps, n_features, features
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Margin = Σ α_t · (2·pred_t − 1); probability = sigmoid(2 · margin)."""
-        margin = F.lit(0.0)
-        out = df
-        for t, (m, a) in enumerate(zip(self.stumps, self.alphas)):
-            out = m.setPredictionCol(f"_p{t}").setRawPredictionCol(f"_r{t}").setProbabilityCol(f"_q{t}").transform(out)
-            margin = margin + F.lit(a) * (2 * F.col(f"_p{t}") - 1)
-        tmp = [c for t in range(len(self.stumps)) for c in (f"_p{t}", f"_r{t}", f"_q{t}")]
-        return out.withColumn("margin", margin).withColumn("prob1", sigmoid(2 * F.col("margin"))).drop(*tmp)
+        """Margin = Σ α_t · (2·pred_t − 1), all stumps in one expression; prob1 = sigmoid(2 · margin)."""
+        x = F.col("_x")
+        table = F.array(*[F.struct(F.lit(int(j)).alias("j"), F.lit(float(t)).alias("t"), F.lit(a * (2 * lo - 1)).alias("l"), F.lit(a * (2 * hi - 1)).alias("r"))
+                          for j, t, lo, hi, a in self.stumps]) if self.stumps else None
+        margin = F.aggregate(table, F.lit(0.0), lambda s, q: s + F.when(F.element_at(x, q["j"] + 1) <= q["t"], q["l"]).otherwise(q["r"])) \
+            if table is not None else F.lit(0.0)
+        return (df.withColumn("_x", vector_to_array(self.features)).withColumn("margin", margin)
+                .withColumn("prob1", sigmoid(2 * F.col("margin"))).drop("_x"))
 
     @property
     def featureImportances(self):
-        tot = None
-        for m, a in zip(self.stumps, self.alphas):
-            v = m.featureImportances.toArray() * a
-            tot = v if tot is None else tot + v
-        s = tot.sum() if tot is not None else 0
-        return (tot / s) if s else tot
+        out = np.zeros(self.n_features)
+        for j, *_, a in self.stumps:
+            out[j] += a
+        return out / out.sum() if out.sum() > 0 else out
 
 
 class AdaBoost:
@@ -133,85 +174,285 @@ class AdaBoost:
         self.n, self.lr, self.features, self.label, self.seed = n_estimators, learning_rate, features, label, seed
 
     def fit(self, df: DataFrame) -> AdaBoostModel:
-        n = df.count()
-        d = df.select(self.features, self.label).withColumn("_w", F.lit(1.0 / n))
-        stumps, alphas = [], []
+        d = df.select(self.features, self.label).withColumn("_w", F.lit(1.0))
+        p, stumps = len(d.select(self.features).first()[0]), []
         for t in range(self.n):
-            stump = DecisionTreeClassifier(maxDepth=1, featuresCol=self.features, labelCol=self.label, weightCol="_w",
-                                           seed=self.seed + t).fit(d)
-            pred = stump.setPredictionCol("_pred").transform(d).select(self.features, self.label, "_w", "_pred")
-            wrong = (F.col("_pred") != F.col(self.label)).cast("double")
-            err = pred.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()["e"]
-            if err is None or err >= 0.5:
+            tree = DecisionTreeClassifier(maxDepth=1, featuresCol=self.features, labelCol=self.label, weightCol="_w",
+                                          seed=self.seed + t).fit(d)
+            parts = _stump_parts(tree)
+            if parts is None:
+                break
+            j, cut, left, right = parts
+            pred = F.when(F.element_at(vector_to_array(self.features), j + 1) <= cut, left).otherwise(right)
+            wrong = (pred != F.col(self.label)).cast("double")
+            row = d.agg(F.sum(F.col("_w") * wrong).alias("e"), F.sum("_w").alias("s")).first()
+            err = row["e"] / row["s"]
+            if err >= 0.5:
                 break
             alpha = self.lr * math.log((1 - err) / max(err, 1e-12))
-            stumps.append(stump)
-            alphas.append(alpha)
+            stumps.append((j, cut, left, right, alpha))
             if err <= 0:
                 break
-            d = pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * wrong)).drop("_pred")
-            tot = d.agg(F.sum("_w")).first()[0]
-            d = d.withColumn("_w", F.col("_w") / F.lit(tot))
+            d = d.withColumn("_w", F.col("_w") / F.lit(row["s"]) * F.exp(F.lit(alpha) * wrong))
             if (t + 1) % 5 == 0:
                 d = d.checkpoint()
-        return AdaBoostModel(stumps, alphas, self.features)
+        return AdaBoostModel(stumps, p, self.features)
+
+
+class AdaBoostR2Model:
+    def __init__(self, trees, weights, features):
+        self.trees, self.weights, self.features = trees, weights, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The weighted median of the trees' predictions."""
+        out, names = df, []
+        for t, m in enumerate(self.trees):
+            names.append(f"_p{t}")
+            out = m.setPredictionCol(names[-1]).transform(out)
+        ranked = F.array_sort(F.array(*[F.struct(F.col(n).alias("v"), F.lit(w).alias("w")) for n, w in zip(names, self.weights)]))
+        half = sum(self.weights) / 2
+        pick = F.aggregate(ranked, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("v")),
+                           lambda a, q: F.struct((a["s"] + q["w"]).alias("s"), F.coalesce(a["v"], F.when(a["s"] + q["w"] >= half - 1e-12, q["v"])).alias("v")))
+        return out.withColumn("prediction", pick["v"]).drop(*names)
+
+    @property
+    def featureImportances(self):
+        tot = sum(m.featureImportances.toArray() * w for m, w in zip(self.trees, self.weights))
+        return tot / tot.sum() if tot.sum() > 0 else tot
+
+
+class AdaBoostR2:
+    """AdaBoost.R2 with linear loss over depth-3 trees: a row's weight falls with its share of the largest error."""
+
+    def __init__(self, n_estimators=50, learning_rate=1.0, features="features", label="target", seed=0, depth=3):
+        self.n, self.lr, self.features, self.label, self.seed, self.depth = n_estimators, learning_rate, features, label, seed, depth
+
+    def fit(self, df: DataFrame) -> AdaBoostR2Model:
+        d = df.select(self.features, F.col(self.label).cast("double").alias("_y")).withColumn("_w", F.lit(1.0))
+        trees, weights = [], []
+        for t in range(self.n):
+            tree = DecisionTreeRegressor(maxDepth=self.depth, featuresCol=self.features, labelCol="_y", weightCol="_w", seed=self.seed + t).fit(d)
+            off = tree.setPredictionCol("_p").transform(d).withColumn("_e", F.abs(F.col("_p") - F.col("_y"))).drop("_p")
+            worst = off.agg(F.max("_e")).first()[0] or 0.0
+            trees.append(tree)
+            if worst <= 0:
+                weights.append(1.0)
+                break
+            row = off.agg(F.sum(F.col("_w") * F.col("_e") / worst).alias("l"), F.sum("_w").alias("s")).first()
+            loss = row["l"] / row["s"]
+            if loss >= 0.5:
+                if len(trees) > 1:
+                    trees.pop()
+                else:
+                    weights.append(1.0)
+                break
+            beta = loss / (1 - loss)
+            weights.append(self.lr * math.log(1 / max(beta, 1e-12)))
+            d = off.withColumn("_w", F.col("_w") / F.lit(row["s"]) * F.pow(F.lit(beta), (1 - F.col("_e") / worst) * self.lr)).drop("_e")
+            if (t + 1) % 3 == 0:
+                d = d.checkpoint()
+        return AdaBoostR2Model(trees, weights, self.features)
+
 
+class ExtremeForestModel:
+    def __init__(self, parts, features, task):
+        self.parts, self.features, self.task = parts, features, task
 
-class OMPModel:
-    def __init__(self, lr_model, idx, features):
-        self.lr, self.idx, self.features = lr_model, idx, features
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Mean over the trees of the class-1 probability, or of the prediction."""
+        out, names = df, []
+        for t, (cuts, tree) in enumerate(self.parts):
+            names.append(f"_q{t}")
+            out = out.withColumn("_cut", _through_cuts(self.features, cuts))
+            if self.task == BINARY:
+                out = tree.setPredictionCol("_p").setProbabilityCol("_pr").setRawPredictionCol("_rw").transform(out)
+                out = out.withColumn(names[-1], vector_to_array("_pr")[1]).drop("_p", "_pr", "_rw", "_cut")
+            else:
+                out = tree.setPredictionCol(names[-1]).transform(out).drop("_cut")
+        mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+        out = out.withColumn("prob1" if self.task == BINARY else "prediction", mean)
+        return out.drop(*names)
 
-    def transform(self, df):
-        return self.lr.transform(_slice_vec(df, self.features, self.idx, "_omp_x"))
+    @property
+    def featureImportances(self):
+        tot = sum(tree.featureImportances.toArray() for _, tree in self.parts)
+        return tot / tot.sum() if tot.sum() > 0 else tot
 
 
-def _slice_vec(df, col, idx, out):
-    from pyspark.ml.feature import VectorSlicer
-    return VectorSlicer(inputCol=col, outputCol=out, indices=list(idx)).transform(df)
+def _through_cuts(features: str, cuts: list[list[float]]):
+    """The features as ranks among their cut points (a vector)."""
+    x = vector_to_array(features)
+    return array_to_vector(F.array(*[
+        sum(((F.element_at(x, j + 1) > c).cast("double") for c in cs), F.lit(0.0)) for j, cs in enumerate(cuts)]))
+
+
+class ExtremeForest:
+    """Extremely randomised trees: every tree draws its own cut points, uniform over each feature's range, and
+    chooses among these alone (no bootstrap; the feature subset of a node is drawn as in a forest)."""
+
+    CUTS = 12
+
+    def __init__(self, n_trees, depth, subset, task, seed, features, label, weight, criterion):
+        self.n, self.depth, self.subset, self.task, self.seed = n_trees, depth, subset, task, seed
+        self.features, self.label, self.weight, self.criterion = features, label, weight, criterion
+
+    def fit(self, df: DataFrame) -> ExtremeForestModel:
+        x = vector_to_array(self.features)
+        p = len(df.select(self.features).first()[0])
+        row = df.select(x.alias("_x")).agg(*[e for j in range(p) for e in (F.min(F.col("_x")[j]), F.max(F.col("_x")[j]))]).first()
+        rng = random.Random(self.seed)
+        drawn = [[sorted(rng.uniform(row[2 * j], row[2 * j + 1]) for _ in range(self.CUTS)) if row[2 * j] is not None else [] for j in range(p)]
+                 for _ in range(self.n)]
+
+        def one(t: int):
+            how = dict(numTrees=1, bootstrap=False, featureSubsetStrategy=self.subset, maxDepth=self.depth, featuresCol="_cut", labelCol=self.label,
+                       seed=self.seed + t, **({"weightCol": self.weight} if self.weight else {}))
+            d = df.withColumn("_cut", _through_cuts(self.features, drawn[t]))
+            est = RandomForestClassifier(impurity=self.criterion, **how) if self.task == BINARY else RandomForestRegressor(**how)
+            return drawn[t], est.fit(d)
+
+        return ExtremeForestModel(concurrently(one, range(self.n)), self.features, self.task)
+
+
+def concurrently(fn, items, width: int = 4) -> list:
+    """Independent fits as concurrent jobs of one session; results in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items))
+
+
+class GramModel:
+    """A linear model with given coefficients: prediction = intercept + coefficients · x."""
+
+    def __init__(self, coefficients, intercept, features):
+        self.coefficients, self.intercept, self.features = DenseVector(coefficients), float(intercept), features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = F.zip_with(vector_to_array(self.features), F.array(*[F.lit(float(c)) for c in self.coefficients]), lambda a, b: a * b)
+        return df.withColumn("prediction", F.aggregate(terms, F.lit(self.intercept), lambda s, v: s + v))
+
+
+def gram_of(df: DataFrame, features: str, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """(XᵀX, Xᵀy, mean x, mean y, n), centred, from two aggregates: the means, then one pass of products about them."""
+    arr = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
+    p = len(arr.first()["x"])
+    row = arr.agg(F.count(F.lit(1)), F.avg("y"), *[F.avg(F.col("x")[j]) for j in range(p)]).first()
+    n, my, mx = float(row[0]), row[1], np.array(row[2:], dtype=float)
+
+    def products(batches):
+        total = np.zeros((p + 1, p + 1))
+        for pdf in batches:
+            if len(pdf):
+                z = np.column_stack([np.stack(pdf["x"].to_numpy()) - mx, pdf["y"].to_numpy() - my])
+                total += z.T @ z
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    full = np.zeros((p + 1, p + 1))
+    for r in arr.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        full[r["i"], r["j"]] = r["v"]
+    return full[:p, :p], full[:p, p], mx, my, n
 
 
 class OMP:
-    """Orthogonal matching pursuit: add the feature most correlated with the residual, refit least squares."""
+    """Orthogonal matching pursuit on the Gram matrix: one pass over the data, then p-sized algebra. Each step adds the
+    feature most correlated (by absolute inner product of centred columns) with the residual and solves least squares anew."""
 
     def __init__(self, k=None, features="features", label="target"):
         self.k, self.features, self.label = k, features, label
 
-    def fit(self, df: DataFrame) -> OMPModel:
-        p = len(df.select(self.features).first()[0])
+    def fit(self, df: DataFrame) -> GramModel:
+        gram, xy, mx, my, _ = gram_of(df, self.features, self.label)
+        p = len(xy)
         k = min(self.k or max(1, int(0.1 * p)), p)
-        arr = df.select(vector_to_array(self.features).alias("_x"), F.col(self.label).cast("double").alias("_y"))
-        resid = arr.withColumn("_r", F.col("_y"))
-        chosen: list[int] = []
-        model = None
+        chosen, coef = [], np.zeros(p)
         for _ in range(k):
-            stats = resid.select(*[F.abs(F.sum(F.col("_x")[j] * F.col("_r"))).alias(str(j)) for j in range(p)]).first()
-            best = max((j for j in range(p) if j not in chosen), key=lambda j: (stats[str(j)] or 0.0, -j))
-            chosen.append(best)
-            sl = _slice_vec(df, self.features, sorted(chosen), "_omp_x")
-            model = LinearRegression(featuresCol="_omp_x", labelCol=self.label, regParam=0.0).fit(sl)
-            coef = model.coefficients.toArray()
-            pred = sum(F.col("_x")[j] * float(c) for j, c in zip(sorted(chosen), coef)) + float(model.intercept)
-            resid = arr.withColumn("_r", F.col("_y") - pred)
-        return OMPModel(model, sorted(chosen), self.features)
+            left = np.abs(xy - gram @ coef)
+            left[chosen] = -1.0
+            chosen.append(int(np.argmax(left)))
+            coef = np.zeros(p)
+            coef[chosen] = np.linalg.lstsq(gram[np.ix_(chosen, chosen)], xy[chosen], rcond=None)[0]
+        return GramModel(coef, my - mx @ coef, self.features)
+
+
+class LassoPath:
+    """Least-angle regression in its lasso form on the Gram matrix: the path is followed from all zero to ``alpha``
+    (penalty alpha · Σ|b| on half the mean squared error), features entering and leaving as their correlations meet."""
+
+    def __init__(self, alpha=1.0, features="features", label="target"):
+        self.alpha, self.features, self.label = alpha, features, label
+
+    def fit(self, df: DataFrame) -> GramModel:
+        gram, xy, mx, my, n = gram_of(df, self.features, self.label)
+        coef = lasso_by_lars(gram / n, xy / n, self.alpha)
+        return GramModel(coef, my - mx @ coef, self.features)
+
+
+def lasso_by_lars(gram: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
+    """argmin ½ bᵀGb − bᵀxy + alpha Σ|b| along the least-angle path."""
+    p = len(xy)
+    coef, active, barred = np.zeros(p), [], -1
+    level = float(np.abs(xy).max(initial=0.0))
+    if level <= alpha:
+        return coef
+    active = [int(np.argmax(np.abs(xy)))]
+    for _ in range(8 * p + 8):
+        corr = xy - gram @ coef
+        sign = np.sign(corr[active])
+        step = np.linalg.lstsq(gram[np.ix_(active, active)], sign, rcond=None)[0]
+        move = gram[:, active] @ step  # how each correlation falls per unit of level
+        best, event = level - alpha, None
+        for j in range(p):
+            if j not in active:
+                for d, c in ((1 - move[j], level - corr[j]), (1 + move[j], level + corr[j])):
+                    if d > 1e-12 and (1e-9 * level if j == barred else -1e-12) <= c / d < best:  # one that has just left does not come back at once
+                        best, event = max(c / d, 0.0), ("in", j)
+        for i, j in enumerate(active):
+            if step[i] * coef[j] < 0 and -coef[j] / step[i] < best:
+                best, event = -coef[j] / step[i], ("out", j)
+        coef[active] += best * step
+        level -= best
+        barred = -1
+        if event is None:
+            break
+        if event[0] == "in":
+            active.append(event[1])
+        else:
+            coef[event[1]] = 0.0
+            active.remove(event[1])
+            barred = event[1]
+            if not active:
+                break
+    return coef
 
 
 # ---------------------------------------------------------------- scoring
 def predict_scores(model, df: DataFrame, name: str, task: str = BINARY, threshold: float | None = None) -> DataFrame:
     """ML-17: ``score`` = margin for margin models, else probability of class 1; ``y_pred`` 0/1.
 
-    ``score_kind`` records which, so summaries can apply a sigmoid or a 0 threshold.
+    ``score_kind`` records which, so summaries can apply a 0 threshold; ``prob1`` is the class-1
+    probability in either case (the model's own, or the sigmoid of the margin of a linear svm).
     """
     out = model.transform(df)
     if task == REGRESSION:
         return out.withColumn("score", F.col("prediction")).withColumn("score_kind", F.lit("value"))
+    if "prob1" in out.columns:
+        prob = F.col("prob1")
+    elif "probability" in out.columns:
+        prob = vector_to_array("probability")[1]
+    else:
+        prob = sigmoid(vector_to_array("rawPrediction")[1])
     if isinstance(model, AdaBoostModel):
         score, kind = F.col("margin"), "margin"
     elif name in MARGIN_MODELS and "rawPrediction" in out.columns:
         score, kind = vector_to_array("rawPrediction")[1], "margin"
     else:
-        score, kind = vector_to_array("probability")[1], "probability"
+        score, kind = prob, "probability"
     thr = threshold if threshold is not None else (0.0 if kind == "margin" else 0.5)
-    return (out.withColumn("score", score.cast("double")).withColumn("score_kind", F.lit(kind))
+    return (out.withColumn("score", score.cast("double")).withColumn("score_kind", F.lit(kind)).withColumn("prob1", prob.cast("double"))
             .withColumn("y_pred", (F.col("score") >= thr).cast("int")))
 
 
@@ -228,34 +469,37 @@ def grid_search(df: DataFrame, features, name: str, grid: dict, folds: DataFrame
     fold (AUC for classification, −MAE for regression), mean over folds and repeats, refit the
     best point on all rows. ``folds`` has (id, repeat, fold). Returns (model, best params, cv table)."""
     from .evaluate import roc_auc
-    data = df.join(folds.select("id", "repeat", "fold"), "id").cache()
+    data = df.join(folds.select("id", "repeat", "fold"), "id")
     n = df.count()
     if task == BINARY:
         data = class_weights(data, label)
     data = assemble(data, features).cache()
     keys = data.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
+    points = param_grid(effective_grid(grid))
+
+    def fold_score(task_item):
+        gi, k = task_item
+        tr = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") != k["fold"]))
+        te = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") == k["fold"]))
+        m = make_estimator(name, task, {**points[gi], "n_rows": n}, seed, label=label).fit(tr)
+        pr = predict_scores(m, te, name, task)
+        if task == BINARY:
+            s = roc_auc(pr.select(F.lit(0).alias("run_"), "id", F.col(label).cast("int").alias("y_true"), "score"),
+                        ["run_"], n).first()["roc_auc"]
+        else:
+            s = -pr.agg(F.avg(F.abs(F.col("score") - F.col(label)))).first()[0]
+        return gi, s if s is not None else float("nan")
+
+    results = concurrently(fold_score, [(gi, k) for gi in range(len(points)) for k in keys])
     rows = []
-    for gi, params in enumerate(param_grid(grid)):
-        params = {**params, "n_rows": n}
-        scores = []
-        for k in keys:
-            tr = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") != k["fold"]))
-            te = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") == k["fold"]))
-            m = make_estimator(name, task, params, seed).fit(tr)
-            pr = predict_scores(m, te, name, task)
-            if task == BINARY:
-                s = roc_auc(pr.select(F.lit(0).alias("run_"), "id", F.col(label).cast("int").alias("y_true"), "score"),
-                            ["run_"], n).first()["roc_auc"]
-            else:
-                s = -pr.agg(F.avg(F.abs(F.col("score") - F.col(label)))).first()[0]
-            scores.append(s if s is not None else float("nan"))
-        valid = [s for s in scores if s == s]
-        rows.append((gi, str({k: v for k, v in params.items() if k != "n_rows"}),
-                     sum(valid) / len(valid) if valid else None))
+    for gi, params in enumerate(points):
+        valid = [s for i, s in results if i == gi and s == s]
+        rows.append((gi, str(params), sum(valid) / len(valid) if valid else None))
+    data.unpersist()
     best_i = max(range(len(rows)), key=lambda i: (rows[i][2] if rows[i][2] is not None else -1e300, -i))
-    best = {**param_grid(grid)[best_i], "n_rows": n}
+    best = {**points[best_i], "n_rows": n}
     full = assemble(class_weights(df, label) if task == BINARY else df, features)
-    model = make_estimator(name, task, best, seed).fit(full)
+    model = make_estimator(name, task, best, seed, label=label).fit(full)
     cv = df.sparkSession.createDataFrame(rows, "grid_point int, params string, mean_score double")
     return model, best, cv
 
@@ -273,11 +517,50 @@ def feature_importance(model, features) -> list[tuple[str, float]]:
 
 
 def soft_vote(pred: DataFrame, keys, model_col: str = "model") -> DataFrame:
-    """ML-14: mean class-1 probability over the fitted models per id; label = mean ≥ 0.5."""
-    g = pred.groupBy(*keys).agg(F.avg("score").alias("proba"), F.countDistinct(model_col).alias("n_models"))
+    """ML-14: mean class-1 probability over the fitted models per id; label = mean ≥ 0.5.
+
+    The probability is ``prob1`` where the table has it, else the score: through the sigmoid where
+    ``score_kind`` says margin, as it is where nothing says so.
+    """
+    if "prob1" in pred.columns:
+        p = F.col("prob1")
+    elif "score_kind" in pred.columns:
+        p = F.when(F.col("score_kind") == "margin", sigmoid("score")).otherwise(F.col("score"))
+    else:
+        p = F.col("score")
+    g = pred.groupBy(*keys).agg(F.avg(p).alias("proba"), F.countDistinct(model_col).alias("n_models"))
     return g.withColumn("y_pred", (F.col("proba") >= 0.5).cast("int"))
 
 
+def verify_top_n(train: DataFrame, test: DataFrame, ranking, n_tops, models: dict, task: str = BINARY, seed: int = 0,
+                 label: str = "target", key: str = "id") -> DataFrame:
+    """ML-16: every model on the first n features of ``ranking``, for every n that the ranking can fill (all of them if
+    none can): its predictions of the test rows as one table, written to the shared folder.
+
+    ``models`` is {name: parameters}. Columns: n_top, model, key, y_true, score, score_kind, prob1 (classification)
+    and y_pred. Fits run as concurrent jobs.
+    """
+    tops = [int(n) for n in n_tops if n <= len(ranking)] or [len(ranking)]
+    n = train.count()
+    weighted = class_weights(train, label) if task == BINARY else train
+
+    def one(item):
+        n_top, name = item
+        feats = list(ranking[:n_top])
+        model = make_estimator(name, task, {**models[name], "n_rows": n}, seed, label=label).fit(assemble(weighted, feats))
+        pred = predict_scores(model, assemble(test, feats), name, task)
+        kept = ["score", "score_kind", *(["prob1", "y_pred"] if task == BINARY else [])]
+        y = F.col(label).cast("int" if task == BINARY else "double").alias("y_true")
+        return pred.select(F.lit(n_top).cast("bigint").alias("n_top"), F.lit(name).alias("model"), key, y, *kept)
+
+    tables = concurrently(one, [(t, m) for t in tops for m in models])
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    from .positions import checkpointed
+    return checkpointed(out)
+
+
 def vote_regression(pred: DataFrame, keys, model_col: str = "model") -> DataFrame:
     """ML-15: mean prediction over the fitted models per id."""
     return pred.groupBy(*keys).agg(F.avg("score").alias("prediction"), F.countDistinct(model_col).alias("n_models"))

@@ -121,12 +121,16 @@ def winner_scores(scores: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 def experiment_summary(scores: DataFrame, models, jobs, metric: str = "roc_auc") -> DataFrame:
-    """RS-6: one row per experiment: winner, n_top and the winner's per-seed values summarised."""
+    """RS-6: one row per experiment: winner, n_top, the winner's per-seed values summarised, and per
+    metric the list of its values by seed (``values``: metric → values, one entry per seed)."""
     w = best_job_model(scores, models, jobs, metric)
-    ws = winner_scores(scores, w).where(F.col("metric") == metric)
+    every = winner_scores(scores, w)
+    lists = (every.groupBy("experiment", "metric").agg(F.array_sort(F.collect_list(F.struct("seed", "value"))).alias("v"))
+             .groupBy("experiment").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.col("v.value"))))).alias("values")))
+    ws = every.where(F.col("metric") == metric)
     s = ws.groupBy("experiment").agg(F.count("value").alias("n_values"), F.min("value").alias("min_value"),
                                      F.max("value").alias("max_value"), F.avg("value").alias("mean_value"))
-    return w.select("experiment", "job", "model", "n_top").join(s, "experiment")
+    return w.select("experiment", "job", "model", "n_top").join(s, "experiment").join(lists, "experiment")
 
 
 def mean_std_results(scores: DataFrame, models, jobs, metric: str = "roc_auc") -> DataFrame:

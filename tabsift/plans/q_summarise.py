@@ -106,14 +106,23 @@ def rs_best_job_model(spark, sf_dir):
 
 @query("rs_experiment_summary", _sql(
     """SELECT w.experiment, w.job, w.model, w.n_top, s.n_values, round(s.min_value, 6) AS min_value,
-  round(s.max_value, 6) AS max_value, round(s.mean_value, 6) AS mean_value
+  round(s.max_value, 6) AS max_value, round(s.mean_value, 6) AS mean_value, l.values_by_seed
 FROM best_cell w JOIN (SELECT experiment, count(value) AS n_values, min(value) AS min_value, max(value) AS max_value,
-  avg(value) AS mean_value FROM winner_scores WHERE metric = 'roc_auc' GROUP BY experiment) s USING (experiment)""",
+  avg(value) AS mean_value FROM winner_scores WHERE metric = 'roc_auc' GROUP BY experiment) s USING (experiment)
+JOIN (SELECT experiment, string_agg(concat(metric, '=', vs), ';' ORDER BY metric) AS values_by_seed FROM (
+  SELECT experiment, metric, string_agg(CAST(CAST(floor(value * 1e6 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY seed) AS vs
+  FROM winner_scores GROUP BY experiment, metric) GROUP BY experiment) l USING (experiment)""",
     *SUM_CTES, ("best_cell", BEST_CELL), ("winner_scores", WINNER_SCORES)))
 def rs_experiment_summary(spark, sf_dir):
     s = rs.experiment_summary(_scores(spark, sf_dir), MODELS, JOBS)
     return s.select("experiment", "job", "model", "n_top", "n_values",
-                    *[r6(c).alias(c) for c in ("min_value", "max_value", "mean_value")])
+                    *[r6(c).alias(c) for c in ("min_value", "max_value", "mean_value")], _listed("values").alias("values_by_seed"))
+
+
+def _listed(col: str):
+    """A map metric → values as text: metric=v,v,v;… with values in whole millionths (missing ones left out)."""
+    micro = F.transform_values(col, lambda _, v: F.array_join(F.transform(v, lambda x: F.floor(x * 1e6 + 0.5).cast("bigint").cast("string")), ","))
+    return F.array_join(F.transform(F.map_entries(micro), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 
 @query("rs_mean_std", _sql(

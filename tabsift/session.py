@@ -14,29 +14,33 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "tabsift") -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
+def get_spark(app: str = "tabsift", **settings: str) -> SparkSession:
+    """The active session, or one from the launcher's settings and the SQL settings that the library relies on.
+
+    Master, memory and shuffle partitions are the launcher's business: ``settings`` passes any of them on
+    (``get_spark(**{"spark.master": "local[8]"})``), nothing here overrides them.
+    """
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def local_settings(cpus: str | None = None) -> dict[str, str]:
+    """Settings of a one-machine session, for the benchmark, scripts and tests."""
+    cpus = cpus or os.environ.get("BENCH_CPUS", "8")
+    return {"spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
+            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only if unset."""
     sc = spark.sparkContext
@@ -45,8 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: local runs and tests only. A cluster names a shared folder.
-        conf_dir = tempfile.mkdtemp(prefix="tabsift-ckpt-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tabsift-ckpt-")  # one machine only
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
