@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,16 +202,16 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     Rows of one doc_id are one document; where a doc_id is repeated, the row with the least text stays. Rows without a
     doc_id cannot stand for a group and are never removed.
     """
-    found = written(near_duplicates(docs, shingle, max_bits, text, doc_id).select(doc_id, "component_id"), "near-duplicates")
-    stay = found.filter(F.col(doc_id) == F.col("component_id")).select(doc_id)
-    kept = docs.filter(F.col(doc_id).isNotNull()).join(stay, doc_id, "left_semi").select(*docs.columns)
-    if stay.groupBy(doc_id).count().filter("count > 1").limit(1).count():
-        from pyspark.sql import Window
+    found = near_duplicates(docs, shingle, max_bits, text, doc_id).filter(F.col(doc_id).isNotNull())
+    ids = written(found.groupBy(doc_id).agg(F.max(F.col(doc_id) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")),
+                  "near-duplicates")
+    gone = written(ids.filter("not stays").select(doc_id), "removed-ids")  # far fewer than those that stay
+    kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    if ids.filter("stays and rows > 1").limit(1).count():
         name = "row"
         while name in docs.columns:
             name += "_"
         order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (doc_id, text)))
-        kept = kept.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
-    if found.filter(F.col(doc_id).isNull()).limit(1).count():
-        kept = kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+        first = kept.filter(F.col(doc_id).isNotNull()).withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
+        kept = first.unionByName(kept.filter(F.col(doc_id).isNull()))
     return kept
