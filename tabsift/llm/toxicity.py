@@ -29,7 +29,7 @@ from .common import arrow_schema, batch_of, crc_mod, fields, pieces_of
 SAMPLE_PER_CLASS, SAMPLE_WORDS = 4000, 2000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
 #: A letter n-gram (or word) is telling if this share of toxic documents hold it, this many times more often than ordinary ones.
-GRAM, MIN_SHARE, MIN_RATIO = 4, 0.004, 10.0
+GRAM, MIN_SHARE, MIN_RATIO = 4, 0.006, 10.0
 #: Share of ordinary documents that may hold a window over the threshold.
 MAX_FALSE = 0.002
 MEMO_WORDS = 600_000
@@ -107,14 +107,28 @@ def score(text: str | None, model: Model) -> float:
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A trained dictionary; where the samples are too few to train on, their end is the dictionary."""
-    joined = [b" ".join(samples[i:i + 12]) for i in range(0, len(samples), 12)]
+    """A dictionary trained on the samples in mixed (hashed) order; where they are too few to train on, their end is the dictionary."""
+    import xxhash
+    mixed = [s for _, _, s in sorted((xxhash.xxh64_intdigest(s, i % 64), i, s) for i, s in enumerate(samples))]
+    joined = [b" ".join(mixed[i:i + 10]) for i in range(0, len(mixed), 10)]
     try:
         return zstandard.train_dictionary(size, joined, k=segment, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return (b" ".join(samples)[-size:]).rjust(16)
 
 
+def without_copies(documents: list[set[bytes]]) -> list[set[bytes]]:
+    """One of each set of near copies: documents that share their three least-hashed words under either of two seeds."""
+    import xxhash
+    seen, out = set(), []
+    for words in documents:
+        marks = {(seed, tuple(sorted(xxhash.xxh64_intdigest(w, seed) for w in words)[:3])) for seed in (1, 2)}
+        if words and not marks & seen:
+            out.append(words)
+        seen |= marks
+    return out
+
+
 def toxic_samples(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
     """Words, and stretches of words, that are telling of toxic documents: one entry per document that holds them."""
     padded = lambda w: b" " + w + b" "
@@ -198,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     by_class: dict[int, list[set[bytes]]] = {0: [], 1: []}
     for value, held in sorted(zip(rows.column("label").to_pylist(), rows.column("words").to_pylist(), strict=True)):
         by_class[value].append(set(held.split()))
+    by_class = {value: without_copies(documents) for value, documents in by_class.items()}  # a copied text is told once
     if not by_class[0] or not by_class[1]:
         return Model(b"", b"", constant=1.0 if by_class[1] else 0.0)
     counts: Counter = Counter()
