@@ -34,9 +34,55 @@ def _normaliser(method):
 
 
 def _correlation(df, feats, p):
-    kept, _ = sel.correlation_filter(_train(df), feats, p.get("target", "target"), p.get("corr_thresh", 0.95),
-                                     p.get("corr_method", "pearson"))
-    return df, kept
+    """Ranked by |r| with the target, or by permutation importance of a forest (``corr_ranking: forest``)."""
+    target, thresh = p.get("target", "target"), p.get("corr_thresh", 0.95)
+    if p.get("corr_ranking", "pearson") != "forest":
+        kept, _ = sel.correlation_filter(_train(df), feats, target, thresh, p.get("corr_method", "pearson"))
+        return df, kept
+    from ..operators import models_select as ms
+    from ..operators.stats import pair_corr
+    imp = {r["feature"]: r["importance"] for r in ms.permutation_importance(_train(df), feats, target).collect()}
+    ordered = sorted(feats, key=lambda f: (-imp[f], feats.index(f)))
+    ranking = df.sparkSession.createDataFrame([(i + 1, f) for i, f in enumerate(ordered)], "rank bigint, feature string")
+    pairs = pair_corr(_train(df), feats, p.get("corr_method", "pearson"))
+    dropped = {r["feature"] for r in sel.correlation_drops(pairs, ranking, thresh).collect()}
+    return df, [f for f in feats if f not in dropped]
+
+
+def _drop_outliers(df, feats, p):
+    from ..operators.explore import drop_outliers, outlier_limits
+    return drop_outliers(df, feats, outlier_limits(_train(df), feats)), feats
+
+
+def _detect_outliers(df, feats, p):
+    """Reports flagged cells through ``p["report"]`` (a function that takes the table), changes nothing."""
+    from ..operators.explore import detect_outliers
+    if "report" in p:
+        p["report"]("detect_outliers", detect_outliers(_train(df), feats))
+    return df, feats
+
+
+def _univariate_analysis(df, feats, p):
+    from ..operators.explore import corr_to_target
+    if "report" in p:
+        p["report"]("univariate_analysis", corr_to_target(_train(df), feats, p.get("target", "target")))
+    return df, feats
+
+
+def _feature_wiz(df, feats, p):
+    """SULOV, then boosted importances on shrinking feature sets."""
+    from ..operators import models_select as ms
+    kept = sel.sulov(_train(df), feats, p.get("target", "target"), p.get("corr_thresh", 0.95))
+    return df, ms.gbt_recursive_importance(_train(df), kept, p.get("target", "target")) if len(kept) > 1 else kept
+
+
+def _pca(df, feats, p):
+    """Replaces the features by component scores fitted on the train part."""
+    from ..operators.reduce import pca_scores
+    target = p.get("target", "target")
+    scores = pca_scores(df, feats, p.get("n_components"), keep=(), fit_on=_train(df))
+    names = [c for c in scores.columns if c.startswith("pc")]
+    return df.select("id", *[c for c in df.columns if c in (target, "part")]).join(scores, "id"), names
 
 
 def _mrmr(df, feats, p):
@@ -61,6 +107,11 @@ def _model_step(name):
 
 STEPS: dict[str, Callable] = {
     "variance_threshold": _variance,
+    "drop_outliers": _drop_outliers,
+    "detect_outliers": _detect_outliers,
+    "univariate_analysis": _univariate_analysis,
+    "feature_wiz": _feature_wiz,
+    "pca": _pca,
     "correlation": _correlation,
     "mrmr": _mrmr,
     "hand_picked": _hand_picked,

@@ -9,6 +9,7 @@ from ..functions.portable import r6
 from ..operators import explain as xp
 from ..operators import models as ml
 from ..operators import models_select as ms
+from ..operators import select as sel
 from ..operators import summarise as rs
 from ..operators.impute_iterative import iterative_impute
 from ..operators.reduce import pca_scores
@@ -53,7 +54,7 @@ def _rfe_query(name, params):
 
 query("fs_rfecv")(_rfe_query("logistic_regression", MODEL_PARAMS["logistic_regression"]))
 for _m in ("forest", "extreme_forest", "adaboost", "xgboost"):
-    query(f"fs_fr_{_m}")(_rfe_query(_m, {**MODEL_PARAMS[_m], "n_estimators": 5}))
+    query(f"fs_fr_{_m}")(_rfe_query(_m, MODEL_PARAMS[_m]))
 
 
 @query("fs_rfe_curve_fit")
@@ -69,9 +70,12 @@ def fs_importance(spark, sf_dir):
     return ms.importance_table(train, feats, "forest", MODEL_PARAMS["forest"], seed=SEED)
 
 
+N_TOP = 6  # features of the explained model, best ranked first
+
+
 def _shap(spark, sf_dir):
     _, feats, train, test = model_data(spark, sf_dir)
-    top = feats[:6]
+    top = [r["feature"] for r in sel.target_corr_ranking(train, feats).orderBy("rank").limit(N_TOP).collect()]
     n = train.count()
     model = ml.make_estimator("logistic_regression", ml.BINARY, {**MODEL_PARAMS["logistic_regression"], "n_rows": n},
                               SEED).fit(ml.assemble(ml.class_weights(train, "target"), top))
@@ -80,16 +84,29 @@ def _shap(spark, sf_dir):
 
 @query("xp_kernel_shap")
 def xp_kernel_shap(spark, sf_dir):
-    """XP-2: exact Shapley values of the class-1 probability (logistic model on 6 features)."""
+    """XP-2: Shapley values of the class-1 probability (logistic model on the best ranked features)."""
+    model, top, train, test = _shap(spark, sf_dir)
+    return xp.shapley_values(model, "logistic_regression", test, train, top)
+
+
+@query("xp_linear_shap")
+def xp_linear_shap(spark, sf_dir):
+    """XP-2 of the margin: the closed form over all train rows."""
+    model, top, train, test = _shap(spark, sf_dir)
+    return xp.linear_shapley(model, test, train, top)
+
+
+@query("xp_shap_heatmap")
+def xp_shap_heatmap(spark, sf_dir):
     model, top, train, test = _shap(spark, sf_dir)
-    m = model.setRawPredictionCol("rawPrediction")
-    return xp.shapley_values(m, "forest", test, train, top)  # "forest" → probability scores
+    wide = xp.shap_heatmap(xp.linear_shapley(model, test, train, top), top)
+    return wide.select("id", F.array(*[F.col(c) for c in top]).alias("phi"), "total")
 
 
 @query("xp_shap_summary")
 def xp_shap_summary(spark, sf_dir):
     model, top, train, test = _shap(spark, sf_dir)
-    return xp.shap_summary(xp.shapley_values(model, "forest", test, train, top))
+    return xp.shap_summary(xp.shapley_values(model, "logistic_regression", test, train, top))
 
 
 @query("xp_coefficients")

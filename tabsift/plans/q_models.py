@@ -9,14 +9,20 @@ from ..functions.portable import r6
 from ..operators import models as ml
 from ..operators import select as sel
 from ..operators.evaluate import roc_auc
-from ..operators.split import repeated_stratified_kfold
-from ..sources.fixtures import predictions, with_fixtures
+from ..operators import summarise as rs
+from ..operators.impute import simple_impute
+from ..operators.split import generate_seeds, repeated_stratified_kfold, stratified_split
+from ..sources.fixtures import W1_FEATURES, doc_features, predictions, with_fixtures
 from . import sqlgen
 from .flagship import VAR_P, prepared_train_test
+from .jobs import job_name, run_job
 from .q_scale import _prepared as w2_prepared
 from .registry import query
 
 SEED = 42
+SEED_INIT = 545
+N_TOPS = (2, 4, 6, 8, 10, 15, 20, 25, 30)  # feature counts of the verification
+VERIFIED = ("logistic_regression", "svm", "forest", "adaboost", "xgboost")
 
 
 def model_data(spark, sf_dir):
@@ -52,7 +58,7 @@ MODEL_PARAMS = {
     "svm": {"C": 1.0, "max_iter": 100},
     "forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt", "bootstrap": True},
     "extreme_forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt"},
-    "adaboost": {"n_estimators": 5, "learning_rate": 1.0},
+    "adaboost": {"n_estimators": 10, "learning_rate": 1.0},
     "xgboost": {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3},
 }
 
@@ -66,14 +72,17 @@ REG_PARAMS = {"lasso": {"alpha": 10.0}, "lassolars": {"alpha": 10.0}, "elastic_n
               "omp": {"n_nonzero_coefs": 3}}
 REG_FEATS = ["acctbal", "order_month", "priority", "nation", "is_building", "n_lines", "qty", "price", "disc", "tax"]
 
-for _name, _params in REG_PARAMS.items():
+REG_TREES = {"forest": {"n_estimators": 10, "max_depth": 5}, "extreme_forest": {"n_estimators": 10, "max_depth": 5},
+             "adaboost": {"n_estimators": 10, "learning_rate": 1.0}, "xgboost": {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3}}
+
+for _name, _params in {**REG_PARAMS, **REG_TREES}.items():
     def _r(spark, sf_dir, _n=_name, _p=_params):
         d = w2_prepared(spark, sf_dir).cache()
         tr = ml.assemble(d.where("part = 'train'"), REG_FEATS)
         model = ml.make_estimator(_n, ml.REGRESSION, _p, SEED, label="totalprice").fit(tr)
         out = ml.predict_scores(model, ml.assemble(d.where("part = 'test'"), REG_FEATS), _n, ml.REGRESSION)
         return out.select("id", F.col("totalprice").alias("y_true"), "score")
-    query(f"ml_{_name}")(_r)
+    query(f"ml_{_name}" + ("_regression" if _name in REG_TREES else ""))(_r)
 
 
 @query("ml_grid_search")
@@ -102,23 +111,47 @@ def ml_voting_regression(spark, sf_dir):
 
 @query("ml_verify_top_n")
 def ml_verify_top_n(spark, sf_dir):
-    """ML-16: for n in the list (≤ the number of ranked features), fit each model on the top n
-    features of the ranking and score the test part."""
-    imp, feats, train, test = model_data(spark, sf_dir)
+    """ML-16: for every n of the list (≤ the number of ranked features), each model on the top n
+    features of the ranking; AUC on the test part."""
+    _, feats, train, test = model_data(spark, sf_dir)
     ranking = [r["feature"] for r in sel.target_corr_ranking(train, feats).orderBy("rank").collect()]
-    n_list = [n for n in (2, 4, 6) if n <= len(ranking)] or [len(ranking)]
-    rows = []
-    n = train.count()
-    for n_top in n_list:
-        top = ranking[:n_top]
-        for name in ("logistic_regression", "forest"):
-            tr = ml.assemble(ml.class_weights(train, "target"), top)
-            model = ml.make_estimator(name, ml.BINARY, {**MODEL_PARAMS[name], "n_rows": n}, SEED).fit(tr)
-            pr = ml.predict_scores(model, ml.assemble(test, top), name)
-            auc = roc_auc(pr.select(F.lit(0).alias("run"), "id", F.col("target").cast("int").alias("y_true"), "score"),
-                          ["run"]).first()["roc_auc"]
-            rows.append((n_top, name, auc))
-    return spark.createDataFrame(rows, "n_top int, model string, roc_auc double")
+    pred = ml.verify_top_n(train, test, ranking, N_TOPS, {m: MODEL_PARAMS[m] for m in VERIFIED}, seed=SEED)
+    return roc_auc(pred, ["n_top", "model"])
+
+
+E2E_SEEDS = 2
+E2E_JOBS = (["variance_threshold", "z_score_norm", "correlation", "mrmr"], ["variance_threshold", "z_score_norm", "sulov"])
+E2E_N_TOPS = (2, 4)
+E2E_MODELS = ("logistic_regression", "forest")
+
+
+def end_to_end(spark, sf_dir, n_seeds=E2E_SEEDS, jobs=E2E_JOBS, n_tops=E2E_N_TOPS, models=E2E_MODELS):
+    """seeds → split → impute → jobs → verification: the predictions of every run as one written table."""
+    table = None
+    base = doc_features(spark, sf_dir)
+    for seed in generate_seeds(SEED_INIT, n_seeds):
+        split = stratified_split(base, 0.3, seed)
+        data = simple_impute(split, W1_FEATURES).cache()
+        for steps in jobs:
+            frame, feats = run_job(data, W1_FEATURES, steps, {"n_top_features": list(n_tops)})
+            if not feats:
+                continue
+            pred = ml.verify_top_n(frame.where(F.col("part") == "train"), frame.where(F.col("part") == "test"), feats, n_tops,
+                                   {m: MODEL_PARAMS[m] for m in models}, seed=SEED)
+            pred = pred.select(F.lit("exp0").alias("experiment"), F.lit(int(seed)).cast("bigint").alias("seed"), F.lit(job_name(steps)).alias("job"), "*")
+            table = pred if table is None else table.unionByName(pred)
+        data.unpersist()
+    return table
+
+
+@query("run_end_to_end")
+def run_end_to_end(spark, sf_dir):
+    """One study from seeds to the winner: its scores at the Youden threshold and the winning cell, from real predictions."""
+    pred = end_to_end(spark, sf_dir)
+    scores = rs.run_scores(pred, youden=True)
+    winner = rs.best_job_model(scores, list(E2E_MODELS), [job_name(j) for j in E2E_JOBS]).select("experiment", "job", "model", "n_top")
+    return scores.join(F.broadcast(winner.withColumn("wins", F.lit(True))), ["experiment", "job", "model", "n_top"], "left").select(
+        "experiment", "seed", "job", "n_top", "model", "metric", r6("value").alias("value"), F.coalesce("wins", F.lit(False)).alias("wins"))
 
 
 @query("ml_predict_scores")
