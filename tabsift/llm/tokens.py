@@ -13,8 +13,8 @@ import re
 
 #: The end id that follows every document.
 END_ID = 2
-#: Chunks kept by a worker before it starts afresh; longer chunks than MEMO_BYTES are encoded each time.
-MEMO_CHUNKS, MEMO_BYTES = 600_000, 48
+#: Chunks kept by a worker before the older half is let go; longer chunks than MEMO_BYTES are encoded each time.
+MEMO_CHUNKS, MEMO_BYTES = 400_000, 48
 
 #: Signs cut from a word's end on their own: after a letter, a run of them is one token word.
 _SIGNS = b".,!&%$*#|;:?\""
@@ -37,6 +37,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[bytes, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,19 +52,30 @@ class WordIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(chunk) > MEMO_BYTES:
             return self.whole(chunk.decode())
-        core = chunk.rstrip(_SIGNS)
-        if len(core) < len(chunk) and core[-1:].isalpha():
-            ids = self[core] + self[chunk[len(core):]]
-        elif _PLAIN.fullmatch(text := chunk.decode()):  # one token word: the vocabulary's model alone decides
-            units = text.lower().encode().decode("latin-1").translate(self.letters)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(units)])
-        else:
-            ids = self.whole(text)
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self._encoded(chunk)
         if len(self) >= MEMO_CHUNKS:
+            self.before = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
+    def _encoded(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters are their own byte-level units
+            return self._one(chunk.lower().decode())
+        core = chunk.rstrip(_SIGNS)
+        if len(core) < len(chunk) and core[-1:].isalpha():
+            return self[core] + self[chunk[len(core):]]
+        text = chunk.decode()
+        if _PLAIN.fullmatch(text):
+            return self._one(text.lower().encode().decode("latin-1").translate(self.letters))
+        return self.whole(text)
+
+    def _one(self, units: str) -> bytes:
+        """Ids of one token word, given as byte-level units: the vocabulary's model alone decides."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(units)])
+
     def text(self, text: str | None, end_id: int = END_ID) -> bytes:
         """All ids of a text (null: none) and the end id."""
         end = end_id.to_bytes(4, "little")
