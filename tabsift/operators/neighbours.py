@@ -1,16 +1,4 @@
-"""Exact k nearest neighbours without forming all row pairs, and the SMOTE family built on it
-(OS-2 smote, OS-3 borderline smote, OS-7 adasyn).
-
-kNN: every reference row gets t = u·x for the unit vector u of largest spread and a dense position in
-t-order (bucketed positions, no group-wide window). Positions are cut into blocks of W rows;
-a query meets the reference rows of its own and the two adjacent blocks through an equi-join
-on the block number, so each query sees at most 3W candidates. Because |t − t_q| ≤ ‖x − q‖,
-the k best candidates are the exact answer when no row outside those blocks can lie within
-the k-th distance: t_q − d_k must exceed the largest t below the candidate blocks and
-t_q + d_k must stay under the smallest t above them. Queries that fail the test are retried
-with a four times wider W (only those queries), which always ends, at the latest when one
-block holds every row.
-"""
+"""Oversampling on exact nearest neighbours (OS-2…8); the search itself is ``nearest.knn``."""
 
 from __future__ import annotations
 
@@ -19,87 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash52, hash_unit
-from .positions import hash_positions, value_positions
-
-
-def _direction(refs: DataFrame, features, seed: int) -> list[float]:
-    """Unit vector of the largest spread of ``refs`` (top eigenvector of the covariance, from one
-    moments pass and a p × p solve on the driver); a seeded random direction if that fails."""
-    from .stats import pair_moments
-    p = len(features)
-    try:
-        m = {(r["a"], r["b"]): r for r in pair_moments(refs, features, with_diag=True).collect()}
-        cov = np.zeros((p, p))
-        for i, a in enumerate(features):
-            for j, b in enumerate(features):
-                r = m.get((a, b)) or m.get((b, a))
-                if r is None or r["n"] < 2:
-                    raise ValueError("too few rows")
-                sa, sb = (r["sa"], r["sb"]) if (a, b) in m else (r["sb"], r["sa"])
-                cov[i, j] = r["sab"] / r["n"] - (sa / r["n"]) * (sb / r["n"])
-        w, v = np.linalg.eigh(cov)
-        u = v[:, int(np.argmax(w))]
-        if np.all(np.isfinite(u)) and np.linalg.norm(u) > 0:
-            return list(u / np.linalg.norm(u))
-    except (ValueError, np.linalg.LinAlgError):
-        pass
-    v = np.random.default_rng(seed).normal(size=p)
-    return list(v / np.linalg.norm(v))
-
-
-def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", window: int = 256,
-        exclude_self: bool = True, seed: int = 0) -> DataFrame:
-    """(qid, rid, dist, rank) for the k nearest reference rows of every query row (rank 1 = nearest,
-    ties by reference key). Rows must have no missing feature."""
-    feats = list(features)
-    u = _direction(refs, feats, seed)
-    proj = sum((F.col(f) * F.lit(float(w)) for f, w in zip(feats, u)), F.lit(0.0))
-    r = refs.select(F.col(key).alias("rid"), *[F.col(f).alias(f"r_{f}") for f in feats],
-                    proj.alias("t")).cache()
-    n = r.count()
-    # dense position in t order: rows before each distinct t from value_positions; rows sharing a t
-    # (duplicates) are numbered by bucketed hash positions, so a heavy tie never sits in one task
-    vp = value_positions(r, [], "t").cache()
-    biggest = vp.agg(F.max("cnt")).first()[0] or 1
-    r = r.withColumn("_h", hash52(F.col("rid"), F.lit("knn")))
-    r = hash_positions(r, ["t"], "_h", "rid", out="_tie", max_group_rows=biggest)
-    r = (r.join(vp.select(F.col("value").alias("t"), "cum"), "t")
-          .withColumn("pos", F.col("cum") + F.col("_tie")).drop("cum", "_tie", "_h")).cache()
-    q = queries.select(F.col(key).alias("qid"), *[F.col(f).alias(f"q_{f}") for f in feats], proj.alias("tq"))
-    # a query's position: the reference rows with smaller t (queries are usually reference rows too)
-    qpos = q.join(r.select(F.col("t").alias("tq"), F.col("pos").alias("p0")).groupBy("tq").agg(F.min("p0").alias("qp")),
-                  "tq", "left")
-    pending = qpos.cache()
-    found = None
-    w = max(window, k + 1)
-    while True:
-        blocks = r.withColumn("blk", F.floor(F.col("pos") / w).cast("bigint"))
-        bstat = blocks.groupBy("blk").agg(F.min("t").alias("tmin"), F.max("t").alias("tmax"))
-        qb = pending.withColumn("blk", F.floor(F.coalesce(F.col("qp"), F.lit(n - 1)) / w).cast("bigint"))
-        cand = (qb.withColumn("cblk", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)))
-                .join(blocks.withColumnRenamed("blk", "cblk"), "cblk"))
-        if exclude_self:
-            cand = cand.where(F.col("qid") != F.col("rid"))
-        d2 = sum(((F.col(f"q_{f}") - F.col(f"r_{f}")) ** 2 for f in feats), F.lit(0.0))
-        cand = cand.select("qid", "blk", "tq", "rid", F.sqrt(d2).alias("dist"))
-        ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "rid")))
-        top = ranked.where(F.col("rank") <= k)
-        dk = top.groupBy("qid", "blk", "tq").agg(F.max("dist").alias("dk"), F.count(F.lit(1)).alias("nk"))
-        below = bstat.select((F.col("blk") + 2).alias("blk"), F.col("tmax").alias("t_below"))
-        above = bstat.select((F.col("blk") - 2).alias("blk"), F.col("tmin").alias("t_above"))
-        chk = dk.join(below, "blk", "left").join(above, "blk", "left")
-        ok = ((F.col("t_below").isNull() | (F.col("tq") - F.col("dk") > F.col("t_below")))
-              & (F.col("t_above").isNull() | (F.col("tq") + F.col("dk") < F.col("t_above"))))
-        full = w >= n  # one block holds every row: nothing can be outside
-        good = chk.where(ok | F.lit(full)).select("qid").cache()
-        res = top.join(good, "qid").select("qid", "rid", "dist", F.col("rank").cast("bigint").alias("rank")).cache()
-        res.count()  # queries × k rows; kept so later rounds do not recompute this one
-        found = res if found is None else found.unionByName(res)
-        pending = pending.join(good, "qid", "left_anti").cache()
-        if full or pending.count() == 0:
-            break
-        w *= 4
-    return found
+from .nearest import knn
+from .positions import hash_positions
 
 
 # ---------------------------------------------------------------- SMOTE family
@@ -131,6 +40,8 @@ def smote(train: DataFrame, features, target: str = "target", k: int = 5, seed:
     spark = train.sparkSession
     if need <= 0:
         return spark.createDataFrame([], _schema(features, target, key))
+    if n_min <= k:
+        raise ValueError(f"{k} neighbours need at least {k + 1} minority rows; there are {n_min}")
     nn = knn(mino, mino, features, k, key, seed=seed)
     d = mino.withColumn("_h", hash52(F.col(key), F.lit(str(seed)), F.lit("smote")))
     d = hash_positions(d, [], "_h", key, out="_pos", max_group_rows=n_min).select(key, "_pos")
@@ -345,7 +256,7 @@ def kmeans_smote(train: DataFrame, features, target: str = "target", k: int = 5,
     and that hold more than k minority rows are oversampled. A cluster's weight is its sparsity
     (RMS distance between its minority rows, from moments, to the power of the feature count, over its
     minority count), normalised; SMOTE then runs inside each cluster. Within-cluster neighbours are
-    exact: a cluster column scaled beyond the data diameter separates the clusters in the search."""
+    exact: the clusters are searched one by one."""
     from pyspark.ml.clustering import KMeans
     from .models import assemble
     cls, n_min, n_maj = _minority(train, target)
@@ -375,10 +286,11 @@ def kmeans_smote(train: DataFrame, features, target: str = "target", k: int = 5,
         return empty
     keep = list(weights)
     mino = lab.where((F.col(target) == F.lit(float(cls))) & F.col("cluster").isin(keep)).cache()
-    span = mino.agg(*[(F.max(f) - F.min(f)).alias(f) for f in features]).first()
-    diameter = float(sum((span[f] or 0.0) ** 2 for f in features) ** 0.5) or 1.0
-    emb = mino.withColumn("_cl", F.col("cluster").cast("double") * F.lit(10.0 * diameter))
-    nn = knn(emb, emb, list(features) + ["_cl"], k, key, seed=seed)
+    nn = None
+    for c in sorted(keep):  # at most n_clusters
+        rows_c = mino.where(F.col("cluster") == c)
+        one = knn(rows_c, rows_c, features, k, key, seed=seed)
+        nn = one if nn is None else nn.unionByName(one)
     out = empty
     offset = 0
     for c in sorted(keep):
@@ -391,3 +303,38 @@ def kmeans_smote(train: DataFrame, features, target: str = "target", k: int = 5,
         out = out.unionByName(_generate(base, mino, nn, features, target, cls, seed, key, "kms", 1.0))
         offset += cnt
     return out
+
+
+OVERSAMPLERS = {
+    "binary_classification": ("smoten", "smotenc", "svmsmote", "borderlinesmote", "randomoversampler"),
+    "regression": ("adasyn", "smote", "kmeanssmote", "randomoversampler"),
+}
+
+
+def oversample(train: DataFrame, method: str, features, task: str = "binary_classification", target: str = "target",
+               seed: int = 0, key: str = "id", categorical=(), bins: int = 4) -> DataFrame:
+    """The oversampler of a task by name; unknown pairs are refused. Synthetic rows (or the drawn copies).
+
+    A regression target is balanced over its quantile bins (``bins`` classes, column ``_bin``): the method sees the bin as
+    the class, and the target as one more coordinate of the rows, so that synthetic rows carry a target between those
+    of their neighbours.
+    """
+    name = method.lower()
+    if name not in OVERSAMPLERS.get(task, ()):
+        raise ValueError(f"unknown oversampler {method!r} for {task}; known: {OVERSAMPLERS.get(task, ())}")
+    features, label = list(features), target
+    if task == "regression":
+        from .positions import exact_quantiles
+        cuts = sorted({r["q"] for r in exact_quantiles(train, [], target, [i / bins for i in range(1, bins)]).collect()})
+        label = "_bin"
+        train = train.withColumn(label, sum(((F.col(target) > c).cast("double") for c in cuts), F.lit(0.0)))
+        features = [*features, target]
+    if name == "randomoversampler":
+        from .resample import random_oversample
+        return random_oversample(train, seed, label, key)
+    if name == "smoten":
+        return smoten(train, features, label, seed=seed, key=key)
+    if name == "smotenc":
+        return smotenc(train, [f for f in features if f not in categorical], list(categorical), label, seed=seed, key=key)
+    fn = {"svmsmote": svm_smote, "borderlinesmote": borderline_smote, "adasyn": adasyn, "smote": smote, "kmeanssmote": kmeans_smote}[name]
+    return fn(train, features, label, seed=seed, key=key)
