@@ -8,6 +8,7 @@ of all. The fences are the outer quartile fences of the group that applies, join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,11 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Measures and the least distance of a fence from its quartile (low side, high side; None: no fence on that side).
 MEASURES = {
-    "word_length": (1.5, 1.5),   # mean code points of a word
+    "word_length": (2.0, 2.0),   # mean code points of a word
     "symbols": (None, 0.1),      # symbols per word
-    "dup_lines": (None, 0.3),    # repeated lines among lines with a word
-    "repeats": (None, 0.15),     # words in repeated windows per word
+    "dup_lines": (None, 0.5),    # repeated lines among lines with a word
+    "repeats": (None, 0.3),      # words in repeated windows per word
+    "echoes": (None, 0.2),       # words equal to the one before per word
     "capitals": (None, 0.3),     # ASCII capitals per code point of the words
 }
 #: Interquartile ranges from a quartile to its fence; documents under which a group uses the wider group's sketch.
@@ -34,7 +36,7 @@ FENCE, MIN_GROUP = 4.0, 200
 #: Sketch size, and rows of the fence table up to which it is broadcast.
 SKETCH_K, MAX_BROADCAST_ROWS = 400, 50_000
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_echoes")
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -70,7 +72,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     lines = [line for line in raw.split(b"\n") if line and not line.isspace()] if words else []
     return (len(words), len(text or "") - sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")),
             sum(raw.count(SYMBOLS[i:i + 1]) for i in range(len(SYMBOLS))), len(lines) - len(set(lines)), repeated_words(words),
-            len(lines), len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+            len(lines), len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")), sum(map(eq, words, words[1:])))
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text", name: str = "measured") -> DataFrame:
@@ -94,7 +96,7 @@ def measures(counts: str = "measured") -> dict:
     c = lambda n: F.col(f"{counts}.{n}")
     words, chars, lines = (F.when(c(n) > 0, c(n)) for n in ("n_words", "word_chars", "n_lines"))
     return {"word_length": c("word_chars") / words, "symbols": c("n_symbols") / words, "dup_lines": c("n_dup_lines") / lines,
-            "repeats": c("n_repeat_words") / words, "capitals": c("n_capitals") / chars}
+            "repeats": c("n_repeat_words") / words, "echoes": c("n_echoes") / words, "capitals": c("n_capitals") / chars}
 
 
 def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts: str = "measured") -> DataFrame:
