@@ -60,7 +60,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds at most ``max_bytes`` in each piece (or one row): bounds a task's memory."""
     for batch in batches:
         start, held = 0, 0

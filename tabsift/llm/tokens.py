@@ -14,7 +14,7 @@ import re
 #: The end id that follows every document.
 END_ID = 2
 #: Chunks kept by a worker before the older half is let go; longer chunks than MEMO_BYTES are encoded each time.
-MEMO_CHUNKS, MEMO_BYTES = 400_000, 48
+MEMO_CHUNKS, MEMO_BYTES = 200_000, 48
 
 #: Signs cut from a word's end on their own: after a letter, a run of them is one token word.
 _SIGNS = b".,!&%$*#|;:?\""
@@ -56,7 +56,8 @@ class WordIds(dict):
         if ids is None:
             ids = self._encoded(chunk)
         if len(self) >= MEMO_CHUNKS:
-            self.before = dict(self)
+            self.before.clear()
+            self.before.update(self)
             self.clear()
         self[chunk] = ids
         return ids
