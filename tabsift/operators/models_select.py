@@ -1,10 +1,7 @@
 """Model-driven feature selection (FS-3, FS-8…FS-12).
 
-* ``univariate_ranking`` trains every one-feature logistic model at once:
-  Newton steps are group-by aggregates of gradient and Hessian sums per
-  (feature, held-out fold, penalty), so all features, folds and penalties
-  advance in the same scan; only the p × folds × penalties parameter table
-  goes to the driver.
+* ``univariate_ranking`` scores every one-feature logistic model of the whole
+  grid from class means and one AUC per feature and fold (see there).
 * ``permutation_importance`` scores all (feature, repeat) permutations in one
   batched ``transform``; a permutation is an exact hash-ordered re-pairing of
   rows (positions joined to positions), not a driver shuffle.
@@ -17,7 +14,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash52
@@ -26,61 +23,43 @@ from .evaluate import roc_auc
 from .frames import to_long
 from .positions import hash_positions
 from .split import repeated_stratified_kfold
+from .stats import column_centers
 
 
 # ---------------------------------------------------------------- FS-9
-def univariate_scores(train: DataFrame, features, target: str = "target", cs=(0.1, 1.0, 10.0), n_splits: int = 3,
-                      seed: int = 0, iters: int = 8) -> DataFrame:
-    """(feature, c, mean_auc) of one-feature logistic models (intercept + slope, L2 penalty 1/C on the
-    slope, balanced class weights) cross-validated over stratified folds."""
-    folds = repeated_stratified_kfold(train.select("id", target), n_splits, 1, seed, target=target).select("id", "fold")
-    long = to_long(train.select("id", target, *features), ["id", target], features).where(F.col("value").isNotNull())
-    long = long.join(folds, "id")
-    cls = train.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
-    n = train.count()
-    k_cls = cls.count()
-    wts = cls.select(target, (F.lit(float(n)) / (F.lit(float(k_cls)) * F.col("_nc"))).alias("w"))
-    long = long.join(F.broadcast(wts), target)  # one row per class
-    # every row trains the models of the folds it is not held out from, for every penalty
-    ex = (long.withColumn("fk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_splits - 1).cast("bigint"))))
-          .where(F.col("fk") != F.col("fold"))
-          .withColumn("lam", F.explode(F.array(*[F.lit(1.0 / c) for c in cs])))).cache()
-    params = {(f, k, 1.0 / c): (0.0, 0.0) for f in features for k in range(n_splits) for c in cs}
-    spark = train.sparkSession
-    for _ in range(iters):
-        p_df = spark.createDataFrame([(f, k, lam, b0, b1) for (f, k, lam), (b0, b1) in params.items()],
-                                     "feature string, fk bigint, lam double, b0 double, b1 double")
-        j = ex.join(F.broadcast(p_df), ["feature", "fk", "lam"])  # p × folds × penalties rows
-        pr = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("b0") + F.col("b1") * F.col("value"))))
-        r = (pr - F.col(target)) * F.col("w")
-        h = pr * (1 - pr) * F.col("w")
-        sums = j.groupBy("feature", "fk", "lam", "b0", "b1").agg(
-            F.sum(r).alias("g0"), F.sum(r * F.col("value")).alias("g1"), F.sum(h).alias("h00"),
-            F.sum(h * F.col("value")).alias("h01"), F.sum(h * F.col("value") * F.col("value")).alias("h11")).collect()
-        moved = 0.0
-        for s in sums:
-            lam = s["lam"]
-            g0, g1 = s["g0"], s["g1"] + lam * s["b1"]
-            a, b, d = s["h00"], s["h01"], s["h11"] + lam
-            det = a * d - b * b
-            if det <= 1e-300:
-                continue
-            d0 = (d * g0 - b * g1) / det
-            d1 = (-b * g0 + a * g1) / det
-            key = (s["feature"], s["fk"], lam)
-            params[key] = (s["b0"] - d0, s["b1"] - d1)
-            moved = max(moved, abs(d0), abs(d1))
-        if moved < 1e-8:
-            break
-    ex.unpersist()
-    p_df = spark.createDataFrame([(f, k, lam, b0, b1) for (f, k, lam), (b0, b1) in params.items()],
-                                 "feature string, fk bigint, lam double, b0 double, b1 double")
-    held = long.join(F.broadcast(p_df), (long["feature"] == p_df["feature"]) & (long["fold"] == p_df["fk"]))
-    held = held.select(p_df["feature"], "fk", "lam", "id", F.col(target).cast("int").alias("y_true"),
-                       (F.col("b0") + F.col("b1") * F.col("value")).alias("score"))
-    auc = roc_auc(held, ["feature", "fk", "lam"])
-    return (auc.groupBy("feature", "lam").agg(F.avg("roc_auc").alias("mean_auc"))
-            .select("feature", (1.0 / F.col("lam")).alias("c"), "mean_auc"))
+#: The penalties and strengths of the univariate models, and the share of the absolute part in an elastic net.
+PENALTIES, STRENGTHS, L1_RATIO = ("l1", "l2", "elasticnet"), tuple(10.0 ** e for e in range(-4, 5)), 0.5
+
+
+def univariate_scores(train: DataFrame, features, target: str = "target", penalties=PENALTIES, cs=STRENGTHS, n_splits: int = 3,
+                      n_repeats: int = 10, seed: int = 0) -> DataFrame:
+    """(feature, penalty, c, mean_auc) of one-feature logistic models (intercept, balanced classes) over repeated folds.
+
+    The AUC of a one-feature model depends on its slope's sign alone: it is the feature's own AUC on the held-out
+    fold, turned round for a falling slope, one half for none. The sign needs no fit. By convexity the slope has the
+    sign of G = n / 4 · (mean of class 1 − mean of class 0) on the training folds, and a penalty with absolute part
+    r (1 for l1, L1_RATIO for an elastic net, 0 for l2) keeps it at zero exactly where C · |G| ≤ r. So all
+    strengths and penalties come from class means and one AUC per feature and fold, exactly.
+    """
+    feats = list(features)
+    folds = repeated_stratified_kfold(train.select("id", target), n_splits, n_repeats, seed, target=target).select("id", "repeat", "fold")
+    centers = column_centers(train, feats)
+    shifted = train.select("id", target, *[(F.col(f).cast("double") - F.lit(centers[f])).alias(f) for f in feats])
+    long = to_long(shifted, ["id", target], feats).where(F.col("value").isNotNull())
+    runs = ["feature", "repeat", "fold"]
+    rows = long.join(folds, "id")
+    own = rows.groupBy(*runs).agg(*[e for c in (0, 1) for e in (
+        F.count(F.when(F.col(target) == c, 1)).alias(f"n{c}"), F.sum(F.when(F.col(target) == c, F.col("value"))).alias(f"s{c}"))])
+    w = Window.partitionBy("feature", "repeat")  # the folds of one repeat
+    rest = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w) - F.coalesce(F.col(c), F.lit(0.0))
+    g = own.select(*runs, ((rest("n0") + rest("n1")) / 4 * (F.try_divide(rest("s1"), rest("n1")) - F.try_divide(rest("s0"), rest("n0")))).alias("g"))
+    auc = roc_auc(rows.select(*runs, "id", F.col(target).cast("int").alias("y_true"), F.col("value").alias("score")), runs)
+    grid = F.explode(F.array(*[F.struct(F.lit(p).alias("penalty"), F.lit(float(c)).alias("c"),
+                                        F.lit({"l1": 1.0, "l2": 0.0, "elasticnet": L1_RATIO}[p]).alias("r")) for p in penalties for c in cs]))
+    each = auc.join(g, runs).select(*runs, "roc_auc", "g", grid.alias("p")).select("*", "p.*")
+    value = (F.when(F.abs("g") * F.col("c") <= F.col("r"), F.when(F.col("roc_auc").isNotNull(), 0.5)).when(F.col("g") > 0, F.col("roc_auc"))
+             .when(F.col("g") < 0, 1 - F.col("roc_auc")).when(F.col("roc_auc").isNotNull(), 0.5))
+    return each.groupBy("feature", "penalty", "c").agg(F.avg(value).alias("mean_auc"))
 
 
 def univariate_ranking(train: DataFrame, features, target: str = "target", threshold: float = 0.0, **kw) -> DataFrame:

@@ -1,13 +1,12 @@
 """Yeo–Johnson power normaliser (NO-8): maximum-likelihood λ per feature on train, then z-score.
 
-The log-likelihood of every λ on a grid is one aggregate (rows × grid through a
-Generate, summed per (feature, λ) with partial aggregation); golden-section
-steps refine λ between grid neighbours, two λ per feature per pass.
+The log-likelihood of a grid of λ for all features is one aggregate; grids narrow
+(or move outwards) pass by pass until λ is found to the tolerance.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 from .frames import to_long
 from .scale import apply_linear, fit_linear
 
-GRID = [round(-3.0 + 0.25 * i, 2) for i in range(25)]
-
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
     pos = x >= 0
@@ -27,47 +24,55 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 
 
 def _loglik(long: DataFrame, lams: DataFrame) -> DataFrame:
-    """(feature, lam, ll) for the (feature, lam) pairs in ``lams`` (small, broadcast)."""
+    """(feature, lam, ll) for the (feature, lam) pairs in ``lams`` (small, broadcast); central moments, so large values cost no digits."""
     j = long.join(F.broadcast(lams), "feature")
     psi = yeo_johnson(F.col("value"), F.col("lam"))
     g = j.groupBy("feature", "lam").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(psi).alias("s"), F.sum(psi * psi).alias("ss"),
+        F.count(F.lit(1)).cast("double").alias("n"), F.var_pop(psi).alias("var"),
         F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("sl"))
-    var = F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2
-    ll = -F.col("n") / 2 * F.log(F.greatest(var, F.lit(1e-300))) + (F.col("lam") - 1) * F.col("sl")
+    ll = -F.col("n") / 2 * F.log(F.greatest(F.col("var"), F.lit(1e-300))) + (F.col("lam") - 1) * F.col("sl")
     return g.select("feature", "lam", ll.alias("ll"))
 
 
-def fit_lambdas(train: DataFrame, features, refine_steps: int = 4) -> dict[str, float]:
+#: Values of λ tried inside a bracket in one pass; the width at which a bracket is narrow enough; the widest range.
+POINTS, TOLERANCE, WIDEST = 16, 1e-6, 200.0
+
+
+def fit_lambdas(train: DataFrame, features, tolerance: float = TOLERANCE) -> dict[str, float]:
+    """Maximum-likelihood λ per feature (features without values are left out).
+
+    A pass scores a grid of λ for all features at once. A bracket whose best point is an end moves on outwards and
+    doubles; else it shrinks to the neighbours of its best point, until it is narrower than ``tolerance``. A feature whose likelihood still rises at ±WIDEST is said so.
+    """
     long = to_long(train, [], features).where(F.col("value").isNotNull()).cache()
     spark = train.sparkSession
-    grid = spark.createDataFrame([(f, float(lam)) for f in features for lam in GRID], "feature string, lam double")
-    got = {}
-    for r in _loglik(long, grid).collect():
-        got.setdefault(r["feature"], []).append((r["lam"], r["ll"]))
-    brackets = {}
-    for f, vals in got.items():
-        vals.sort()
-        i = max(range(len(vals)), key=lambda t: (vals[t][1], -t))
-        lo = vals[max(i - 1, 0)][0]
-        hi = vals[min(i + 1, len(vals) - 1)][0]
-        brackets[f] = [lo, hi, vals[i][0], vals[i][1]]
-    phi = (math.sqrt(5) - 1) / 2
-    for _ in range(refine_steps):
-        pts = []
-        for f, (lo, hi, _, _) in brackets.items():
-            pts += [(f, hi - phi * (hi - lo)), (f, lo + phi * (hi - lo))]
-        res = {(r["feature"], r["lam"]): r["ll"] for r in
-               _loglik(long, spark.createDataFrame(pts, "feature string, lam double")).collect()}
-        for f, (lo, hi, best, bll) in list(brackets.items()):
-            c, d = hi - phi * (hi - lo), lo + phi * (hi - lo)
-            fc, fd = res[(f, c)], res[(f, d)]
-            for lam, ll in ((c, fc), (d, fd)):
-                if ll > bll:
-                    best, bll = lam, ll
-            brackets[f] = [lo, d, best, bll] if fc >= fd else [c, hi, best, bll]
+    ends = train.agg(*[e for i, f in enumerate(features) for e in (F.min(f).alias(f"l{i}"), F.max(f).alias(f"h{i}"))]).first()
+    spread = {f: (ends[f"l{i}"], ends[f"h{i}"]) for i, f in enumerate(features)}
+    done = {f: 1.0 for f, (lo, hi) in spread.items() if lo is not None and lo == hi}  # every λ is as good for a constant
+    open_ = {f: (-3.0, 3.0) for f, (lo, hi) in spread.items() if lo is not None and lo != hi}
+    while open_:
+        pts = [(f, lo + (hi - lo) * i / POINTS) for f, (lo, hi) in open_.items() for i in range(POINTS + 1)]
+        got: dict[str, list] = {}
+        for r in _loglik(long, spark.createDataFrame(pts, "feature string, lam double")).collect():
+            if r["ll"] is not None and r["ll"] == r["ll"]:
+                got.setdefault(r["feature"], []).append((r["lam"], r["ll"]))
+        for f in list(open_):
+            vals = sorted(got.get(f, []))
+            lo, hi = open_.pop(f)
+            if not vals:
+                continue  # no values in train
+            i = max(range(len(vals)), key=lambda t: (vals[t][1], -abs(vals[t][0] - 1)))
+            if i in (0, len(vals) - 1) and abs(vals[i][0]) < WIDEST and hi - lo >= tolerance:
+                step = (hi - lo) / POINTS
+                open_[f] = (vals[i][0] - 2 * (hi - lo), vals[i][0] + step) if i == 0 else (vals[i][0] - step, vals[i][0] + 2 * (hi - lo))
+            elif i in (0, len(vals) - 1) or hi - lo < tolerance * POINTS:
+                if abs(vals[i][0]) >= WIDEST:
+                    warnings.warn(f"the likelihood of {f!r} still rises at a power of {vals[i][0]:.0f}", stacklevel=2)
+                done[f] = vals[i][0]
+            else:
+                open_[f] = (vals[i - 1][0], vals[i + 1][0])
     long.unpersist()
-    return {f: b[2] for f, b in brackets.items()}
+    return {f: done[f] for f in features if f in done}
 
 
 def power_norm(df: DataFrame, features, by=(), part_col: str = "part") -> DataFrame:
