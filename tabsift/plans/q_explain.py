@@ -24,12 +24,6 @@ from .q_summarise import BEST_CELL, JOBS, MODELS, SUM_CTES, WINNER_SCORES
 from .registry import query
 
 
-@query("fs_univariate_ranking")
-def fs_univariate_ranking(spark, sf_dir):
-    _, feats, train, _ = model_data(spark, sf_dir)
-    return ms.univariate_ranking(train, feats, seed=SEED)
-
-
 @query("fs_permutation_importance")
 def fs_permutation_importance(spark, sf_dir):
     _, feats, train, _ = model_data(spark, sf_dir)

@@ -6,9 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.portable import r6
+from ..operators import models_select as ms
+from ..operators import nearest
 from ..operators import neighbours as nb
 from ..operators.frames import to_long
-from ..sources.fixtures import with_fixtures
+from ..operators.impute import impute
+from ..operators.split import stratified_split
+from ..sources.fixtures import W1_FEATURES, doc_features, vec_long, with_fixtures
 from . import sqlgen
 from .flagship import VAR_P, prepared_sql
 from .q_models import model_data
@@ -135,3 +139,72 @@ def os_svm_smote(spark, sf_dir):
 def os_kmeans_smote(spark, sf_dir):
     train, feats = _train(spark, sf_dir)
     return _long_out(nb.kmeans_smote(train, feats, n_clusters=4, seed=SEED), feats)
+
+
+# ---------------------------------------------------------------- kNN over 64 dimensions, kNN imputation, univariate grid
+K_VECTORS = 5
+
+
+@query("knn_vectors", with_fixtures(
+    f"SELECT qid, rid, CAST(rank AS BIGINT) AS rank FROM (SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY d, rid) AS rank FROM ("
+    "SELECT a.id AS qid, b.id AS rid, round(sqrt(sum((CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)) * (CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)))), 9) AS d "
+    f"FROM w4 a JOIN w4 b ON a.j = b.j AND a.id <> b.id GROUP BY a.id, b.id)) WHERE rank <= {K_VECTORS}", "w4"))
+def knn_vectors(spark, sf_dir):
+    """The nearest rows of every 64-dimensional vector."""
+    long = vec_long(spark, sf_dir)
+    n = long.agg(F.max("j")).first()[0] + 1
+    feats = [f"x{j}" for j in range(n)]
+    wide = long.groupBy("id").pivot("j", list(range(n))).agg(F.first(F.col("x").cast("double"))).toDF("id", *feats)
+    return nearest.knn(wide, wide, feats, K_VECTORS).select("qid", "rid", "rank")
+
+
+N_W1 = len(W1_FEATURES)
+IMP_KNN_SQL = with_fixtures(
+    "SELECT l.id, l.part, l.feature, round(coalesce(l.value, f.fill, m.mean, 0), 6) + 0.0 AS value FROM l LEFT JOIN fill f USING (id, feature) "
+    "LEFT JOIN (SELECT feature, avg(value) AS mean FROM l WHERE part = 'train' GROUP BY feature) m USING (feature)", "w1", extra=[
+        ("sp", sqlgen.split("w1", 0.3, "'42'", [], ["target"])),
+        ("l", sqlgen.unpivot("sp", ["id", "part"], W1_FEATURES)),
+        ("holes", "SELECT DISTINCT id FROM l WHERE value IS NULL"),
+        ("dist", f"SELECT a.id, b.id AS donor, round(sqrt(sum((a.value - b.value) * (a.value - b.value)) * ({N_W1}.0 / count(*))), 9) AS d "
+                 "FROM l a JOIN holes h ON h.id = a.id JOIN l b ON a.feature = b.feature AND b.part = 'train' "
+                 "WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.id, b.id"),
+        ("ranked", "SELECT x.id, x.feature, y.value, row_number() OVER (PARTITION BY x.id, x.feature ORDER BY d.d, d.donor) AS r "
+                   "FROM l x JOIN dist d ON d.id = x.id JOIN l y ON y.id = d.donor AND y.feature = x.feature "
+                   "WHERE x.value IS NULL AND y.value IS NOT NULL"),
+        ("fill", "SELECT id, feature, avg(value) AS fill FROM ranked WHERE r <= 5 GROUP BY id, feature")])
+
+
+@query("imp_knn", IMP_KNN_SQL)
+def imp_knn(spark, sf_dir):
+    """IMP-4 on the documents' study table, in long form."""
+    split = stratified_split(doc_features(spark, sf_dir), 0.3, 42)
+    out = impute(split, "knn_impute", W1_FEATURES)
+    return to_long(out, ["id", "part"], W1_FEATURES).select("id", "part", "feature", r6("value").alias("value"))
+
+
+def _univariate_sql(repeats: int = 10, splits: int = 3) -> list[tuple[str, str]]:
+    """FS-9 in SQL: folds, class means of the other folds, held-out AUC by ranks, and the penalty rule."""
+    grid = ", ".join(f"('{p}', {c!r}, {r!r})" for p, r in (("l1", 1.0), ("l2", 0.0), ("elasticnet", ms.L1_RATIO)) for c in ms.STRENGTHS)
+    return [
+        ("ids", "SELECT DISTINCT id, target FROM tr"),
+        ("folds", f"SELECT id, repeat, (row_number() OVER (PARTITION BY repeat, target ORDER BY {sqlgen.h13('id', S, 'repeat')}, id) - 1) % {splits} AS fold "
+                  f"FROM (SELECT ids.*, CAST(r AS BIGINT) AS repeat FROM ids, range(0, {repeats}) t(r))"),
+        ("rws", "SELECT t.feature, t.id, t.target, t.value, f.repeat, f.fold FROM tr t JOIN folds f USING (id) WHERE t.value IS NOT NULL"),
+        ("g", "SELECT o.feature, o.repeat, o.fold, count(*) / 4.0 * (avg(CASE WHEN r.target = 1 THEN r.value END) - avg(CASE WHEN r.target = 0 THEN r.value END)) AS g "
+              "FROM (SELECT DISTINCT feature, repeat, fold FROM rws) o JOIN rws r ON r.feature = o.feature AND r.repeat = o.repeat AND r.fold <> o.fold "
+              "GROUP BY o.feature, o.repeat, o.fold"),
+        ("rk", "SELECT feature, repeat, fold, target, rank() OVER w + (count(*) OVER (PARTITION BY feature, repeat, fold, value) - 1) / 2.0 AS r FROM rws "
+               "WINDOW w AS (PARTITION BY feature, repeat, fold ORDER BY value)"),
+        ("aucs", "SELECT feature, repeat, fold, (sum(CASE WHEN target = 1 THEN r END) - p * (p + 1) / 2.0) / nullif(p * n, 0) AS auc FROM ("
+                 "SELECT *, sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN target = 0 THEN 1 ELSE 0 END) OVER w AS n FROM rk "
+                 "WINDOW w AS (PARTITION BY feature, repeat, fold)) GROUP BY feature, repeat, fold, p, n"),
+        ("grid", f"SELECT * FROM (VALUES {grid}) t(penalty, c, r)"),
+        ("cell", "SELECT feature, penalty, c, avg(CASE WHEN auc IS NULL THEN NULL WHEN abs(g) * c <= r THEN 0.5 WHEN g > 0 THEN auc WHEN g < 0 THEN 1 - auc ELSE 0.5 END) AS m "
+                 "FROM aucs JOIN g USING (feature, repeat, fold), grid GROUP BY feature, penalty, c"),
+    ]
+
+
+@query("fs_univariate_ranking", with_fixtures("SELECT feature, round(max(m), 6) AS score FROM cell GROUP BY feature", "w1", extra=BASE + _univariate_sql()))
+def fs_univariate_ranking(spark, sf_dir):
+    train, feats = _train(spark, sf_dir)
+    return ms.univariate_ranking(train, feats, seed=SEED).select("feature", r6("score").alias("score"))
