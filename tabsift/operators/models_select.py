@@ -12,8 +12,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +78,18 @@ def permutation_importance(train: DataFrame, features, target: str = "target", n
                               weight=None).fit(ml.assemble(base, features))
     run_keys = ["feature", "rep"]
     # original order: position by md5(id|seed); permuted order per (feature, rep): position by md5(id|seed|feature|rep)
-    d0 = (base.withColumn("_g", F.lit(0)).withColumn("_h", hash52(F.col("id"), F.lit(str(seed)))))
-    d0 = hash_positions(d0, ["_g"], "_h", "id", out="pos", max_group_rows=n).drop("_g", "_h")
-    src = to_long(d0, ["pos"], features).withColumnRenamed("value", "pv")  # value of row at position pos
-    ex = base.withColumn("_fr", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                                                    for f in features for r in range(n_repeats)]))).select(
-        "*", F.col("_fr.feature").alias("feature"), F.col("_fr.rep").alias("rep")).drop("_fr")
-    ex = ex.withColumn("_h", hash52(F.col("id"), F.lit(str(seed)), F.col("feature"), F.col("rep")))
-    ex = hash_positions(ex, run_keys, "_h", "id", out="pos", max_group_rows=n).drop("_h")
-    ex = ex.join(src, ["feature", "pos"])  # row at permuted position takes the value of the row at that original position
+    # only ids are numbered, once in their own order and once per (feature, repeat); values travel one feature at a time
+    ids = base.select("id", hash52(F.col("id"), F.lit(str(seed))).alias("_h"))
+    place = hash_positions(ids, [], "_h", "id", out="pos", max_group_rows=n).select("id", "pos")
+    src = to_long(base.join(place, "id"), ["pos"], features).withColumnRenamed("value", "pv")  # value of the row at position pos
+    runs = base.select("id").withColumn("_fr", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
+                                                                   for f in features for r in range(n_repeats)])))
+    runs = runs.select("id", F.col("_fr.feature").alias("feature"), F.col("_fr.rep").alias("rep"))
+    runs = runs.withColumn("_h", hash52(F.col("id"), F.lit(str(seed)), F.col("feature"), F.col("rep")))
+    runs = hash_positions(runs, run_keys, "_h", "id", out="pos", max_group_rows=n).drop("_h")
+    # the row at a permuted position takes the value of the row at that original position
+    taken = runs.join(src, ["feature", "pos"]).select("id", "feature", "rep", "pv")
+    ex = base.join(taken, "id")
     swapped = ex.select("id", target, "feature", "rep",
                         *[F.when(F.col("feature") == f, F.col("pv")).otherwise(F.col(f)).alias(f) for f in features])
     scored = ml.predict_scores(model, ml.assemble(swapped, features), "forest")
@@ -137,19 +138,28 @@ def _rfe_path(train, test, feats, name, params, seed, target, min_features):
 
 
 def rfecv(train: DataFrame, features, name: str, params: dict | None = None, target: str = "target", n_splits: int = 3,
-          seed: int = 0, min_features: int = 2):
+          seed: int = 0, min_features: int = 2, n_repeats: int = 1, grid: dict | None = None):
     """FS-10: recursive elimination with cross-validated scores per size; returns
-    (features best first, curve DataFrame (n_features, mean_score, std_score))."""
+    (features best first, curve DataFrame (n_features, mean_score, std_score)).
+
+    With a ``grid`` the model's parameters are first chosen by a grid search over the same folds; ``n_repeats``
+    repeats the folds. All paths run as concurrent jobs."""
     params = params or {}
     base = train.cache()
-    folds = repeated_stratified_kfold(base.select("id", target), n_splits, 1, seed, target=target).select("id", "fold").cache()
+    folds = repeated_stratified_kfold(base.select("id", target), n_splits, n_repeats, seed, target=target).select("id", "repeat", "fold").cache()
+    if grid:
+        _, best, _ = ml.grid_search(base, features, name, grid, folds, seed=seed, label=target)
+        params = {**params, **{k: v for k, v in best.items() if k != "n_rows"}}
     d = base.join(folds, "id").cache()
 
-    def one(k):
-        return _rfe_path(d.where(F.col("fold") != k), d.where(F.col("fold") == k), features, name, params, seed, target,
+    def one(item):
+        repeat, k = item
+        mine = d.where(F.col("repeat") == repeat)
+        return _rfe_path(mine.where(F.col("fold") != k), mine.where(F.col("fold") == k), features, name, params, seed, target,
                          min_features)[0]
-    with ThreadPoolExecutor(max_workers=n_splits) as pool:  # folds as concurrent Spark jobs
-        paths = list(pool.map(one, range(n_splits)))
+    paths = ml.concurrently(one, [(r, k) for r in range(n_repeats) for k in range(n_splits)])
+    d.unpersist()
+    folds.unpersist()
     per = {}
     for path in paths:
         for size, s in path:
@@ -162,6 +172,7 @@ def rfecv(train: DataFrame, features, name: str, params: dict | None = None, tar
         rows.append((size, mean, std))
     best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0, -r[0]))[0]
     _, kept, model = _rfe_path(base, None, features, name, params, seed, target, best)
+    base.unpersist()
     imp = dict(ml.feature_importance(model, kept))
     ordered = sorted(kept, key=lambda f: (-imp[f], kept.index(f)))
     curve = train.sparkSession.createDataFrame(rows, "n_features int, mean_score double, std_score double")

@@ -69,3 +69,15 @@ def test_powers_maximise_the_likelihood(spark):
         here = loglik(cols[c], got[c])
         assert all(here >= loglik(cols[c], got[c] + d) - 1e-9 for d in (-1e-3, 1e-3, -0.1, 0.1)), c
     assert abs(got["steep"]) > 3
+
+
+def test_rfecv_with_grid_and_repeats(spark):
+    from tabsift.operators import models_select as ms
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] + 0.2 * rng.normal(size=120) > 0).astype(float)
+    df = spark.createDataFrame([(i, float(t), *map(float, r)) for i, (r, t) in enumerate(zip(x, y))], ["id", "target", "a", "b", "c"])
+    ordered, curve = ms.rfecv(df, ["a", "b", "c"], "logistic_regression", {}, n_repeats=2, grid={"C": [0.1, 1.0]})
+    assert ordered[0] == "a" and [r["n_features"] for r in curve.orderBy("n_features").collect()] == [2, 3]
+    imp = {r["feature"]: r["importance"] for r in ms.permutation_importance(df, ["a", "b", "c"], n_repeats=2, n_trees=5).collect()}
+    assert imp["a"] > 0.2 > max(imp["b"], imp["c"])
