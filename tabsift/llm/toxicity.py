@@ -166,10 +166,10 @@ def toxic_samples(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[b
     return [s for s, n in sorted(out.items(), key=lambda x: (x[1], x[0])) for _ in range(min(n, 8))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[tuple[float, ...], float]:
-    """Newton's method to convergence, the classes weighted alike."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 0.05) -> tuple[tuple[float, ...], float]:
+    """Newton's method to convergence; ``share`` is class 1's share among all labels, whatever the sample's is."""
     x1 = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    weight = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     beta, keep = np.zeros(x1.shape[1]), ridge * np.diag([1.0] * x.shape[1] + [1e-6])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """
     open_ids = (labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col(doc_id), folds) != held_fold))
                 .groupBy(doc_id).agg(F.max(label).cast("int").alias("_label")))
+    labelled = {r["_label"]: r["count"] for r in open_ids.groupBy("_label").count().collect()}  # two classes
     order = F.xxhash64(doc_id, F.lit(17))
     sample = None
     for value in (0, 1):
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     best = np.where(counts_of.any(axis=1), 31 - (counts_of[:, ::-1] > 0).argmax(axis=1), 0)
     threshold = next((t for t in range(2, 32) if (best[y == 0] >= t).mean() <= MAX_FALSE), 31)
     x = np.array([features(np.repeat(np.arange(32), c), threshold) for c in counts_of])
-    weights, bias = _logistic(x, y)
+    weights, bias = _logistic(x, y, labelled.get(1, 0) / sum(labelled.values()))
     return Model(ordinary, toxic, threshold, weights, bias)
 
 
