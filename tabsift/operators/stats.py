@@ -10,6 +10,8 @@ self-joins are formed.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import corr_from_moments
 from .frames import to_long
-from .positions import value_positions
+from .positions import checkpointed, value_positions
 
 MOMENT_SCHEMA = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
 
@@ -77,12 +79,14 @@ def pair_moments(df: DataFrame, cols, with_diag: bool = False, centers: dict[str
 
 
 def pair_corr(df: DataFrame, cols, method: str = "pearson", key: str = "id") -> DataFrame:
-    """(a, b, r) Pearson or Spearman correlation for every pair a before b; NULL for constant columns."""
+    """(a, b, r) Pearson, Spearman or Kendall (tau-b) correlation for every pair a before b; NULL for constant columns."""
     cols = list(cols)
     if method == "spearman":
         df = rank_transform(df, key, cols)
+    elif method == "kendall":
+        return kendall(df, cols)
     elif method != "pearson":
-        raise ValueError("method must be pearson or spearman (kendall needs all row pairs: not built)")
+        raise ValueError("method must be pearson, spearman or kendall")
     m = pair_moments(df, cols)
     r = F.when(F.col("n") >= 2, corr_from_moments(F.col("n"), F.col("sa"), F.col("sb"), F.col("saa"),
                                                    F.col("sbb"), F.col("sab")))
@@ -124,3 +128,88 @@ def distances(df: DataFrame, cols) -> DataFrame:
     apart = at[F.col("a")] - at[F.col("b")]
     d2 = (F.col("saa") + F.col("sbb") - 2 * F.col("sab") + 2 * apart * (F.col("sa") - F.col("sb")) + F.col("n") * apart * apart)
     return m.select("a", "b", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("distance"))
+
+
+# ---------------------------------------------------------------- Kendall
+#: Value ranges per column at most (the grid of counts of a column pair is their square, twice over).
+MAX_RANGES = 128
+
+
+def inversions(y: np.ndarray, w: np.ndarray) -> float:
+    """Σ w_i w_j over i < j with y_i > y_j: halves are counted against each other by sorted search."""
+    if len(y) <= 48:
+        return float((np.triu(y[:, None] > y[None, :], 1) * w[:, None] * w[None, :]).sum())
+    m = len(y) // 2
+    order = np.argsort(y[:m], kind="stable")
+    ranked, total = y[:m][order], np.concatenate([[0.0], np.cumsum(w[:m][order])])
+    above = total[-1] - total[np.searchsorted(ranked, y[m:], side="right")]
+    return inversions(y[:m], w[:m]) + inversions(y[m:], w[m:]) + float((above * w[m:]).sum())
+
+
+def kendall(df: DataFrame, cols, rows_per_range: int = 50_000) -> DataFrame:
+    """(a, b, r): tau-b of every pair of columns over the rows that have both; NULL for constant columns.
+
+    No row pairs are formed. Both columns are cut into value ranges (a value at a cut is a range of its own, so ties
+    never crowd one). Discordant pairs whose rows differ in both ranges follow from the grid of counts; those
+    within a range of either column are counted there by merging, each range a task, less what both count twice.
+    """
+    cols = list(cols)
+    n = df.count()
+    k = min(MAX_RANGES, max(1, -(-n // rows_per_range)))
+    probs = [i / k for i in range(1, k)]
+    cuts: dict[str, np.ndarray] = {c: np.zeros(0) for c in cols}
+    if probs:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * k).alias(c) for c in cols]).first()
+        cuts = {c: np.unique(np.array(row[c], dtype=float)) if row[c] is not None else np.zeros(0) for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+    def ranges(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(at, v, side="left")
+        on = (i < len(at)) & (v == at[np.minimum(i, max(len(at) - 1, 0))]) if len(at) else np.zeros(len(v), dtype=bool)
+        return 2 * i + on
+
+    def cells(batches):
+        for pdf in batches:
+            for p, (a, b) in enumerate(pairs):
+                both = pdf[[a, b]].dropna()
+                if len(both):
+                    u, v = both[a].to_numpy(dtype=float) + 0.0, both[b].to_numpy(dtype=float) + 0.0
+                    out = pd.DataFrame({"p": p, "i": ranges(u, cuts[a]), "j": ranges(v, cuts[b]), "x": u, "y": v})
+                    yield out.groupby(["p", "i", "j", "x", "y"], sort=False).size().rename("w").reset_index()
+
+    held = (x.mapInPandas(cells, "p int, i long, j long, x double, y double, w long")
+            .groupBy("p", "i", "j", "x", "y").agg(F.sum("w").alias("w")))
+    held = checkpointed(held)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        return pd.DataFrame({"p": [int(pdf["p"].iat[0])], "d": [inversions(pdf["y"].to_numpy(), pdf["w"].to_numpy(dtype=float))]})
+
+    def counted(*by: str) -> dict[int, float]:
+        rows = held
+        for c in by:
+            rows = rows.where(F.col(c) % 2 == 0)  # a range of one value holds no discordant pair
+        got = rows.groupBy("p", *by).applyInPandas(within, "p int, d double").groupBy("p").agg(F.sum("d").alias("d")).collect()
+        return {r["p"]: r["d"] for r in got}
+
+    inside = [counted("i"), counted("j"), counted("i", "j")]
+    ties = [{r["p"]: r["t"] for r in held.groupBy("p", *by).agg(F.sum("w").alias("s")).groupBy("p")
+             .agg(F.sum(F.col("s").cast("double") * (F.col("s") - 1) / 2).alias("t")).collect()} for by in (("x",), ("y",), ("x", "y"), ())]
+    grid: dict[int, np.ndarray] = {}
+    for r in held.groupBy("p", "i", "j").agg(F.sum("w").alias("w")).collect():  # (2 · ranges)² numbers a pair at most
+        grid.setdefault(r["p"], np.zeros((2 * k + 1, 2 * k + 1)))[r["i"], r["j"]] += r["w"]
+    out = []
+    for p, (a, b) in enumerate(pairs):
+        if p not in grid:
+            out.append((a, b, None))
+            continue
+        g = grid[p]
+        right = g[::-1, :].cumsum(axis=0)[::-1, :].cumsum(axis=1)  # counts in ranges >= i and <= j
+        later = np.zeros_like(g)
+        later[:-1, 1:] = right[1:, :-1]
+        discordant = float((g * later).sum()) + inside[0].get(p, 0.0) + inside[1].get(p, 0.0) - inside[2].get(p, 0.0)
+        tx, ty, txy, n0 = (t.get(p, 0.0) for t in ties)
+        den = math.sqrt(n0 - tx) * math.sqrt(n0 - ty)
+        out.append((a, b, (n0 - tx - ty + txy - 2 * discordant) / den if den > 0 else None))
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double")

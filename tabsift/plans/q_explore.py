@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import r6, rhalf, rhalf_sql
 from ..operators import explore as ex
+from ..operators.stats import pair_corr
 from ..sources.fixtures import W1_FEATURES, W2_FEATURES, doc_features, order_features, with_fixtures
 from . import sqlgen
 from .registry import query
@@ -187,3 +188,17 @@ def ex_drop_outliers(spark, sf_dir):
 def ex_detect_outliers(spark, sf_dir):
     d = ex.detect_outliers(order_features(spark, sf_dir), W2_FEATURES)
     return d.select("id", "feature", "value", r6("lower").alias("lower"), r6("upper").alias("upper"), "side")
+
+
+KENDALL_SQL = ("SELECT a, b, round(s / (sqrt(dx) * sqrt(dy)), 6) + 0.0 AS r FROM (SELECT x.feature AS a, y.feature AS b, "
+               "CAST(sum(sign(x.d) * sign(y.d)) AS DOUBLE) AS s, CAST(sum(abs(sign(x.d))) AS DOUBLE) AS dx, CAST(sum(abs(sign(y.d))) AS DOUBLE) AS dy "
+               "FROM dif x JOIN dif y ON x.i = y.i AND x.j = y.j AND x.fpos < y.fpos GROUP BY x.feature, y.feature) WHERE dx > 0 AND dy > 0")
+
+
+@query("ex_corr_kendall", with_fixtures(KENDALL_SQL, "w1", extra=W1_LONG + [
+    ("dif", "SELECT p.feature, p.fpos, p.id AS i, q.id AS j, p.value - q.value AS d FROM wl p JOIN wl q ON p.feature = q.feature AND p.id < q.id "
+            "WHERE p.value IS NOT NULL AND q.value IS NOT NULL")]))
+def ex_corr_kendall(spark, sf_dir):
+    """Kendall's tau-b of every pair of columns."""
+    pairs = pair_corr(doc_features(spark, sf_dir), W1_FEATURES, "kendall")
+    return pairs.where(F.col("r").isNotNull()).select("a", "b", r6("r").alias("r"))

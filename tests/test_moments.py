@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsift.operators.select import anova_f, regression_f, target_corr_by
-from tabsift.operators.stats import distances, pair_corr
+from tabsift.operators.stats import distances, inversions, kendall, pair_corr
 
 
 @pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
@@ -31,3 +31,29 @@ def test_offset_changes_nothing(spark, offset):
     assert f == pytest.approx(between / (within / 798), rel=1e-4)
     rf = {q["feature"]: q["f"] for q in regression_f(df.withColumn("target", F.col("y")), ["x"]).collect()}["x"]
     assert rf == pytest.approx(true ** 2 / (1 - true ** 2) * 798, rel=1e-4)
+
+
+def test_inversions():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 60, 333):
+        y, w = rng.integers(0, 30, n).astype(float), rng.integers(1, 4, n).astype(float)
+        assert inversions(y, w) == sum(w[i] * w[j] for i in range(n) for j in range(i + 1, n) if y[i] > y[j])
+
+
+@pytest.mark.parametrize("rows_per_range", [50_000, 40])
+def test_kendall_against_all_pairs(spark, rows_per_range):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=300)
+    cols = {"x": x, "y": (x + rng.normal(size=300)).round(1), "b": (x > 0.3).astype(float), "c": np.full(300, 2.0), "t": rng.integers(0, 4, 300).astype(float)}
+    rows = [(i, *[None if (i + j) % 17 == 0 else float(v[i]) for j, v in enumerate(cols.values())]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r["a"], r["b"]): r["r"] for r in kendall(df, list(cols), rows_per_range).collect()}
+    names = list(cols)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[i + 1:], i + 1):
+            both = [(r[1 + i], r[1 + j]) for r in rows if r[1 + i] is not None and r[1 + j] is not None]
+            u, v = np.array(both).T
+            s = np.sign(u[:, None] - u[None]) * np.sign(v[:, None] - v[None])
+            den = np.sqrt((np.sign(u[:, None] - u[None]) ** 2).sum() * (np.sign(v[:, None] - v[None]) ** 2).sum())
+            want = s.sum() / den if den > 0 else None
+            assert got[a, b] == (pytest.approx(want, abs=1e-12) if want is not None else None), (a, b)
