@@ -110,14 +110,28 @@ def corr_with(df: DataFrame, cols, target: str = "target", method: str = "pearso
     return pc.where(F.col("b") == target).select(F.col("a").alias("feature"), "r")
 
 
+#: A value is heavy from so many rows on, or from this share of the table's rows; heavy values are at most 1 / share a column.
+HEAVY_ROWS, HEAVY_SHARE = 100_000, 1e-4
+
+
 def rank_transform(df: DataFrame, key: str, cols) -> DataFrame:
-    """Replace each column by its average rank among the column's non-null values (ties averaged)."""
+    """Replace each column by its average rank among the column's non-null values (ties averaged).
+
+    Cells meet the rank of their value by (column, value). A heavy value (a constant column is one) would be one task,
+    so the ranks of heavy values are broadcast and only the other cells are shuffled.
+    """
+    cols = list(cols)
     long = to_long(df, [key], cols)
-    pos = value_positions(long, ["feature"], "value")
-    ranked = pos.select("feature", "value", (F.col("cum").cast("double") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    joined = long.join(ranked, ["feature", "value"], "left")
-    return (joined.groupBy(key).pivot("feature", list(cols)).agg(F.first("rank"))
-            .select(key, *[F.col(c).cast("double").alias(c) for c in cols]))
+    pos = checkpointed(value_positions(long, ["feature"], "value"))
+    heavy = max(HEAVY_ROWS, int(HEAVY_SHARE * df.count()))
+    ranked = pos.select("feature", "value", "cnt", (F.col("cum").cast("double") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    often = F.broadcast(ranked.where(F.col("cnt") > heavy).select("feature", "value", F.col("rank").alias("often")))
+    cells = long.where(F.col("value").isNotNull()).join(often, ["feature", "value"], "left")
+    rest = cells.where(F.col("often").isNull()).join(ranked.where(F.col("cnt") <= heavy).select("feature", "value", "rank"), ["feature", "value"])
+    joined = cells.where(F.col("often").isNotNull()).select(key, "feature", F.col("often").alias("rank")).unionByName(rest.select(key, "feature", "rank"))
+    wide = joined.groupBy(key).pivot("feature", cols).agg(F.first("rank"))
+    return (df.select(F.col(key).alias("_key")).join(wide, F.col("_key") == F.col(key), "left")
+            .select(F.col("_key").alias(key), *[F.col(c).cast("double").alias(c) for c in cols]))
 
 
 def distances(df: DataFrame, cols) -> DataFrame:

@@ -57,3 +57,15 @@ def test_kendall_against_all_pairs(spark, rows_per_range):
             den = np.sqrt((np.sign(u[:, None] - u[None]) ** 2).sum() * (np.sign(v[:, None] - v[None]) ** 2).sum())
             want = s.sum() / den if den > 0 else None
             assert got[a, b] == (pytest.approx(want, abs=1e-12) if want is not None else None), (a, b)
+
+
+@pytest.mark.parametrize("heavy", [100_000, 5])
+def test_spearman_with_heavy_values(spark, monkeypatch, heavy):
+    from tabsift.operators import stats
+    monkeypatch.setattr(stats, "HEAVY_ROWS", heavy)
+    rng = np.random.default_rng(7)
+    x, b = rng.normal(size=200), (rng.random(200) < 0.4).astype(float)
+    df = spark.createDataFrame([(i, float(x[i]), float(b[i]), 1.0) for i in range(200)], "id long, x double, b double, c double")
+    got = {(r["a"], r["b"]): r["r"] for r in pair_corr(df, ["x", "b", "c"], "spearman").collect()}
+    rank = lambda v: np.array([(v < q).sum() + ((v == q).sum() + 1) / 2 for q in v])
+    assert got["x", "b"] == pytest.approx(np.corrcoef(rank(x), rank(b))[0, 1]) and got["x", "c"] is None
