@@ -45,11 +45,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(path)
-        for batch in pieces_of(batches, text):
+        for batch in pieces_of(batches, text, 8 << 20):
             out: list[list] = [[], [], [], [], [], []]
-            for key, value in zip(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                ids = memo.text(value, end_id)
-                n, start = len(ids) // 4, 0
+            for key, flat in zip(batch.column(doc_id).to_pylist(), memo.texts(batch.column(text), end_id), strict=True):
+                ids = flat.tobytes()
+                n, start = len(flat), 0
                 for length in binary_lengths(n, max_tokens):
                     part = ids[4 * start:4 * (start + length)]
                     for column, v in zip(out, (key, start, length, n, crc32(part), part), strict=True):

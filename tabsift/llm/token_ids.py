@@ -66,8 +66,8 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, pack = word_ids(path), zstandard.ZstdCompressor(level=1)
         kind = _kind(memo)
-        for batch in pieces_of(batches, text):
-            ids = [np.frombuffer(memo.text(v, end_id), "<u4") for v in batch.column(text).to_pylist()]
+        for batch in pieces_of(batches, text, 8 << 20):
+            ids = memo.texts(batch.column(text), end_id)
             yield batch_of(arrow, {doc_id: batch.column(doc_id), "n_tokens": [len(x) for x in ids],
                                    "ids": [pack.compress(x.astype(kind).tobytes()) for x in ids]})
 

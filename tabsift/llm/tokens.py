@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, encoded word by word with a memo per worker.
 
 The vocabulary's normaliser and splitter never look across white space, so the ids of a text are the ids of its
-white-space-separated chunks in turn. Each worker keeps the ids of chunks it has met (as little-endian 32-bit
-bytes), up to ``MEMO_CHUNKS`` of them; the memo only saves time.
+white-space-separated chunks in turn. A batch of texts is split and numbered by Arrow, so Python sees each
+different chunk of a batch once; each worker keeps the ids of chunks it has met (as little-endian 32-bit bytes), up to
+twice ``MEMO_CHUNKS`` of them. The memo only saves time.
 """
 
 from __future__ import annotations
@@ -11,10 +12,16 @@ import functools
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: The end id that follows every document.
 END_ID = 2
 #: Chunks kept by a worker before the older half is let go; longer chunks than MEMO_BYTES are encoded each time.
-MEMO_CHUNKS, MEMO_BYTES = 200_000, 48
+MEMO_CHUNKS, MEMO_BYTES = 250_000, 48
+#: Marks for chunks met once: a chunk is kept from its second time on, since most are never met again.
+MARKS = 1 << 22
 
 #: Signs cut from a word's end on their own: after a letter, a run of them is one token word.
 _SIGNS = b".,!&%$*#|;:?\""
@@ -38,6 +45,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.before: dict[bytes, bytes] = {}
+        self.met = bytearray(MARKS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,7 +53,6 @@ class WordIds(dict):
         self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -55,10 +62,14 @@ class WordIds(dict):
         ids = self.before.get(chunk)
         if ids is None:
             ids = self._encoded(chunk)
+            mark = hash(chunk) & (MARKS - 1)
+            if not self.met[mark]:
+                self.met[mark] = 1
+                return ids
         if len(self) >= MEMO_CHUNKS:
-            self.before.clear()
-            self.before.update(self)
+            self.before = dict(self)
             self.clear()
+            self.met = bytearray(MARKS)
         self[chunk] = ids
         return ids
 
@@ -88,6 +99,32 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, raw.split())) + end
 
 
+    def texts(self, column: pa.Array, end_id: int = END_ID) -> list[np.ndarray]:
+        """The ids of every text of a string column (null: none), each with its end id."""
+        column = pc.fill_null(column, "")
+        if not len(column):
+            return []
+        odd = pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, "[\\x{0300}-\\x{036f}]"))
+        if pc.any(odd).as_py():  # ASCII letters cannot be lower-cased beforehand: text by text
+            return [np.frombuffer(self.text(t, end_id), "<u4") for t in column.to_pylist()]
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbered = lists.flatten().cast(pa.binary()).dictionary_encode()
+        chunks = [self[c] for c in numbered.dictionary.to_pylist()] + [end_id.to_bytes(4, "little")]
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) // 4
+        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(chunks), "<u4")
+        # the chunks of all texts in a row, the end after each text's last
+        ends = np.cumsum(per_text + 1) - 1
+        row = np.full(len(numbered) + len(column), len(chunks) - 1, dtype=np.int64)
+        inner = np.ones(len(row), dtype=bool)
+        inner[ends] = False
+        row[inner] = numbered.indices.to_numpy(zero_copy_only=False)
+        count = sizes[row]
+        upto = np.cumsum(count)
+        flat = table[np.arange(upto[-1]) + np.repeat(starts[row] - (upto - count), count)]
+        return np.split(flat, upto[ends][:-1])
+
+
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One memo per worker process and vocabulary."""

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,15 +32,23 @@ def test_memo_equals_library(text):
     assert np.frombuffer(held.text(text), "<u4").tolist() == direct(held, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZé .,'<|\n\t\x0b\x1c\x85  ̈")), max_size=30)), max_size=6))
+def test_columns_equal_library(texts):
+    held = test_columns_equal_library.memo = getattr(test_columns_equal_library, "memo", None) or WordIds(vocabulary_path())
+    assert [x.tolist() for x in held.texts(pa.array(texts, pa.string()))] == [direct(held, t) for t in texts]
+    assert [x.tolist() for x in held.texts(pa.array(["x", *texts], pa.string()).slice(1))] == [direct(held, t) for t in texts]
+
+
 def test_memo_on_documents(memo, spark):
     for (text,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(80).collect():
-        assert np.frombuffer(memo.text(text), "<u4").tolist() == direct(memo, text)
+        assert np.frombuffer(memo.text(text), "<u4").tolist() == memo.texts(pa.array([text]))[0].tolist() == direct(memo, text)
 
 
 def test_memo_restarts(memo, monkeypatch):
     monkeypatch.setattr("tabsift.llm.tokens.MEMO_CHUNKS", 3)
     held = WordIds(vocabulary_path())
-    text = "a few different words, more than the memo keeps: one two three"
+    text = "a few different words, more than the memo keeps: one two three " * 3
     assert np.frombuffer(held.text(text), "<u4").tolist() == direct(memo, text)
 
 
