@@ -88,8 +88,9 @@ def ranked_ids(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, unpack = np.zeros(1 << 16, dtype=np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-                part = np.bincount(_unpack(ids, n, unpack), minlength=len(total))
+            rows = list(zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True))
+            for at in range(0, len(rows), 500):
+                part = np.bincount(np.concatenate([_unpack(ids, n, unpack) for ids, n in rows[at:at + 500]]), minlength=len(total))
                 if len(part) > len(total):
                     total = np.concatenate([total, np.zeros(len(part) - len(total), dtype=np.int64)])
                 total += part

@@ -3,7 +3,7 @@
 The vocabulary's normaliser and splitter never look across white space, so the ids of a text are the ids of its
 white-space-separated chunks in turn. A batch of texts is split and numbered by Arrow, so Python sees each
 different chunk of a batch once; each worker keeps the ids of chunks it has met (as little-endian 32-bit bytes), up to
-twice ``MEMO_CHUNKS`` of them. The memo only saves time.
+``MEMO_CHUNKS`` of them. The memo only saves time.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ import pyarrow.compute as pc
 
 #: The end id that follows every document.
 END_ID = 2
-#: Chunks kept by a worker before the older half is let go; longer chunks than MEMO_BYTES are encoded each time.
-MEMO_CHUNKS, MEMO_BYTES = 250_000, 48
-#: Marks for chunks met once: a chunk is kept from its second time on, since most are never met again.
-MARKS = 1 << 22
+#: Chunks kept by a worker before it starts afresh; longer chunks than MEMO_BYTES are encoded each time.
+MEMO_CHUNKS, MEMO_BYTES = 500_000, 48
 
 #: Signs cut from a word's end on their own: after a letter, a run of them is one token word.
 _SIGNS = b".,!&%$*#|;:?\""
@@ -44,8 +42,6 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.before: dict[bytes, bytes] = {}
-        self.met = bytearray(MARKS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,17 +55,9 @@ class WordIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(chunk) > MEMO_BYTES:
             return self.whole(chunk.decode())
-        ids = self.before.get(chunk)
-        if ids is None:
-            ids = self._encoded(chunk)
-            mark = hash(chunk) & (MARKS - 1)
-            if not self.met[mark]:
-                self.met[mark] = 1
-                return ids
+        ids = self._encoded(chunk)
         if len(self) >= MEMO_CHUNKS:
-            self.before = dict(self)
             self.clear()
-            self.met = bytearray(MARKS)
         self[chunk] = ids
         return ids
 
@@ -108,20 +96,23 @@ class WordIds(dict):
         if pc.any(odd).as_py():  # ASCII letters cannot be lower-cased beforehand: text by text
             return [np.frombuffer(self.text(t, end_id), "<u4") for t in column.to_pylist()]
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
-        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         numbered = lists.flatten().cast(pa.binary()).dictionary_encode()
         chunks = [self[c] for c in numbered.dictionary.to_pylist()] + [end_id.to_bytes(4, "little")]
-        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) // 4
-        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(chunks), "<u4")
+        # places fit 32 bits: Arrow's strings of one column do
+        sizes = np.fromiter(map(len, chunks), dtype=np.int32, count=len(chunks)) // 4
+        starts, table = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(chunks), "<u4")
         # the chunks of all texts in a row, the end after each text's last
         ends = np.cumsum(per_text + 1) - 1
-        row = np.full(len(numbered) + len(column), len(chunks) - 1, dtype=np.int64)
+        row = np.full(len(numbered) + len(column), len(chunks) - 1, dtype=np.int32)
         inner = np.ones(len(row), dtype=bool)
         inner[ends] = False
         row[inner] = numbered.indices.to_numpy(zero_copy_only=False)
         count = sizes[row]
-        upto = np.cumsum(count)
-        flat = table[np.arange(upto[-1]) + np.repeat(starts[row] - (upto - count), count)]
+        upto = np.cumsum(count, dtype=np.int32)
+        place = np.repeat(starts[row] - (upto - count), count)
+        place += np.arange(upto[-1], dtype=np.int32)
+        flat = table[place]
         return np.split(flat, upto[ends][:-1])
 
 
