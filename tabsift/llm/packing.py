@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(path)
-        for batch in pieces_of(batches, text, 8 << 20):
+        for batch in pieces_of(batches, text, 4 << 20):
             out: list[list] = [[], [], [], [], [], []]
             for key, flat in zip(batch.column(doc_id).to_pylist(), memo.texts(batch.column(text), end_id), strict=True):
                 ids = flat.tobytes()
