@@ -2,7 +2,9 @@
 
 One pass measures every whole text. A KLL sketch per language, source and measure is combined before the shuffle; sketches
 of small groups are replaced by the merged sketch of their language, and that of a small language by the merged sketch
-of all. The fences are the outer quartile fences of the group that applies, joined back to the measures as a small table.
+of all. A fence lies in the first gap of the outer quarter that stands out: wide against the other steps of that tail and
+against its distance from the median. A tail without such a gap has no fence. The fences are joined back to the measures
+as a small table.
 """
 
 from __future__ import annotations
@@ -16,23 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, checked_broadcast, pieces_of, written
+from .common import arrow_schema, batch_of, checked_broadcast, pieces_of, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: The fixed base rule: fewest words, and the highest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Measures and the least distance of a fence from its quartile (low side, high side; None: no fence on that side).
+#: Measures and the sides that have a fence (low, high).
 MEASURES = {
-    "word_length": (2.0, 2.0),   # mean code points of a word
-    "symbols": (None, 0.1),      # symbols per word
-    "dup_lines": (None, 0.5),    # repeated lines among lines with a word
-    "repeats": (None, 0.3),      # words in repeated windows per word
-    "echoes": (None, 0.2),       # words equal to the one before per word
-    "capitals": (None, 0.3),     # ASCII capitals per code point of the words
+    "word_length": (True, True),   # mean code points of a word
+    "symbols": (False, True),      # symbols per word
+    "dup_lines": (False, True),    # repeated lines among lines with a word
+    "repeats": (False, True),      # words in repeated windows per word
+    "echoes": (False, True),       # words equal to the one before per word
+    "capitals": (False, True),     # ASCII capitals per code point of the words
 }
-#: Interquartile ranges from a quartile to its fence; documents under which a group uses the wider group's sketch.
-FENCE, MIN_GROUP = 4.0, 200
+#: A gap stands out from so many times the tail's median step and its own distance from the median on; least gap at all.
+GAP_STEPS, GAP_REACH, LEAST_GAP = 8.0, 1.0, 0.01
+#: Ranks of the upper quarter at which a sketch is read (mirrored for the lower quarter).
+TAIL = (*(0.75 + i / 400 for i in range(100)), 0.999, 0.9995, 0.9999, 1.0)
+#: Documents under which a group uses the wider group's sketch.
+MIN_GROUP = 200
 #: Sketch size, and rows of the fence table up to which it is broadcast.
 SKETCH_K, MAX_BROADCAST_ROWS = 400, 50_000
 
@@ -99,10 +105,28 @@ def measures(counts: str = "measured") -> dict:
             "repeats": c("n_repeat_words") / words, "echoes": c("n_echoes") / words, "capitals": c("n_capitals") / chars}
 
 
+def base_failed(counts: str = "measured"):
+    """The fixed base rule as a column over the struct ``counts``."""
+    words, repeats = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
+
+
+def fence_of(tail: np.ndarray, middle: float) -> float | None:
+    """The middle of the lowest gap between successive values of ``tail`` that stands out; None where none does."""
+    steps = np.diff(tail)
+    rising = np.sort(steps[steps > 0])
+    typical = rising[(len(rising) - 1) // 2] if len(rising) > 1 else 0.0
+    wide = np.flatnonzero(steps >= np.maximum(GAP_REACH * (tail[:-1] - middle), max(GAP_STEPS * typical, LEAST_GAP)))
+    return float(tail[wide[0]] + tail[wide[0] + 1]) / 2 if len(wide) else None
+
+
 def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts: str = "measured") -> DataFrame:
-    """group_lang, group_source, and a low and a high fence of each measure: one row per language and source."""
+    """group_lang, group_source, and a low and a high fence of each measure: one row per language and source.
+
+    The sketches hold the documents that pass the base rule. A null fence rejects nothing.
+    """
     names = list(MEASURES)
-    own = (rows.select(F.col(lang).alias("group_lang"), F.col(source).alias("group_source"), *(v.alias(k) for k, v in measures(counts).items()))
+    own = (rows.select(F.col(lang).alias("group_lang"), F.col(source).alias("group_source"), *(F.when(~base_failed(counts), v).alias(k) for k, v in measures(counts).items()))
            .groupBy("group_lang", "group_source")
            .agg(F.count("word_length").alias("n"), *(F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in names)))
     own = written(own, "quality-sketches")
@@ -111,16 +135,26 @@ def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts:
     by_lang = wide("group_lang").select(F.col("group_lang").alias("l"), F.col("n").alias("n1"), *(F.col(k).alias(f"{k}1") for k in names))
     overall = wide().select(*(F.col(k).alias(f"{k}2") for k in names))  # one row
     table = (own.join(by_lang, F.col("group_lang").eqNullSafe(F.col("l"))).join(F.broadcast(overall)))
-    out = []
-    for k, (low, high) in MEASURES.items():
+    ranks = F.array(*(F.lit(p) for p in TAIL), F.lit(0.5), *(F.lit(1 - p) for p in TAIL))
+    read = []
+    for k in names:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n1") >= MIN_GROUP, F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
-        quartile = [F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(p))) for p in (0.25, 0.75)]
-        spread = FENCE * (quartile[1] - quartile[0])
-        if low is not None:
-            out.append((quartile[0] - F.greatest(spread, F.lit(low))).alias(f"{k}_low"))
-        if high is not None:
-            out.append((quartile[1] + F.greatest(spread, F.lit(high))).alias(f"{k}_high"))
-    return written(table.select("group_lang", "group_source", *out), "quality-fences")
+        read.append(F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks)).alias(k))
+    sides = [(k, side) for k, (low, high) in MEASURES.items() for side in ("low",) * low + ("high",) * high]
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("group_lang", "group_source")),
+                           *(T.StructField(f"{k}_{side}", T.DoubleType()) for k, side in sides)])
+    arrow, m = arrow_schema(schema), len(TAIL)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("group_lang", "group_source")}
+            for k, side in sides:
+                tails = [None if v is None else np.array(v) for v in batch.column(k).to_pylist()]
+                columns[f"{k}_{side}"] = [None if v is None else fence_of(v[:m], v[m]) if side == "high"
+                                          else None if (f := fence_of(-v[m + 1:], -v[m])) is None else -f for v in tails]
+            yield batch_of(arrow, columns)
+
+    return written(table.select("group_lang", "group_source", *read).mapInArrow(cut, schema), "quality-fences")
 
 
 def _judged(rows: DataFrame, fence_table: DataFrame, lang: str, source: str, counts: str) -> DataFrame:
@@ -131,14 +165,12 @@ def _judged(rows: DataFrame, fence_table: DataFrame, lang: str, source: str, cou
                        F.coalesce(F.col("group_source"), F.lit("")).alias("_s"), F.col("group_source").isNull().alias("_sn"))
     joined = rows.join(own, (F.coalesce(F.col(lang), F.lit("")) == F.col("_l")) & (F.col(lang).isNull() == F.col("_ln"))
                        & (F.coalesce(F.col(source), F.lit("")) == F.col("_s")) & (F.col(source).isNull() == F.col("_sn")), "left")
-    c = lambda n: F.col(f"{counts}.{n}")
-    failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
-    inside = F.lit(True)
+    failed, inside = base_failed(counts), F.lit(True)
     for k, value in measures(counts).items():
         low, high = MEASURES[k]
-        if low is not None:
+        if low:
             inside = inside & F.coalesce(value >= F.col(f"_fences.{k}_low"), F.lit(True))
-        if high is not None:
+        if high:
             inside = inside & F.coalesce(value <= F.col(f"_fences.{k}_high"), F.lit(True))
     return joined.withColumn("_failed", failed).withColumn("_kept", ~failed & inside)
 

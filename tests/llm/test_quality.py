@@ -61,6 +61,18 @@ def test_groups_use_their_own_fences(spark, monkeypatch):
     assert all(kept[i] for i in range(40)) and all(kept[100 + i] for i in range(40)) and not kept[200]
 
 
+def test_fences_come_from_the_group(spark, monkeypatch):
+    """A share of symbols that stands out in one group is usual in another; an even tail loses nothing."""
+    monkeypatch.setattr(quality, "MIN_GROUP", 50)
+    words = lambda i, marks: " ".join(f"{'#' if j < marks else 'x'}{(i * 7 + j * j) % 1000:03d}" for j in range(100))
+    clean = [(i, words(i, 0), "en", "a") for i in range(195)] + [(1000 + i, words(i, 6), "en", "a") for i in range(5)]
+    marked = [(2000 + i, words(i, 6), "en", "b") for i in range(200)]
+    even = [(3000 + i, words(i, i // 10), "en", "c") for i in range(200)]
+    docs = spark.createDataFrame(clean + marked + even, "doc_id long, text string, lang string, source string")
+    lost = {r["doc_id"] for r in quality.verdicts(docs).collect() if not r["kept"]}
+    assert lost == set(range(1000, 1005))
+
+
 def test_odd_documents(odd_documents):
     docs, empty, _ = odd_documents
     rows = quality.verdicts(docs).collect()
