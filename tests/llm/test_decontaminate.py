@@ -65,6 +65,24 @@ def test_against_aligning_everything(spark):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == true
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    """Edits break 3-grams or all of them; an exact copy in the corpus makes those that are left the commoner ones."""
+    words = [f"w{i}" for i in range(16)]
+    edited = " ".join("changed" if i % 5 == 4 else w for i, w in enumerate(words))
+    spread = " ".join(w + " new" if i % 2 and i < 15 else w for i, w in enumerate(words))  # no three words in a row are left
+    long = [f"v{i}" for i in range(200)]
+    thin = " ".join("changed" if i % 3 == 2 else w for i, w in enumerate(long))
+    docs = [(1, " ".join(words)), (2, "so " + edited + " it is"), (3, spread), (4, " ".join(long)), (5, thin), (6, " ".join(words[:7]) + " " + " ".join(long[:20]))]
+    docs += [(100 + i, " ".join(words)) for i in range(20)]
+    items = [(1, " ".join(words)), (2, " ".join(long))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    known = {}
+    number = lambda t: [known.setdefault(w, len(known)) for w in D.words_of(t)]
+    true = {(i, k, int(p)) for i, t in docs for k, a in items if (p := plain_score(number(a), number(t))) >= min(0.5 * len(a.split()), 30)}
+    assert {(2, 1, 10), (3, 1, 9)} <= true and any(i == 5 for i, _, _ in true)
+    assert {(r["doc_id"], r["item_id"], r["points"]) for r in D.leaks(d, b).collect()} == true
+
+
 def test_odd_documents(spark, odd_documents):
     docs, empty, rows = odd_documents
     items = spark.createDataFrame([(1, rows[0][1]), (2, None), (3, ""), (4, "one"), (5, rows[0][1])], "item_id long, text string")
