@@ -23,18 +23,21 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, batch_of, fields, pieces_of
 
-#: Items with fewer words cannot be told from chance and are not searched.
+#: Items with fewer words cannot be told from chance by an alignment; only their whole sequence of words is a leak.
 MIN_ITEM_WORDS = 8
 #: A pair is a leak from this share of the item's best score on, or from so many points on.
 MIN_SHARE, MIN_POINTS = 0.5, 30
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 8 << 20
 
-_WORD = re.compile(r"\w+")
+#: Scripts written without spaces: Thai and Lao, Myanmar, Khmer, kana, Han. Each of their characters is a word.
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+            "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_WORD = re.compile(rf"[^\W{UNSPACED}]+|\w")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of word characters, lower-cased."""
+    """Runs of word characters, and single ones of unspaced scripts, lower-cased."""
     if not text:
         return []
     lowered = text.lower()
@@ -83,12 +86,13 @@ class Block:
         self.items = []  # (item_id, word ids)
         for item_id, text in rows:
             words = words_of(text)
-            if len(words) >= max(min_words, 2):
+            if len(words) >= 2:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
                 self.items.append((item_id, np.array(ids, dtype=np.int64)))
         self.base = len(self.vocabulary) + 1
         #: Points from which an item's alignment is a leak; fewer than two cannot be told by bigrams.
-        self.least = np.array([max(2, math.ceil(min(min_share * len(ids), min_points))) for _, ids in self.items], dtype=np.int64)
+        self.least = np.array([len(ids) if len(ids) < min_words else max(2, math.ceil(min(min_share * len(ids), min_points)))
+                               for _, ids in self.items], dtype=np.int64)
         grams = [self.grams(ids) for _, ids in self.items]
         self.size = np.array([len(g) for g in grams], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -200,9 +204,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_ITEM_WORDS
           doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, score, points, start, end (code points, end exclusive).
 
-    ``score`` is the alignment's points over the item's words (1: a full copy). Words are runs of word characters,
-    lower-cased. Null or empty texts and items, and items under ``min_words`` words, match nothing; equal items and
-    repeated documents each give their rows; of several equally good places the first counts. Only the named columns
+    ``score`` is the alignment's points over the item's words (1: a full copy). Words are runs of word characters, and single
+    characters of scripts without spaces, lower-cased. An item under ``min_words`` words matches whole or not at all. Null or
+    empty texts and items, and items of one word, match nothing; equal items and repeated documents each give their rows; of several equally good places the first counts. Only the named columns
     are read. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession

@@ -83,6 +83,21 @@ def test_edited_copies_beside_exact_ones(spark):
     assert {(r["doc_id"], r["item_id"], r["points"]) for r in D.leaks(d, b).collect()} == true
 
 
+def test_short_and_unspaced_items(spark):
+    """A short item leaks where it stands whole; characters are the words of a script without spaces."""
+    items = [(1, "Who wrote Hamlet?"), (2, "two words"), (3, "中国的首都是哪一个城市呢请回答"), (4, "東京はどこ"), (5, "Hamlet"), (6, "ภาษาไทยเป็นภาษาราชการของประเทศ")]
+    docs = [(1, "Quiz: who wrote HAMLET, and when?"), (2, "who really wrote hamlet"), (3, "two words"), (4, "wrote hamlet who"),
+            (5, "问题：中国的首都是哪一座城市呢请回答。"), (6, "では、東京はどこですか"), (7, "東京はここ"), (8, "x ภาษาไทยเป็นภาษาราชการของประเทศไทย"), (9, "two wordsmith words")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): r for r in D.leaks(d, b).collect()}
+    assert set(rows) == {(1, 1), (3, 2), (5, 3), (6, 4), (8, 6)}
+    texts = dict(docs)
+    cut = {k: texts[k[0]][r["start"]:r["end"]] for k, r in rows.items()}
+    assert cut[1, 1] == "who wrote HAMLET" and cut[5, 3] == "中国的首都是哪一座城市呢请回答" and cut[6, 4] == "東京はどこ"
+    assert rows[1, 1]["points"] == 3 and rows[5, 3]["points"] == 13 and rows[6, 4]["score"] == 1
+    assert {r["doc_id"] for r in D.clean_documents(d, b).collect()} == {2, 4, 7, 9}
+
+
 def test_odd_documents(spark, odd_documents):
     docs, empty, rows = odd_documents
     items = spark.createDataFrame([(1, rows[0][1]), (2, None), (3, ""), (4, "one"), (5, rows[0][1])], "item_id long, text string")
