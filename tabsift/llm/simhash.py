@@ -65,6 +65,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, text: str = "tex
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
+def _with_fingerprint(docs: DataFrame, shingle: int, text: str, name: str) -> DataFrame:
+    """``docs`` and the column ``name`` with the fingerprint of each row."""
+    schema = T.StructType([*docs.schema, T.StructField(name, T.LongType())])
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, text):
+            values = np.array([fingerprint(v, shingle) for v in batch.column(text).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(values.view(np.int64))], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
 def segment_plan(segments: int, max_bits: int) -> list[tuple[int, int, int]]:
     """(first bit, width, radius) of each segment; radii add up so that no link within ``max_bits`` is missed."""
     segments = min(segments, max_bits + 1)
@@ -184,34 +197,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     its row but names no component (its component_id is null if no member has an id). Repeated rows stay, each with the
     same answer. Columns other than doc_id and text are not read; an empty table gives an empty result.
     """
+    return (_grouped(docs, shingle, max_bits, text, doc_id, segments, max_bucket)
+            .select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, text: str, doc_id: str, segments: int | None = None,
+             max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, fp, component_id and root (one fingerprint for each component) of every row."""
     found = written(fingerprints(docs, shingle, text, doc_id), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct-fingerprints")
     roots = component_roots(linked_fingerprints(distinct, max_bits, segments, max_bucket))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return (found.join(named, "fp")
-            .select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id", "root")
+    return found.join(named, "fp").select(doc_id, "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one whose doc_id names the group.
 
-    Rows of one doc_id are one document; where a doc_id is repeated, the row with the least text stays. Rows without a
-    doc_id cannot stand for a group and are never removed.
+    Rows of one doc_id in one group are one document, of which the row with the least text stays; rows of one doc_id in
+    several groups are judged each by its own. Rows without a doc_id cannot stand for a group and are never removed.
     """
-    found = near_duplicates(docs, shingle, max_bits, text, doc_id).filter(F.col(doc_id).isNotNull())
+    found = _grouped(docs, shingle, max_bits, text, doc_id).filter(F.col(doc_id).isNotNull())
     ids = written(found.groupBy(doc_id).agg(F.max(F.col(doc_id) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")),
                   "near-duplicates")
     gone = written(ids.filter("not stays").select(doc_id), "removed-ids")  # far fewer than those that stay
     kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    if ids.filter("stays and rows > 1").limit(1).count():
+    repeated = ids.filter("stays and rows > 1").select(doc_id)
+    if repeated.limit(1).count():
+        repeated = written(repeated, "repeated-ids")
         name = "row"
-        while name in docs.columns:
+        while {name, f"{name}_fp", f"{name}_root"} & set(docs.columns):
             name += "_"
-        order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (doc_id, text)))
-        first = kept.filter(F.col(doc_id).isNotNull()).withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
-        kept = first.unionByName(kept.filter(F.col(doc_id).isNull()))
+        own = (found.filter(F.col(doc_id) == F.col("component_id")).join(repeated, doc_id, "left_semi")
+               .select(F.col(doc_id), F.col("fp").alias(f"{name}_fp"), F.col("root").alias(f"{name}_root")).distinct())
+        rows = _with_fingerprint(docs.join(repeated, doc_id, "left_semi").select(*docs.columns), shingle, text, f"{name}_fp")
+        order = (Window.partitionBy(doc_id, f"{name}_root")
+                 .orderBy(F.col(text).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (doc_id, text))))
+        first = rows.join(own, [doc_id, f"{name}_fp"]).withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1)
+        kept = kept.join(repeated, doc_id, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
     return kept

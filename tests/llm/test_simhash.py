@@ -111,3 +111,13 @@ def test_odd_documents(odd_documents):
     assert simhash.representatives(docs.filter("doc_id = 5")).count() == 1  # a repeated document stays once
     assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
     assert simhash.near_duplicates(docs.filter(F.col("doc_id").isNull())).collect()[0]["component_id"] is None
+
+
+def test_repeated_ids_in_several_groups(spark):
+    """Each row of a repeated id is judged by its own group: one row of each group stays."""
+    a, z, q = "alpha beta gamma delta epsilon zeta", "nine ten eleven twelve thirteen fourteen", "red green blue black white brown"
+    rows = [(1, a), (5, a), (5, z), (5, z), (7, q), (7, "one two three four five six"), (8, q), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 4
+    kept = [tuple(r) for r in simhash.representatives(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, z), (7, q), (7, "one two three four five six"), (None, a)], key=repr)
