@@ -37,8 +37,8 @@ MEASURES = {
 GAP_STEPS, GAP_REACH, LEAST_GAP = 8.0, 1.0, 0.01
 #: Ranks of the upper quarter at which a sketch is read (mirrored for the lower quarter).
 TAIL = (*(0.75 + i / 400 for i in range(100)), 0.999, 0.9995, 0.9999, 1.0)
-#: Documents under which a group uses the wider group's sketch.
-MIN_GROUP = 200
+#: Documents under which a group uses the wider group's sketch, and under which a sketch shows no gap.
+MIN_GROUP, MIN_SKETCH = 200, 20
 #: Sketch size, and rows of the fence table up to which it is broadcast.
 SKETCH_K, MAX_BROADCAST_ROWS = 400, 50_000
 
@@ -139,7 +139,7 @@ def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts:
     read = []
     for k in names:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n1") >= MIN_GROUP, F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
-        read.append(F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks)).alias(k))
+        read.append(F.when(F.kll_sketch_get_n_double(sketch) >= MIN_SKETCH, F.kll_sketch_get_quantile_double(sketch, ranks)).alias(k))
     sides = [(k, side) for k, (low, high) in MEASURES.items() for side in ("low",) * low + ("high",) * high]
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("group_lang", "group_source")),
                            *(T.StructField(f"{k}_{side}", T.DoubleType()) for k, side in sides)])
