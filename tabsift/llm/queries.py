@@ -1,7 +1,7 @@
 """The registered query of each operator, with its production parameters over its whole table.
 
-None of them has SQL: encoders, hashes, trained models and alignments are beyond it. ``tests/llm`` compares each with a
-brute-force version, an exact round trip or held-out labels.
+Operators 11 to 13 have SQL (``sql.py``). The others have none: encoders, hashes, trained models and alignments are beyond
+it, and ``tests/llm`` compares each with a brute-force version, an exact round trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm, packing, pii, quality, simhash, token_ids, toxicity, urls
+from . import decontaminate, fill_middle, html_text, importance, lm, packing, pii, quality, simhash, sql, token_ids, toxicity, urls
 from .common import crc_mod, table
 
 
@@ -65,6 +65,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_token_files(files, keep_ids=False)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -76,5 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_lm": op9_lm,
     "op10_token_ids": op10_token_ids,
+    "op11_importance": op11_importance,
+    "op12_fill_middle": op12_fill_middle,
+}
+ORACLES: dict[str, str] = {
+    "op11_importance": sql.OP11,
+    "op12_fill_middle": sql.OP12,
 }
-ORACLES: dict[str, str] = {}
