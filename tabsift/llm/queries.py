@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, html_text, importance, lm, packing, pii, quality, simhash, sql, token_ids, toxicity, urls
+from . import decontaminate, fill_middle, html_text, importance, lm, packing, partenum, pii, quality, simhash, sql, token_ids, toxicity, urls
 from .common import crc_mod, table
 
 
@@ -77,6 +77,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.joined_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -90,8 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_ids": op10_token_ids,
     "op11_importance": op11_importance,
     "op12_fill_middle": op12_fill_middle,
+    "op13_partenum": op13_partenum,
 }
 ORACLES: dict[str, str] = {
     "op11_importance": sql.OP11,
     "op12_fill_middle": sql.OP12,
+    "op13_partenum": sql.OP13,
 }

@@ -46,3 +46,17 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END prefix_
        sha256(t) restored_sha256
 FROM parts
 """
+
+OP13 = rf"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT row_number() OVER () rid, doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') w FROM documents),
+sets AS MATERIALIZED (
+    SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END s FROM texts),
+shingles AS MATERIALIZED (SELECT rid, len(s) n, unnest(s) x FROM sets),
+links AS MATERIALIZED (
+    SELECT a.rid a, b.rid b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rid <> b.rid
+    GROUP BY a.rid, b.rid HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+named AS (SELECT reached.a rid, min(doc_id) other FROM reached JOIN sets ON sets.rid = reached.b GROUP BY reached.a)
+SELECT doc_id, len(s)::BIGINT n_shingles, CASE WHEN other < doc_id OR doc_id IS NULL THEN other ELSE doc_id END component_id FROM sets LEFT JOIN named USING (rid)
+"""
