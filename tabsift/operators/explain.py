@@ -14,7 +14,7 @@ import random
 from math import comb, factorial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash52
@@ -139,9 +139,7 @@ def shap_heatmap(phi: DataFrame, features, key: str = "id") -> DataFrame:
     return wide.withColumn("total", sum((F.col(f) for f in features), F.lit(0.0)))
 
 
-def coefficients_table(model, features) -> DataFrame:
+def coefficients_table(spark: SparkSession, model, features) -> DataFrame:
     """XP-4: logistic coefficients per feature plus the intercept."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
     rows = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())] + [("(intercept)", float(model.intercept))]
     return spark.createDataFrame(rows, "feature string, coefficient double")

@@ -4,7 +4,7 @@ Every fit is a distributed ``pyspark.ml`` estimator over a features vector;
 loops (boosting rounds, grid points, folds) stay on the driver and each step
 is a Spark job. Estimators the reference uses but Spark lacks are re-aimed:
 
-* svm (kernel) → linear ``LinearSVC``; the score is its margin;
+* svm → a linear machine over a kernel's explicit feature map (``kernels``), probabilities by Platt scaling;
 * extreme_forest → trees over random cut points: each tree sees the features through cuts drawn for it alone;
 * adaboost → SAMME with depth-1 ``DecisionTreeClassifier`` rounds, AdaBoost.R2 for regression;
 * lassolars / omp → least-angle (lasso) path / orthogonal matching pursuit on one Gram matrix.
@@ -19,16 +19,18 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import sigmoid
+from .kernels import COMPONENTS, LANDMARKS, KernelSVM
+from .many_linear import LinearScore, Problem, fit_many, fold_table, held_out_margins
 
 BINARY = "binary_classification"
 REGRESSION = "regression"
@@ -94,8 +96,8 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
             return LogisticRegression(regParam=1.0 / (float(p.get("C", 1.0)) * n), elasticNetParam=enet,
                                       standardization=False, maxIter=int(p.get("max_iter", 100)), **common, **wc)
         if name == "svm":
-            return LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * p.get("n_rows", 1)),
-                             maxIter=int(p.get("max_iter", 100)), standardization=False, **common, **wc)
+            return KernelSVM(float(p.get("C", 1.0)), p.get("kernel", "rbf"), p.get("gamma", "scale"), float(p.get("coef0", 0.0)), int(p.get("degree", 3)),
+                             int(p.get("max_iter", 100)), seed, features, label, weight, int(p.get("components", COMPONENTS)), int(p.get("landmarks", LANDMARKS)))
         if name == "extreme_forest":
             return ExtremeForest(int(p.get("n_estimators", 100)), _rf_depth(p.get("max_depth", 10)), _subset(p), task, seed, features, label, weight,
                                  p.get("criterion", "gini"))
@@ -311,17 +313,25 @@ class ExtremeForest:
             est = RandomForestClassifier(impurity=self.criterion, **how) if self.task == BINARY else RandomForestRegressor(**how)
             return drawn[t], est.fit(d)
 
-        return ExtremeForestModel(concurrently(one, range(self.n)), self.features, self.task)
+        return ExtremeForestModel(concurrently(df.sparkSession, one, range(self.n)), self.features, self.task)
 
 
-def concurrently(fn, items, width: int = 4) -> list:
-    """Independent fits as concurrent jobs of one session; results in order."""
+_POOL = "tabsift-fit"
+
+
+def concurrently(spark: SparkSession, fn, items, width: int = 4) -> list:
+    """Independent fits as concurrent jobs of one session; results in order.
+
+    A fit that is itself one of several runs its own parts one after the other, so at most ``width`` run at once.
+    """
     from concurrent.futures import ThreadPoolExecutor
+    from threading import current_thread
 
     from pyspark import inheritable_thread_target
-    from pyspark.sql import SparkSession
-    with ThreadPoolExecutor(width) as pool:
-        return list(pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items))
+    if current_thread().name.startswith(_POOL):
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(width, _POOL) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
 class GramModel:
@@ -434,7 +444,7 @@ def predict_scores(model, df: DataFrame, name: str, task: str = BINARY, threshol
     """ML-17: ``score`` = margin for margin models, else probability of class 1; ``y_pred`` 0/1.
 
     ``score_kind`` records which, so summaries can apply a 0 threshold; ``prob1`` is the class-1
-    probability in either case (the model's own, or the sigmoid of the margin of a linear svm).
+    probability in either case (the model's own; for an svm Platt's).
     """
     out = model.transform(df)
     if task == REGRESSION:
@@ -445,7 +455,7 @@ def predict_scores(model, df: DataFrame, name: str, task: str = BINARY, threshol
         prob = vector_to_array("probability")[1]
     else:
         prob = sigmoid(vector_to_array("rawPrediction")[1])
-    if isinstance(model, AdaBoostModel):
+    if "margin" in out.columns:
         score, kind = F.col("margin"), "margin"
     elif name in MARGIN_MODELS and "rawPrediction" in out.columns:
         score, kind = vector_to_array("rawPrediction")[1], "margin"
@@ -467,41 +477,96 @@ def grid_search(df: DataFrame, features, name: str, grid: dict, folds: DataFrame
                 seed: int = 0, label: str = "target"):
     """ML-12: every grid point × every (repeat, fold): fit on the other folds, score the held-out
     fold (AUC for classification, −MAE for regression), mean over folds and repeats, refit the
-    best point on all rows. ``folds`` has (id, repeat, fold). Returns (model, best params, cv table)."""
-    from .evaluate import roc_auc
-    data = df.join(folds.select("id", "repeat", "fold"), "id")
+    best point on all rows. ``folds`` has (id, repeat, fold). Returns (model, best params, cv table).
+
+    Linear models and support vector machines are fitted all at once, one scan a step for every point and fold
+    (``many_linear``); points that differ in what has no effect here (warm starts, solvers, step limits) are fitted once."""
+    data = assemble(df, features)
     n = df.count()
-    if task == BINARY:
-        data = class_weights(data, label)
-    data = assemble(data, features).cache()
-    keys = data.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
     points = param_grid(effective_grid(grid))
+    together = task == BINARY and name in ("logistic_regression", "svm")
+    scores = (_together if together else _one_by_one)(data, features, name, points, folds, task, seed, label, n)
+    rows = [(gi, str(params), scores.get(gi)) for gi, params in enumerate(points)]
+    best_i = max(range(len(rows)), key=lambda i: (rows[i][2] if rows[i][2] is not None else -1e300, -i))
+    best = {**points[best_i], "n_rows": n}
+    if together and name == "logistic_regression":
+        model = logistic_model(data, best, label)
+    else:
+        model = make_estimator(name, task, best, seed, label=label).fit(class_weights(data, label) if task == BINARY else data)
+    cv = df.sparkSession.createDataFrame(rows, "grid_point int, params string, mean_score double")
+    return model, best, cv
+
+
+def _mean_scores(parts) -> dict[int, float]:
+    """{grid point: mean of the scores that exist}."""
+    per: dict[int, list[float]] = {}
+    for gi, s in parts:
+        if s is not None and s == s:
+            per.setdefault(gi, []).append(s)
+    return {gi: math.fsum(v) / len(v) for gi, v in per.items()}
+
 
-    def fold_score(task_item):
-        gi, k = task_item
-        tr = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") != k["fold"]))
-        te = data.where((F.col("repeat") == k["repeat"]) & (F.col("fold") == k["fold"]))
-        m = make_estimator(name, task, {**points[gi], "n_rows": n}, seed, label=label).fit(tr)
-        pr = predict_scores(m, te, name, task)
+def _one_by_one(data: DataFrame, features, name, points, folds, task, seed, label, n) -> dict[int, float]:
+    """One fit a grid point and fold, as concurrent jobs over a written table with the folds of a row as an array."""
+    from .evaluate import roc_auc
+    from .positions import checkpointed
+    by_row = folds.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("repeat", "fold"))).alias("_fold"))
+    rows = checkpointed((class_weights(data, label) if task == BINARY else data).join(by_row, "id"))
+    keys = folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
+
+    def fold_score(item):
+        gi, k = item
+        held = F.col("_fold")[F.lit(k["repeat"])] == k["fold"]
+        m = make_estimator(name, task, {**points[gi], "n_rows": n}, seed, label=label).fit(rows.where(~held))
+        pr = predict_scores(m, rows.where(held), name, task)
         if task == BINARY:
             s = roc_auc(pr.select(F.lit(0).alias("run_"), "id", F.col(label).cast("int").alias("y_true"), "score"),
                         ["run_"], n).first()["roc_auc"]
         else:
             s = -pr.agg(F.avg(F.abs(F.col("score") - F.col(label)))).first()[0]
-        return gi, s if s is not None else float("nan")
-
-    results = concurrently(fold_score, [(gi, k) for gi in range(len(points)) for k in keys])
-    rows = []
-    for gi, params in enumerate(points):
-        valid = [s for i, s in results if i == gi and s == s]
-        rows.append((gi, str(params), sum(valid) / len(valid) if valid else None))
-    data.unpersist()
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][2] if rows[i][2] is not None else -1e300, -i))
-    best = {**points[best_i], "n_rows": n}
-    full = assemble(class_weights(df, label) if task == BINARY else df, features)
-    model = make_estimator(name, task, best, seed, label=label).fit(full)
-    cv = df.sparkSession.createDataFrame(rows, "grid_point int, params string, mean_score double")
-    return model, best, cv
+        return gi, s
+
+    return _mean_scores(concurrently(data.sparkSession, fold_score, [(gi, k) for gi in range(len(points)) for k in keys]))
+
+
+#: The share of the absolute part in each penalty.
+L1_RATIO = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5}
+
+
+def _problem(params: dict, fold=None) -> Problem:
+    return Problem(float(params.get("C", 1.0)), L1_RATIO[params["penalty"]] if "penalty" in params else 0.0, fold)
+
+
+def _together(data: DataFrame, features, name, points, folds, task, seed, label, n) -> dict[int, float]:
+    """All points and folds of a kernel in the same scans."""
+    from .evaluate import roc_auc
+    from .kernels import feature_map
+    rows = fold_table(data, "features", label, folds)
+    keys = [(int(r["repeat"]), int(r["fold"])) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
+    shape = lambda p: tuple(p.get(k, v) for k, v in (("kernel", "rbf"), ("gamma", "scale"), ("coef0", 0.0), ("degree", 3))) if name == "svm" else ()
+    parts, width = [], len(list(features))
+    for kind in dict.fromkeys(shape(p) for p in points):
+        mapped = feature_map(rows, width, *kind, seed=seed) if kind else None
+        same: dict[Problem, list[int]] = {}
+        for gi, p in enumerate(points):
+            if shape(p) == kind:
+                same.setdefault(_problem(p if name != "svm" else {"C": p.get("C", 1.0)}), []).append(gi)
+        kinds = list(same)
+        problems = [Problem(p.strength, p.l1_ratio, k) for p in kinds for k in keys]
+        steps = max(int(points[gi].get("max_iter", 100)) for members in same.values() for gi in members)
+        coef = fit_many(rows, problems, mapped.width if mapped is not None else width, "hinge" if name == "svm" else "logistic",
+                        feature_map=mapped, max_iter=min(steps, 200))
+        auc = {r["run"]: r["roc_auc"] for r in roc_auc(held_out_margins(rows, problems, coef, mapped), ["run"], n).collect()}
+        parts += [(gi, auc.get(i * len(keys) + j)) for i, p in enumerate(kinds) for gi in same[p] for j in range(len(keys))]
+    return _mean_scores(parts)
+
+
+def logistic_model(data: DataFrame, params: dict, label: str = "target") -> LinearScore:
+    """One logistic model on all rows (balanced classes), by the same steps."""
+    rows = fold_table(data, "features", label)
+    width = len(data.select("features").first()[0])
+    coef = fit_many(rows, [_problem(params)], width, max_iter=min(int(params.get("max_iter", 100)), 200))[0]
+    return LinearScore(coef[:-1], coef[-1])
 
 
 def feature_importance(model, features) -> list[tuple[str, float]]:
@@ -553,7 +618,7 @@ def verify_top_n(train: DataFrame, test: DataFrame, ranking, n_tops, models: dic
         y = F.col(label).cast("int" if task == BINARY else "double").alias("y_true")
         return pred.select(F.lit(n_top).cast("bigint").alias("n_top"), F.lit(name).alias("model"), key, y, *kept)
 
-    tables = concurrently(one, [(t, m) for t in tops for m in models])
+    tables = concurrently(train.sparkSession, one, [(t, m) for t in tops for m in models])
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

@@ -157,7 +157,7 @@ def rfecv(train: DataFrame, features, name: str, params: dict | None = None, tar
         mine = d.where(F.col("repeat") == repeat)
         return _rfe_path(mine.where(F.col("fold") != k), mine.where(F.col("fold") == k), features, name, params, seed, target,
                          min_features)[0]
-    paths = ml.concurrently(one, [(r, k) for r in range(n_repeats) for k in range(n_splits)])
+    paths = ml.concurrently(train.sparkSession, one, [(r, k) for r in range(n_repeats) for k in range(n_splits)])
     d.unpersist()
     folds.unpersist()
     per = {}

@@ -106,7 +106,7 @@ def xp_shap_summary(spark, sf_dir):
 @query("xp_coefficients")
 def xp_coefficients(spark, sf_dir):
     model, top, _, _ = _shap(spark, sf_dir)
-    return xp.coefficients_table(model, top)
+    return xp.coefficients_table(spark, model, top)
 
 
 REP_SQL = SUM_CTES + [("best_cell", BEST_CELL), ("winner_scores", WINNER_SCORES), ("rep", """SELECT experiment, b.seed AS seed FROM (
