@@ -2,8 +2,8 @@
 
 The value of a coalition is the model's mean class-1 score over background rows,
 with the coalition's features taken from the explained row. Up to
-``EXACT_FEATURES`` features all 2^k coalitions are scored (a Generate, not a join)
-and the values are exact sums; beyond, 2k + 2048 coalitions drawn once for all
+``EXACT_FEATURES`` features all 2^k coalitions are scored and the values are exact
+sums (coalitions are matrices inside an Arrow batch, no row is exploded); beyond, 2k + 2048 coalitions drawn once for all
 rows are fitted by the kernel-weighted least squares whose solution adds up to
 f(x) − f(background). For a linear score there is a closed form.
 """
@@ -14,16 +14,20 @@ import random
 from math import comb, factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.portable import hash52
-from . import models as ml
+from .batch_scores import probability
 
 #: Features up to which all coalitions are scored.
 EXACT_FEATURES = 11
+#: Rows that a task scores at once.
+SCORED_ROWS = 1 << 14
 #: Background rows (those with the least md5 of their key) over which a coalition's value is averaged.
-BACKGROUND_ROWS = 10
+BACKGROUND_ROWS = 100
 
 
 def coalitions(k: int, count: int | None = None, seed: int = 0) -> list[int]:
@@ -100,19 +104,27 @@ def shapley_values(model, name: str, test: DataFrame, background: DataFrame, fea
     rows = (background.select(*features, hash52(F.col(key), F.lit("background")).alias("_h"), F.col(key).alias("_k"))
             .orderBy("_h", "_k").limit(background_rows).collect())  # a bounded sample
     base = [[None if r[f] is None else float(r[f]) for f in features] for r in rows]
-    table = F.array(*[F.array(*[F.lit(v).cast("double") for v in b]) for b in base])
-    ex = (test.select(key, *features).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
-          .withColumn("_b", F.explode(table)))
-    mask = F.element_at(F.array(*[F.lit(int(m)).cast("bigint") for m in masks]), F.col("_i") + 1)
-    cols = [F.when(mask.bitwiseAND(F.lit(1 << j)) != 0, F.col(f)).otherwise(F.element_at("_b", j + 1)).alias(f) for j, f in enumerate(features)]
-    scored = ml.predict_scores(model, ml.assemble(ex.select(key, "_i", *cols), features), name)
-    value = scored.groupBy(key, "_i").agg(F.avg("prob1").alias("v"))
     solve = exact_solution(k) if exact else kernel_solution(masks, k)
-    weights = F.element_at(F.array(*[F.array(*[F.lit(float(w)) for w in solve[:, i]]) for i in range(len(masks))]), F.col("_i") + 1)
-    per = value.select(key, "v", F.posexplode(weights).alias("_j", "_w"))
+    score = probability(test.sparkSession, model)
+    chosen = np.array([[m >> j & 1 for j in range(k)] for m in masks], dtype=bool)
+    against = np.array(base, dtype=float).reshape(-1, k)
+    per = max(1, SCORED_ROWS // max(len(against), 1))  # coalitions scored at once
+
+    def values(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf[features].to_numpy(dtype=float):
+                v = [score(np.where(chosen[i:i + per, None, :], x, against[None]).reshape(-1, k)).reshape(-1, len(against)).mean(axis=1)
+                     for i in range(0, len(masks), per)]
+                out.append(solve @ np.concatenate(v))
+            yield pd.DataFrame({key: pdf[key], "phi": [o.tolist() for o in out]})
+
+    if not len(against):
+        raise ValueError("no background rows")
+    schema = T.StructType([test.schema[key], T.StructField("phi", T.ArrayType(T.DoubleType()))])
+    shares = test.select(key, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(values, schema)
     names = F.array(*[F.lit(f) for f in features])
-    phi = (per.groupBy(key, "_j").agg(F.sum(F.col("v") * F.col("_w")).alias("phi"))
-           .select(key, F.element_at(names, F.col("_j") + 1).alias("feature"), "phi"))
+    phi = shares.select(key, F.inline(F.arrays_zip(names.alias("feature"), F.col("phi"))))
     if not both_classes:
         return phi
     return phi.select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("class")).withColumn(

@@ -82,5 +82,5 @@ def impute(df: DataFrame, method: str, features, by=(), part_col: str = "part",
     if method == "iterative_impute":
         from .impute_iterative import iterative_impute
         return iterative_impute(df, features, part_col=part_col, seed=seed)
-    from .nearest import knn_impute
+    from .holes import knn_impute
     return knn_impute(df, features, part_col=part_col)

@@ -31,11 +31,13 @@ BATCH_ROWS = 4096
 
 @dataclass(frozen=True)
 class Problem:
-    """``strength``: C, so that λ = 1 / (C · Σ weights). ``fold``: (repeat, held-out fold), or None for all rows."""
+    """``strength``: C, so that λ = 1 / (C · Σ weights). ``fold``: (repeat, held-out fold), or None for all rows. ``active``: the
+    features that may have a coefficient, or None for all."""
 
     strength: float
     l1_ratio: float = 0.0
     fold: tuple[int, int] | None = None
+    active: tuple[int, ...] | None = None
 
 
 def logistic_loss(margin: np.ndarray, y: np.ndarray, _: float):
@@ -124,6 +126,11 @@ def fit_many(rows: DataFrame, problems: list[Problem], width: int, loss: str = "
 def _newton(rows, problems, weights, total, l1, l2, coef, loss, stage, feature_map, max_iter, tol):
     d = coef.shape[1]
     per_scan = max(1, SCAN_DOUBLES // (d * d))
+    free = np.ones(coef.shape, dtype=bool)
+    for q, p in enumerate(problems):
+        if p.active is not None:
+            free[q, :-1] = False
+            free[q, list(p.active)] = True
     penalty = lambda b: l1[:, None] * np.abs(b), lambda b: l2[:, None] / 2 * b * b
     cost = lambda value, b: value + sum(f(b[:, :-1]).sum(axis=1) for f in penalty)
     best, trial, step = np.full(len(problems), np.inf), coef.copy(), np.zeros_like(coef)
@@ -150,7 +157,7 @@ def _newton(rows, problems, weights, total, l1, l2, coef, loss, stage, feature_m
         moving = np.flatnonzero(good & active)
         if len(moving):
             share[moving] = 1.0
-            step[moving] = _steps(np.stack([curve[q] for q in moving]), grad[moving], coef[moving], l1[moving], l2[moving], LOSSES[loss][2])
+            step[moving] = _steps(np.stack([curve[q] for q in moving]), grad[moving], coef[moving], l1[moving], l2[moving], free[moving], LOSSES[loss][2])
             trial[moving] = coef[moving] + step[moving]
     return coef, int(active.sum())
 
@@ -192,14 +199,15 @@ def _scan(rows: DataFrame, problems, weights, coef: np.ndarray, loss: str, stage
         yield r["q"], sums[0], sums[1:d + 1], sums[d + 1:].reshape(d, d)
 
 
-def _steps(curve: np.ndarray, grad: np.ndarray, coef: np.ndarray, l1: np.ndarray, l2: np.ndarray, floor: float = 0.0,
+def _steps(curve: np.ndarray, grad: np.ndarray, coef: np.ndarray, l1: np.ndarray, l2: np.ndarray, free: np.ndarray, floor: float = 0.0,
            sweeps: int = 500) -> np.ndarray:
-    """The minimisers of each problem's quadratic model with its penalty, as steps from ``coef``."""
+    """The minimisers of each problem's quadratic model with its penalty, as steps from ``coef``; what is not ``free`` stays."""
     q, d = coef.shape
     ridge = np.concatenate([np.repeat(l2[:, None], d - 1, axis=1), np.zeros((q, 1))], axis=1)
     h = curve + np.eye(d) * (ridge + 1e-10 * (1 + curve.diagonal(axis1=1, axis2=2)))[:, None, :]
     h[:, -1, -1] = np.maximum(h[:, -1, -1], floor)
-    g = grad + ridge * coef
+    g = np.where(free, grad + ridge * coef, 0.0)
+    h = np.where(free[:, :, None] & free[:, None, :], h, np.eye(d))
     step = np.zeros_like(coef)
     smooth = l1 == 0
     if smooth.any():

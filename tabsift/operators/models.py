@@ -5,7 +5,7 @@ loops (boosting rounds, grid points, folds) stay on the driver and each step
 is a Spark job. Estimators the reference uses but Spark lacks are re-aimed:
 
 * svm → a linear machine over a kernel's explicit feature map (``kernels``), probabilities by Platt scaling;
-* extreme_forest → trees over random cut points: each tree sees the features through cuts drawn for it alone;
+* extreme_forest → all trees grown level by level over drawn cuts, as flat arrays (``flat_trees``);
 * adaboost → SAMME with depth-1 ``DecisionTreeClassifier`` rounds, AdaBoost.R2 for regression;
 * lassolars / omp → least-angle (lasso) path / orthogonal matching pursuit on one Gram matrix.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import random
 import warnings
 
 import numpy as np
@@ -22,13 +21,14 @@ import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import sigmoid
+from .flat_trees import ExtraTrees, flat_regression_trees, scored, weighted_medians
 from .kernels import COMPONENTS, LANDMARKS, KernelSVM
 from .many_linear import LinearScore, Problem, fit_many, fold_table, held_out_margins
 
@@ -62,9 +62,14 @@ def _rf_depth(d):
     return int(d)
 
 
-def effective_grid(grid: dict) -> dict:
-    """The grid with depths that cannot be had (none, or beyond MAX_DEPTH) set to MAX_DEPTH, said aloud, and equal values once."""
-    if "max_depth" not in grid:
+def _any_depth(d):
+    return None if d is None else int(d)
+
+
+def effective_grid(grid: dict, name: str = "forest") -> dict:
+    """The grid with depths that cannot be had (none, or beyond MAX_DEPTH) set to MAX_DEPTH, said aloud, and equal values once.
+    Extremely randomised trees grow as deep as asked for."""
+    if "max_depth" not in grid or name == "extreme_forest":
         return grid
     wanted = list(grid["max_depth"])
     used = list(dict.fromkeys(MAX_DEPTH if d is None or d > MAX_DEPTH else d for d in wanted))
@@ -99,8 +104,8 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
             return KernelSVM(float(p.get("C", 1.0)), p.get("kernel", "rbf"), p.get("gamma", "scale"), float(p.get("coef0", 0.0)), int(p.get("degree", 3)),
                              int(p.get("max_iter", 100)), seed, features, label, weight, int(p.get("components", COMPONENTS)), int(p.get("landmarks", LANDMARKS)))
         if name == "extreme_forest":
-            return ExtremeForest(int(p.get("n_estimators", 100)), _rf_depth(p.get("max_depth", 10)), _subset(p), task, seed, features, label, weight,
-                                 p.get("criterion", "gini"))
+            return ExtraTrees(int(p.get("n_estimators", 100)), _any_depth(p.get("max_depth")), _subset(p), p.get("criterion", "gini"), seed,
+                              features, label, weight, bool(p.get("bootstrap", False)))
         if name == "forest":
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), impurity=p.get("criterion", "gini"),
                                           maxDepth=_rf_depth(p.get("max_depth", 10)), featureSubsetStrategy=_subset(p),
@@ -112,7 +117,8 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
             return AdaBoost(int(p.get("n_estimators", 10)), float(p.get("learning_rate", 1.0)), features, label, seed)
     else:
         if name == "extreme_forest":
-            return ExtremeForest(int(p.get("n_estimators", 100)), _rf_depth(p.get("max_depth", 10)), _subset(p, "all"), task, seed, features, label, None, "variance")
+            return ExtraTrees(int(p.get("n_estimators", 100)), _any_depth(p.get("max_depth")), _subset(p, "all"), "variance", seed, features, label,
+                              None, bool(p.get("bootstrap", False)))
         if name == "forest":
             return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), maxDepth=_rf_depth(p.get("max_depth", 10)),
                                          featureSubsetStrategy=_subset(p, "all"), bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common)
@@ -202,20 +208,14 @@ class AdaBoost:
 
 
 class AdaBoostR2Model:
+    """The weighted median of the trees' predictions, all trees walked in one projection."""
+
     def __init__(self, trees, weights, features):
-        self.trees, self.weights, self.features = trees, weights, features
+        self.trees, self.weights, self.features, self.forest = trees, weights, features, flat_regression_trees(trees)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """The weighted median of the trees' predictions."""
-        out, names = df, []
-        for t, m in enumerate(self.trees):
-            names.append(f"_p{t}")
-            out = m.setPredictionCol(names[-1]).transform(out)
-        ranked = F.array_sort(F.array(*[F.struct(F.col(n).alias("v"), F.lit(w).alias("w")) for n, w in zip(names, self.weights)]))
-        half = sum(self.weights) / 2
-        pick = F.aggregate(ranked, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("v")),
-                           lambda a, q: F.struct((a["s"] + q["w"]).alias("s"), F.coalesce(a["v"], F.when(a["s"] + q["w"] >= half - 1e-12, q["v"])).alias("v")))
-        return out.withColumn("prediction", pick["v"]).drop(*names)
+        forest, weights = self.forest, list(self.weights)
+        return scored(df, self.features, "prediction", lambda x: weighted_medians(forest.values(x), weights))
 
     @property
     def featureImportances(self):
@@ -256,66 +256,6 @@ class AdaBoostR2:
         return AdaBoostR2Model(trees, weights, self.features)
 
 
-class ExtremeForestModel:
-    def __init__(self, parts, features, task):
-        self.parts, self.features, self.task = parts, features, task
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Mean over the trees of the class-1 probability, or of the prediction."""
-        out, names = df, []
-        for t, (cuts, tree) in enumerate(self.parts):
-            names.append(f"_q{t}")
-            out = out.withColumn("_cut", _through_cuts(self.features, cuts))
-            if self.task == BINARY:
-                out = tree.setPredictionCol("_p").setProbabilityCol("_pr").setRawPredictionCol("_rw").transform(out)
-                out = out.withColumn(names[-1], vector_to_array("_pr")[1]).drop("_p", "_pr", "_rw", "_cut")
-            else:
-                out = tree.setPredictionCol(names[-1]).transform(out).drop("_cut")
-        mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-        out = out.withColumn("prob1" if self.task == BINARY else "prediction", mean)
-        return out.drop(*names)
-
-    @property
-    def featureImportances(self):
-        tot = sum(tree.featureImportances.toArray() for _, tree in self.parts)
-        return tot / tot.sum() if tot.sum() > 0 else tot
-
-
-def _through_cuts(features: str, cuts: list[list[float]]):
-    """The features as ranks among their cut points (a vector)."""
-    x = vector_to_array(features)
-    return array_to_vector(F.array(*[
-        sum(((F.element_at(x, j + 1) > c).cast("double") for c in cs), F.lit(0.0)) for j, cs in enumerate(cuts)]))
-
-
-class ExtremeForest:
-    """Extremely randomised trees: every tree draws its own cut points, uniform over each feature's range, and
-    chooses among these alone (no bootstrap; the feature subset of a node is drawn as in a forest)."""
-
-    CUTS = 12
-
-    def __init__(self, n_trees, depth, subset, task, seed, features, label, weight, criterion):
-        self.n, self.depth, self.subset, self.task, self.seed = n_trees, depth, subset, task, seed
-        self.features, self.label, self.weight, self.criterion = features, label, weight, criterion
-
-    def fit(self, df: DataFrame) -> ExtremeForestModel:
-        x = vector_to_array(self.features)
-        p = len(df.select(self.features).first()[0])
-        row = df.select(x.alias("_x")).agg(*[e for j in range(p) for e in (F.min(F.col("_x")[j]), F.max(F.col("_x")[j]))]).first()
-        rng = random.Random(self.seed)
-        drawn = [[sorted(rng.uniform(row[2 * j], row[2 * j + 1]) for _ in range(self.CUTS)) if row[2 * j] is not None else [] for j in range(p)]
-                 for _ in range(self.n)]
-
-        def one(t: int):
-            how = dict(numTrees=1, bootstrap=False, featureSubsetStrategy=self.subset, maxDepth=self.depth, featuresCol="_cut", labelCol=self.label,
-                       seed=self.seed + t, **({"weightCol": self.weight} if self.weight else {}))
-            d = df.withColumn("_cut", _through_cuts(self.features, drawn[t]))
-            est = RandomForestClassifier(impurity=self.criterion, **how) if self.task == BINARY else RandomForestRegressor(**how)
-            return drawn[t], est.fit(d)
-
-        return ExtremeForestModel(concurrently(df.sparkSession, one, range(self.n)), self.features, self.task)
-
-
 _POOL = "tabsift-fit"
 
 
@@ -483,7 +423,7 @@ def grid_search(df: DataFrame, features, name: str, grid: dict, folds: DataFrame
     (``many_linear``); points that differ in what has no effect here (warm starts, solvers, step limits) are fitted once."""
     data = assemble(df, features)
     n = df.count()
-    points = param_grid(effective_grid(grid))
+    points = param_grid(effective_grid(grid, name))
     together = task == BINARY and name in ("logistic_regression", "svm")
     scores = (_together if together else _one_by_one)(data, features, name, points, folds, task, seed, label, n)
     rows = [(gi, str(params), scores.get(gi)) for gi, params in enumerate(points)]
@@ -533,8 +473,8 @@ def _one_by_one(data: DataFrame, features, name, points, folds, task, seed, labe
 L1_RATIO = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5}
 
 
-def _problem(params: dict, fold=None) -> Problem:
-    return Problem(float(params.get("C", 1.0)), L1_RATIO[params["penalty"]] if "penalty" in params else 0.0, fold)
+def _problem(params: dict, fold=None, active=None) -> Problem:
+    return Problem(float(params.get("C", 1.0)), L1_RATIO[params["penalty"]] if "penalty" in params else 0.0, fold, active)
 
 
 def _together(data: DataFrame, features, name, points, folds, task, seed, label, n) -> dict[int, float]:

@@ -2,9 +2,9 @@
 
 * ``univariate_ranking`` scores every one-feature logistic model of the whole
   grid from class means and one AUC per feature and fold (see there).
-* ``permutation_importance`` scores all (feature, repeat) permutations in one
-  batched ``transform``; a permutation is an exact hash-ordered re-pairing of
-  rows (positions joined to positions), not a driver shuffle.
+* ``permutation_importance`` scores all (feature, repeat) permutations inside
+  Arrow batches; a permutation is a keyed bijection of the rows' positions, so
+  one narrow exchange brings every row its permuted values.
 * ``rfecv`` and ``gbt_recursive_importance`` loop over feature-set sizes on the
   driver; every fit is a distributed ``pyspark.ml`` fit, folds run as
   concurrent Spark jobs.
@@ -12,14 +12,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash52
 from . import models as ml
+from .batch_scores import probability
 from .evaluate import roc_auc
 from .frames import to_long
-from .positions import hash_positions
+from .many_linear import fit_many, fold_table, held_out_margins
+from .positions import checkpointed, hash_positions
 from .split import repeated_stratified_kfold
 from .stats import column_centers
 
@@ -69,35 +75,93 @@ def univariate_ranking(train: DataFrame, features, target: str = "target", thres
 
 
 # ---------------------------------------------------------------- FS-3
+#: Rounds of the keyed bijection.
+ROUNDS = 4
+
+
+def bijection_keys(seed, feature: str, rep: int) -> list[int]:
+    """The 24-bit round keys of a permutation."""
+    return [int(hashlib.md5(f"{seed}|{feature}|{rep}|{i}".encode()).hexdigest()[:6], 16) for i in range(ROUNDS)]
+
+
+def half_bits(n: int) -> int:
+    """Bits of one half of the smallest even-width block that holds the numbers below ``n`` (at most 20: 10^12 rows)."""
+    return max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+
+
+def permuted(pos: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+    """A keyed bijection of 0 … n − 1: a Feistel network over a power-of-four block, walked on until it lands below ``n``."""
+    h = half_bits(n)
+    mask = (1 << h) - 1
+    out, todo = pos.astype(np.int64), np.ones(len(pos), dtype=bool)
+    while todo.any():
+        left, right = out[todo] >> h, out[todo] & mask
+        for key in keys:
+            v = (right + key) * 362437
+            left, right = right, left ^ ((((v ^ (v >> 11)) * 69069) >> 7) & mask)
+        out[todo] = (left << h) | right
+        todo = out >= n
+    return out
+
+
+def permuted_values(base: DataFrame, features, n_repeats: int, seed) -> DataFrame:
+    """(pos, values): for every row its values of all permuted features, ordered by feature and repeat.
+
+    ``base`` has pos (0 … n − 1) and the features. A row sends each value to the row that the bijection names, so
+    one exchange of (position, number, value) does all features and repeats; nothing is numbered or sorted for it.
+    """
+    features, n = list(features), base.count()
+    keys = [bijection_keys(seed, f, r) for f in features for r in range(n_repeats)]
+
+    def send(batches):
+        for pdf in batches:
+            pos = pdf["pos"].to_numpy()
+            for k, key in enumerate(keys):
+                yield pd.DataFrame({"pos": permuted(pos, n, key), "k": k, "v": pdf[features[k // n_repeats]].to_numpy(dtype=float)})
+
+    sent = base.select("pos", *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(send, "pos long, k int, v double")
+    return sent.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("values"))  # len(keys) a row
+
+
+def with_positions(train: DataFrame, columns, seed) -> DataFrame:
+    """``columns`` and pos: the rows' places in the order of md5(id | seed), written once."""
+    n = train.count()
+    ids = hash_positions(train.select("id", hash52(F.col("id"), F.lit(str(seed))).alias("_h")), [], "_h", "id", out="pos", max_group_rows=n)
+    return checkpointed(train.select(*columns).join(ids.select("id", "pos"), "id"))
+
+
 def permutation_importance(train: DataFrame, features, target: str = "target", n_repeats: int = 5, seed: int = 0,
-                           n_trees: int = 20) -> DataFrame:
-    """FS-3: (feature, importance) = baseline AUC − mean AUC after permuting the feature, forest model."""
-    base = train.select("id", target, *features).cache()
-    n = base.count()
+                           n_trees: int = 100) -> DataFrame:
+    """FS-3: (feature, importance) = baseline AUC − mean AUC after permuting the feature, forest model.
+
+    A batch of rows is scored with one feature after the other replaced; only (run, score) rows leave the task.
+    """
+    features = list(features)
+    base = with_positions(train, ["id", target, *features], seed)
+    n, p = base.count(), len(features)
     model = ml.make_estimator("forest", ml.BINARY, {"n_estimators": n_trees, "max_depth": 8, "n_rows": n}, seed,
                               weight=None).fit(ml.assemble(base, features))
-    run_keys = ["feature", "rep"]
-    # original order: position by md5(id|seed); permuted order per (feature, rep): position by md5(id|seed|feature|rep)
-    # only ids are numbered, once in their own order and once per (feature, repeat); values travel one feature at a time
-    ids = base.select("id", hash52(F.col("id"), F.lit(str(seed))).alias("_h"))
-    place = hash_positions(ids, [], "_h", "id", out="pos", max_group_rows=n).select("id", "pos")
-    src = to_long(base.join(place, "id"), ["pos"], features).withColumnRenamed("value", "pv")  # value of the row at position pos
-    runs = base.select("id").withColumn("_fr", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                                                                   for f in features for r in range(n_repeats)])))
-    runs = runs.select("id", F.col("_fr.feature").alias("feature"), F.col("_fr.rep").alias("rep"))
-    runs = runs.withColumn("_h", hash52(F.col("id"), F.lit(str(seed)), F.col("feature"), F.col("rep")))
-    runs = hash_positions(runs, run_keys, "_h", "id", out="pos", max_group_rows=n).drop("_h")
-    # the row at a permuted position takes the value of the row at that original position
-    taken = runs.join(src, ["feature", "pos"]).select("id", "feature", "rep", "pv")
-    ex = base.join(taken, "id")
-    swapped = ex.select("id", target, "feature", "rep",
-                        *[F.when(F.col("feature") == f, F.col("pv")).otherwise(F.col(f)).alias(f) for f in features])
-    scored = ml.predict_scores(model, ml.assemble(swapped, features), "forest")
-    auc = roc_auc(scored.select(*run_keys, "id", F.col(target).cast("int").alias("y_true"), "score"), run_keys)
-    base_pred = ml.predict_scores(model, ml.assemble(base, features), "forest")
-    base_auc = roc_auc(base_pred.select(F.lit(0).alias("r"), "id", F.col(target).cast("int").alias("y_true"), "score"),
-                       ["r"]).first()["roc_auc"]
-    return auc.groupBy("feature").agg((F.lit(base_auc) - F.avg("roc_auc")).alias("importance"))
+    score = probability(train.sparkSession, model)
+
+    def scores(batches):
+        for pdf in batches:
+            x, y = pdf[features].to_numpy(dtype=float), pdf["y"].to_numpy()
+            other = np.stack(pdf["values"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, p * n_repeats))
+            yield pd.DataFrame({"run": -1, "y_true": y, "score": score(x)})
+            for k in range(p * n_repeats):
+                z = x.copy()
+                z[:, k // n_repeats] = other[:, k]
+                yield pd.DataFrame({"run": k, "y_true": y, "score": score(z)})
+
+    rows = base.join(permuted_values(base, features, n_repeats, seed), "pos").select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("int").alias("y"), "values")
+    auc = {r["run"]: r["roc_auc"] for r in roc_auc(rows.mapInPandas(scores, "run int, y_true int, score double"), ["run"], n).collect()}
+    out = []
+    for j, f in enumerate(features):
+        mine = [auc.get(j * n_repeats + r) for r in range(n_repeats)]
+        known = auc.get(-1) is not None and all(v is not None for v in mine)
+        out.append((f, auc[-1] - sum(mine) / n_repeats if known else None))
+    return train.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
 # ---------------------------------------------------------------- FS-10 / FS-11 / FS-12 / FS-13
@@ -137,28 +201,53 @@ def _rfe_path(train, test, feats, name, params, seed, target, min_features):
         feats.remove(weakest)
 
 
+def _logistic_paths(rows: DataFrame, n_features: int, params: dict, keys, min_features: int, n: int) -> list[tuple[list[tuple[int, float]], list[int], np.ndarray]]:
+    """The elimination paths of all folds side by side: one batch of fits a size. For each key (a fold, or None: all rows, no
+    scores) the scores by size, the features left and their coefficients."""
+    active = [list(range(n_features)) for _ in keys]
+    scores: list[list] = [[] for _ in keys]
+    while True:
+        problems = [ml._problem(params, k, tuple(a)) for k, a in zip(keys, active)]
+        coef = fit_many(rows, problems, n_features, max_iter=min(int(params.get("max_iter", 100)), 200))
+        size = len(active[0])
+        if keys[0] is not None:
+            auc = {r["run"]: r["roc_auc"] for r in roc_auc(held_out_margins(rows, problems, coef), ["run"], n).collect()}
+            for q in range(len(keys)):
+                scores[q].append((size, auc.get(q)))
+        if size <= min_features:
+            return [(scores[q], active[q], coef[q]) for q in range(len(keys))]
+        for q, feats in enumerate(active):
+            feats.remove(min(feats, key=lambda j: (abs(coef[q, j]), -feats.index(j))))
+
+
 def rfecv(train: DataFrame, features, name: str, params: dict | None = None, target: str = "target", n_splits: int = 3,
           seed: int = 0, min_features: int = 2, n_repeats: int = 1, grid: dict | None = None):
     """FS-10: recursive elimination with cross-validated scores per size; returns
     (features best first, curve DataFrame (n_features, mean_score, std_score)).
 
     With a ``grid`` the model's parameters are first chosen by a grid search over the same folds; ``n_repeats``
-    repeats the folds. All paths run as concurrent jobs."""
+    repeats the folds. Logistic paths advance together, one batch of fits a size; the others run as concurrent jobs."""
     params = params or {}
     base = train.cache()
     folds = repeated_stratified_kfold(base.select("id", target), n_splits, n_repeats, seed, target=target).select("id", "repeat", "fold").cache()
     if grid:
         _, best, _ = ml.grid_search(base, features, name, grid, folds, seed=seed, label=target)
         params = {**params, **{k: v for k, v in best.items() if k != "n_rows"}}
-    d = base.join(folds, "id").cache()
-
-    def one(item):
-        repeat, k = item
-        mine = d.where(F.col("repeat") == repeat)
-        return _rfe_path(mine.where(F.col("fold") != k), mine.where(F.col("fold") == k), features, name, params, seed, target,
-                         min_features)[0]
-    paths = ml.concurrently(train.sparkSession, one, [(r, k) for r in range(n_repeats) for k in range(n_splits)])
-    d.unpersist()
+    keys, together = [(r, k) for r in range(n_repeats) for k in range(n_splits)], name == "logistic_regression"
+    features = list(features)
+    if together:
+        table = fold_table(ml.assemble(base, features), "features", target, folds)
+        paths = [p for p, _, _ in _logistic_paths(table, len(features), params, keys, min_features, table.count())]
+    else:
+        d = base.join(folds, "id").cache()
+
+        def one(item):
+            repeat, k = item
+            mine = d.where(F.col("repeat") == repeat)
+            return _rfe_path(mine.where(F.col("fold") != k), mine.where(F.col("fold") == k), features, name, params, seed, target,
+                             min_features)[0]
+        paths = ml.concurrently(train.sparkSession, one, keys)
+        d.unpersist()
     folds.unpersist()
     per = {}
     for path in paths:
@@ -171,9 +260,13 @@ def rfecv(train: DataFrame, features, name: str, params: dict | None = None, tar
         std = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5 if v else None
         rows.append((size, mean, std))
     best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0, -r[0]))[0]
-    _, kept, model = _rfe_path(base, None, features, name, params, seed, target, best)
+    if together:
+        _, kept, coef = _logistic_paths(table, len(features), params, [None], best, 0)[0]
+        kept, imp = [features[j] for j in kept], {features[j]: abs(coef[j]) for j in kept}
+    else:
+        _, kept, model = _rfe_path(base, None, features, name, params, seed, target, best)
+        imp = dict(ml.feature_importance(model, kept))
     base.unpersist()
-    imp = dict(ml.feature_importance(model, kept))
     ordered = sorted(kept, key=lambda f: (-imp[f], kept.index(f)))
     curve = train.sparkSession.createDataFrame(rows, "n_features int, mean_score double, std_score double")
     return ordered, curve

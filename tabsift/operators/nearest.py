@@ -1,4 +1,4 @@
-"""Exact k nearest neighbours over k-d cells, and kNN imputation.
+"""Exact k nearest neighbours over k-d cells.
 
 Equal rows are one point with its row count and least keys. A bounded sample of the
 points gives a k-d tree, cut on medians along the widest axis; it only decides where
@@ -34,6 +34,8 @@ LEAF_POINTS, SAMPLE_POINTS, MAX_LEAVES = 256, 200_000, 1 << 15
 PROBES, SEND_ROWS = 16, 512
 #: Queries of one cell that a task takes.
 CHUNK_QUERIES = 20_000
+#: A point is hot from this part of the rows on.
+HOT_SHARE = 1000
 
 
 @dataclass
@@ -48,6 +50,7 @@ class Tree:
     low: np.ndarray | None = None
     high: np.ndarray | None = None
     root: int = -1
+    flat: np.ndarray | None = None  # of categorical axes: the square that any mismatch adds (0: a numeric axis)
 
     @classmethod
     def build(cls, sample: np.ndarray, leaf: int) -> Tree:
@@ -102,6 +105,14 @@ class Tree:
                 self.node_high[node] = np.maximum(self.node_high[node], hi)
         return self
 
+    def _squares(self, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The least squared distance of each row to its box."""
+        gap = np.maximum(np.maximum(low - x, x - high), 0.0)
+        square = gap * gap
+        if self.flat is not None:
+            square = np.where(self.flat > 0, (gap > 0) * self.flat, square)
+        return square.sum(axis=1)
+
     def near(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf) for every leaf whose box lies within a query's reach."""
         q_out, leaf_out, stack = [], [], [(self.root, np.arange(len(x)))]
@@ -110,8 +121,7 @@ class Tree:
             lo, hi = (self.low[~node], self.high[~node]) if node < 0 else (self.node_low[node], self.node_high[node])
             if not np.isfinite(lo).all():
                 continue
-            gap = np.maximum(np.maximum(lo - x[index], x[index] - hi), 0.0)
-            index = index[np.sqrt((gap * gap).sum(axis=1)) <= reach[index] * (1 + 1e-9)]
+            index = index[np.sqrt(self._squares(lo, hi, x[index])) <= reach[index] * (1 + 1e-9)]
             if not len(index):
                 continue
             if node < 0:
@@ -128,32 +138,36 @@ class Tree:
         i, leaves = self.near(x, reach)
         other = leaves != home[i]
         i, leaves = i[other], leaves[other]
-        gap = np.maximum(np.maximum(self.low[leaves] - x[i], x[i] - self.high[leaves]), 0.0)
-        order = np.lexsort((leaves, (gap * gap).sum(axis=1), i))
+        order = np.lexsort((leaves, self._squares(self.low[leaves], self.high[leaves], x[i]), i))
         i, leaves = i[order], leaves[order]
         first = np.searchsorted(i, i)
         keep = np.arange(len(i)) - first < m
         return i[keep], leaves[keep]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, squares added in column order."""
+def distances(a: np.ndarray, b: np.ndarray, flat: np.ndarray | None = None) -> np.ndarray:
+    """Euclidean distances, squares added in column order; where ``flat`` is positive a mismatch adds just that."""
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         d = a[:, j][:, None] - b[:, j][None, :]
-        total += d * d
+        total += d * d if flat is None or not flat[j] else (d != 0) * flat[j]
     return np.sqrt(total)
 
 
-def distinct_points(df: DataFrame, feats: list[str], key: str, keep: int) -> DataFrame:
-    """(features…, least, ids, n): equal rows once, with their least key, their ``keep`` least keys and their number."""
+def distinct_points(df: DataFrame, feats: list[str], key: str, keep: int, missing: bool = False) -> DataFrame:
+    """(features…, least, ids, n): equal rows once, with their least key, their ``keep`` least keys and their number.
+
+    Rows with a missing feature are refused unless ``missing`` says that they are points too (equal where the same are missing).
+    """
     ids = T.ArrayType(df.schema[key].dataType)
     schema = T.StructType([*(T.StructField(f, T.DoubleType()) for f in feats), T.StructField("ids", ids), T.StructField("n", T.LongType())])
 
     def local(batches):
         for pdf in batches:
             if len(pdf):
-                g = pdf.sort_values(key).groupby(feats, sort=False)[key]
+                if not missing and pdf[feats].isna().to_numpy().any():
+                    raise ValueError("a row has a missing feature")
+                g = pdf.sort_values(key).groupby(feats, sort=False, dropna=False)[key]
                 out = pd.DataFrame({"ids": g.apply(lambda v: v.head(keep).tolist()), "n": g.size()}).reset_index()
                 yield out[[*feats, "ids", "n"]]
 
@@ -164,7 +178,7 @@ def distinct_points(df: DataFrame, feats: list[str], key: str, keep: int) -> Dat
     return first.groupBy(*feats).agg(least(), F.sum("n").alias("n")).withColumn("least", F.col("ids")[0])
 
 
-def _pairs(queries: DataFrame, points: DataFrame, feats: list[str], k: int, schema: T.StructType) -> DataFrame:
+def _pairs(queries: DataFrame, points: DataFrame, feats: list[str], k: int, schema: T.StructType, flat: np.ndarray | None = None) -> DataFrame:
     """For each (leaf, chunk) the ``k`` nearest points of the leaf for every query there that lie within its reach."""
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -177,7 +191,7 @@ def _pairs(queries: DataFrame, points: DataFrame, feats: list[str], k: int, sche
         step = max(1, (1 << 21) // len(b))
         q = left[feats].to_numpy(dtype=float)
         for at in range(0, len(q), step):
-            d = distances(q[at:at + step], b)
+            d = distances(q[at:at + step], b, flat)
             m = min(k, d.shape[1])
             for i, row in enumerate(d):
                 if m < len(row):  # all at the m-th distance stay in play, so that ties are settled by key
@@ -202,7 +216,7 @@ def _dealt(queries: DataFrame, points: DataFrame, chunk_queries: int) -> tuple[D
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, feats: list[str], k: int, leaf: int = LEAF_POINTS,
-                   chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+                   chunk_queries: int = CHUNK_QUERIES, flat: np.ndarray | None = None) -> DataFrame:
     """(qid, ids, least, dist): the ``k`` nearest of the distinct ``points`` for each query point (qid, features…)."""
     points = checkpointed(points)
     n = points.count()
@@ -216,6 +230,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, feats: list[str], k: i
     sample = points.where(h < F.lit(int(share * (1 << 52)))).select(*feats).toPandas().to_numpy(dtype=float).reshape(-1, len(feats))
     per_leaf = max(1.0, leaf * share, len(sample) / MAX_LEAVES)
     tree = Tree.build(sample, int(per_leaf))
+    tree.flat = flat
 
     def place(batches):
         for pdf in batches:
@@ -231,7 +246,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, feats: list[str], k: i
 
     q = queries.select("qid", *feats, F.lit(float("inf")).alias("reach"))
     home = checkpointed(q.mapInPandas(place, T.StructType([*q.schema.fields, T.StructField("leaf", T.LongType())])))
-    found = checkpointed(_pairs(*_dealt(home, placed, chunk_queries), feats, k, schema))
+    found = checkpointed(_pairs(*_dealt(home, placed, chunk_queries), feats, k, schema, flat))
     base = home.drop("reach").withColumnRenamed("leaf", "home")
 
     def bounded(by: DataFrame, name: str, to: DataFrame) -> DataFrame:
@@ -263,94 +278,39 @@ def nearest_points(queries: DataFrame, points: DataFrame, feats: list[str], k: i
 
     asked = checkpointed(bounded(found, "reach0", base))
     probed = checkpointed(asked.mapInPandas(sender(False), sent))
-    found = found.unionByName(checkpointed(_pairs(*_dealt(probed, placed, chunk_queries), feats, k, schema)))
+    found = found.unionByName(checkpointed(_pairs(*_dealt(probed, placed, chunk_queries), feats, k, schema, flat)))
     asked = checkpointed(bounded(found, "reach", asked))
     visits = checkpointed(asked.mapInPandas(sender(True), sent))
-    more = _pairs(*_dealt(visits, placed, chunk_queries), feats, k, schema)
+    more = _pairs(*_dealt(visits, placed, chunk_queries), feats, k, schema, flat)
     w = Window.partitionBy("qid").orderBy("dist", "least")  # at most k rows for each cell a query visits
     return found.unionByName(more).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", leaf: int = LEAF_POINTS,
-        exclude_self: bool = True, seed: int = 0) -> DataFrame:
+        exclude_self: bool = True, seed: int = 0, mismatch: dict[str, float] | None = None) -> DataFrame:
     """(qid, rid, dist, rank) for the k nearest reference rows of every query row (rank 1 = nearest,
-    ties by reference key). Rows must have no missing feature; a query need not be a reference row."""
+    ties by reference key). Rows must have no missing feature; a query need not be a reference row.
+
+    ``mismatch`` names categorical features (numbers) and what a difference adds to the distance, squared. Rows meet the list of
+    their point by value; points that hold over 1 / ``HOT_SHARE`` of the rows are under ``HOT_SHARE`` and are broadcast."""
     feats = list(features)
     keep = k + 1
     points = distinct_points(refs, feats, key, keep)
-    asked = distinct_points(queries, feats, key, 1).select(F.col("least").alias("qid"), *feats)
-    found = nearest_points(checkpointed(asked), points, feats, keep, leaf)
+    asked = distinct_points(queries, feats, key, 1).select(F.col("least").alias("qid"), *feats, "n")
+    flat = np.array([(mismatch or {}).get(f, 0.0) ** 2 for f in feats]) if mismatch else None
+    asked = checkpointed(asked)
+    found = nearest_points(asked.drop("n"), points, feats, keep, leaf, flat=flat)
     near = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist", "least", "ids"))).alias("_near"))  # k + 1 points
     # back to rows: every query row reads the list of its point
     at = [(F.col(f).cast("double") + F.lit(0.0)).alias(f) for f in feats]
-    point_of = checkpointed(asked).join(near, "qid").select(*feats, "_near")
-    rows = queries.select(F.col(key).alias("qid"), *at).join(point_of, feats)
+    point_of = checkpointed(asked.join(near, "qid").select(*feats, "_near", "n"))
+    hot = F.col("n") * HOT_SHARE > (asked.agg(F.sum("n")).first()[0] or 0)
+    rows = queries.select(F.col(key).alias("qid"), *at)
+    few = F.broadcast(point_of.where(hot).drop("n"))
+    rows = rows.join(few, feats).unionByName(rows.join(few.select(*feats), feats, "left_anti").join(point_of.where(~hot).drop("n"), feats))
     each = F.flatten(F.transform("_near", lambda p: F.transform(p["ids"], lambda i: F.struct(p["dist"].alias("dist"), i.alias("rid")))))
     if exclude_self:
         each = F.filter(each, lambda e: e["rid"] != F.col("qid"))
     ranked = F.slice(F.array_sort(each), 1, k)
     return (rows.select("qid", F.posexplode(ranked).alias("_p", "_e"))
             .select("qid", F.col("_e.rid").alias("rid"), F.col("_e.dist").alias("dist"), (F.col("_p") + 1).cast("bigint").alias("rank")))
-
-
-# ---------------------------------------------------------------- IMP-4
-def knn_impute(df: DataFrame, features, part_col: str = "part", k: int = 5, key: str = "id", block_rows: int = 20_000) -> DataFrame:
-    """IMP-4: a missing cell becomes the mean of its feature over the ``k`` nearest train rows that have it.
-
-    Distance is Euclidean over the features that both rows have, scaled up by (all / shared); rows that share none are
-    no donors. Ties go to the lesser key. A cell without donors takes the feature's train mean, a feature
-    without any value 0. Rows with missing cells are the query set: they meet the train rows block by block,
-    and a block sends back k candidates per cell.
-    """
-    feats = list(features)
-    of_train = F.col(part_col) == "train" if part_col in df.columns else F.lit(True)
-    x = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats], of_train.alias("_t"))
-    x = checkpointed(x)
-    train = x.where("_t").drop("_t")
-    blocks = max(1, -(-train.count() // block_rows))
-    train = train.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(blocks)))
-    holes = x.where(" OR ".join(f"`{f}` IS NULL" for f in feats)).drop("_t")
-    chunks = max(1, -(-holes.count() // block_rows))
-    holes = holes.withColumn("_c", F.pmod(F.xxhash64(key, F.lit(4)), F.lit(chunks)))
-    asked = holes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    donors = train.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("feature", T.StringType()),
-                           T.StructField("dist", T.DoubleType()), T.StructField("donor", df.schema[key].dataType), T.StructField("value", T.DoubleType())])
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values(key)
-            b = right[feats].to_numpy(dtype=float)
-            here = ~np.isnan(b)
-            b0, ids = np.where(here, b, 0.0), right[key].to_numpy()
-            a = left[feats].to_numpy(dtype=float)
-            step = max(1, (1 << 20) // len(b))
-            for at in range(0, len(a), step):
-                q = a[at:at + step]
-                have = ~np.isnan(q)
-                q0 = np.where(have, q, 0.0)
-                total, shared = np.zeros((len(q), len(b))), np.zeros((len(q), len(b)))
-                for j in range(len(feats)):
-                    both = have[:, j][:, None] & here[:, j][None, :]
-                    d = q0[:, j][:, None] - b0[:, j][None, :]
-                    total += np.where(both, d * d, 0.0)
-                    shared += both
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(shared > 0, np.sqrt(total * (len(feats) / shared)), np.inf)
-                for i in range(len(q)):
-                    for j in np.flatnonzero(~have[i]):
-                        ok = np.flatnonzero(here[:, j] & np.isfinite(dist[i]))
-                        best = ok[np.argsort(dist[i, ok], kind="stable")][:k]
-                        out += [(left[key].iat[at + i], feats[j], float(dist[i, r]), ids[r], float(b[r, j])) for r in best]
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    found = asked.groupBy("_b", "_c").cogroup(donors.groupBy("_b", "_c")).applyInPandas(search, schema)
-    w = Window.partitionBy("_key", "feature").orderBy("dist", "donor")  # k rows per block
-    fills = (found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-             .groupBy("_key").pivot("feature", feats).agg(F.avg("value")))
-    fills = fills.select("_key", *[F.col(f).alias(f"_fill_{f}") for f in feats])
-    mean = train.agg(*[F.avg(f).alias(f) for f in feats]).first()
-    joined = df.join(fills, F.col(key) == F.col("_key"), "left")
-    return joined.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.lit(mean[c] if mean[c] is not None else 0.0)).alias(c)
-                           if c in set(feats) else F.col(c) for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import hash52, hash_unit
 from .nearest import knn
-from .positions import hash_positions
+from .positions import checkpointed, hash_positions, small_side
 
 
 # ---------------------------------------------------------------- SMOTE family
@@ -119,19 +119,14 @@ def _mode_of_neighbours(nn: DataFrame, rows: DataFrame, col: str, key: str) -> D
 def smotenc(train: DataFrame, numeric, categorical, target: str = "target", k: int = 5, seed: int = 0,
             key: str = "id") -> DataFrame:
     """OS-6: SMOTE on mixed features. Distance: Euclidean on the numeric features plus, per
-    categorical mismatch, the median of the minority's numeric standard deviations squared (one-hot
-    columns scaled by med/√2 reproduce it exactly). Numeric values are interpolated; a categorical
-    value is the most frequent one among the base row's k nearest minority neighbours."""
+    categorical mismatch, the median of the minority's numeric standard deviations squared, whatever the
+    number of levels. Numeric values are interpolated; a categorical value is the most frequent one
+    among the base row's k nearest minority neighbours."""
     cls, n_min, n_maj = _minority(train, target)
-    mino = train.where(F.col(target) == cls).select(key, *numeric, *categorical).cache()
+    mino = checkpointed(train.where(F.col(target) == cls).select(key, *numeric, *categorical))
     stds = mino.agg(*[F.stddev_samp(f).alias(f) for f in numeric]).first()
     med = float(np.median([stds[f] or 0.0 for f in numeric])) if numeric else 1.0
-    levels = {c: sorted(r[c] for r in mino.select(c).distinct().collect() if r[c] is not None) for c in categorical}
-    scale = med / np.sqrt(2.0)
-    onehot = [(F.col(c) == F.lit(v)).cast("double") * F.lit(scale) for c in categorical for v in levels[c]]
-    names = [f"_oh_{i}" for i in range(len(onehot))]
-    emb = mino.select(key, *numeric, *[e.alias(nm) for e, nm in zip(onehot, names)])
-    nn = knn(emb, emb, list(numeric) + names, k, key, seed=seed)
+    nn = checkpointed(knn(mino, mino, list(numeric) + list(categorical), k, key, seed=seed, mismatch={c: med for c in categorical}))
     need = n_maj - n_min
     spark = train.sparkSession
     if need <= 0:
@@ -161,10 +156,10 @@ def smoten(train: DataFrame, categorical, target: str = "target", k: int = 5, se
     for c in categorical:
         share = train.groupBy(c).agg(*[(F.sum((F.col(target) == F.lit(y)).cast("double")) / F.count(F.lit(1))).alias(
             f"_s_{c}_{i}") for i, y in enumerate(classes)])
-        emb = emb.join(F.broadcast(share), c, "left")  # one row per category level
+        emb = emb.join(small_side(share), c, "left")  # one row per category level
         names += [f"_s_{c}_{i}" for i in range(len(classes))]
-    mino_emb = emb.where(F.col(target) == cls).cache()
-    nn = knn(mino_emb, mino_emb, names, k, key, seed=seed)
+    mino_emb = checkpointed(emb.where(F.col(target) == cls))
+    nn = checkpointed(knn(mino_emb, mino_emb, names, k, key, seed=seed))
     need = n_maj - n_min
     spark = train.sparkSession
     mino = train.where(F.col(target) == cls).select(key, *categorical)

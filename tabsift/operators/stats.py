@@ -84,7 +84,7 @@ def pair_corr(df: DataFrame, cols, method: str = "pearson", key: str = "id") ->
     if method == "spearman":
         df = rank_transform(df, key, cols)
     elif method == "kendall":
-        return kendall(df, cols)
+        return kendall(df, cols, key=key)
     elif method != "pearson":
         raise ValueError("method must be pearson, spearman or kendall")
     m = pair_moments(df, cols)
@@ -145,8 +145,10 @@ def distances(df: DataFrame, cols) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Kendall
-#: Value ranges per column at most (the grid of counts of a column pair is their square, twice over).
-MAX_RANGES = 128
+#: Ranks are compared digit by digit in this base.
+RADIX = 32
+#: Rows that are counted at once inside a task.
+BLOCK_ROWS = 8192
 
 
 def inversions(y: np.ndarray, w: np.ndarray) -> float:
@@ -160,70 +162,137 @@ def inversions(y: np.ndarray, w: np.ndarray) -> float:
     return inversions(y[:m], w[:m]) + inversions(y[m:], w[m:]) + float((above * w[m:]).sum())
 
 
-def kendall(df: DataFrame, cols, rows_per_range: int = 50_000) -> DataFrame:
+class _DigitCounter:
+    """Σ w · w' over rows of one group, the later with the greater digit and the smaller y, from rows in order of (group, y falling).
+
+    ``held`` has the weight of each digit in the group that goes on; ``edges`` the totals of the first and last group.
+    """
+
+    def __init__(self):
+        self.group, self.held, self.first, self.edges, self.local = None, np.zeros(RADIX), True, [], {}
+
+    def block(self, p, g, digit, y, w) -> None:
+        """Rows that end where a value of y ends."""
+        n = len(p)
+        own = np.zeros((n + 1, RADIX))
+        own[np.arange(1, n + 1), digit] = w
+        upto = np.cumsum(own, axis=0)
+        new = np.r_[True, (p[1:] != p[:-1]) | (g[1:] != g[:-1])]
+        tie = np.flatnonzero(new | np.r_[True, y[1:] != y[:-1]])
+        tie = np.repeat(tie, np.diff(np.r_[tie, n]))
+        starts = np.flatnonzero(new)
+        goes_on = self.group == (int(p[0]), int(g[0]))
+        base = upto[starts].copy()
+        if goes_on:
+            base[0] = -self.held
+        above = np.cumsum(upto[tie] - base[np.cumsum(new) - 1], axis=1)
+        each = w * np.where(digit > 0, above[np.arange(n), np.maximum(digit - 1, 0)], 0.0)
+        for which in np.unique(p).tolist():
+            self.local[which] = self.local.get(which, 0.0) + float(each[p == which].sum())
+        ends = np.r_[starts[1:], n]
+        for k in sorted({0, len(starts) - 1}):
+            total = upto[ends[k]] - base[k]
+            here = (int(p[starts[k]]), int(g[starts[k]]))
+            if self.group is not None and here != self.group and self.first:  # the partition's first group is done
+                self.edges.append((*self.group, self.held))
+                self.first = False
+            if k == 0 and len(starts) > 1 and self.first:
+                self.edges.append((*here, total))
+                self.first = False
+            self.group, self.held = here, total
+
+    def close(self) -> None:
+        if self.group is not None:
+            self.edges.append((*self.group, self.held))
+
+
+def _digit_discordance(points: DataFrame, place: int, parts: int) -> dict[int, float]:
+    """For each column pair the weight of row pairs whose x agree above the digit ``place`` and differ in it, and whose y go the
+    other way. Groups may span any number of tasks: what crosses tasks follows from their totals."""
+    x = F.col("x")
+    unit = RADIX ** place
+    dealt = (points.select("p", F.floor(x / (unit * RADIX)).alias("g"), F.pmod(F.floor(x / unit), F.lit(RADIX)).cast("int").alias("digit"), "y", "w")
+             .groupBy("p", "g", "digit", "y").agg(F.sum("w").alias("w")))
+    order = ["p", "g", F.col("y").desc()]
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+        counter, rest = _DigitCounter(), None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            while len(rest) > BLOCK_ROWS:
+                key = rest[["p", "g", "y"]].to_numpy()
+                cut = BLOCK_ROWS
+                while cut and (key[cut] == key[cut - 1]).all():
+                    cut -= 1
+                if not cut:  # a value has at most one row a digit
+                    break
+                _count(counter, rest[:cut])
+                rest = rest[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            _count(counter, rest)
+        counter.close()
+        part = TaskContext.get().partitionId()
+        rows = [(part, p, 0, v, None) for p, v in counter.local.items()] + [(part, p, g, None, t.tolist()) for p, g, t in counter.edges]
+        yield pd.DataFrame(rows, columns=["part", "p", "g", "local", "totals"])
+
+    out: dict[int, float] = {}
+    edges: dict[tuple[int, int], np.ndarray] = {}
+    for r in sorted(dealt.mapInPandas(run, "part int, p int, g long, local double, totals array<double>").collect(), key=lambda r: r["part"]):
+        if r["totals"] is None:
+            out[r["p"]] = out.get(r["p"], 0.0) + r["local"]
+            continue
+        mine, before = np.array(r["totals"]), edges.get((r["p"], r["g"]), np.zeros(RADIX))  # tasks before have greater y
+        out[r["p"]] = out.get(r["p"], 0.0) + float((mine[1:] * np.cumsum(before)[:-1]).sum())
+        edges[r["p"], r["g"]] = before + mine
+    return out
+
+
+def _count(counter: _DigitCounter, rows: pd.DataFrame) -> None:
+    counter.block(*(rows[c].to_numpy() for c in ("p", "g", "digit", "y")), rows["w"].to_numpy(dtype=float))
+
+
+def kendall(df: DataFrame, cols, rows_per_range: int = 50_000, key: str = "id") -> DataFrame:
     """(a, b, r): tau-b of every pair of columns over the rows that have both; NULL for constant columns.
 
-    No row pairs are formed. Both columns are cut into value ranges (a value at a cut is a range of its own, so ties
-    never crowd one). Discordant pairs whose rows differ in both ranges follow from the grid of counts; those
-    within a range of either column are counted there by merging, each range a task, less what both count twice.
+    No row pairs are formed. Two rows are discordant where the ranks of one column first differ in some digit and the other column
+    goes the other way: for each digit, rows that agree in the digits above are a group, sorted by the other column
+    and dealt by ranges of about ``rows_per_range`` rows, however large the group; running weights of the digits count the pairs
+    inside a range, the ranges' totals those across. Equal ranks never differ in a digit, so ties crowd nothing.
+    Up to ``rows_per_range`` rows are merged in one task a pair of columns.
     """
     cols = list(cols)
     n = df.count()
-    k = min(MAX_RANGES, max(1, -(-n // rows_per_range)))
-    probs = [i / k for i in range(1, k)]
-    cuts: dict[str, np.ndarray] = {c: np.zeros(0) for c in cols}
-    if probs:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * k).alias(c) for c in cols]).first()
-        cuts = {c: np.unique(np.array(row[c], dtype=float)) if row[c] is not None else np.zeros(0) for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-
-    def ranges(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(at, v, side="left")
-        on = (i < len(at)) & (v == at[np.minimum(i, max(len(at) - 1, 0))]) if len(at) else np.zeros(len(v), dtype=bool)
-        return 2 * i + on
+    ranked = rank_transform(df, key, cols).select(*[(2 * F.col(c)).alias(c) for c in cols])
 
     def cells(batches):
         for pdf in batches:
             for p, (a, b) in enumerate(pairs):
                 both = pdf[[a, b]].dropna()
                 if len(both):
-                    u, v = both[a].to_numpy(dtype=float) + 0.0, both[b].to_numpy(dtype=float) + 0.0
-                    out = pd.DataFrame({"p": p, "i": ranges(u, cuts[a]), "j": ranges(v, cuts[b]), "x": u, "y": v})
-                    yield out.groupby(["p", "i", "j", "x", "y"], sort=False).size().rename("w").reset_index()
-
-    held = (x.mapInPandas(cells, "p int, i long, j long, x double, y double, w long")
-            .groupBy("p", "i", "j", "x", "y").agg(F.sum("w").alias("w")))
-    held = checkpointed(held)
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        return pd.DataFrame({"p": [int(pdf["p"].iat[0])], "d": [inversions(pdf["y"].to_numpy(), pdf["w"].to_numpy(dtype=float))]})
-
-    def counted(*by: str) -> dict[int, float]:
-        rows = held
-        for c in by:
-            rows = rows.where(F.col(c) % 2 == 0)  # a range of one value holds no discordant pair
-        got = rows.groupBy("p", *by).applyInPandas(within, "p int, d double").groupBy("p").agg(F.sum("d").alias("d")).collect()
-        return {r["p"]: r["d"] for r in got}
-
-    inside = [counted("i"), counted("j"), counted("i", "j")]
-    ties = [{r["p"]: r["t"] for r in held.groupBy("p", *by).agg(F.sum("w").alias("s")).groupBy("p")
+                    out = pd.DataFrame({"p": p, "x": both[a].astype("int64"), "y": both[b].astype("int64")})
+                    yield out.groupby(["p", "x", "y"], sort=False).size().rename("w").reset_index()
+
+    points = checkpointed(ranked.mapInPandas(cells, "p int, x long, y long, w long").groupBy("p", "x", "y").agg(F.sum("w").alias("w")))
+    discordant: dict[int, float] = {}
+    if n <= rows_per_range:
+        def within(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["x", "y"])
+            return pd.DataFrame({"p": [int(pdf["p"].iat[0])], "d": [inversions(pdf["y"].to_numpy(), pdf["w"].to_numpy(dtype=float))]})
+        discordant = {r["p"]: r["d"] for r in points.groupBy("p").applyInPandas(within, "p int, d double").collect()}
+    else:
+        parts, place = max(1, -(-points.count() // rows_per_range)), 0
+        while RADIX ** place <= 2 * n:
+            for p, d in _digit_discordance(points, place, parts).items():
+                discordant[p] = discordant.get(p, 0.0) + d
+            place += 1
+    ties = [{r["p"]: r["t"] for r in points.groupBy("p", *by).agg(F.sum("w").alias("s")).groupBy("p")
              .agg(F.sum(F.col("s").cast("double") * (F.col("s") - 1) / 2).alias("t")).collect()} for by in (("x",), ("y",), ("x", "y"), ())]
-    grid: dict[int, np.ndarray] = {}
-    for r in held.groupBy("p", "i", "j").agg(F.sum("w").alias("w")).collect():  # (2 · ranges)² numbers a pair at most
-        grid.setdefault(r["p"], np.zeros((2 * k + 1, 2 * k + 1)))[r["i"], r["j"]] += r["w"]
     out = []
     for p, (a, b) in enumerate(pairs):
-        if p not in grid:
-            out.append((a, b, None))
-            continue
-        g = grid[p]
-        right = g[::-1, :].cumsum(axis=0)[::-1, :].cumsum(axis=1)  # counts in ranges >= i and <= j
-        later = np.zeros_like(g)
-        later[:-1, 1:] = right[1:, :-1]
-        discordant = float((g * later).sum()) + inside[0].get(p, 0.0) + inside[1].get(p, 0.0) - inside[2].get(p, 0.0)
         tx, ty, txy, n0 = (t.get(p, 0.0) for t in ties)
         den = math.sqrt(n0 - tx) * math.sqrt(n0 - ty)
-        out.append((a, b, (n0 - tx - ty + txy - 2 * discordant) / den if den > 0 else None))
+        out.append((a, b, (n0 - tx - ty + txy - 2 * discordant.get(p, 0.0)) / den if den > 0 else None))
     return df.sparkSession.createDataFrame(out, "a string, b string, r double")

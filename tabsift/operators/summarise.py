@@ -7,6 +7,7 @@ wins" ties use ``max(struct(value, -position))`` instead of ordered windows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -159,25 +160,64 @@ def u_counts(m: int, n: int) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=None)
+def _sum_differences(m: int) -> tuple[int, list[list[int]]]:
+    """(period, for each residue the forward differences) of D(x), the number of multisets of parts 1 … m with sum at most x.
+
+    D restricted to one residue of lcm(1 … m) is a polynomial of degree m, so m + 1 values a residue fix it everywhere.
+    """
+    period = math.lcm(*range(1, m + 1))
+    table = [1] * (period * (m + 1))  # sums of parts of size 1 that fall short of x by nothing or more
+    for part in range(1, m + 1):
+        for x in range(part, len(table)):
+            table[x] += table[x - part]
+    out = []
+    for r in range(period):
+        row, values = [], table[r::period]
+        while values:
+            row.append(values[0])
+            values = [b - a for a, b in itertools.pairwise(values)]
+        out.append(row)
+    return period, out
+
+
+def arrangements_up_to(m: int, n: int, t: int) -> int:
+    """Number of arrangements of m and n untied ranks with U at most ``t``, in whole numbers; no table over m · n.
+
+    The Gaussian binomial's numerator Π (1 − q^(n+i)) has 2^m terms; each takes D at one place, which is a polynomial's value.
+    """
+    m, n = min(m, n), max(m, n)
+    if t < 0:
+        return 0
+    if m == 0:
+        return 1
+    period, differences = _sum_differences(m)
+
+    def multisets(x: int) -> int:
+        k = x // period
+        return sum(math.comb(k, j) * d for j, d in enumerate(differences[x % period]))
+
+    total = 0
+    for size in range(m + 1):
+        for chosen in itertools.combinations(range(1, m + 1), size):
+            left = t - size * n - sum(chosen)
+            if left >= 0:
+                total += (-1) ** size * multisets(left)
+    return total
+
+
 def upper_tail(n1: int, n2: int, u: float) -> float:
-    """P(U ≥ u) under H0."""
-    counts = u_counts(int(n1), int(n2))
-    return sum(counts[max(0, math.ceil(u)):]) / sum(counts)
+    """P(U ≥ u) under H0, by the symmetry of U."""
+    n1, n2 = int(n1), int(n2)
+    return arrangements_up_to(n1, n2, n1 * n2 - max(0, math.ceil(u))) / math.comb(n1 + n2, n1)
 
 
 def _exact_tail(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     held: dict = {}
-    out = []
-    for a, b, x in zip(n1, n2, u):
-        if min(a, b) > EXACT_MAX:  # not asked for: the normal approximation holds there
-            out.append(None)
-            continue
-        tail = held.get((a, b))
-        if tail is None:
-            counts = u_counts(int(a), int(b))
-            tail = held[a, b] = list(itertools.accumulate(reversed(counts)))[::-1]
-        out.append(tail[max(0, math.ceil(x))] / tail[0])
-    return pd.Series(out, dtype="float64")
+    for key in set(zip(n1, n2, u)):
+        if min(key[:2]) <= EXACT_MAX:  # otherwise not asked for: the normal approximation holds there
+            held[key] = upper_tail(*key)
+    return pd.Series([held.get(key) for key in zip(n1, n2, u)], dtype="float64")
 
 
 def mann_whitney(samples: DataFrame, group_cols, exact_max: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ anything runs; a step that leaves no feature ends the job.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scale as sc
 from ..operators import select as sel
+from ..operators.positions import checkpointed
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -126,15 +128,64 @@ def job_name(steps) -> str:
     return "_".join(steps)
 
 
-def run_job(df: DataFrame, features, steps, params: dict | None = None) -> tuple[DataFrame, list[str]]:
-    """Run ``steps`` in order; return the final frame and feature list."""
-    params = params or {}
+def _checked(steps) -> None:
     unknown = [s for s in steps if s not in STEPS]
     if unknown:
         raise ValueError(f"unknown steps {unknown}; known: {sorted(STEPS)}")
+
+
+def run_job(df: DataFrame, features, steps, params: dict | None = None) -> tuple[DataFrame, list[str]]:
+    """Run ``steps`` in order; return the final frame and feature list."""
+    params = params or {}
+    _checked(steps)
     feats = list(features)
     for s in steps:
         df, feats = STEPS[s](df, feats, params)
         if not feats:
             break
     return df, feats
+
+
+def resolved_jobs(jobs) -> list[list[str]]:
+    """Jobs as plain step lists: ``set_memory`` marks what a later ``get_memory`` starts with."""
+    held, out = None, []
+    for job in map(list, jobs):
+        if "set_memory" in job:
+            held = job[:job.index("set_memory")]
+            job = [s for s in job if s != "set_memory"]
+        elif "get_memory" in job:
+            if held is None:
+                raise ValueError("get_memory before any set_memory")
+            job = held + job[job.index("get_memory") + 1:]
+        out.append(job)
+    return out
+
+
+def run_jobs(df: DataFrame, features, jobs, params: dict | None = None, log: list | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
+    """All ``jobs`` as a tree of their common beginnings: {job name: (frame, features)}, in the jobs' order.
+
+    Every shared beginning is computed once; a frame that a step has changed and several jobs go on from is written
+    once. ``log`` receives each step that ran, as the tuple of steps so far.
+    """
+    params, jobs = params or {}, resolved_jobs(jobs)
+    for job in jobs:
+        _checked(job)
+    prefixes = Counter(tuple(job[:i]) for job in {tuple(j) for j in jobs} for i in range(1, len(job) + 1))
+    done: dict[tuple, tuple[DataFrame, list[str]]] = {(): (df, list(features))}
+    out = {}
+    for job in jobs:
+        at: tuple = ()
+        for step in job:
+            frame, feats = done[at]
+            if not feats:
+                break
+            at = (*at, step)
+            if at not in done:
+                after, kept = STEPS[step](frame, feats, params)
+                if after is not frame and prefixes[at] > 1:
+                    after = checkpointed(after)
+                done[at] = (after, kept)
+                if log is not None:
+                    log.append(at)
+        out[job_name(job)] = done[at]
+    return out

@@ -18,7 +18,7 @@ from ..operators.scale import normalise
 from ..operators.split import stratified_split
 from ..sources.fixtures import W2_FEATURES, doc_features, order_features, predictions, with_fixtures
 from . import sqlgen
-from .q_models import MODEL_PARAMS, SEED, model_data
+from .q_models import LOGISTIC_GRID, MODEL_PARAMS, SEED, model_data
 from .q_scale import _prepared as w2_prepared
 from .q_summarise import BEST_CELL, JOBS, MODELS, SUM_CTES, WINNER_SCORES
 from .registry import query
@@ -37,25 +37,27 @@ def fs_gbt_recursive(spark, sf_dir):
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "pos bigint, feature string")
 
 
-def _rfe_query(name, params):
+def _rfe_query(name, params, **how):
     def q(spark, sf_dir):
         _, feats, train, _ = model_data(spark, sf_dir)
-        ordered, curve = ms.rfecv(train, feats, name, params, seed=SEED)
+        ordered, curve = ms.rfecv(train, feats, name, params, seed=SEED, **how)
         ranks = spark.createDataFrame([(i + 1, f) for i, f in enumerate(ordered)], "pos bigint, feature string")
         return ranks.withColumn("model", F.lit(name))
     return q
 
 
-query("fs_rfecv")(_rfe_query("logistic_regression", MODEL_PARAMS["logistic_regression"]))
-for _m in ("forest", "extreme_forest", "adaboost", "xgboost"):
-    query(f"fs_fr_{_m}")(_rfe_query(_m, MODEL_PARAMS[_m]))
+query("fs_rfecv")(_rfe_query("logistic_regression", MODEL_PARAMS["logistic_regression"], n_repeats=10, grid=LOGISTIC_GRID))
+#: Tree models are fitted one by one: fewer trees than in the verification keep their 3 folds within minutes.
+RFE_TREES = {"forest": {"n_estimators": 20, "max_depth": 5}, "extreme_forest": {"n_estimators": 20, "max_depth": 5}, "adaboost": {}, "xgboost": {}}
+for _m, _fewer in RFE_TREES.items():
+    query(f"fs_fr_{_m}")(_rfe_query(_m, {**MODEL_PARAMS[_m], **_fewer}))
 
 
 @query("fs_rfe_curve_fit")
 def fs_rfe_curve_fit(spark, sf_dir):
     """FS-13 on real fits: mean and std of the fold score per number of features."""
     _, feats, train, _ = model_data(spark, sf_dir)
-    return ms.rfecv(train, feats, "logistic_regression", MODEL_PARAMS["logistic_regression"], seed=SEED)[1]
+    return ms.rfecv(train, feats, "logistic_regression", MODEL_PARAMS["logistic_regression"], seed=SEED, n_repeats=10)[1]
 
 
 @query("fs_importance")

@@ -10,14 +10,15 @@ from ..operators import models as ml
 from ..operators import select as sel
 from ..operators.evaluate import roc_auc
 from ..operators import summarise as rs
-from ..operators.impute import simple_impute
-from ..operators.split import generate_seeds, repeated_stratified_kfold, stratified_split
+from ..operators.split import generate_seeds, repeated_stratified_kfold
+from ..session import scratch_path
 from ..sources.fixtures import W1_FEATURES, doc_features, predictions, with_fixtures
 from . import sqlgen
 from .flagship import VAR_P, prepared_train_test
-from .jobs import job_name, run_job
+from .jobs import job_name
 from .q_scale import _prepared as w2_prepared
 from .registry import query
+from .study import run_study
 
 SEED = 42
 SEED_INIT = 545
@@ -55,9 +56,9 @@ def ml_class_weights(spark, sf_dir):
 
 MODEL_PARAMS = {
     "logistic_regression": {"penalty": "l2", "C": 1.0, "max_iter": 100},
-    "svm": {"C": 1.0, "max_iter": 100},
-    "forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt", "bootstrap": True},
-    "extreme_forest": {"n_estimators": 20, "criterion": "gini", "max_depth": 5, "max_features": "sqrt"},
+    "svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale", "max_iter": 100},
+    "forest": {"n_estimators": 100, "criterion": "gini", "max_depth": 10, "max_features": "sqrt", "bootstrap": True},
+    "extreme_forest": {"n_estimators": 100, "criterion": "gini", "max_depth": None, "max_features": "sqrt"},
     "adaboost": {"n_estimators": 10, "learning_rate": 1.0},
     "xgboost": {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3},
 }
@@ -85,14 +86,39 @@ for _name, _params in {**REG_PARAMS, **REG_TREES}.items():
     query(f"ml_{_name}" + ("_regression" if _name in REG_TREES else ""))(_r)
 
 
+#: The configured grids of the models whose points are fitted together (fixed values), and the folds.
+STRENGTHS = [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000, 10000]
+LOGISTIC_GRID = {"penalty": ["l1", "l2", "elasticnet"], "C": STRENGTHS, "solver": ["saga"], "warm_start": [True, False], "max_iter": [10000]}
+SVM_GRID = {"C": STRENGTHS, "kernel": ["poly", "rbf", "sigmoid"], "gamma": ["scale", "auto"], "max_iter": [10000]}
+FOLDS = (3, 10)
+
+
 @query("ml_grid_search")
 def ml_grid_search(spark, sf_dir):
+    """ML-12: all points of the configured logistic grid over 3 × 10 folds."""
     _, feats, train, _ = model_data(spark, sf_dir)
-    folds = repeated_stratified_kfold(train, 3, 1, SEED)
-    _, _, cv = ml.grid_search(train, feats, "logistic_regression", {"penalty": ["l2"], "C": [0.1, 10.0], "max_iter": [50]}, folds)
+    folds = repeated_stratified_kfold(train, *FOLDS, SEED)
+    _, _, cv = ml.grid_search(train, feats, "logistic_regression", LOGISTIC_GRID, folds)
     return cv
 
 
+@query("ml_svm_kernels")
+def ml_svm_kernels(spark, sf_dir):
+    """ML-2: a machine of each kernel and width on the normalised study table; margins and Platt's probabilities of the test rows."""
+    from ..operators.scale import normalise
+    imp, feats, _, _ = model_data(spark, sf_dir)
+    scaled, _ = normalise(imp, feats, "z_score_norm")
+    train, test = (scaled.where(F.col("part") == p) for p in ("train", "test"))
+    weighted, out = ml.class_weights(ml.assemble(train, feats), "target"), None
+    for kernel in SVM_GRID["kernel"]:
+        for gamma in SVM_GRID["gamma"]:
+            model = ml.make_estimator("svm", ml.BINARY, {"C": 1.0, "kernel": kernel, "gamma": gamma}, SEED).fit(weighted)
+            pr = ml.predict_scores(model, ml.assemble(test, feats), "svm")
+            pr = pr.select(F.lit(kernel).alias("kernel"), F.lit(gamma).alias("gamma"), "id", F.col("target").cast("int").alias("y_true"), "score", "prob1")
+            out = pr if out is None else out.unionByName(pr)
+    return out
+
+
 R = "experiment, seed, job, n_top"
 
 
@@ -121,27 +147,13 @@ def ml_verify_top_n(spark, sf_dir):
 
 E2E_SEEDS = 2
 E2E_JOBS = (["variance_threshold", "z_score_norm", "correlation", "mrmr"], ["variance_threshold", "z_score_norm", "sulov"])
-E2E_N_TOPS = (2, 4)
-E2E_MODELS = ("logistic_regression", "forest")
-
-
-def end_to_end(spark, sf_dir, n_seeds=E2E_SEEDS, jobs=E2E_JOBS, n_tops=E2E_N_TOPS, models=E2E_MODELS):
-    """seeds → split → impute → jobs → verification: the predictions of every run as one written table."""
-    table = None
-    base = doc_features(spark, sf_dir)
-    for seed in generate_seeds(SEED_INIT, n_seeds):
-        split = stratified_split(base, 0.3, seed)
-        data = simple_impute(split, W1_FEATURES).cache()
-        for steps in jobs:
-            frame, feats = run_job(data, W1_FEATURES, steps, {"n_top_features": list(n_tops)})
-            if not feats:
-                continue
-            pred = ml.verify_top_n(frame.where(F.col("part") == "train"), frame.where(F.col("part") == "test"), feats, n_tops,
-                                   {m: MODEL_PARAMS[m] for m in models}, seed=SEED)
-            pred = pred.select(F.lit("exp0").alias("experiment"), F.lit(int(seed)).cast("bigint").alias("seed"), F.lit(job_name(steps)).alias("job"), "*")
-            table = pred if table is None else table.unionByName(pred)
-        data.unpersist()
-    return table
+E2E_MODELS = VERIFIED
+
+
+def end_to_end(spark, sf_dir, n_seeds=E2E_SEEDS, jobs=E2E_JOBS, n_tops=N_TOPS, models=E2E_MODELS):
+    """seeds → split → impute → jobs → verification: the predictions of every run, from a study's folder."""
+    return run_study(spark, doc_features(spark, sf_dir), W1_FEATURES, scratch_path(spark, "study"), "exp0", generate_seeds(SEED_INIT, n_seeds), jobs, n_tops,
+                     {m: MODEL_PARAMS[m] for m in models}, model_seed=SEED)
 
 
 @query("run_end_to_end")

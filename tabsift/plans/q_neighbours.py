@@ -9,6 +9,7 @@ from ..functions.portable import r6
 from ..operators import models_select as ms
 from ..operators import nearest
 from ..operators import neighbours as nb
+from ..operators.evaluate import roc_auc
 from ..operators.frames import to_long
 from ..operators.impute import impute
 from ..operators.split import stratified_split
@@ -111,22 +112,62 @@ def os_adasyn(spark, sf_dir):
     return _long_out(nb.adasyn(train, feats, seed=SEED), feats)
 
 
-@query("os_smotenc")
+def _modes(nn: str, values: str, cols: list[str]) -> str:
+    """(qid, feature, value): the most frequent value of each categorical feature among a row's neighbours, the least on ties."""
+    names = ", ".join(repr(c) for c in cols)
+    return (f"SELECT qid, feature, value FROM (SELECT n.qid, v.feature, v.value, row_number() OVER (PARTITION BY n.qid, v.feature ORDER BY count(*) DESC, v.value) AS r "
+            f"FROM {nn} n JOIN {values} v ON v.id = n.rid WHERE n.rank <= 5 AND v.feature IN ({names}) GROUP BY n.qid, v.feature, v.value) WHERE r = 1")
+
+
+SMOTENC_CAT = ["lang_no"]
+SMOTENC_SQL = with_fixtures(
+    "SELECT * FROM syn WHERE feature <> 'lang_no' UNION ALL SELECT p.k, p.base_id, p.neighbour_id, m.feature, round(m.value, 6) + 0.0 "
+    "FROM picks p JOIN modes m ON m.qid = p.base_id", "w1", extra=BASE + [
+        ("med", "SELECT median(s) AS m FROM (SELECT coalesce(stddev_samp(value), 0) AS s FROM mino WHERE feature <> 'lang_no' GROUP BY feature)"),
+        ("mpos", f"SELECT id, row_number() OVER (ORDER BY {sqlgen.h13('id', S, repr('smotenc'))}, id) - 1 AS pos FROM (SELECT DISTINCT id FROM mino)"),
+        ("draws", f"SELECT k, {sqlgen.h52(S, repr('smotenc'), 'k')} % (SELECT n_min FROM cls) AS pos, "
+                  f"{sqlgen.h52(S, repr('nn'), 'k')} % least(5, (SELECT n_min FROM cls) - 1) + 1 AS rank FROM range(0, (SELECT n_maj - n_min FROM cls)) t(k)"),
+        ("based", "SELECT d.k, m.id, d.rank FROM draws d JOIN mpos m ON m.pos = d.pos"),
+        ("nn", "SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM (SELECT x.id AS qid, y.id AS rid, "
+               "sqrt(sum(CASE WHEN x.feature <> 'lang_no' THEN (x.value - y.value) * (x.value - y.value) WHEN x.value <> y.value THEN (SELECT m * m FROM med) ELSE 0 END)) AS dist "
+               "FROM mino x JOIN mino y ON x.feature = y.feature AND x.id <> y.id GROUP BY x.id, y.id)"),
+        *_synth_sql("based", "smotenc")[1:],
+        ("modes", _modes("nn", "mino", SMOTENC_CAT))])
+
+
+@query("os_smotenc", SMOTENC_SQL)
 def os_smotenc(spark, sf_dir):
     """OS-6: the third feature (lang_no) treated as categorical, as in the reference's setting."""
     train, feats = _train(spark, sf_dir)
-    cat = ["lang_no"]
-    num = [f for f in feats if f not in cat]
-    return nb.smotenc(train, num, cat, seed=SEED)
-
-
-@query("os_smoten")
+    num = [f for f in feats if f not in SMOTENC_CAT]
+    return _long_out(nb.smotenc(train, num, SMOTENC_CAT, seed=SEED), [*num, *SMOTENC_CAT])
+
+
+SMOTEN_COLS = ["lang_no", "toxic"]
+SMOTEN_SQL = with_fixtures(
+    "SELECT d.k AS draw, p.id AS base_id, m.feature, m.value FROM draws d JOIN mpos p ON p.pos = d.pos JOIN modes m ON m.qid = p.id", "w1", extra=[
+        ("sp", sqlgen.split("w1", 0.3, S, [], ["target"])),
+        ("tr", "SELECT id, target, lang_no, toxic FROM sp WHERE part = 'train'"),
+        ("long", sqlgen.unpivot("tr", ["id", "target"], SMOTEN_COLS)),
+        ("cnt", "SELECT target, count(*) AS n FROM tr GROUP BY target"),
+        ("cls", "SELECT min({'n': n, 't': target}).t AS minority, min(n) AS n_min, max(n) AS n_maj FROM cnt"),
+        ("shares", "SELECT feature, value, y.target AS y, sum(CASE WHEN l.target = y.target THEN 1.0 ELSE 0.0 END) / count(*) AS share "
+                   "FROM long l, (SELECT target FROM cnt) y GROUP BY feature, value, y.target"),
+        ("mino", "SELECT * FROM long WHERE target = (SELECT minority FROM cls)"),
+        ("emb", "SELECT m.id, m.feature, s.y, s.share FROM mino m JOIN shares s ON s.feature = m.feature AND s.value = m.value"),
+        ("nn", "SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM (SELECT x.id AS qid, y.id AS rid, "
+               "round(sqrt(sum((x.share - y.share) * (x.share - y.share))), 9) AS dist FROM emb x JOIN emb y ON x.feature = y.feature AND x.y = y.y AND x.id <> y.id GROUP BY x.id, y.id)"),
+        ("mpos", f"SELECT id, row_number() OVER (ORDER BY {sqlgen.h13('id', S, repr('smoten'))}, id) - 1 AS pos FROM (SELECT DISTINCT id FROM mino)"),
+        ("draws", f"SELECT k, {sqlgen.h52(S, repr('smoten'), 'k')} % (SELECT n_min FROM cls) AS pos FROM range(0, (SELECT n_maj - n_min FROM cls)) t(k)"),
+        ("modes", _modes("nn", "mino", SMOTEN_COLS))])
+
+
+@query("os_smoten", SMOTEN_SQL)
 def os_smoten(spark, sf_dir):
     """OS-5: all-categorical oversampling over the low-cardinality columns."""
-    from ..sources.fixtures import doc_features
-    from ..operators.split import stratified_split
     w1 = stratified_split(doc_features(spark, sf_dir), 0.3, SEED).where(F.col("part") == "train")
-    return nb.smoten(w1.select("id", "target", "lang_no", "toxic"), ["lang_no", "toxic"], seed=SEED)
+    out = nb.smoten(w1.select("id", "target", *SMOTEN_COLS), SMOTEN_COLS, seed=SEED)
+    return to_long(out, ["draw", "base_id"], SMOTEN_COLS).select("draw", "base_id", "feature", F.col("value").cast("double").alias("value"))
 
 
 @query("os_svm_smote")
@@ -208,3 +249,51 @@ def _univariate_sql(repeats: int = 10, splits: int = 3) -> list[tuple[str, str]]
 def fs_univariate_ranking(spark, sf_dir):
     train, feats = _train(spark, sf_dir)
     return ms.univariate_ranking(train, feats, seed=SEED).select("feature", r6("score").alias("score"))
+
+
+def _bijection_sql(n: str, repeats: int) -> list[tuple[str, str]]:
+    """The keyed bijection in SQL: (k, feature, rep, pos, cur): the position that a row's value of a feature goes to."""
+    keys = ", ".join(f"({j * repeats + r}, '{f}', {r}, {', '.join(map(str, ms.bijection_keys(SEED, f, r)))})" for j, f in enumerate(W1_FEATURES) for r in range(repeats))
+    name = [f"k{i}" for i in range(ms.ROUNDS)]
+    step = ("(SELECT s.pos, s.r AS l, CAST(xor(s.l, (((xor((s.r + s.{k}) * 362437, ((s.r + s.{k}) * 362437) >> 11)) * 69069) >> 7) & (SELECT mask FROM size)) AS BIGINT) AS r, "
+            "s.* EXCLUDE (pos, l, r) FROM {src} s)")
+
+    def network(src: str) -> str:
+        for k in name:
+            src = step.format(k=k, src=src)
+        return src
+
+    whole = "(SELECT pos, CAST({v} >> (SELECT h FROM size) AS BIGINT) AS l, CAST({v} & (SELECT mask FROM size) AS BIGINT) AS r, {rest} FROM {src})"
+    rest = "k, feature, rep, " + ", ".join(name)
+    out = f"CAST((l << (SELECT h FROM size)) | r AS BIGINT) AS cur, {rest}"
+    return [
+        ("keys", f"SELECT * FROM (VALUES {keys}) t(k, feature, rep, {', '.join(name)}) WHERE feature IN (SELECT feature FROM kept)"),
+        ("size", f"SELECT n, h, (CAST(1 AS BIGINT) << h) - 1 AS mask FROM (SELECT n, greatest(1, CAST((length(bin(greatest(n - 1, 1))) + 1) // 2 AS INTEGER)) AS h FROM (SELECT {n} AS n))"),
+        ("walk", f"SELECT pos, {out} FROM {network(whole.format(v='pos', rest=rest, src='rws, keys'))} "
+                 f"UNION ALL SELECT pos, {out} FROM {network(whole.format(v='cur', rest=rest, src='(SELECT * FROM walk WHERE cur >= (SELECT n FROM size))'))}"),
+        ("sent", "SELECT k, feature, rep, pos, cur FROM walk WHERE cur < (SELECT n FROM size)"),
+    ]
+
+
+PERMUTED_REPEATS = 2
+PERMUTED_SQL = with_fixtures(
+    "SELECT feature, CAST(rep AS BIGINT) AS rep, round((sum(CASE WHEN target = 1 THEN r END) - p * (p + 1) / 2.0) / nullif(p * q, 0), 6) AS auc FROM ("
+    "SELECT *, sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN target = 0 THEN 1 ELSE 0 END) OVER w AS q FROM ranks WINDOW w AS (PARTITION BY feature, rep)) "
+    "GROUP BY feature, rep, p, q", "w1", extra=BASE + [
+        ("rws", f"SELECT id, target, CAST(row_number() OVER (ORDER BY {sqlgen.h13('id', S)}, id) - 1 AS BIGINT) AS pos FROM (SELECT DISTINCT id, target FROM tr)"),
+        *_bijection_sql("(SELECT count(*) FROM rws)", PERMUTED_REPEATS),
+        ("moved", "SELECT s.feature, s.rep, o.target, t.value FROM sent s JOIN rws x ON x.pos = s.pos JOIN tr t ON t.id = x.id AND t.feature = s.feature JOIN rws o ON o.pos = s.cur"),
+        ("ranks", "SELECT feature, rep, target, rank() OVER (PARTITION BY feature, rep ORDER BY value) + (count(*) OVER (PARTITION BY feature, rep, value) - 1) / 2.0 AS r FROM moved")],
+    recursive=True)
+
+
+@query("fs_permuted_auc", PERMUTED_SQL)
+def fs_permuted_auc(spark, sf_dir):
+    """FS-3's permutation itself: the AUC of every permuted feature, by repeat."""
+    train, feats = _train(spark, sf_dir)
+    base = ms.with_positions(train, ["id", "target", *feats], SEED)
+    both = base.join(ms.permuted_values(base, feats, PERMUTED_REPEATS, SEED), "pos")
+    names = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).cast("bigint").alias("rep")) for f in feats for r in range(PERMUTED_REPEATS)])
+    each = both.select("id", F.col("target").cast("int").alias("y_true"), F.inline(F.arrays_zip(names.alias("run"), F.col("values").alias("score"))))
+    auc = roc_auc(each.select("run.feature", "run.rep", "id", "y_true", "score"), ["feature", "rep"])
+    return auc.select("feature", "rep", r6("roc_auc").alias("auc"))

@@ -11,7 +11,7 @@ from ..operators import split as sp
 from ..sources.fixtures import W1_FEATURES, W2_FEATURES, doc_features, order_features, predictions, with_fixtures
 from . import sqlgen
 from .flagship import VAR_P, prepared_sql, prepared_train_test
-from .jobs import run_job
+from .jobs import run_job, run_jobs
 from .q_evaluate import ST
 from .q_scale import PREP as W2_PREP
 from .q_scale import _prepared as w2_prepared
@@ -64,8 +64,12 @@ def fs_correlation_filter(spark, sf_dir):
     return ranking.select("rank", "feature", (~F.col("feature").isin(kept)).alias("dropped"))
 
 
+#: The configured number of features; the study tables have fewer, so all are ranked.
+MRMR_FEATURES = 30
+
+
 def _mrmr_sql(src_long: str, feats, target_expr: str, task: str, extra_ctes) -> str:
-    """K = 3 greedy steps unrolled; src_long has (id, target, feature, value)."""
+    """One greedy step a feature, unrolled; src_long has (id, target, feature, value)."""
     if task == "binary_classification":
         fstat = ("SELECT feature, CASE WHEN k > 1 THEN (ssb / (k - 1)) / nullif(ssw / (n - k), 0) END AS f FROM "
                  "(SELECT feature, sum(nc) AS n, count(*) AS k, sum(wc) AS ssw, sum(nc * (mc - gm) * (mc - gm)) AS ssb FROM "
@@ -90,15 +94,12 @@ def _mrmr_sql(src_long: str, feats, target_expr: str, task: str, extra_ctes) ->
         ("el", "SELECT e.*, p.fpos FROM enc e JOIN mpos p USING (feature)"),
         ("pr", "SELECT a, b, coalesce(abs(" + sqlgen.corr() + "), 0) AS ar FROM (" + sqlgen.pair_moments("el") + ")"),
         ("pr2", "SELECT a, b, ar FROM pr UNION ALL SELECT b, a, ar FROM pr"),
-        ("s1", "SELECT max({'v': rel, 'p': -fpos, 'f': feature}).f AS f1 FROM cand"),
-        ("s2", "SELECT max({'v': c.rel / greatest(coalesce(p.ar, 0), 0.001), 'p': -c.fpos, 'f': c.feature}).f AS f2 "
-               "FROM cand c CROSS JOIN s1 LEFT JOIN pr2 p ON p.a = c.feature AND p.b = s1.f1 WHERE c.feature <> s1.f1"),
-        ("s3", "SELECT max({'v': c.rel / greatest((coalesce(p1.ar, 0) + coalesce(p2.ar, 0)) / 2, 0.001), 'p': -c.fpos, "
-               "'f': c.feature}).f AS f3 FROM cand c CROSS JOIN s1 CROSS JOIN s2 LEFT JOIN pr2 p1 ON p1.a = c.feature AND p1.b = s1.f1 "
-               "LEFT JOIN pr2 p2 ON p2.a = c.feature AND p2.b = s2.f2 WHERE c.feature <> s1.f1 AND c.feature <> s2.f2"),
+        ("c1", "SELECT CAST(1 AS BIGINT) AS rank, max({'v': rel, 'p': -fpos, 'f': feature}).f AS feature FROM cand"),
+        *[(f"c{k}", f"SELECT * FROM c{k - 1} UNION ALL SELECT {k}, max({{'v': rel / greatest(red, 0.001), 'p': -fpos, 'f': feature}}).f FROM ("
+                    f"SELECT c.feature, c.rel, c.fpos, sum(coalesce(p.ar, 0)) / {k - 1} AS red FROM cand c CROSS JOIN c{k - 1} g LEFT JOIN pr2 p ON p.a = c.feature AND p.b = g.feature "
+                    f"WHERE c.feature NOT IN (SELECT feature FROM c{k - 1} WHERE feature IS NOT NULL) GROUP BY c.feature, c.rel, c.fpos)") for k in range(2, len(feats) + 1)],
     ]
-    body = ("SELECT * FROM (SELECT CAST(1 AS BIGINT) AS rank, f1 AS feature FROM s1 UNION ALL SELECT 2, f2 FROM s2 "
-            "UNION ALL SELECT 3, f3 FROM s3) WHERE feature IS NOT NULL")
+    body = f"SELECT rank, feature FROM c{len(feats)} WHERE feature IS NOT NULL"
     return body, ctes
 
 
@@ -115,7 +116,7 @@ def fs_mrmr(spark, sf_dir):
     imp, feats = prepared_train_test(spark, sf_dir)
     train = imp.where(F.col("part") == "train").cache()
     kept = sel.variance_threshold(train, feats, VAR_P)
-    chosen = sel.mrmr(train, kept, 3)
+    chosen = sel.mrmr(train, kept, MRMR_FEATURES)
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank bigint, feature string")
 
 
@@ -132,7 +133,7 @@ def _fs6_sql():
 @query("fs_mrmr_regression", _fs6_sql())
 def fs_mrmr_regression(spark, sf_dir):
     w2 = order_features(spark, sf_dir).drop("target").cache()
-    chosen = sel.mrmr(w2, REG_FEATS, 3, target="totalprice", task="regression")
+    chosen = sel.mrmr(w2, REG_FEATS, MRMR_FEATURES, target="totalprice", task="regression")
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank bigint, feature string")
 
 
@@ -230,3 +231,19 @@ def fs_run_job(spark, sf_dir):
     prep = w2_prepared(spark, sf_dir).cache()
     _, feats = run_job(prep, W2_FEATURES, ["variance_threshold", "z_score_norm", "correlation"])
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(feats)], "pos bigint, feature string")
+
+
+#: The configured jobs (fixed values).
+STUDY_JOBS = [["variance_threshold", "z_score_norm", "correlation", "fr_forest"], ["variance_threshold", "z_score_norm", "correlation", "univariate_ranking"],
+              ["variance_threshold", "z_score_norm", "correlation", "mrmr"], ["z_score_norm", "hand_picked"]]
+
+
+@query("fs_run_jobs")
+def fs_run_jobs(spark, sf_dir):
+    """The four configured jobs in one call: common steps run once."""
+    from ..operators.impute import simple_impute
+    from ..operators.split import stratified_split
+    data = simple_impute(stratified_split(doc_features(spark, sf_dir), 0.3, 42), W1_FEATURES)
+    params = {"hand_picked": ["n_words", "n_digits", "n_punct", "toxic"], "params": {"forest": {"n_estimators": 20, "max_depth": 5}}, "n_top_features": [MRMR_FEATURES]}
+    rows = [(name, i + 1, f) for name, (_, feats) in run_jobs(data, W1_FEATURES, STUDY_JOBS, params).items() for i, f in enumerate(feats)]
+    return spark.createDataFrame(rows, "job string, pos bigint, feature string")
