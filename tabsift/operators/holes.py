@@ -147,7 +147,8 @@ def nearest_donors(holes: DataFrame, train: DataFrame, feats: list[str], k: int,
                     bounds = cells.bounds(q)
                     to = cells.first(q, bounds, k)
                     if again:
-                        reach = np.array([[np.inf if v is None else v for v in row] for row in part["reach"]], dtype=float).reshape(-1, p)
+                        reach = np.stack([np.asarray(row, dtype=float) for row in part["reach"]])
+                        reach = np.where(np.isnan(reach), np.inf, reach)  # fewer than k donors so far
                         within = np.zeros(to.shape, dtype=bool)
                         for j in range(p):
                             within |= np.isnan(q[:, j])[:, None] & (cells.present[:, j] > 0)[None, :] & (bounds <= reach[:, j][:, None] * (1 + 1e-9))

@@ -164,6 +164,14 @@ def mrmr(df: DataFrame, features, k: int, target: str = "target", task: str = "b
     return mrmr_greedy(features, rel, corr, k, floor)
 
 
+def _leading(v: float, digits: int = 9) -> tuple[int, float]:
+    """A positive number by its exponent and leading digits: scores that differ in rounding alone are equal."""
+    if not v > 0 or math.isinf(v):
+        return (-400 if not v > 0 else 400), 0.0
+    e = math.floor(math.log10(v))
+    return e, round(v / 10.0 ** e, digits)
+
+
 def mrmr_greedy(features, rel: dict, corr: dict, k: int, floor: float = 0.001) -> list[str]:
     chosen: list[str] = []
     left = [f for f in features if rel.get(f, 0.0) > 0]
@@ -173,7 +181,7 @@ def mrmr_greedy(features, rel: dict, corr: dict, k: int, floor: float = 0.001) -
                 return rel[f]
             red = sum(corr.get((f, g), 0.0) for g in chosen) / len(chosen)
             return rel[f] / max(red, floor)
-        best = max(left, key=lambda f: (score(f), -features.index(f)))
+        best = max(left, key=lambda f: (*_leading(score(f)), -features.index(f)))
         chosen.append(best)
         left.remove(best)
     return chosen

@@ -123,13 +123,13 @@ SMOTENC_CAT = ["lang_no"]
 SMOTENC_SQL = with_fixtures(
     "SELECT * FROM syn WHERE feature <> 'lang_no' UNION ALL SELECT p.k, p.base_id, p.neighbour_id, m.feature, round(m.value, 6) + 0.0 "
     "FROM picks p JOIN modes m ON m.qid = p.base_id", "w1", extra=BASE + [
-        ("med", "SELECT median(s) AS m FROM (SELECT coalesce(stddev_samp(value), 0) AS s FROM mino WHERE feature <> 'lang_no' GROUP BY feature)"),
+        ("medstd", "SELECT median(s) AS m FROM (SELECT coalesce(stddev_samp(value), 0) AS s FROM mino WHERE feature <> 'lang_no' GROUP BY feature)"),
         ("mpos", f"SELECT id, row_number() OVER (ORDER BY {sqlgen.h13('id', S, repr('smotenc'))}, id) - 1 AS pos FROM (SELECT DISTINCT id FROM mino)"),
         ("draws", f"SELECT k, {sqlgen.h52(S, repr('smotenc'), 'k')} % (SELECT n_min FROM cls) AS pos, "
                   f"{sqlgen.h52(S, repr('nn'), 'k')} % least(5, (SELECT n_min FROM cls) - 1) + 1 AS rank FROM range(0, (SELECT n_maj - n_min FROM cls)) t(k)"),
         ("based", "SELECT d.k, m.id, d.rank FROM draws d JOIN mpos m ON m.pos = d.pos"),
         ("nn", "SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM (SELECT x.id AS qid, y.id AS rid, "
-               "sqrt(sum(CASE WHEN x.feature <> 'lang_no' THEN (x.value - y.value) * (x.value - y.value) WHEN x.value <> y.value THEN (SELECT m * m FROM med) ELSE 0 END)) AS dist "
+               "sqrt(sum(CASE WHEN x.feature <> 'lang_no' THEN (x.value - y.value) * (x.value - y.value) WHEN x.value <> y.value THEN (SELECT m * m FROM medstd) ELSE 0 END)) AS dist "
                "FROM mino x JOIN mino y ON x.feature = y.feature AND x.id <> y.id GROUP BY x.id, y.id)"),
         *_synth_sql("based", "smotenc")[1:],
         ("modes", _modes("nn", "mino", SMOTENC_CAT))])

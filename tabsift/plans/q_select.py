@@ -68,6 +68,11 @@ def fs_correlation_filter(spark, sf_dir):
 MRMR_FEATURES = 30
 
 
+def _leading(v: str) -> str:
+    """Exponent and leading digits of a positive number, so that rounding alone decides nothing."""
+    return f"'e': floor(log10({v})), 'm': round(({v}) / pow(10.0, floor(log10({v}))), 9)"
+
+
 def _mrmr_sql(src_long: str, feats, target_expr: str, task: str, extra_ctes) -> str:
     """One greedy step a feature, unrolled; src_long has (id, target, feature, value)."""
     if task == "binary_classification":
@@ -94,8 +99,8 @@ def _mrmr_sql(src_long: str, feats, target_expr: str, task: str, extra_ctes) ->
         ("el", "SELECT e.*, p.fpos FROM enc e JOIN mpos p USING (feature)"),
         ("pr", "SELECT a, b, coalesce(abs(" + sqlgen.corr() + "), 0) AS ar FROM (" + sqlgen.pair_moments("el") + ")"),
         ("pr2", "SELECT a, b, ar FROM pr UNION ALL SELECT b, a, ar FROM pr"),
-        ("c1", "SELECT CAST(1 AS BIGINT) AS rank, max({'v': rel, 'p': -fpos, 'f': feature}).f AS feature FROM cand"),
-        *[(f"c{k}", f"SELECT * FROM c{k - 1} UNION ALL SELECT {k}, max({{'v': rel / greatest(red, 0.001), 'p': -fpos, 'f': feature}}).f FROM ("
+        ("c1", f"SELECT CAST(1 AS BIGINT) AS rank, max({{{_leading('rel')}, 'p': -fpos, 'f': feature}}).f AS feature FROM cand"),
+        *[(f"c{k}", f"SELECT * FROM c{k - 1} UNION ALL SELECT {k}, max({{{_leading('rel / greatest(red, 0.001)')}, 'p': -fpos, 'f': feature}}).f FROM ("
                     f"SELECT c.feature, c.rel, c.fpos, sum(coalesce(p.ar, 0)) / {k - 1} AS red FROM cand c CROSS JOIN c{k - 1} g LEFT JOIN pr2 p ON p.a = c.feature AND p.b = g.feature "
                     f"WHERE c.feature NOT IN (SELECT feature FROM c{k - 1} WHERE feature IS NOT NULL) GROUP BY c.feature, c.rel, c.fpos)") for k in range(2, len(feats) + 1)],
     ]

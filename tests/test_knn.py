@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tabsift.operators import nearest
+from tabsift.operators import holes, nearest
 from tabsift.operators.impute import impute
 from tabsift.operators.nearest import knn
 from tabsift.operators.neighbours import oversample, smote
@@ -106,7 +106,7 @@ def test_knn_imputation(spark):
     feats = ["a", "b", "c", "d"]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, part string")
     out = {r["id"]: [r[f] for f in feats] for r in impute(df, "knn_impute", feats).collect()}
-    blocked = {r["id"]: [r[f] for f in feats] for r in nearest.knn_impute(df, feats, block_rows=25).collect()}
+    blocked = {r["id"]: [r[f] for f in feats] for r in holes.knn_impute(df, feats, leaf=4).collect()}
     train = [i for i in range(160) if i % 4]
     for i in range(160):
         for j in range(4):
@@ -122,6 +122,60 @@ def test_knn_imputation(spark):
             assert out[i][j] == pytest.approx(want) and blocked[i][j] == pytest.approx(want), (i, j)
 
 
+def test_imputation_visits_few_cells(spark):
+    """Holes are filled from a small part of the donors, with the answer of all of them."""
+    rng = np.random.default_rng(8)
+    n, feats = 6000, [f"f{i}" for i in range(4)]
+    x = rng.normal(size=(n, 4))
+    x[rng.random(x.shape) < 0.03] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, " + ", ".join(f"{f} double" for f in feats)).cache()
+    asked = df.where(" OR ".join(f"{f} IS NULL" for f in feats)).where("id % 7 = 0")
+    found, visits = holes.nearest_donors(asked, df, feats, 5, "id", leaf=64)
+    per = visits.groupBy("qid").count().agg(F.avg("count")).first()[0]
+    assert per * 64 < 0.35 * n
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["qid"], r["feature"]), []).append((r["dist"], r["donor"]))
+    for (i, f), near in list(got.items())[:60]:
+        j = feats.index(f)
+        have = ~np.isnan(x[i])
+        both = have[None, :] & ~np.isnan(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dist = np.sqrt(np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) * 4 / both.sum(axis=1))
+        want = sorted((d, t) for t, d in enumerate(dist) if not np.isnan(x[t, j]) and both[t].any())[:5]
+        assert [t for _, t in sorted(near)] == [t for _, t in want]
+
+
+def test_bounds_hold():
+    """No donor of a cell is nearer than the cell's bound."""
+    rng = np.random.default_rng(4)
+    x, cell = rng.normal(size=(300, 3)), rng.integers(0, 12, 300)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    low, high = np.full((12, 3), np.inf), np.full((12, 3), -np.inf)
+    for c in range(12):
+        for j in range(3):
+            v = x[cell == c, j]
+            v = v[~np.isnan(v)]
+            if len(v):
+                low[c, j], high[c, j] = v.min(), v.max()
+    present = np.array([(~np.isnan(x[cell == c])).sum(axis=0) for c in range(12)], dtype=float)
+    cells = holes.Cells(low, high, present, np.bincount(cell, minlength=12).astype(float))
+    q = rng.normal(size=(40, 3))
+    q[rng.random(q.shape) < 0.4] = np.nan
+    bounds = cells.bounds(q)
+    for i in range(40):
+        for t in range(300):
+            both = ~np.isnan(q[i]) & ~np.isnan(x[t])
+            if both.any():
+                assert bounds[i, cell[t]] <= np.sqrt(((q[i, both] - x[t, both]) ** 2).sum() * 3 / both.sum()) + 1e-12
+
+
+def test_rows_with_holes_are_refused(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, a double")
+    with pytest.raises(Exception, match="missing feature"):
+        nearest.knn(df.where("id = 1"), df, ["a"], 1).count()
+
+
 def test_oversampling_by_name(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 2))

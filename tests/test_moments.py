@@ -69,3 +69,17 @@ def test_spearman_with_heavy_values(spark, monkeypatch, heavy):
     got = {(r["a"], r["b"]): r["r"] for r in pair_corr(df, ["x", "b", "c"], "spearman").collect()}
     rank = lambda v: np.array([(v < q).sum() + ((v == q).sum() + 1) / 2 for q in v])
     assert got["x", "b"] == pytest.approx(np.corrcoef(rank(x), rank(b))[0, 1]) and got["x", "c"] is None
+
+
+@pytest.mark.parametrize("rows_per_range,block", [(60, 16), (7, 8192), (400, 5)])
+def test_kendall_over_many_ranges(spark, monkeypatch, rows_per_range, block):
+    """Heavy values on both sides and groups over many tasks give the merged count."""
+    from tabsift.operators import stats
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(700) < 0.4, 5.0, rng.integers(0, 60, 700)).astype(float)
+    cols = {"x": x, "y": np.where(rng.random(700) < 0.3, 1.0, x + rng.normal(size=700) * 9).round(), "z": rng.normal(size=700)}
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(*cols.values()))], "id long, " + ", ".join(f"{c} double" for c in cols))
+    whole = {(r["a"], r["b"]): r["r"] for r in kendall(df, list(cols)).collect()}
+    monkeypatch.setattr(stats, "BLOCK_ROWS", block)
+    cut = {(r["a"], r["b"]): r["r"] for r in kendall(df, list(cols), rows_per_range).collect()}
+    assert cut == pytest.approx(whole, abs=1e-12)
