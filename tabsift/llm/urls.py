@@ -21,37 +21,49 @@ BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
 #: Rules a table may hold; they travel with every task.
 MAX_RULES = 100_000
 STEPS, RATE, DECAY = 1200, 0.5, 1e-4
-
-#: The small labelled table is built from these words: names of sites and of pages worth keeping, and of those not.
-GOOD_SITES = ("news.city-times.example", "www.library.example", "docs.openproject.example", "blog.garden.example", "university.example",
-              "museum.example", "en.encyclopedia.example", "www.weather.example", "science.journal.example", "m.recipes.example",
-              "thering.example.net", "tionsh.example.com", "history.example.org", "forum.mathematics.example", "health.gov.example")
-BAD_SITES = ("casino-bonus.example", "free-poker.example", "xxx-cams.example", "adult-dating.example", "cheap-pills.example",
-             "ads.tracker.example", "click.adserver.example", "porn-tube.example", "win-lottery.example", "payday-loans.example",
-             "viagra-shop.example", "torrent-warez.example", "crack-keygen.example", "betting-odds.example", "spam-links.example")
-GOOD_PAGES = ("/en/12345.html", "/de/67890", "/fr/24680/", "/es/13579", "/wiki/Bridge", "/articles/2020/05/spring", "/guide/install",
-              "/2019/11/24/report.html", "/about", "/lessons/7", "", "/")
-BAD_PAGES = ("/casino/free-spins", "/xxx/video/1", "/click?ad=5", "/poker/bonus", "/buy-viagra-online", "/adult/cams", "/lottery/win",
-             "/ads/banner/728x90", "/warez/crack.zip", "/loans/apply-now", "/affiliate/track", "/sex/chat")
-
-
-#: Parts of ordinary site names, joined by rule, so that no common letter run speaks against a site.
-NAME_PARTS = ("the", "tion", "ing", "er", "on", "and", "or", "ein", "lich", "ment", "eau", "cion", "land", "stadt", "ville", "web", "shop", "home", "port", "line")
+#: How much a row to be blocked weighs beside one to be kept: most of the web is worth keeping.
+BAD_WEIGHT = 0.6
+
+#: The small labelled table is built from these words (fixed values): what sites worth keeping are about and called, what others are about.
+GOOD_WORDS = ("news", "times", "daily", "post", "library", "museum", "university", "school", "academy", "garden", "recipes", "kitchen", "weather", "travel",
+              "history", "science", "physics", "mathematics", "journal", "health", "hospital", "government", "city", "council", "bank", "insurance", "docs",
+              "wiki", "encyclopedia", "dictionary", "forum", "blog", "music", "film", "theatre", "sports", "football", "tennis", "cycling", "books",
+              "photo", "art", "design", "architecture", "engineering", "software", "computer", "open-source", "research", "institute", "market",
+              "shop", "store", "fashion", "furniture", "cars", "railway", "airport", "hotel", "restaurant", "farm", "church", "family", "kids", "jobs")
+NAMES = ("anna", "martin", "oliver", "sophie", "miller", "johnson", "schmidt", "weber", "garcia", "lopez", "moreau", "dubois", "rossi", "novak", "larsen",
+         "london", "berlin", "madrid", "lyon", "chicago", "boston", "hamburg", "valencia", "toulouse", "vienna", "dublin", "ottawa", "seattle",
+         "river", "mountain", "forest", "harbour", "bridge", "castle", "silver", "green", "northern", "western", "little", "grand", "central", "united",
+         "wasser", "strasse", "haus", "freunde", "casa", "ciudad", "amigos", "maison", "jardin", "soleil")
+BAD_WORDS = ("casino", "poker", "slots", "roulette", "blackjack", "jackpot", "lottery", "gambling", "betting", "bets", "bookmaker", "porn", "porno", "xxx",
+             "sex", "nude", "cams", "webcams", "escorts", "adult", "hookup", "milf", "fetish", "erotic", "viagra", "cialis", "pills", "steroids",
+             "pharmacy-online", "weight-loss", "payday", "quick-loans", "credit-repair", "torrent", "warez", "crack", "keygen", "serials", "nulled",
+             "adserver", "adclick", "popunder", "tracker", "affiliate", "doorway", "spam", "replica-watches", "forex-signals", "crypto-giveaway", "get-rich")
+BAD_WITH = ("", "cheap", "free", "best", "hot", "live", "online", "buy", "top", "24", "365", "x", "my", "real")
+ENDINGS = (".com", ".net", ".org", ".de", ".fr", ".es", ".co.uk", ".info", ".edu", ".gov", ".example", ".io")
+GOOD_PAGES = ("", "/", "/about", "/contact.html", "/2019/11/24/report.html", "/articles/spring-flowers", "/wiki/Suspension_bridge", "/guide/install", "/products/42",
+              "/en/", "/de/impressum", "/fr/accueil", "/es/noticias/201", "/index.php", "/category/health", "/lessons/7", "/archive/88123", "/p/4711.html")
+BAD_PAGES = ("/casino/free-spins", "/xxx/video/1", "/click?ad=5", "/poker/bonus", "/buy-viagra-online", "/adult/cams", "/lottery/win", "/porn/tube/77",
+             "/ads/banner/728x90", "/warez/crack.zip", "/payday/apply-now", "/affiliate/track", "/sex/chat", "/betting/odds", "/pills/order")
 
 
 def labelled_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if to be blocked): every site with every third page of its kind, good sites with bad pages, and
-    ordinary names with good pages. A missing url (empty host and path) is nothing to block."""
-    rows = [("", "", 0)]
-    n = len(NAME_PARTS)
-    for i in range(3 * n):
-        name = NAME_PARTS[i % n] + NAME_PARTS[(3 * i + i // n + 1) % n]
-        host = f"{('', 'www.', 'blog.', 'm.')[i % 4]}{name}.example{('', '.com', '.net', '.org')[i // 4 % 4]}"
-        rows.append((host, GOOD_PAGES[i % len(GOOD_PAGES)], 0))
-    for i, (good, bad) in enumerate(zip(GOOD_SITES, BAD_SITES, strict=True)):
-        rows += [(good, p, 0) for p in GOOD_PAGES[i % 3::3]]
-        rows += [(bad, p, 1) for p in (GOOD_PAGES + BAD_PAGES)[i % 4::4]]
-        rows += [(good, p, 1) for p in BAD_PAGES[i % 4::4]]
+    """(host, path, 1 if to be blocked), by rule: sites named after ordinary words and names, alone and joined, with ordinary pages;
+    sites named after unwanted matter with any page; and ordinary sites with unwanted pages. A missing url (empty host and path)
+    is nothing to block."""
+    rows, plain = [("", "", 0)], (*GOOD_WORDS, *NAMES)
+    n, g, b = len(plain), len(GOOD_PAGES), len(BAD_PAGES)
+    for i in range(8 * n):
+        first, second = plain[i % n], plain[(7 * i + 13 * (i // n) + 1) % n]
+        name = (first, first + second, f"{first}-{second}", f"{second}{first}{i % 90 + 10}")[i // n % 4]
+        host = f"{('', 'www.', 'blog.', 'm.', 'en.')[i % 5]}{name}{ENDINGS[i % len(ENDINGS)]}"
+        rows.append((host, GOOD_PAGES[i % g], 0))
+        if i % 12 == 0:
+            rows.append((host, BAD_PAGES[i % b], 1))
+    for i, word in enumerate(BAD_WORDS * 6):
+        extra, other = BAD_WITH[(5 * i + i // len(BAD_WORDS)) % len(BAD_WITH)], plain[(11 * i + 3) % n]
+        name = (extra + word, f"{word}{extra}", f"{extra}-{word}".strip("-"), word + other, f"{word}-{extra}".strip("-"), other + word)[i // len(BAD_WORDS)]
+        host = f"{('', 'www.', 'm.')[i % 3]}{name}{ENDINGS[i % len(ENDINGS)]}"
+        rows.append((host, (GOOD_PAGES + BAD_PAGES)[i % (g + b)], 1))
     return rows
 
 
@@ -98,7 +110,7 @@ def trained() -> tuple[np.ndarray, float]:
     w, b = np.zeros(BUCKETS), 0.0
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(np.bincount(row, value * w[bucket], minlength=len(y)) + b)))
-        miss = (y - p) / len(y)
+        miss = (y - p) * np.where(y > 0, BAD_WEIGHT, 1.0) / len(y)
         w += RATE * 20 * (np.bincount(bucket, value * miss[row], minlength=BUCKETS) - DECAY * w)
         b += RATE * miss.sum()
     return w.astype(np.float32), b

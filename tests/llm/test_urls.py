@@ -49,6 +49,36 @@ def test_model_on_unseen_urls():
     assert (p[:len(good)] < 0.5).all() and (p[len(good):] >= 0.5).all()
 
 
+def test_model_on_hosts_unlike_the_table():
+    """Real-world style names of which no whole word is in the table."""
+    table = {w for host, _, _ in urls.labelled_table() for w in re.split(r"[.-]", host)} - {"www", "com", "org", "net", "de", "fr", "en", "m", "blog"}
+    good = [("www.nytimes.com", "/2020/01/01/world"), ("en.wikipedia.org", "/wiki/Essex"), ("arxiv.org", "/abs/1706.03762"), ("middlesex.ac.uk", "/"), ("lemonde.fr", "/planete"),
+            ("zeit.de", "/kultur"), ("tionsher.example.net", "/en/4711"), ("stackoverflow.com", "/questions/1"), ("kwpzqlm.example.com", "/en/12345.html"), ("amazon.com", "/dp/B00")]
+    bad = [("www.pornstars.tv", "/video"), ("bet777.com", "/sports"), ("thepiratebay-torrents.to", "/search"), ("rx-onlinepharmacy.biz", "/order"), ("luckyslotsking.win", ""),
+           ("xxxvids.tube", "/sex/1"), ("megacasinos.se", "/poker/"), ("cheapviagras.ru", "/pills")]
+    assert not any(w in table for host, _ in good + bad for w in re.split(r"[.-]", host) if len(w) > 4 and w != "example")
+    p = urls.probabilities([h for h, _ in good + bad], [q for _, q in good + bad], urls.trained())
+    assert (p[:len(good)] < 0.5).all() and (p[len(good):] >= 0.5).all()
+
+
+def test_score_against_plain_sums():
+    """The whole score by a loop over the n-grams."""
+    weights, bias = urls.trained()
+    for host, path in (("free-casino.test", "/poker"), ("a.org", ""), ("", ""), ("é.example", "/x")):
+        total = bias
+        for field, text in enumerate((host, path)):
+            raw = b"\x02" + text.encode() + b"\x03"
+            grams = [raw[i:i + n] for n in urls.GRAMS for i in range(len(raw) - n + 1)]
+            for g in grams:
+                key = 0
+                for b in g:
+                    key = (key * 0x9E3779B97F4A7C15 + b + 1 + 256 * field) % 2**64
+                key = ((key ^ key >> 31) * 0xBF58476D1CE4E5B9) % 2**64
+                total += float(weights[(key >> 48) % urls.BUCKETS]) / np.sqrt(len(grams))
+        assert urls.probabilities([host], [path], urls.trained())[0] == np.float64(1 / (1 + np.exp(-total))).round(12) or abs(
+            urls.probabilities([host], [path], urls.trained())[0] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_hashed_grams_against_loop():
     row, bucket = urls.hashed_grams(["ab", "", "abcdef"], 1)
     assert np.bincount(row, minlength=3).tolist() == [sum(max(0, n + 2 - g + 1) for g in urls.GRAMS) for n in (2, 0, 6)]
