@@ -24,13 +24,15 @@ from .common import arrow_schema, batch_of, fields, pieces_of
 from .pii_table import KINDS, labelled_table
 
 #: The exact patterns (fixed), leftmost and non-overlapping for each kind.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) are found from their @ and
+#: from whole chains of numbers, so that no run is read twice; the others are read as they stand.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 #: Training: steps, step size and weight decay.
 STEPS, RATE, DECAY = 250, 0.15, 1e-4
 LABELS = 1 + 2 * len(KINDS)  # 0: none; 1 + 2k begins kind k; 2 + 2k continues it
@@ -48,13 +50,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses: each @ with the whole run before it (behind the last address) and its domain."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        low = domain.end() if domain else at + 1
+        at = text.find("@", low)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four numbers joined by dots, each at most 255: a chain is cut into fours from its start."""
+    for chain in NUMBERS.finditer(text):
+        if chain.group().count(".") < 3:
+            continue
+        numbers, at = chain.group().split("."), chain.start()
+        for i in range(0, len(numbers) - 3, 4):
+            four = numbers[i:i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(n := v.lstrip("0")) <= 3 and int(n or "0") <= 255 for v in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the exact patterns, by kind as listed, then by start."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out = [("email", *span) for span in emails(text)]
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *span) for span in addresses(text)]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):

@@ -1,7 +1,9 @@
 """Personal data: exact patterns by plain rules, decoding against a full Viterbi, sentences the model has not seen."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -103,3 +105,28 @@ def test_odd_documents(odd_documents):
     assert out.columns == docs.columns and same_ids(out.collect()) == ALL_IDS
     assert {r["doc_id"]: r["text"] for r in out.collect()}[3] is None
     assert pii.reports(empty).count() == 0 and pii.redacted(empty).count() == 0
+
+
+OLD_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+OLD_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_base_patterns_as_written():
+    """Addresses found from their @ and from chains of numbers are those of the patterns, read as they stand."""
+    r = random.Random(3)
+    for _ in range(5000):
+        text = "".join(r.choice("ab1@.. -%9") for _ in range(r.randrange(1, 40)))
+        assert [m.span() for m in OLD_EMAIL.finditer(text)] == list(pii.emails(text)), text
+        text = "".join(r.choice("12503.... x") for _ in range(r.randrange(1, 50)))
+        assert [m.span() for m in OLD_IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))] == list(pii.addresses(text)), text
+
+
+@pytest.mark.parametrize("run", ["a", "1", "1.", "a@", "@", "a@b.", "+1", "1-", "a.b@c", "0", "+1(", "é", "a" * 50 + " "])
+def test_long_runs_take_linear_time(run):
+    """A megabyte of one run, then an address: found in well under the time of a rescan."""
+    text = run * (1_000_000 // len(run)) + " x@y.zz"
+    started = time.perf_counter()
+    spans = pii.base_spans(text)
+    assert time.perf_counter() - started < 5
+    assert ("email", len(text) - 6, len(text)) in spans or run in ("a@", "a@b.", "a.b@c", "@")
+    assert pii.base_spans("0" * 6000 + "1.2.3.4") == [("ip", 0, 6007)]
