@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Elements whose content is no text of the page.
@@ -17,7 +19,8 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 CLOSES = {"p": None, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)),
           "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+_SPECIAL = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -39,6 +42,80 @@ class Block:
     order: int
 
 
+class Tags:
+    """The comments, tags and declarations of a page, found from left to right; no part of a page is read once for every "<".
+
+    A tag is "<", perhaps "/", a letter and more of its name, then anything up to the first ">" outside quotes; where the rest of
+    the page has no such ">" the "<" is text. Where a tag ends depends only on the next quote or ">", and that is worked out once.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = [m.start() for m in _SPECIAL.finditer(page)]
+        self.breaks = [m.start() for m in _NAME_END.finditer(page)]
+        self.ends: dict[int, int] = {}      # place of a quote or ">" outside quotes: behind the tag's ">", or -1
+        self.in_name: dict[int, int] = {}   # end of a name: the last quote in front of it from which a tag ends, or -1
+        self.greater = -2                   # the ">" found last; -1: none further on
+
+    def _end(self, at: int) -> int:
+        """Behind the first ">" outside quotes from ``at`` on; -1 without one."""
+        way, found = [], -1
+        while (i := bisect_left(self.special, at)) < len(self.special):
+            place = self.special[i]
+            if place in self.ends:
+                found = self.ends[place]
+                break
+            way.append(place)
+            if self.page[place] == ">":
+                found = place + 1
+                break
+            close = self.page.find(self.page[place], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.ends.update(dict.fromkeys(way, found))
+        return found
+
+    def _tag(self, name: int) -> tuple[int, int] | None:
+        """(end of the name, end of the tag) for a name that begins at ``name``."""
+        i = bisect_left(self.breaks, name)
+        stop = self.breaks[i] if i < len(self.breaks) else len(self.page)
+        if (end := self._end(stop)) >= 0:
+            return stop, end
+        if stop not in self.in_name:  # a quote inside the name may open an attribute after all
+            self.in_name[stop] = -1
+            i = bisect_left(self.special, stop) - 1
+            while i >= 0 and self.special[i] > (self.breaks[b - 1] if (b := bisect_left(self.breaks, stop)) else -1):
+                if self._end(self.special[i]) >= 0:
+                    self.in_name[stop] = self.special[i]
+                    break
+                i -= 1
+        quote = self.in_name[stop]
+        return (quote, self._end(quote)) if quote > name else None
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None, whether it closes, attributes) of the next tag, comment or declaration."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("!--", at + 1):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, None, False, ""
+            closing = page.startswith("/", at + 1)
+            name = at + 1 + closing
+            if page[name:name + 1].isascii() and page[name:name + 1].isalpha() and (tag := self._tag(name)):
+                return at, tag[1], page[name:tag[0]], closing, page[tag[0]:tag[1] - 1]
+            if page[at + 1:at + 2] in ("!", "?", "/") and (end := self._greater(at + 2)) >= 0:
+                return at, end + 1, None, False, ""
+            at += 1
+        return None
+
+    def _greater(self, at: int) -> int:
+        """The next ">" in quotes or not."""
+        if -1 != self.greater < at:
+            self.greater = self.page.find(">", at)
+        return self.greater
+
+
 def _element(tag: str, attributes: str, parent: Element | None) -> Element:
     names: set[str] = set()
     if attributes and "=" in attributes:
@@ -70,17 +147,24 @@ def blocks_of(page: str | None) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    while found := _TAG.search(page, at):
-        take(page[at:found.start()])
-        at = found.end()
-        tag = found.group(2)
+    def left(element: Element) -> Element:
+        opened[element.tag] -= 1
+        return element.parent
+
+    tags, unclosed, opened = Tags(page), set(), Counter()
+    while found := tags.after(at):
+        start, end, tag, closing, attributes = found
+        take(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(found.group(1))
+        tag = tag.lower()
         if tag in SILENT and not closing:
-            if not found.group(3).endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else (at if tag == "head" else len(page))
+            if not attributes.endswith("/") and tag not in unclosed:
+                close = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                at = close.end() if close else (at if tag == "head" else len(page))
+                if not close:
+                    unclosed.add(tag)  # none further on either
             if tag not in ("svg", "object", "canvas"):
                 close_block()
             continue
@@ -92,18 +176,18 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         close_block()
         if closing:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                here = up.parent
+            if opened[tag]:
+                while here.tag != tag:
+                    here = left(here)
+                here = left(here)
         else:
             ends = CLOSES.get(here.tag, frozenset())
             while here.parent is not None and (ends is None or tag in ends):
-                here = here.parent
+                here = left(here)
                 ends = CLOSES.get(here.tag, frozenset())
-            if tag not in VOID and not found.group(3).endswith("/"):
-                here = _element(tag, found.group(3), here)
+            if tag not in VOID and not attributes.endswith("/"):
+                here = _element(tag, attributes, here)
+                opened[tag] += 1
     take(page[at:])
     close_block()
     return out

@@ -1,13 +1,15 @@
 """HTML extraction: the cut against all labellings, the blocks, and whole pages."""
 
+import random
 import re
+import time
 from html import unescape
 from itertools import product
 
 import numpy as np
 import pytest
 
-from tabsift.llm import html_text
+from tabsift.llm import html_blocks, html_text
 from tabsift.llm.html_blocks import blocks_of, tree_distance
 from tabsift.llm.html_table import labelled_pages
 
@@ -78,3 +80,24 @@ def test_nulls_and_repeats(spark):
     rows = html_text.extracted(pages).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, 0, 24, 24, 25 * 3000 - 1]
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", ["<a ", "<head>", "<script>", "<a<", '<a"', '<a "x', "</x>", "<!", "<a'\"", "<div>", "<p <", "<style></style", "<!--", "&amp;"])
+def test_broken_pages_take_linear_time(run):
+    started = time.perf_counter()
+    blocks = html_blocks.blocks_of("<p>first</p>" + run * (500_000 // len(run)))
+    assert time.perf_counter() - started < 8 and blocks[0].text == "first"
+
+
+def test_tags_as_the_pattern_reads_them():
+    """Every tag is where one pattern, tried at each "<", finds it."""
+    pattern = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+    r, parts = random.Random(5), ["<a ", "<div>", "</div>", '"', "'", ">", "<", "/", "text ", "<!--", "-->", "<x", " ", "<!d>", "</ >", "<?q", '<td a="b>c">', "\n", '<A"b c">', "é"]
+    for _ in range(8000):
+        page = "".join(r.choice(parts) for _ in range(r.randrange(1, 25)))
+        tags, at, want = html_blocks.Tags(page), 0, pattern.search(page)
+        while found := tags.after(at):
+            assert want and (found[0], found[1], found[2], found[3]) == (want.start(), want.end(), want[2], bool(want[1])), page
+            assert found[2] is None or found[4] == want[3], page
+            at, want = found[1], pattern.search(page, found[1])
+        assert want is None, page
