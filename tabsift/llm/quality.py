@@ -2,9 +2,10 @@
 
 One pass measures every whole text. A KLL sketch per language, source and measure is combined before the shuffle; sketches
 of small groups are replaced by the merged sketch of their language, and that of a small language by the merged sketch
-of all. A fence lies in the first gap of the outer quarter that stands out: wide against the other steps of that tail and
-against its distance from the median. A tail without such a gap has no fence. The fences are joined back to the measures
-as a small table.
+of all. Every tail has a fence where its own decline, carried on, would leave ``TAIL_SHARE`` of the documents beyond: the
+quantiles of the outer quarter give the scale, the widest of them counts, so a heavy tail moves its fence out. Where the tail
+has a gap that stands out before that (wide against its other steps and against its distance from the median), the fence
+lies in the gap instead. The fences are joined back to the measures as a small table.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ MEASURES = {
 GAP_STEPS, GAP_REACH, LEAST_GAP = 8.0, 1.0, 0.01
 #: Ranks of the upper quarter at which a sketch is read (mirrored for the lower quarter).
 TAIL = (*(0.75 + i / 400 for i in range(100)), 0.999, 0.9995, 0.9999, 1.0)
-#: Documents under which a group uses the wider group's sketch, and under which a sketch shows no gap.
-MIN_GROUP, MIN_SKETCH = 200, 20
+#: The share of documents that a fence is laid to leave beyond it, and the ranks from whose distance a tail's scale is read.
+TAIL_SHARE, SCALE_RANKS = 1e-4, (0.95, 0.99, 0.999)
+#: Documents under which a group uses the wider group's sketch. A gap must be wider by (1 + FEW / documents): few steps prove little.
+MIN_GROUP, FEW = 200, 50
 #: Sketch size, and rows of the fence table up to which it is broadcast.
 SKETCH_K, MAX_BROADCAST_ROWS = 400, 50_000
 
@@ -111,19 +114,35 @@ def base_failed(counts: str = "measured"):
     return (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
 
 
-def fence_of(tail: np.ndarray, middle: float) -> float | None:
+def gap_of(tail: np.ndarray, middle: float, n: float = np.inf) -> float | None:
     """The middle of the lowest gap between successive values of ``tail`` that stands out; None where none does."""
     steps = np.diff(tail)
     rising = np.sort(steps[steps > 0])
     typical = rising[(len(rising) - 1) // 2] if len(rising) > 1 else 0.0
-    wide = np.flatnonzero(steps >= np.maximum(GAP_REACH * (tail[:-1] - middle), max(GAP_STEPS * typical, LEAST_GAP)))
+    need = np.maximum(GAP_REACH * (tail[:-1] - middle), max(GAP_STEPS * typical, LEAST_GAP)) * (1 + FEW / max(n, 1.0))
+    wide = np.flatnonzero(steps >= need)
     return float(tail[wide[0]] + tail[wide[0] + 1]) / 2 if len(wide) else None
 
 
+def fence_of(tail: np.ndarray, middle: float, n: float = np.inf) -> float:
+    """The high fence of a tail read at the ranks ``TAIL`` (falling tails come mirrored): its gap, or the decline carried on.
+
+    Beyond the upper quartile the share of documents falls like exp(-(x − quartile) / scale), the scale by the distance to each
+    of ``SCALE_RANKS``; the largest counts, ``LEAST_GAP`` at least.
+    """
+    first = 1 - TAIL[0]
+    ranks = np.array(TAIL)
+    scale = max(float(np.interp(r, ranks, tail) - tail[0]) / np.log(first / (1 - r)) for r in SCALE_RANKS)
+    decline = float(tail[0]) + max(scale * np.log(first / TAIL_SHARE), LEAST_GAP)
+    gap = gap_of(tail, middle, n)
+    return decline if gap is None else min(gap, decline)
+
+
 def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts: str = "measured") -> DataFrame:
     """group_lang, group_source, and a low and a high fence of each measure: one row per language and source.
 
-    The sketches hold the documents that pass the base rule. A null fence rejects nothing.
+    The sketches hold the documents that pass the base rule. A null fence rejects nothing: it stands where no document of the
+    whole table has the measure.
     """
     names = list(MEASURES)
     own = (rows.select(F.col(lang).alias("group_lang"), F.col(source).alias("group_source"), *(F.when(~base_failed(counts), v).alias(k) for k, v in measures(counts).items()))
@@ -139,7 +158,8 @@ def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts:
     read = []
     for k in names:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n1") >= MIN_GROUP, F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
-        read.append(F.when(F.kll_sketch_get_n_double(sketch) >= MIN_SKETCH, F.kll_sketch_get_quantile_double(sketch, ranks)).alias(k))
+        held = F.kll_sketch_get_n_double(sketch)
+        read.append(F.when(held > 0, F.struct(F.kll_sketch_get_quantile_double(sketch, ranks).alias("q"), held.alias("n"))).alias(k))
     sides = [(k, side) for k, (low, high) in MEASURES.items() for side in ("low",) * low + ("high",) * high]
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("group_lang", "group_source")),
                            *(T.StructField(f"{k}_{side}", T.DoubleType()) for k, side in sides)])
@@ -149,9 +169,9 @@ def fences(rows: DataFrame, lang: str = "lang", source: str = "source", counts:
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in ("group_lang", "group_source")}
             for k, side in sides:
-                tails = [None if v is None else np.array(v) for v in batch.column(k).to_pylist()]
-                columns[f"{k}_{side}"] = [None if v is None else fence_of(v[:m], v[m]) if side == "high"
-                                          else None if (f := fence_of(-v[m + 1:], -v[m])) is None else -f for v in tails]
+                tails = [None if v is None else (np.array(v["q"]), v["n"]) for v in batch.column(k).to_pylist()]
+                columns[f"{k}_{side}"] = [None if v is None else fence_of(v[0][:m], v[0][m], v[1]) if side == "high"
+                                          else -fence_of(-v[0][m + 1:], -v[0][m], v[1]) for v in tails]
             yield batch_of(arrow, columns)
 
     return written(table.select("group_lang", "group_source", *read).mapInArrow(cut, schema), "quality-fences")

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tabsift.llm import quality
@@ -81,3 +82,52 @@ def test_odd_documents(odd_documents):
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and same_ids(kept.collect()) == sorted((r["doc_id"] for r in rows if r["kept"]), key=lambda v: (v is not None, v or 0))
     assert quality.verdicts(empty).count() == 0 and quality.kept_documents(empty).count() == 0
+
+
+TAILS = {
+    "normal": lambda r, n: r.normal(10, 1, n), "exponential": lambda r, n: r.exponential(1, n), "log-normal": lambda r, n: r.lognormal(0, 1, n),
+    "narrow log-normal": lambda r, n: r.lognormal(0, 0.5, n), "pareto": lambda r, n: r.pareto(2, n),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TAILS))
+def test_smooth_tails_have_fences(name):
+    """Without any gap a tail is fenced by its own decline: next to nothing of it is lost, what lies far beyond is."""
+    x = TAILS[name](np.random.default_rng(4), 100_000)
+    fence = quality.fence_of(np.quantile(x, quality.TAIL), float(np.median(x)), len(x))
+    lost = (x > fence).mean()
+    assert np.isfinite(fence) and lost <= 1e-3 and fence < np.median(x) + 12 * (np.quantile(x, 0.99) - np.median(x))
+    scaled = quality.fence_of(np.quantile(7 * x, quality.TAIL), float(np.median(7 * x)), len(x))
+    assert scaled == pytest.approx(7 * fence, rel=1e-6)
+
+
+def test_gap_comes_before_the_decline():
+    r = np.random.default_rng(1)
+    x = np.r_[r.normal(0.05, 0.01, 95_000), r.uniform(0.4, 0.6, 5_000)]
+    fence = quality.fence_of(np.quantile(x, quality.TAIL), float(np.median(x)), len(x))
+    assert 0.08 < fence < 0.4
+    flat = quality.fence_of(np.full(len(quality.TAIL), 0.3), 0.3, 50)
+    assert flat == pytest.approx(0.3 + quality.LEAST_GAP)
+
+
+def test_groups_with_smooth_tails(spark, monkeypatch):
+    """Each group's own spread decides: the same share of symbols is usual in a wide group and goes in a narrow one."""
+    monkeypatch.setattr(quality, "MIN_GROUP", 100)
+    r = np.random.default_rng(3)
+    text = lambda marks: " ".join(f"{'#' if j < marks else 'x'}{(j * j * 7 + int(r.integers(900))) % 1000:03d}" for j in range(200))
+    wide = [(i, text(int(min(r.exponential(25), 150))), "en", "wide") for i in range(400)]
+    narrow = [(1000 + i, text(int(r.poisson(3))), "en", "narrow") for i in range(400)] + [(5000, text(120), "en", "narrow"), (5001, text(120), "en", "wide")]
+    docs = spark.createDataFrame(wide + narrow, "doc_id long, text string, lang string, source string")
+    lost = {r["doc_id"] for r in quality.verdicts(docs).collect() if not r["kept"]}
+    assert 5000 in lost and 5001 not in lost and len(lost) <= 8
+
+
+def test_few_documents_are_judged_too(spark):
+    """A handful of documents has fences of its own; one among equals that is far off goes, small differences stay."""
+    usual = [(i, " ".join(f"word{(i * 31 + j * j) % 997}" for j in range(60)), "en", "a") for i in range(12)]
+    odd = [(99, " ".join(f"&&&&&&&&&&&&&&&&&&{j}" for j in range(60)), "en", "a")]
+    docs = spark.createDataFrame(usual + odd, "doc_id long, text string, lang string, source string")
+    fences = quality.fences(quality.measured(docs, ["lang", "source"]))
+    assert all(v is not None for v in fences.first().asDict().values())
+    kept = {r["doc_id"] for r in quality.verdicts(docs).collect() if r["kept"]}
+    assert kept >= set(range(12))
