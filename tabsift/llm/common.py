@@ -87,6 +87,18 @@ def checked_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def joined_by_key(rows: DataFrame, names: DataFrame, key: str, hot_share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``names`` (a written table with one row a key; ``rows_`` counts the key's rows, and is left out).
+
+    Keys that hold over 1 / ``hot_share`` of the rows are fewer than ``hot_share``: they are broadcast, and only the other rows are
+    shuffled, so no key makes a long task.
+    """
+    total = names.agg(F.sum("rows_")).first()[0] or 0
+    hot = F.col("rows_") * hot_share > total
+    large, rest = F.broadcast(names.filter(hot).drop("rows_")), names.filter(~hot).drop("rows_")
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+
+
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """``df`` (a written table) with a gapless row number from 0 in its present order: offsets come from one row per partition."""
     tagged = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch_of, fields, pieces_of, written
+from .common import arrow_schema, batch_of, fields, joined_by_key, pieces_of, written
 from .components import component_roots
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -205,13 +205,13 @@ def _grouped(docs: DataFrame, shingle: int, max_bits: int, text: str, doc_id: st
              max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp, component_id and root (one fingerprint for each component) of every row."""
     found = written(fingerprints(docs, shingle, text, doc_id), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct-fingerprints")
+    distinct = written(found.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("rows_")), "distinct-fingerprints")
     roots = component_roots(linked_fingerprints(distinct, max_bits, segments, max_bucket))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", "root")
-    return found.join(named, "fp").select(doc_id, "fp", "component_id", "root")
+    rooted = written(rooted.withColumnRenamed("rows_", "copies"), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows_")), "least-ids")
+    named = joined_by_key(rooted, least, "root").select("fp", "component_id", "root", F.col("copies").alias("rows_"))
+    return joined_by_key(found, written(named, "named"), "fp").select(doc_id, "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, text: str = "text",
