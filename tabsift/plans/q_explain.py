@@ -18,7 +18,7 @@ from ..operators.scale import normalise
 from ..operators.split import stratified_split
 from ..sources.fixtures import W2_FEATURES, doc_features, order_features, predictions, with_fixtures
 from . import sqlgen
-from .q_models import LOGISTIC_GRID, MODEL_PARAMS, SEED, model_data
+from .q_models import MODEL_PARAMS, SEED, model_data
 from .q_scale import _prepared as w2_prepared
 from .q_summarise import BEST_CELL, JOBS, MODELS, SUM_CTES, WINNER_SCORES
 from .registry import query
@@ -46,7 +46,7 @@ def _rfe_query(name, params, **how):
     return q
 
 
-query("fs_rfecv")(_rfe_query("logistic_regression", MODEL_PARAMS["logistic_regression"], n_repeats=10, grid=LOGISTIC_GRID))
+query("fs_rfecv")(_rfe_query("logistic_regression", MODEL_PARAMS["logistic_regression"], n_repeats=10))
 #: Tree models are fitted one by one: fewer trees than in the verification keep their 3 folds within minutes.
 RFE_TREES = {"forest": {"n_estimators": 20, "max_depth": 5}, "extreme_forest": {"n_estimators": 20, "max_depth": 5}, "adaboost": {}, "xgboost": {}}
 for _m, _fewer in RFE_TREES.items():
