@@ -7,11 +7,11 @@ the elements there make a signature that both sets have. ``n1`` leaves ``spare``
 a set whose signatures of under ``WEAK`` elements lie in at most ``spare`` partitions leaves those signatures out (both sets
 of a matching one see the same elements), which keeps empty and one-element signatures from gathering strangers.
 
-Equal sets are merged first. Signatures are dealt by hash and streamed in order; what shares none is done. Of each bucket
-only its first set and the others' ids leave the task. Every set is first compared with the bucket head that it meets most
-often, in whole; groups follow. Buckets that still hold several groups are looked through in chunks: parity sketches
-(a lower bound of the difference) rule pairs out, groups that may touch give a few candidate pairs, whole sets decide, and
-rounds go on, with more candidates each, until no bucket has an undecided pair. No pair list of a group is ever made.
+Equal sets are merged first, and each gets a parity sketch (a lower bound of the difference). Signatures are dealt by hash and
+streamed in order; what shares none is done. Of each bucket only its first set and the others' ids leave the task. Every set is
+first compared with the bucket head that it meets most often, by sketch and then in whole; groups follow. Buckets that still hold several groups are looked through in chunks: sketches rule pairs out, groups that may touch give a few candidate pairs, whole sets decide, and
+in three rounds: a few candidates for each group reached, more of them, and at last, in buckets where some proved too different,
+every pair of two groups that the sketches leave. Members of one group are never paired.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, fields, pieces_of, written
+from .common import arrow_schema, checked_broadcast, fields, joined_by_key, pieces_of, written
 from .components import component_roots
 
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A signature of fewer elements is weak.
 WEAK = 2
-#: Sets of one bucket that are looked through together.
-CHUNK = 4096
+#: Sets of one bucket that are looked through together, and sets up to which every pair of a bucket is.
+CHUNK, SMALL = 4096, 8
+#: Joined roots up to which a round's result is broadcast, and links up to which one task unites them.
+MAX_BROADCAST_ROWS, TASK_LINKS = 200_000, 200_000
 _U = np.uint64
 
 
@@ -180,12 +182,42 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(s.reshape(-1, least), axis=0) for s in sketches])
 
 
-def touching(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: list, most: int, percent: int) -> list[tuple[int, int]]:
-    """Candidate pairs that would connect the groups of a chunk, up to ``most`` for each group reached.
+def near_pairs(ids: list, groups: list, sizes: list, sketches: list[bytes], known: list, percent: int) -> list[tuple[int, int]]:
+    """Every candidate pair between the groups of a small bucket."""
+    out, numbers = [], [int.from_bytes(s, "little") for s in sketches]
+    for i, j in combinations(range(len(ids)), 2):
+        a, b = sizes[i], sizes[j]
+        if groups[i] == groups[j] or 100 * min(a, b) < percent * max(a, b) or (known[i] and ids[j] in known[i]):
+            continue
+        x, y, wide, narrow = numbers[i], numbers[j], len(sketches[i]) * 8, len(sketches[j]) * 8
+        if wide < narrow:
+            x, y, wide, narrow = y, x, narrow, wide
+        while wide > narrow:
+            wide //= 2
+            x = (x >> wide) ^ (x & ((1 << wide) - 1))
+        if (x ^ y).bit_count() <= allowed(a, b, percent):
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def touching(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: list, most: int | None,
+             percent: int) -> list[tuple[int, int]]:
+    """Candidate pairs that would connect the groups of a chunk, up to ``most`` for each group reached; None: all between groups.
 
     Groups grow from one member at a time against the members not yet reached; ``known`` holds each member's partners that are
     known to be too different.
     """
+    def near(q: int, at: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[at], sizes[q]), np.maximum(sizes[at], sizes[q])
+        at = at[low * 100 >= high * percent]
+        if len(at):
+            differ = np.bitwise_count(sketches[at] ^ sketches[q]).sum(axis=1, dtype=np.int64)
+            at = at[differ <= allowed(sizes[at], sizes[q], percent)]
+        return at[~np.isin(ids[at], np.array(known[q]))] if known[q] and len(at) else at
+
+    if most is None:
+        each = np.arange(len(ids))
+        return [(int(ids[q]), int(ids[m])) for q in range(len(ids)) for m in near(q, each[q + 1:][groups[q + 1:] != groups[q]]).tolist()]
     left, out = np.ones(len(ids), dtype=bool), []
     while left.any():
         start = groups[np.argmax(left)]
@@ -193,14 +225,7 @@ def touching(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: n
         left[queue] = False
         while queue and left.any():
             q = queue.pop()
-            at = np.flatnonzero(left)
-            low, high = np.minimum(sizes[at], sizes[q]), np.maximum(sizes[at], sizes[q])
-            at = at[low * 100 >= high * percent]
-            if len(at):
-                differ = np.bitwise_count(sketches[at] ^ sketches[q]).sum(axis=1, dtype=np.int64)
-                at = at[differ <= allowed(sizes[at], sizes[q], percent)]
-            if known[q] is not None and len(at):
-                at = at[~np.isin(ids[at], known[q])]
+            at = near(q, np.flatnonzero(left))
             for g in np.unique(groups[at]).tolist():
                 out += [(int(ids[q]), int(ids[m])) for m in at[groups[at] == g][:most].tolist()]
                 reached = np.flatnonzero(left & (groups == g))
@@ -210,16 +235,22 @@ def touching(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: n
 
 
 # ---------------------------------------------------------------- the join
-def _set_rows(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles and id (null without words) of every row."""
-    schema = T.StructType([*fields(docs, doc_id), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.LongType())])
+def _set_rows(docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, id (null without words) and sketch (null where the task has met the set before) of every row."""
+    schema = T.StructType([*fields(docs, doc_id), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sketch", T.BinaryType())])
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces_of(batches, text):
             sets = shingle_sets(batch.column(text), shingle)
+            names = [set_id(s) if len(s) else None for s in sets]
+            sketches = []
+            for s, name in zip(sets, names, strict=True):
+                sketches.append(None if name is None or name in seen else sketch_of(s, percent).tobytes())
+                seen.add(name)
             yield pa.RecordBatch.from_arrays([batch.column(doc_id).cast(arrow.field(0).type), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], schema=arrow)
+                                              pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], schema=arrow)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
@@ -278,25 +309,23 @@ def _shared_buckets(rows: DataFrame, chunk: int) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, chunk long, id long, head long")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
-    """(id, size, hashes, sketch) of the sets in ``wanted`` (id and the least doc_id that has it), read from that document."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """(id, hashes) of the sets in ``wanted`` (id and the least doc_id that has it), read from that document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces_of(batches, text):
-            ids, size, whole, sketch = [], [], [], []
+            ids, whole = [], []
             for s, want in zip(shingle_sets(batch.column(text), shingle), batch.column("want_").to_pylist(), strict=True):
                 name = set_id(s) if len(s) else None
                 if name is not None and (want is None or name == want) and name not in seen:
                     seen.add(name)
                     ids.append(name)
-                    size.append(len(s))
                     whole.append(s.tobytes())
-                    sketch.append(sketch_of(s, percent).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.binary()), pa.array(sketch, pa.binary())],
-                                              ["id", "size", "hashes", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary())], ["id", "hashes"])
 
-    schema = "id long, size long, hashes binary, sketch binary"
+    schema = "id long, hashes binary"
     have = wanted.filter(F.col("least").isNotNull()).select(F.col("least").alias(doc_id), F.col("id").alias("want_"))
+    have = checked_broadcast(have, wanted.count(), MAX_BROADCAST_ROWS)  # more: the texts are shuffled once
     sets = docs.select(doc_id, text).join(have, doc_id).select(text, "want_").mapInArrow(run, schema)
     nameless = wanted.filter(F.col("least").isNull()).select("id")
     if nameless.limit(1).count():  # sets that only rows without an id have
@@ -305,98 +334,192 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shin
     return written(sets, "whole-sets")
 
 
-def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) and whether they link, by whole sets. The sets b that many pairs share are dealt with a salt: one set b
-    travels once for each salt, then the sets a stream past it."""
+def _streamed(pairs: DataFrame, table: DataFrame, holds, name: str) -> DataFrame:
+    """``pairs`` (a, b) and ``linked``: what ``holds`` says of the two rows' ``data`` in ``table`` (id, data). Rows b that many pairs
+    share are dealt with a salt: b travels once for each salt, then the rows a stream past it."""
     salts = max(16, pairs.count() >> 16)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
-    fixed = salted.select("b", "salt").distinct().join(sets.select(F.col("id").alias("b"), "hashes"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "hashes")
-    moving = salted.join(sets.select(F.col("id").alias("a"), "hashes"), "a").select("b", "salt", "a", "hashes")
+    fixed = salted.select("b", "salt").distinct().join(table.select(F.col("id").alias("b"), "data"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "data")
+    moving = salted.join(table.select(F.col("id").alias("a"), "data"), "a").select("b", "salt", "a", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        against = np.zeros(0, dtype=np.uint64)
+        against = b""
         for batch in batches:
             a, b, linked = [], [], []
-            for one, other, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"), strict=True):
-                hashes = np.frombuffer(raw.as_buffer(), dtype="<u8")
+            for one, other, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("data"), strict=True):
                 if one is None:
-                    against = hashes
+                    against = raw.as_py()
                     continue
-                place = np.searchsorted(against, hashes)
-                place[place == len(against)] = 0
-                both = int(np.count_nonzero(against[place] == hashes))
                 a.append(one)
                 b.append(other)
-                linked.append(100 * both >= percent * (len(against) + len(hashes) - both))
+                linked.append(holds(raw.as_buffer(), against))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     rows = fixed.unionByName(moving).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return written(rows.mapInArrow(run, "a long, b long, linked boolean"), "decided")
+    return written(rows.mapInArrow(run, "a long, b long, linked boolean"), name)
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) and whether they link, by whole sets."""
+    def holds(one, other) -> bool:
+        hashes, against = np.frombuffer(one, dtype="<u8"), np.frombuffer(other, dtype="<u8")
+        place = np.searchsorted(against, hashes)
+        place[place == len(against)] = 0
+        both = int(np.count_nonzero(against[place] == hashes))
+        return 100 * both >= percent * (len(against) + len(hashes) - both)
 
+    return _streamed(pairs, sets.withColumnRenamed("hashes", "data"), holds, "decided")
 
-def _touching_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, apart: DataFrame | None, most: int, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) between groups that share a bucket; buckets with the same members are looked at once."""
+
+def _sieved(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` that the sketches leave possible."""
+    def holds(one, other) -> bool:
+        one, other = bytes(one), bytes(other)
+        a, b = (int.from_bytes(x[:8], "big") for x in (one, other))
+        return bool(near_pairs([0, 1], [0, 1], [a, b], [one[8:], other[8:]], [None, None], percent))
+
+    size = F.unhex(F.lpad(F.hex("size"), 16, "0"))  # eight bytes in front of the sketch
+    left = _streamed(pairs, sketches.select("id", F.concat(size, "sketch").alias("data")), holds, "sieved")
+    return left.filter("linked").select("a", "b")
+
+
+def _touching_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, apart: DataFrame | None, most: int | None, percent: int) -> DataFrame:
+    """(bucket, a, b): candidate pairs between groups that share a bucket; buckets with the same members are looked at once."""
     grouped = written(members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
                       .select("bucket", "chunk", "id", F.coalesce("root", "id").alias("grp")), "grouped")
     mark = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     several = (grouped.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("chunk").alias("top"), F.count(F.lit(1)).alias("n"), *mark)
                .filter("low <> high").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.max("top").alias("top")).select("bucket", "top"))
     chunks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda t: F.struct(F.least(t, F.col("chunk")).alias("i"), F.greatest(t, F.col("chunk")).alias("j")))
-    rows = grouped.join(several, "bucket").join(sets.select("id", "sketch", "size"), "id")
+    rows = grouped.join(several, "bucket").join(sketches, "id")
     if apart is not None:
         both = apart.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(apart.select(F.col("b").alias("id"), F.col("a").alias("o")))
         rows = rows.join(both.groupBy("id").agg(F.collect_set("o").alias("known")), "id", "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("array<long>"))
     rows = rows.withColumn("p", F.explode(chunks)).select("bucket", "p.i", "p.j", "id", "grp", "size", "sketch", "known")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    pairs = dealt.mapInArrow(_bucket_reader(most, percent), "bucket long, a long, b long")
+    return written(pairs.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "touching")
+
+
+def _bucket_reader(most: int | None, percent: int):
+    """Reads rows sorted by bucket and chunk pair, and looks through one such group after the other."""
+    def found(part: dict) -> list[tuple[int, int]]:
+        first = {}
+        for at, name in enumerate(part["id"]):
+            first.setdefault(name, at)  # a set may have been read twice
+        ids, groups, sizes, sketches, known = ([part[c][i] for i in first.values()] for c in ("id", "grp", "size", "sketch", "known"))
+        if len(ids) <= SMALL:
+            return near_pairs(ids, groups, sizes, sketches, known, percent)
+        rows = folded([np.frombuffer(x, "<u8") for x in sketches])
+        return touching(np.array(ids), np.array(groups), np.array(sizes), rows, known, most, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: dict = {}
+        place, names = None, ("id", "grp", "size", "sketch", "known")
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j")]
+            new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]).tolist() if batch.num_rows else []
+            columns, out = {c: batch.column(c).to_pylist() for c in names}, []
+            for a, b in zip(new, [*new[1:], batch.num_rows], strict=True):
+                here = tuple(int(k[a]) for k in keys)
+                if here == place:
+                    for c in names:
+                        held[c] += columns[c][a:b]
+                    continue
+                if place is not None:
+                    out += [(place[0], *p) for p in found(held)]
+                place, held = here, {c: columns[c][a:b] for c in names}
+            yield _triples(out)
+        if place is not None:
+            yield _triples([(place[0], *p) for p in found(held)])
 
-        def found(part: pa.Table) -> pa.RecordBatch:
-            part = part.take(np.unique(part["id"].to_numpy(), return_index=True)[1])  # a set may have been read twice
-            sketches = folded([np.frombuffer(x.as_buffer(), "<u8") for x in part["sketch"]])
-            ids, groups, sizes = (part[c].to_numpy() for c in ("id", "grp", "size"))
-            pairs = touching(ids, groups, sizes, sketches, [np.array(k) if k else None for k in part["known"].to_pylist()], most, percent)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return run
+
+
+def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["bucket", "a", "b"])
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of a written link table: up to ``TASK_LINKS`` links are united in one task, more by rounds of joins."""
+    if links.count() > TASK_LINKS:
+        return component_roots(links)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(n: int) -> int:
+            while up.setdefault(n, n) != n:
+                up[n] = up[up[n]]
+                n = up[n]
+            return n
 
         for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j")]
-            new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if batch.num_rows else np.zeros(0, int)
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
-                piece = batch.slice(a, b - a)
-                if held and any(held[-1].column(c)[0] != piece.column(c)[0] for c in ("bucket", "i", "j")):
-                    yield found(pa.Table.from_batches(held))
-                    held = []
-                held.append(piece)
-        if held:
-            yield found(pa.Table.from_batches(held))
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], ["node", "root"])
 
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    pairs = dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return written(pairs.distinct(), "touching")
+    return links.coalesce(1).mapInArrow(unite, "node long, root long")
 
 
-def set_roots(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text",
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links: only the roots that they join are contracted."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+    up = written(_roots(written(ends, "joined-ends")), "joined-roots")
+    up = checked_broadcast(up, up.count(), MAX_BROADCAST_ROWS)
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = up.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return written(moved.unionByName(fresh), "roots")
+
+
+def set_roots(docs: DataFrame, classes: DataFrame, sketches: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text",
               doc_id: str = "doc_id", chunk: int = CHUNK) -> DataFrame | None:
-    """(node, root) of the set ids that have a link; sets of one component share a root. None where no sets meet."""
+    """(node, root) of the set ids that have a link; sets of one component share a root. None where no sets meet.
+
+    Whole sets are read only for pairs that the sketches leave possible. After each round only buckets with a candidate pair
+    that proved too different are looked at again: in the others every two groups that touch have been joined. The last round
+    decides every pair of groups that the sketches leave there.
+    """
     members = written(_shared_buckets(_signature_rows(docs, text, shingle, percent), chunk), "members")
-    met = members.select("id").distinct()
-    wanted = written(classes.select("id", "least").join(met, "id", "left_semi"), "wanted-sets")
-    if not wanted.limit(1).count():
-        return None
-    sets = _whole_sets(docs, wanted, text, doc_id, shingle, percent)
     often = members.filter("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
     pairs = often.groupBy("id").agg(F.max(F.struct("n", "head")).alias("m")).select(F.col("id").alias("a"), F.col("m.head").alias("b"))
-    decided, most = _decided(written(pairs, "head-pairs"), sets, percent), 1
-    while True:
-        roots = component_roots(decided.filter("linked").select("a", "b"))
-        apart = decided.filter("not linked").select("a", "b")
-        candidates = _touching_pairs(members, roots, sets, apart, most, percent)
+    pairs = written(pairs, "head-pairs")
+    if not pairs.limit(1).count():
+        return None
+    sets = None
+
+    def decided_by_sets(some: DataFrame) -> DataFrame:
+        nonlocal sets
+        needed = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
+        if sets is not None:
+            needed = needed.join(sets.select("id"), "id", "left_anti")
+        wanted = written(classes.select("id", "least").join(needed, "id", "left_semi"), "wanted-sets")
+        more = _whole_sets(docs, wanted, text, doc_id, shingle)
+        sets = more if sets is None else sets.unionByName(more)
+        return _decided(some, sets, percent)
+
+    decided = decided_by_sets(written(_sieved(pairs, sketches, percent), "near-heads"))
+    roots = written(_roots(decided.filter("linked").select("a", "b")), "roots")
+    apart = decided.filter("not linked").select("a", "b")
+    for most in (4, 64, None):
+        found = _touching_pairs(members, roots, sketches, apart, most, percent)
+        candidates = written(found.select("a", "b").distinct(), "candidates")
         if not candidates.limit(1).count():
-            return roots
-        decided = written(decided.unionByName(_decided(candidates, sets, percent)), "decided")
-        most *= 8
+            break
+        decided = decided_by_sets(candidates)
+        roots = _merged(roots, decided.filter("linked").select("a", "b"))
+        wrong = decided.filter("not linked").select("a", "b").distinct()
+        again = written(found.join(wrong, ["a", "b"]).select("bucket").distinct(), "again")
+        if most is None or not again.limit(1).count():
+            break
+        members = written(members.join(again, "bucket", "left_semi"), "members")
+        apart = written(apart.unionByName(wrong), "apart")
+    return roots
 
 
 def joined_sets(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id",
@@ -411,30 +534,21 @@ def joined_sets(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PE
     """
     name, docs = doc_id, docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     doc_id, text = "doc", "text"
-    rows = written(_set_rows(docs, text, doc_id, shingle), "sets")
-    worded = rows.filter(F.col("id").isNotNull())
+    rows = written(_set_rows(docs, text, doc_id, shingle, percent), "sets")
+    sketches = rows.filter(F.col("sketch").isNotNull()).select("id", F.col("n_shingles").alias("size"), "sketch")
+    worded = rows.filter(F.col("id").isNotNull()).drop("sketch")
     classes = written(worded.groupBy("id").agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("rows_")), "classes")
-    roots = set_roots(docs, classes, shingle, percent, text, doc_id, chunk)
+    roots = set_roots(docs, classes, sketches, shingle, percent, text, doc_id, chunk)
     if roots is None:
         named = classes.select("id", "rows_", F.col("least").alias("component_id"))
     else:
         roots = roots.select(F.col("node").alias("id"), "root")
         rooted = written(classes.join(roots, "id"), "rooted")
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows_"))
-        grouped = _named(rooted.select("id", F.col("rows_").alias("copies"), "root"), least, "root", hot_share)
+        grouped = joined_by_key(rooted.select("id", F.col("rows_").alias("copies"), "root"), written(least, "least"), "root", hot_share)
         alone = classes.join(roots, "id", "left_anti").select("id", F.col("rows_").alias("copies"), F.col("least").alias("component_id"))
         named = grouped.select("id", "copies", "component_id").unionByName(alone).withColumnRenamed("copies", "rows_")
-    out = _named(worded, written(named, "named"), "id", hot_share).select(doc_id, "n_shingles", "component_id")
+    out = joined_by_key(worded, written(named, "named"), "id", hot_share).select(doc_id, "n_shingles", "component_id")
     out = out.unionByName(rows.filter(F.col("id").isNull()).select(doc_id, "n_shingles", F.col(doc_id).alias("component_id")))
     return out.withColumnRenamed(doc_id, name)
 
-
-def _named(rows: DataFrame, names: DataFrame, key: str, hot_share: int) -> DataFrame:
-    """``rows`` with component_id from ``names`` (one row a key, rows_ its rows). Keys of over 1 / ``hot_share`` of the rows are
-    fewer than ``hot_share``: they are broadcast, the rest joins by shuffle."""
-    names = written(names, "names")
-    total = names.agg(F.sum("rows_")).first()[0] or 0
-    hot = F.col("rows_") * hot_share > total
-    large, rest = names.filter(hot).select(key, "component_id"), names.filter(~hot).select(key, "component_id")
-    keys = F.broadcast(large.select(key))
-    return rows.join(F.broadcast(large), key).unionByName(rows.join(keys, key, "left_anti").join(rest, key))
