@@ -144,12 +144,13 @@ def ml_verify_top_n(spark, sf_dir):
     return roc_auc(pred, ["n_top", "model"])
 
 
-E2E_SEEDS = 1
+E2E_SEEDS = 2
 E2E_JOBS = (["variance_threshold", "z_score_norm", "correlation", "mrmr"], ["variance_threshold", "z_score_norm", "sulov"])
-E2E_MODELS = VERIFIED
+E2E_N_TOPS = (2, 4)
+E2E_MODELS = ("logistic_regression", "forest")
 
 
-def end_to_end(spark, sf_dir, n_seeds=E2E_SEEDS, jobs=E2E_JOBS, n_tops=N_TOPS, models=E2E_MODELS):
+def end_to_end(spark, sf_dir, n_seeds=E2E_SEEDS, jobs=E2E_JOBS, n_tops=E2E_N_TOPS, models=E2E_MODELS):
     """seeds → split → impute → jobs → verification: the predictions of every run, from a study's folder."""
     return run_study(spark, doc_features(spark, sf_dir), W1_FEATURES, scratch_path(spark, "study"), "exp0", generate_seeds(SEED_INIT, n_seeds), jobs, n_tops,
                      {m: MODEL_PARAMS[m] for m in models}, model_seed=SEED)
