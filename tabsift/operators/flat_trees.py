@@ -4,8 +4,9 @@ A forest is five arrays over all nodes (feature, threshold, left, right, value)
 walks all trees together, one step a level, so scoring is a single projection whatever the number of trees.
 
 ``ExtraTrees`` grows all trees side by side. A level takes two scans: the range of every feature in every open node, then the
-class (or value) sums left of each drawn cut. Cuts are drawn on the driver (a few numbers a node), rows never move, and a task
-sends one row an open node, in slices that bound its memory.
+class (or value) sums left of each drawn cut. Cuts are drawn where a node's sums meet, rows never move, and a task sends one row
+an open node, in slices that bound its memory. Rows keep the open nodes where they stand, so a scan walks the latest levels only
+and the driver holds 16 bytes a node, with no objects of its own for them.
 """
 
 from __future__ import annotations
@@ -20,19 +21,37 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import checkpointed
+from .positions import checkpointed, spread
 
 #: Doubles that a task holds for the open nodes of a scan: more nodes take several scans a level.
 SCAN_DOUBLES = 1 << 22
 BATCH_ROWS = 4096
+#: Nodes of closed levels that are sent to every task: beyond that the rows' places are written anew.
+RECENT_NODES = 1 << 18
 #: Leaves are deep enough here: a tree over n rows has at most n levels, and this many stop one over endless ties.
 DEEPEST = 1000
 
 
 class FlatForest:
+    """``cut`` holds an inner node's threshold and a leaf's value, so a node takes 16 or 20 bytes; without ``right`` the right child
+    follows the left one."""
+
     def __init__(self, feature, threshold, left, right, value, roots):
-        self.feature, self.left, self.right, self.roots = (np.asarray(a, dtype=np.int64) for a in (feature, left, right, roots))
-        self.threshold, self.value = (np.asarray(a, dtype=float) for a in (threshold, value))
+        self.feature, self.left, self.roots = (np.asarray(a, dtype=np.int32) for a in (feature, left, roots))
+        self._right = None if right is None else np.asarray(right, dtype=np.int32)
+        self.cut = np.where(self.feature >= 0, np.asarray(threshold, dtype=float), np.asarray(value, dtype=float))
+
+    @property
+    def right(self) -> np.ndarray:
+        return self._right if self._right is not None else np.where(self.feature >= 0, self.left + 1, -1)
+
+    @property
+    def threshold(self) -> np.ndarray:
+        return np.where(self.feature >= 0, self.cut, 0.0)
+
+    @property
+    def value(self) -> np.ndarray:
+        return np.where(self.feature >= 0, 0.0, self.cut)
 
     def nodes(self, x: np.ndarray) -> np.ndarray:
         """The node where each row (of a batch) ends in each tree."""
@@ -42,12 +61,13 @@ class FlatForest:
             inner = f >= 0
             if not inner.any():
                 return at
-            low = x[rows, np.maximum(f, 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(low, self.left[at], self.right[at]), at)
+            low = x[rows, np.maximum(f, 0)] <= self.cut[at]
+            other = self.left[at] + 1 if self._right is None else self._right[at]
+            at = np.where(inner, np.where(low, self.left[at], other), at)
 
     def values(self, x: np.ndarray) -> np.ndarray:
         """Each tree's value for each row, in batches of bounded size."""
-        parts = [self.value[self.nodes(x[i:i + BATCH_ROWS])] for i in range(0, len(x), BATCH_ROWS)]
+        parts = [self.cut[self.nodes(x[i:i + BATCH_ROWS])] for i in range(0, len(x), BATCH_ROWS)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.roots)))
 
 
@@ -158,141 +178,203 @@ class ExtraTrees:
 
     def fit(self, df: DataFrame) -> ExtraTreesModel:
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        rows = checkpointed(df.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y"), w.alias("w"),
-                                      F.monotonically_increasing_id().alias("row")))
+        rows = spread(df.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y"), w.alias("w"),
+                                F.monotonically_increasing_id().alias("row")))
         first = rows.first()
         if first is None:
             raise ValueError("no rows to fit")
-        p = len(first["x"])
-        grown = _Growth(self, rows, p)
-        while grown.open:
+        grown = _Growth(self, rows, len(first["x"]))
+        while len(grown.tree):
             grown.level()
         total = grown.gains.sum(axis=1, keepdims=True)
         shares = np.divide(grown.gains, total, out=np.zeros_like(grown.gains), where=total > 0).mean(axis=0)
-        forest = FlatForest(grown.feature, grown.threshold, grown.left, grown.right, grown.value, range(self.n))
-        return ExtraTreesModel(forest, shares / shares.sum() if shares.sum() > 0 else shares, self.features, self.criterion != "variance")
+        return ExtraTreesModel(grown.forest(), shares / shares.sum() if shares.sum() > 0 else shares, self.features, self.criterion != "variance")
+
+
+def _matrix(rows: pa.Table, column: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(column).to_pylist())).reshape(-1, width)
+
+
+def _left(feature: np.ndarray, following: int) -> np.ndarray:
+    """Left children of a level whose children start at ``following``, two an inner node in its order."""
+    inner = feature >= 0
+    return np.where(inner, following + 2 * (np.cumsum(inner) - 1), -1).astype(np.int32)
 
 
 class _Growth:
-    """The arrays of all trees while they grow, and their open nodes."""
+    """All trees while they grow. The nodes of a level have consecutive numbers, by tree; ``tree`` is that of each open node, ``first``
+    the number of the first, ``levels`` holds the feature and cut (or value) of the closed ones. Rows know their node in the level
+    that starts at ``base`` (-1: done), the levels from there on are ``recent``."""
 
     def __init__(self, how: ExtraTrees, rows: DataFrame, p: int):
         self.how, self.rows, self.p, self.depth = how, rows, p, 0
-        n = how.n
-        self.feature, self.left, self.right = ([-1] * n for _ in range(3))
-        self.threshold, self.value, self.tree = [0.0] * n, [0.0] * n, list(range(n))
-        self.sums = dict.fromkeys(range(n))  # of open nodes, once known
-        self.gains, self.open = np.zeros((n, p)), list(range(n))
+        self.tree, self.first, self.base = np.arange(how.n, dtype=np.int32), 0, 0
+        self.levels, self.recent, self.placed = [], [], False
+        self.gains = np.zeros((how.n, p))
+
+    def forest(self) -> FlatForest:
+        left, start = [], 0
+        for feature, _ in self.levels:
+            start += len(feature)
+            left.append(_left(feature, start))
+        feature, cut = (np.concatenate(c) for c in zip(*self.levels))
+        return FlatForest(feature, cut, np.concatenate(left), None, cut, np.arange(self.how.n))
 
     def level(self) -> None:
-        how, fresh = self.how, []
-        per = max(1, SCAN_DOUBLES // (2 * self.p + 4))
-        for at in range(0, len(self.open), per):
-            nodes = self.open[at:at + per]
-            ranges = self._scan(nodes, None)
-            cuts = {}
-            for node, row in ranges.items():
-                count, sums, low, high = row[0], row[1:4], row[4:4 + self.p], -row[4 + self.p:]
-                self.sums[node] = sums
-                self.value[node] = sums[1] / sums[0] if sums[0] > 0 else 0.0
-                vary = np.flatnonzero(high > low)
-                limit = DEEPEST if how.depth is None else how.depth
-                if count < 2 or impurity(sums, how.criterion) <= 1e-12 or self.depth >= limit or not len(vary):
-                    continue
-                r = np.random.default_rng([how.seed & 0xFFFFFFFF, self.tree[node], node])
-                tried = np.sort(r.permutation(vary)[:subset_size(how.subset, self.p)])
-                cut = low[tried] + (high[tried] - low[tried]) * r.random(len(tried))
-                cuts[node] = (tried, np.where(cut >= high[tried], low[tried], cut))
-            fresh += self._split(cuts)
-        self.open, self.depth = fresh, self.depth + 1
-
-    def _split(self, cuts: dict) -> list[int]:
-        fresh, k = [], max((len(t) for t, _ in cuts.values()), default=1)
-        nodes, per = list(cuts), max(1, SCAN_DOUBLES // (3 * k + 1))
-        for at in range(0, len(nodes), per):
-            some = nodes[at:at + per]
-            for node, row in self._scan(some, cuts).items():
-                tried, cut = cuts[node]
-                lower, whole = row.reshape(-1, 3)[:len(tried)], self.sums[node]
-                upper = whole - lower
-                cost = (lower[:, 0] * impurity(lower, self.how.criterion) + upper[:, 0] * impurity(upper, self.how.criterion))
-                best = int(cost.argmin())
-                self.gains[self.tree[node], tried[best]] += max(whole[0] * impurity(whole, self.how.criterion) - cost[best], 0.0)
-                self.feature[node], self.threshold[node] = int(tried[best]), float(cut[best])
-                ends = []
-                for sums in (lower[best], upper[best]):
-                    ends.append(len(self.feature))
-                    for column, v in ((self.feature, -1), (self.left, -1), (self.right, -1), (self.threshold, 0.0),
-                                      (self.value, sums[1] / sums[0] if sums[0] > 0 else 0.0), (self.tree, self.tree[node])):
-                        column.append(v)
-                self.left[node], self.right[node] = ends
-                fresh += ends
-        return fresh
-
-    def _scan(self, nodes: list[int], cuts: dict | None) -> dict[int, np.ndarray]:
-        """Without ``cuts``: rows, sums, least and (negative) largest of each feature of every node; else the sums left of each cut."""
-        how, p = self.how, self.p
-        forest = FlatForest(self.feature, self.threshold, self.left, self.right, self.value, sorted({self.tree[v] for v in nodes}))
-        slot = np.full(len(self.feature), -1, dtype=np.int64)
-        slot[nodes] = np.arange(len(nodes))
-        trees, bootstrap, seed = forest.roots.tolist(), how.bootstrap, how.seed
-        if cuts is None:
-            start = np.r_[np.zeros(4), np.full(2 * p, np.inf)]
-        else:
-            k = max(len(cuts[v][0]) for v in nodes)
-            start = np.zeros(3 * k)
-            tried, cut = np.zeros((len(nodes), k), dtype=np.int64), np.full((len(nodes), k), -np.inf)
-            for i, v in enumerate(nodes):
-                tried[i, :len(cuts[v][0])], cut[i, :len(cuts[v][0])] = cuts[v]
-        ranging = cuts is None
+        n, p = len(self.tree), self.p
+        k = subset_size(self.how.subset, p)
+        feature, cut = np.full(n, -1, dtype=np.int32), np.zeros(n)
+        per, few = max(1, SCAN_DOUBLES // (2 * p + 4)), max(1, SCAN_DOUBLES // (3 * k + 1))
+        for at in range(0, n, per):
+            met = self._scan(np.arange(at, min(at + per, n)), None, k)
+            order = np.argsort(q := met.column("q").to_numpy())
+            q, row = q[order], _matrix(met, "sums", 4 + 2 * k)[order]
+            sums, size, tried, cuts = row[:, :3], row[:, 3].astype(int), row[:, 4:4 + k].astype(int), row[:, 4 + k:]
+            cut[q] = np.divide(sums[:, 1], sums[:, 0], out=np.zeros(len(q)), where=sums[:, 0] > 0)
+            inner = np.flatnonzero(size)
+            for i in range(0, len(inner), few):
+                some = inner[i:i + few]
+                feature[q[some]], cut[q[some]] = self._best(q[some], sums[some], size[some], tried[some], cuts[some])
+        self._close(feature, cut)
+
+    def _best(self, q, whole, size, tried, cuts) -> tuple[np.ndarray, np.ndarray]:
+        """Feature and threshold of the best of the cuts that each node has tried."""
+        k, criterion = tried.shape[1], self.how.criterion
+        met = self._scan(q, (tried, cuts), k)
+        lower = np.zeros((len(q), k, 3))
+        lower[met.column("q").to_numpy()] = _matrix(met, "sums", 3 * k).reshape(-1, k, 3)
+        upper = whole[:, None] - lower
+        cost = lower[..., 0] * impurity(lower, criterion) + upper[..., 0] * impurity(upper, criterion)
+        cost[np.arange(k) >= size[:, None]] = np.inf
+        each, best = np.arange(len(q)), cost.argmin(axis=1)
+        gain = np.maximum(whole[:, 0] * impurity(whole, criterion) - cost[each, best], 0.0)
+        np.add.at(self.gains, (self.tree[q], tried[each, best]), gain)
+        return tried[each, best], cuts[each, best]
+
+    def _close(self, feature: np.ndarray, cut: np.ndarray) -> None:
+        """The next level is open; rows are told their places once the latest levels hold many nodes."""
+        self.levels.append((feature, cut))
+        self.first += len(feature)
+        self.recent.append((feature, cut, _left(feature, self.first - self.base)))
+        self.tree, self.depth = np.repeat(self.tree[feature >= 0], 2), self.depth + 1
+        if self.first - self.base <= RECENT_NODES or not len(self.tree):
+            return
+        ends, done = self._ends(0, self.how.n), self.first - self.base
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, x in _parts(batches):
+                at = np.maximum(ends(part, x) - done, -1)
+                at = pa.ListArray.from_arrays(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32), pa.array(at.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("x", "y", "w", "row")), at], ["x", "y", "w", "row", "at"])
+
+        self.rows = checkpointed(self.rows.mapInArrow(place, "x array<double>, y double, w double, row long, at array<int>"))
+        self.base, self.recent, self.placed = self.first, [], True
+
+    def _ends(self, t0: int, t1: int):
+        """A function of a batch: the node of each row in the trees from ``t0`` up to ``t1``, counted from ``base``."""
+        n, placed = self.how.n, self.placed
+        feature, cut, left = (np.concatenate(c) for c in zip(*self.recent)) if self.recent else (np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros(0, dtype=np.int32))
+
+        def ends(part: pa.RecordBatch, x: np.ndarray) -> np.ndarray:
+            if placed:
+                at = part.column("at").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[:, t0:t1].astype(np.int64)
+            else:
+                at = np.tile(np.arange(t0, t1), (len(x), 1))
+            i, t = np.nonzero((at >= 0) & (at < len(feature)))
+            while len(i):
+                v = at[i, t]
+                f = feature[v]
+                go = f >= 0
+                i, t, v, f = i[go], t[go], v[go], f[go]
+                at[i, t] = to = left[v] + ~(x[i, f] <= cut[v])
+                more = to < len(feature)
+                i, t = i[more], t[more]
+            return at
+
+        return ends
+
+    def _scan(self, q: np.ndarray, cuts: tuple | None, k: int) -> pa.Table:
+        """(q, sums) for the open nodes ``q``, counted from the first. Without ``cuts``, by place in the level: sums, number of features
+        tried, those and their cuts; else by place in ``q`` the sums left of each cut."""
+        how, p, depth, first = self.how, self.p, self.depth, self.first
+        trees = np.unique(self.tree[q])
+        t0, low_q, size = int(trees[0]), int(q[0]), int(q[-1] - q[0] + 1)
+        tree_of, ends, skip = self.tree[low_q:low_q + size], self._ends(t0, int(trees[-1]) + 1), self.first - self.base + low_q
+        slot = np.full(size + 1, -1, dtype=np.int64)
+        slot[q - low_q] = np.arange(len(q))
+        n_held, trees, ranging = len(q), trees.tolist(), cuts is None
+        start = np.r_[np.zeros(4), np.full(2 * p, np.inf)] if ranging else np.zeros(3 * k)
+        tried, cut = (None, None) if ranging else (cuts[0], np.where(np.isnan(cuts[1]), -np.inf, cuts[1]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.tile(start, (len(nodes), 1))
-            for batch in batches:
-                for at in range(0, batch.num_rows, BATCH_ROWS):
-                    part = batch.slice(at, BATCH_ROWS)
-                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    y, w, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "row"))
-                    ends = slot[forest.nodes(x)]
-                    for t, tree in enumerate(trees):
-                        mine = np.flatnonzero(ends[:, t] >= 0)
-                        weight = w[mine]
-                        if bootstrap:
-                            often = copies(row[mine], tree, seed)
-                            mine, weight = mine[often > 0], (weight * often)[often > 0]
-                        if not len(mine):
-                            continue
-                        order = np.argsort(ends[mine, t], kind="stable")
-                        mine, weight = mine[order], weight[order]
-                        q = ends[mine, t]
-                        begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                        to, wy = q[begin], weight * y[mine]
-                        own = np.column_stack([weight, wy, wy * y[mine]])
-                        if ranging:
-                            held[to, 0] += np.diff(np.r_[begin, len(q)])
-                            held[to, 1:4] += np.add.reduceat(own, begin)
-                            held[to, 4:4 + p] = np.minimum(held[to, 4:4 + p], np.minimum.reduceat(x[mine], begin))
-                            held[to, 4 + p:] = np.minimum(held[to, 4 + p:], -np.maximum.reduceat(x[mine], begin))
-                        else:
-                            low = x[mine[:, None], tried[q]] <= cut[q]
-                            held[to] += np.add.reduceat((low[:, :, None] * own[:, None, :]).reshape(len(q), -1), begin)
+            held = np.tile(start, (n_held, 1))
+            for part, x in _parts(batches):
+                y, w, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "row"))
+                place = ends(part, x) - skip
+                place = slot[np.where((place >= 0) & (place < size), place, size)]
+                for tree in trees:
+                    mine = np.flatnonzero(place[:, tree - t0] >= 0)
+                    weight = w[mine]
+                    if how.bootstrap:
+                        often = copies(row[mine], tree, how.seed)
+                        mine, weight = mine[often > 0], (weight * often)[often > 0]
+                    if not len(mine):
+                        continue
+                    order = np.argsort(place[mine, tree - t0], kind="stable")
+                    mine, weight = mine[order], weight[order]
+                    at = place[mine, tree - t0]
+                    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    to, wy = at[begin], weight * y[mine]
+                    own = np.column_stack([weight, wy, wy * y[mine]])
+                    if ranging:
+                        held[to, 0] += np.diff(np.r_[begin, len(at)])
+                        held[to, 1:4] += np.add.reduceat(own, begin)
+                        held[to, 4:4 + p] = np.minimum(held[to, 4:4 + p], np.minimum.reduceat(x[mine], begin))
+                        held[to, 4 + p:] = np.minimum(held[to, 4 + p:], -np.maximum.reduceat(x[mine], begin))
+                    else:
+                        low = x[mine[:, None], tried[at]] <= cut[at]
+                        held[to] += np.add.reduceat((low[:, :, None] * own[:, None, :]).reshape(len(at), -1), begin)
             met = np.flatnonzero((held != start).any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array([held[i].tobytes() for i in met], pa.binary())], ["q", "sums"])
+            for at in range(0, len(met), BATCH_ROWS):
+                some = met[at:at + BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([held[i].tobytes() for i in some], pa.binary())], ["q", "sums"])
+
+        def drawn(at: int, row: np.ndarray) -> np.ndarray:
+            """A node's sums and the cuts that it tries: none for a leaf."""
+            sums, low, high = row[1:4], row[4:4 + p], -row[4 + p:]
+            out = np.r_[sums, 0.0, np.zeros(k), np.full(k, np.nan)]
+            vary = np.flatnonzero(high > low)
+            limit = DEEPEST if how.depth is None else how.depth
+            if row[0] >= 2 and impurity(sums, how.criterion) > 1e-12 and depth < limit and len(vary):
+                r = np.random.default_rng([how.seed & 0xFFFFFFFF, int(tree_of[at]), first + low_q + at])
+                some = np.sort(r.permutation(vary)[:k])
+                to = low[some] + (high[some] - low[some]) * r.random(len(some))
+                out[3], out[4:4 + len(some)] = len(some), some
+                out[4 + k:4 + k + len(some)] = np.where(to >= high[some], low[some], to)
+            return out
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for q, raw in zip(batch.column("q").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                for at, raw in zip(batch.column("q").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                     part = np.frombuffer(raw)
-                    if q not in total:
-                        total[q] = part.copy()
+                    if at not in total:
+                        total[at] = part.copy()
                     elif ranging:
-                        total[q][:4] += part[:4]
-                        total[q][4:] = np.minimum(total[q][4:], part[4:])
+                        total[at][:4] += part[:4]
+                        total[at][4:] = np.minimum(total[at][4:], part[4:])
                     else:
-                        total[q] += part
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["q", "sums"])
+                        total[at] += part
+            sums = [(drawn(at, v) if ranging else v).tobytes() for at, v in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([at + low_q if ranging else at for at in total], pa.int64()), pa.array(sums, pa.binary())], ["q", "sums"])
 
         schema = "q long, sums binary"
-        out = {nodes[r["q"]]: np.frombuffer(r["sums"]) for r in self.rows.mapInArrow(run, schema).repartition("q").mapInArrow(add, schema).collect()}
-        return {v: out[v] if v in out else start for v in nodes if v in out or not ranging}
+        return self.rows.mapInArrow(run, schema).repartition("q").mapInArrow(add, schema).toArrow()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of bounded size with the matrix of their feature vectors."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            yield part, part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)

@@ -43,6 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that are worth a task of their own in a table that is scanned many times.
+SPREAD_ROWS = 4096
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``checkpointed``, and dealt out anew where its partitions are fewer than the cores that have rows to scan."""
+    rows = checkpointed(df)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, rows.count() // SPREAD_ROWS)
+    return checkpointed(rows.repartition(tasks)) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 def _cols(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 

@@ -112,3 +112,19 @@ def test_nested_fits(data):
     assert cv.count() == 2 and best["max_depth"] in (2, None)
     pred = ml.verify_top_n(plain.where("id < 300"), plain.where("id >= 300"), ["a", "b"], [2], {"extreme_forest": {"n_estimators": 3, "max_depth": 4}})
     assert pred.count() == 100
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_places_written_anew_change_nothing(data, bootstrap):
+    """Rows that keep their open nodes grow the forest that a walk from the roots grows; a node takes 16 bytes of the driver."""
+    df, x, _, _ = data
+    how = lambda: ft.ExtraTrees(4, None, "sqrt", "gini", 5, "features", "target", None, bootstrap).fit(df.limit(120)).forest
+    plain, held = how(), ft.RECENT_NODES
+    try:
+        ft.RECENT_NODES = 10
+        again = how()
+    finally:
+        ft.RECENT_NODES = held
+    assert again.feature.tolist() == plain.feature.tolist() and again.left.tolist() == plain.left.tolist() and again.cut.tolist() == pytest.approx(plain.cut.tolist())
+    assert again.values(x) == pytest.approx(plain.values(x))
+    assert sum(v.nbytes for v in vars(again).values() if v is not None) <= 16 * len(again.feature) + 64
