@@ -11,8 +11,12 @@ is searched in vectorised numpy:
 4. each cell sends back at most k + 1 points per query, and the best of all are kept.
 
 Queries of one cell are dealt out in chunks, so a cell that many queries visit is many
-tasks. In high intrinsic dimension boxes exclude little, and the cost approaches that of
-comparing everything; the answer is exact all the same.
+tasks. In high intrinsic dimension boxes exclude little, and the comparisons approach those
+of everything with everything; the answer is exact all the same. What is shuffled does not
+follow: where queries visit many cells, cells go by regions, a query is sent to a region
+once, with a bit for each cell there that it visits, and a region's points meet a bounded
+number of chunks of queries. So a query is sent ``REGIONS`` times at most as long as the
+points of a region fit ``REGION_DOUBLES``; beyond that there are more regions.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ LEAF_POINTS, SAMPLE_POINTS, MAX_LEAVES = 256, 200_000, 1 << 15
 PROBES, SEND_ROWS = 16, 512
 #: Queries of one cell that a task takes.
 CHUNK_QUERIES = 20_000
+#: Cells that a query visits, on average, before cells go by regions, and the number of those; the chunks of queries that a region meets;
+#: doubles of a region's points, and of a chunk's queries, from which there are more regions and chunks.
+REGIONS, REGION_CHUNKS, REGION_DOUBLES = 8, 16, 1 << 23
+#: Columns from which a matrix product sieves the points of a cell.
+PRODUCT_COLUMNS = 8
 #: A point is hot from this part of the rows on.
 HOT_SHARE = 1000
 
@@ -138,7 +147,9 @@ class Tree:
         i, leaves = self.near(x, reach)
         other = leaves != home[i]
         i, leaves = i[other], leaves[other]
-        order = np.lexsort((leaves, self._squares(self.low[leaves], self.high[leaves], x[i]), i))
+        step = max(1, (1 << 20) // x.shape[1])
+        away = [self._squares(self.low[leaves[a:a + step]], self.high[leaves[a:a + step]], x[i[a:a + step]]) for a in range(0, len(i), step)]
+        order = np.lexsort((leaves, np.concatenate([np.zeros(0), *away]), i))
         i, leaves = i[order], leaves[order]
         first = np.searchsorted(i, i)
         keep = np.arange(len(i)) - first < m
@@ -178,37 +189,72 @@ def distinct_points(df: DataFrame, feats: list[str], key: str, keep: int, missin
     return first.groupBy(*feats).agg(least(), F.sum("n").alias("n")).withColumn("least", F.col("ids")[0])
 
 
-def _pairs(queries: DataFrame, points: DataFrame, feats: list[str], k: int, schema: T.StructType, flat: np.ndarray | None = None) -> DataFrame:
-    """For each (leaf, chunk) the ``k`` nearest points of the leaf for every query there that lie within its reach."""
+def _nearest(q: np.ndarray, reach: np.ndarray, b: np.ndarray, k: int, flat: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the ``k`` nearest points within reach of each query, ties to the earlier point.
+
+    With many columns a matrix product, whose error is bounded, first leaves out the points that cannot be among them."""
+    m, n = min(k, len(b)), len(b)
+    d = None
+    if flat is None and q.shape[1] >= PRODUCT_COLUMNS and m < n:
+        centre = b.mean(axis=0)
+        x, y = q - centre, b - centre
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        d = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
+        if np.isfinite(d).all():
+            slack = 1e-12 * q.shape[1] * (xx + yy.max() + (centre * centre).sum())
+            far = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1] + 2 * slack, reach * reach * (1 + 1e-9) + slack)
+            i, j = np.nonzero(d <= far[:, None])
+            at = np.zeros(len(i))
+            for c in range(q.shape[1]):  # squares added in column order, as in distances()
+                gap = q[i, c] - b[j, c]
+                at += gap * gap
+            at = np.sqrt(at)
+        else:
+            d = None
+    if d is None:
+        d = distances(q, b, flat)
+        cut = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], reach) if m < n else reach
+        i, j = np.nonzero(d <= cut[:, None])
+        at = d[i, j]
+    order = np.lexsort((j, at, i))
+    i, j, at = i[order], j[order], at[order]
+    keep = (np.arange(len(i)) - np.searchsorted(i, i) < m) & (at <= reach[i])
+    return i[keep], j[keep], at[keep]
+
+
+def _pairs(queries: DataFrame, points: DataFrame, feats: list[str], k: int, schema: T.StructType, flat: np.ndarray | None = None,
+           width: int = 1) -> DataFrame:
+    """For each (leaf, chunk) the ``k`` nearest points of the leaf for every query there that lie within its reach.
+
+    With a ``width`` above 1 ``leaf`` is a region of so many cells, and the bits ``cells`` of a query say which of them it visits."""
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        b, names = right[feats].to_numpy(dtype=float), right["least"].to_numpy()
-        order = np.argsort(names, kind="stable")  # ties fall to the lesser key
-        b, names = b[order], names[order]
-        ids = right["ids"].to_numpy()[order]
+            return pd.DataFrame([], columns=[f.name for f in schema.fields])
+        q, reach, asked = left[feats].to_numpy(dtype=float), left["reach"].to_numpy(dtype=float), left["qid"].to_numpy()
+        order = np.argsort(right["least"].to_numpy(), kind="stable")  # ties fall to the lesser key
+        right = right.iloc[order]
+        points, names, ids = right[feats].to_numpy(dtype=float), right["least"].to_numpy(), right["ids"].to_numpy()
+        cell = right["cell"].to_numpy() % width if width > 1 else np.zeros(len(right), dtype=np.int64)
+        bits = np.frombuffer(b"".join(left["cells"]), dtype=np.uint8).reshape(len(left), -1) if width > 1 else None
         out = []
-        step = max(1, (1 << 21) // len(b))
-        q = left[feats].to_numpy(dtype=float)
-        for at in range(0, len(q), step):
-            d = distances(q[at:at + step], b, flat)
-            m = min(k, d.shape[1])
-            for i, row in enumerate(d):
-                if m < len(row):  # all at the m-th distance stay in play, so that ties are settled by key
-                    cand = np.flatnonzero(row <= np.partition(row, m - 1)[m - 1])
-                else:
-                    cand = np.arange(len(row))
-                best = cand[np.argsort(row[cand], kind="stable")][:m]
-                best = best[row[best] <= left["reach"].iat[at + i]]
-                out += [(left["qid"].iat[at + i], ids[j], names[j], float(row[j])) for j in best]
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+        for c in np.unique(cell):
+            mine = np.flatnonzero(cell == c)
+            visit = np.flatnonzero(bits[:, c >> 3] >> (7 - (c & 7)) & 1) if width > 1 else np.arange(len(q))
+            step, b = max(1, (1 << 21) // len(mine)), points[mine]
+            for at in range(0, len(visit), step):
+                some = visit[at:at + step]
+                i, j, d = _nearest(q[some], reach[some], b, k, flat)
+                if len(i):
+                    out.append(pd.DataFrame({"qid": asked[some[i]], "ids": ids[mine[j]], "least": names[mine[j]], "dist": d}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=[f.name for f in schema.fields])
 
     return queries.groupBy("leaf", "chunk").cogroup(points.groupBy("leaf", "chunk")).applyInPandas(search, schema)
 
 
-def _dealt(queries: DataFrame, points: DataFrame, chunk_queries: int) -> tuple[DataFrame, DataFrame]:
-    """Queries of a leaf in chunks, and the leaf's points once per chunk."""
-    load = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk_queries).alias("_n"))
+def _dealt(queries: DataFrame, points: DataFrame, chunk_queries: int, load: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries of a leaf in chunks, and the leaf's points once per chunk; ``load`` has the chunks (_n) of each leaf, if known."""
+    if load is None:
+        load = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk_queries).alias("_n"))
     dealt = (queries.join(F.broadcast(load), "leaf")  # one row per leaf, MAX_LEAVES at most
              .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("_n"))).drop("_n"))
     copies = points.join(F.broadcast(load), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
@@ -255,33 +301,63 @@ def nearest_points(queries: DataFrame, points: DataFrame, feats: list[str], k: i
         return (to.join(best, "qid", "left").withColumn(name, F.when(F.col("_n") >= k, F.element_at("_d", k)).otherwise(F.lit(float("inf"))))
                 .drop("_n", "_d"))
 
-    sent = T.StructType([*(base.schema[c] for c in ("qid", *feats)), T.StructField("reach", T.DoubleType()), T.StructField("leaf", T.LongType())])
+    def visited(part: pd.DataFrame, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) of a batch: the cells to probe, or all within the tightened bound less its own and those that were probed."""
+        x, own = part[feats].to_numpy(dtype=float), part["home"].to_numpy()
+        i, leaves = tree.probes(x, part["reach0"].to_numpy(dtype=float), own)
+        if again:
+            done = i * tree.n_leaves + leaves
+            i, leaves = tree.near(x, part["reach"].to_numpy(dtype=float))
+            new = (leaves != own[i]) & ~np.isin(i * tree.n_leaves + leaves, done)
+            i, leaves = i[new], leaves[new]
+        return i, leaves
+
+    def searched(asked: DataFrame, again: bool) -> DataFrame:
+        """What the visits of all queries find; by regions where queries visit many cells."""
+        def count(batches):
+            per = np.zeros(tree.n_leaves, dtype=np.int64)
+            for pdf in batches:
+                for at in range(0, len(pdf), SEND_ROWS):
+                    per += np.bincount(visited(pdf.iloc[at:at + SEND_ROWS], again)[1], minlength=tree.n_leaves)
+            yield pd.DataFrame({"leaf": np.flatnonzero(per), "n": per[per > 0]})
+
+        n_asked = asked.count()
+        per = checkpointed(asked.mapInPandas(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")))
+        width, p = 1, len(feats)
+        if (per.agg(F.sum("n")).first()[0] or 0) > REGIONS * n_asked:
+            width = max(1, min(-(-tree.n_leaves // REGIONS), REGION_DOUBLES * tree.n_leaves // (n * p)))
+        chunks = F.ceil(F.col("n") / chunk_queries)
+        if width > 1:
+            most = max(REGION_CHUNKS, -(-n_asked * p // REGION_DOUBLES))
+            per = per.groupBy(F.floor(F.col("leaf") / width).alias("leaf")).agg(F.least(F.sum("n"), F.lit(n_asked)).alias("n"))
+            chunks = F.least(chunks, F.lit(most).cast("bigint"))
+        load = per.select("leaf", chunks.alias("_n"))
+        many = T.StructField("cells", T.BinaryType())
+        sent = T.StructType([*(base.schema[c] for c in ("qid", *feats)), T.StructField("reach", T.DoubleType()), T.StructField("leaf", T.LongType()), *([many] if width > 1 else [])])
 
-    def sender(again: bool):
         def send(batches):
             for pdf in batches:
                 for at in range(0, len(pdf), SEND_ROWS):
                     part = pdf.iloc[at:at + SEND_ROWS]
-                    x, own = part[feats].to_numpy(dtype=float), part["home"].to_numpy()
-                    i, leaves = tree.probes(x, part["reach0"].to_numpy(dtype=float), own)
-                    if again:  # all within the tightened bound, less the cells that were probed
-                        done = set(zip(i.tolist(), leaves.tolist()))
-                        i, leaves = tree.near(x, part["reach"].to_numpy(dtype=float))
-                        new = np.array([leaf != own[r] and (r, leaf) not in done for r, leaf in zip(i.tolist(), leaves.tolist())], dtype=bool)
-                        i, leaves = i[new], leaves[new]
-                    rows = part.iloc[i][["qid", *feats]].copy()
-                    rows["reach"] = part["reach" if again else "reach0"].to_numpy()[i]
-                    rows["leaf"] = leaves
+                    i, leaves = visited(part, again)
+                    place, which = np.unique(i * tree.n_leaves + leaves // width, return_inverse=True)
+                    rows = part.iloc[place // tree.n_leaves][["qid", *feats]].copy()
+                    rows["reach"] = part["reach" if again else "reach0"].to_numpy()[place // tree.n_leaves]
+                    rows["leaf"] = place % tree.n_leaves
+                    if width > 1:
+                        bits = np.zeros((len(place), width), dtype=bool)
+                        bits[which, leaves % width] = True
+                        rows["cells"] = [r.tobytes() for r in np.packbits(bits, axis=1)]
                     if len(rows):
                         yield rows
-        return send
+
+        to = placed.withColumn("cell", F.col("leaf")).withColumn("leaf", F.floor(F.col("leaf") / width)) if width > 1 else placed
+        return _pairs(*_dealt(asked.mapInPandas(send, sent), to, chunk_queries, load), feats, k, schema, flat, width)
 
     asked = checkpointed(bounded(found, "reach0", base))
-    probed = checkpointed(asked.mapInPandas(sender(False), sent))
-    found = found.unionByName(checkpointed(_pairs(*_dealt(probed, placed, chunk_queries), feats, k, schema, flat)))
+    found = found.unionByName(checkpointed(searched(asked, False)))
     asked = checkpointed(bounded(found, "reach", asked))
-    visits = checkpointed(asked.mapInPandas(sender(True), sent))
-    more = _pairs(*_dealt(visits, placed, chunk_queries), feats, k, schema, flat)
+    more = searched(asked, True)
     w = Window.partitionBy("qid").orderBy("dist", "least")  # at most k rows for each cell a query visits
     return found.unionByName(more).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

@@ -187,3 +187,40 @@ def test_oversampling_by_name(spark):
     assert set(made.columns) >= {"f0", "f1", "y", "_bin"}
     with pytest.raises(ValueError, match="at least 6"):
         smote(df.where("id in (0, 1, 2, 3, 5, 6, 7)"), ["f0", "f1"])
+
+
+@pytest.mark.parametrize("columns, regions, doubles", [(12, 4, 1 << 23), (12, 4, 1500), (3, 1, 1 << 23)])
+def test_queries_are_sent_to_regions_of_cells(spark, monkeypatch, columns, regions, doubles):
+    """Where boxes exclude little a query is sent once to a region, not to every cell; neighbours and ties are those of brute force."""
+    monkeypatch.setattr(nearest, "REGIONS", regions)
+    monkeypatch.setattr(nearest, "REGION_DOUBLES", doubles)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, columns)).round(1)
+    x[40:60] = x[:20]
+    feats, sent, pairs = [f"f{j}" for j in range(columns)], [], nearest._pairs
+
+    def seen(queries, points, *rest):
+        sent.append(queries.count())
+        return pairs(queries, points, *rest)
+
+    monkeypatch.setattr(nearest, "_pairs", seen)
+    got = {}
+    for r in knn(frame(spark, x), frame(spark, x), feats, 4, leaf=8).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["rid"]))
+    for i in range(300):
+        assert [j for _, j in sorted(got[i])] == [j for _, j in brute(x, x[i], 4, range(300), i)]
+    if columns == 12 and doubles > 1500:
+        assert max(sent) <= regions * 300
+
+
+def test_product_sieve_is_exact():
+    rng = np.random.default_rng(1)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e6), (1e4, 0.0)):
+        q, b = (rng.normal(size=(n, 64)).round(2) * scale + shift for n in (40, 90))
+        b[10:20], q[:5] = b[:10], b[:5]
+        d = nearest.distances(q, b)
+        reach = np.where(np.arange(40) % 2, np.inf, np.sort(d, axis=1)[:, 3])
+        i, j, at = nearest._nearest(q, reach, b, 6, None)
+        for r in range(40):
+            want = [c for c in np.argsort(d[r], kind="stable")[:6] if d[r, c] <= reach[r]]
+            assert j[i == r].tolist() == want and at[i == r].tolist() == d[r, want].tolist()
