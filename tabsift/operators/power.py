@@ -1,17 +1,20 @@
 """Yeo–Johnson power normaliser (NO-8): maximum-likelihood λ per feature on train, then z-score.
 
-The log-likelihood of a grid of λ for all features is one aggregate; grids narrow
+The log-likelihood of a grid of λ for all features is one scan of the wide rows, in numpy; grids narrow
 (or move outwards) pass by pass until λ is found to the tolerance.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import to_long
 from .scale import apply_linear, fit_linear
 
 
@@ -23,15 +26,66 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(pos, a).otherwise(b)
 
 
-def _loglik(long: DataFrame, lams: DataFrame) -> DataFrame:
-    """(feature, lam, ll) for the (feature, lam) pairs in ``lams`` (small, broadcast); central moments, so large values cost no digits."""
-    j = long.join(F.broadcast(lams), "feature")
-    psi = yeo_johnson(F.col("value"), F.col("lam"))
-    g = j.groupBy("feature", "lam").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.var_pop(psi).alias("var"),
-        F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("sl"))
-    ll = -F.col("n") / 2 * F.log(F.greatest(F.col("var"), F.lit(1e-300))) + (F.col("lam") - 1) * F.col("sl")
-    return g.select("feature", "lam", ll.alias("ll"))
+def _psi(x: np.ndarray, u: np.ndarray, lam: float) -> np.ndarray:
+    """``yeo_johnson`` of the values x at ``lam``; u = log1p(|x|). Powers of x + 1 itself, so large values cost no digits."""
+    out = np.empty_like(u)
+    for part, sign, power in ((~(x < 0), 1.0, lam), (x < 0, -1.0, 2 - lam)):
+        out[part] = sign * (u[part] if abs(power) < 1e-12 else (np.power(np.abs(x[part]) + 1, power) - 1) / power)
+    return out
+
+
+def _loglik(table: DataFrame, grid: dict[str, list[float]]) -> dict[str, list[tuple[float, float]]]:
+    """{feature: [(lam, log-likelihood)]} for the grid of each feature (a column of ``table``; nulls are left out), from one scan.
+
+    A task sends one row a feature: count, sum of signed logs, and mean and squares about the mean for each λ, so large values cost no digits."""
+    names = list(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2 + 2 * len(grid[f]))) for f in names]
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for f, total in zip(names, held, strict=True):
+                    x = batch.column(f).drop_null().to_numpy(zero_copy_only=False)
+                    if not len(x):
+                        continue
+                    u = np.log1p(np.abs(x))
+                    part = np.empty_like(total)
+                    part[0], part[1] = len(x), (np.sign(x) * u).sum()
+                    for i, lam in enumerate(grid[f]):
+                        psi = _psi(x, u, lam)
+                        part[2 + 2 * i] = mean = psi.mean()
+                        gap = psi - mean
+                        part[3 + 2 * i] = (gap * gap).sum()
+                    total[:] = _merged(total, part)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in held], pa.binary())], ["feature", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, np.ndarray] = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for f, raw in zip(batch.column("feature").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    part = np.frombuffer(raw)
+                    out[f] = _merged(out[f], part) if f in out else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([t.tobytes() for t in out.values()], pa.binary())], ["feature", "sums"])
+
+    schema, found = "feature string, sums binary", {}
+    for r in table.mapInArrow(run, schema).repartition("feature").mapInArrow(add, schema).collect():
+        n, logs, *rest = np.frombuffer(r["sums"]).tolist()
+        if n:
+            found[r["feature"]] = [(lam, -n / 2 * math.log(max(rest[2 * i + 1] / n, 1e-300)) + (lam - 1) * logs)
+                                   for i, lam in enumerate(grid[r["feature"]]) if not math.isnan(rest[2 * i + 1])]
+    return found
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of two parts: counts and logs add up, means and squares about them are brought to the common mean."""
+    if not a[0] or not b[0]:
+        return b.copy() if not a[0] else a
+    out, n = a + b, a[0] + b[0]
+    gap = b[2::2] - a[2::2]
+    out[2::2] = a[2::2] + gap * (b[0] / n)
+    out[3::2] += gap * gap * (a[0] * b[0] / n)
+    return out
 
 
 #: Values of λ tried inside a bracket in one pass; the width at which a bracket is narrow enough; the widest range.
@@ -44,18 +98,13 @@ def fit_lambdas(train: DataFrame, features, tolerance: float = TOLERANCE) -> dic
     A pass scores a grid of λ for all features at once. A bracket whose best point is an end moves on outwards and
     doubles; else it shrinks to the neighbours of its best point, until it is narrower than ``tolerance``. A feature whose likelihood still rises at ±WIDEST is said so.
     """
-    long = to_long(train, [], features).where(F.col("value").isNotNull()).cache()
-    spark = train.sparkSession
-    ends = train.agg(*[e for i, f in enumerate(features) for e in (F.min(f).alias(f"l{i}"), F.max(f).alias(f"h{i}"))]).first()
+    table = train.select(*[F.col(f).cast("double").alias(f) for f in features]).cache()
+    ends = table.agg(*[e for i, f in enumerate(features) for e in (F.min(f).alias(f"l{i}"), F.max(f).alias(f"h{i}"))]).first()
     spread = {f: (ends[f"l{i}"], ends[f"h{i}"]) for i, f in enumerate(features)}
     done = {f: 1.0 for f, (lo, hi) in spread.items() if lo is not None and lo == hi}  # every λ is as good for a constant
     open_ = {f: (-3.0, 3.0) for f, (lo, hi) in spread.items() if lo is not None and lo != hi}
     while open_:
-        pts = [(f, lo + (hi - lo) * i / POINTS) for f, (lo, hi) in open_.items() for i in range(POINTS + 1)]
-        got: dict[str, list] = {}
-        for r in _loglik(long, spark.createDataFrame(pts, "feature string, lam double")).collect():
-            if r["ll"] is not None and r["ll"] == r["ll"]:
-                got.setdefault(r["feature"], []).append((r["lam"], r["ll"]))
+        got = _loglik(table.select(*open_), {f: [lo + (hi - lo) * i / POINTS for i in range(POINTS + 1)] for f, (lo, hi) in open_.items()})
         for f in list(open_):
             vals = sorted(got.get(f, []))
             lo, hi = open_.pop(f)
@@ -71,7 +120,7 @@ def fit_lambdas(train: DataFrame, features, tolerance: float = TOLERANCE) -> dic
                 done[f] = vals[i][0]
             else:
                 open_[f] = (vals[i - 1][0], vals[i + 1][0])
-    long.unpersist()
+    table.unpersist()
     return {f: done[f] for f in features if f in done}
 
 

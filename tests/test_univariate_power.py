@@ -81,3 +81,23 @@ def test_rfecv_with_grid_and_repeats(spark):
     assert ordered[0] == "a" and [r["n_features"] for r in curve.orderBy("n_features").collect()] == [2, 3]
     imp = {r["feature"]: r["importance"] for r in ms.permutation_importance(df, ["a", "b", "c"], n_repeats=2, n_trees=5).collect()}
     assert imp["a"] > 0.2 > max(imp["b"], imp["c"])
+
+
+def test_likelihoods_of_a_grid_in_one_scan(spark):
+    """Parts of many tasks meet at the common mean; nulls are left out, large values cost no digits, a NaN has no likelihood."""
+    import numpy as np
+    from tabsift.operators.power import _loglik
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=400), 1e9 + rng.normal(size=400), rng.normal(size=400)])
+    rows = [(*(float(v) for v in r[:2]), float("nan") if i == 7 else float(r[2]), None) for i, r in enumerate(x)] + [(None, None, 0.5, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    got = _loglik(df, {"a": [-1.0, 0.0, 0.5, 2.0], "b": [1.0, 2.0], "c": [1.0], "d": [1.0]})
+    assert got["c"] == [] and "d" not in got
+    for j, f in enumerate("ab"):
+        for lam, ll in got[f]:
+            v = x[:, j]
+            with np.errstate(all="ignore"):
+                up = np.log1p(v) if lam == 0 else ((v + 1) ** lam - 1) / lam
+                down = -np.log1p(-v) if lam == 2 else -((1 - v) ** (2 - lam) - 1) / (2 - lam)
+            want = -200 * np.log(np.where(v >= 0, up, down).var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+            assert ll == pytest.approx(want, rel=1e-6, abs=1e-4)
