@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import hash52
 from .many_linear import Problem, fit_many, held_out_margins
-from .positions import checkpointed
+from .positions import checkpointed, spread
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 #: Width of the maps, and rows that serve as landmarks of the sigmoid kernel.
@@ -209,7 +209,7 @@ class KernelSVM:
 
     def fit(self, df: DataFrame) -> KernelSVMModel:
         fold = F.pmod(hash52(F.col("x").cast("string"), F.lit(str(self.seed))), F.lit(PLATT_FOLDS)).cast("int")
-        rows = checkpointed(df.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y")).withColumn("folds", F.array(fold)))
+        rows = spread(df.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y")).withColumn("folds", F.array(fold)))
         first = rows.first()
         if first is None:
             raise ValueError("no rows to fit")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.portable import sigmoid
-from .positions import checkpointed
+from .positions import spread
 
 #: Doubles of curvature that a task holds at most: more problems take several scans a step.
 SCAN_DOUBLES = 1 << 23
@@ -64,9 +64,9 @@ def fold_table(df: DataFrame, features: str, label: str, folds: DataFrame | None
     """x (array), y (0 / 1) and folds (array by repeat): the narrow rows that every scan reads, written once."""
     rows = df.select(*([key] if folds is not None else []), vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
     if folds is None:
-        return checkpointed(rows.withColumn("folds", F.array().cast("array<int>")))
+        return spread(rows.withColumn("folds", F.array().cast("array<int>")))
     by_row = folds.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("repeat", "fold"))), lambda s: s["fold"].cast("int")).alias("folds"))
-    return checkpointed(rows.join(by_row, key))
+    return spread(rows.join(by_row, key))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -181,7 +181,10 @@ def _scan(rows: DataFrame, problems, weights, coef: np.ndarray, loss: str, stage
                 value[members] += ws @ losses
                 grad[members] += (slope * ws[:, None]).T @ xs
                 for i, q in enumerate(members):
-                    curve[q] += xs.T @ (xs * (ws * bend[:, i])[:, None])
+                    each = ws * bend[:, i]
+                    bent = np.flatnonzero(each)  # a hinge bends at few rows once its corner is narrow
+                    z, each = (xs, each) if 2 * len(bent) > len(xs) else (xs[bent], each[bent])
+                    curve[q] += z.T @ (z * each[:, None])
         sums = np.column_stack([value, grad, curve.reshape(len(problems), -1)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(problems))), pa.array([r.tobytes() for r in sums], pa.binary())], ["q", "sums"])
 

@@ -151,3 +151,21 @@ def test_platt_against_plain_newton(spark):
 def test_unknown_kernel():
     with pytest.raises(ValueError):
         ml.make_estimator("svm", ml.BINARY, {"kernel": "cosine"})
+
+
+def test_scans_are_spread_and_skip_rows_without_curvature(spark):
+    """A table in one partition is dealt to the cores; the curvature of a narrow hinge is that of all rows."""
+    from tabsift.operators import many_linear
+    from tabsift.operators.positions import SPREAD_ROWS, spread
+    rng = np.random.default_rng(6)
+    n = 3 * SPREAD_ROWS
+    x = rng.normal(size=(n, 3)).round(3)
+    y = (x[:, 0] + rng.normal(size=n) > 0).astype(float)
+    rows = spread(spark.createDataFrame([([float(v) for v in r], float(t), [0]) for r, t in zip(x, y)], "x array<double>, y double, folds array<int>").coalesce(1))
+    assert rows.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism) and rows.count() == n
+    coef = np.array([[0.9, 0.1, -0.2, 0.05]])
+    (_, value, grad, curve), = many_linear._scan(rows, [many_linear.Problem(1.0)], [np.ones(2)], coef, "hinge", 0.01, None)
+    z = np.column_stack([x, np.ones(n)])
+    loss, slope, bend = many_linear.hinge_loss(z @ coef[0], y, 0.01)
+    assert 0 < (bend > 0).mean() < 0.1
+    assert value == pytest.approx(loss.sum()) and grad == pytest.approx(slope @ z) and curve == pytest.approx(z.T @ (z * bend[:, None]))
