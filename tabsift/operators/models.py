@@ -43,13 +43,27 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+#: So many classes get their weights from one expression; more (a target that is no class) from a broadcast table.
+WEIGHT_CASES = 64
+
+
 def class_weights(df: DataFrame, target: str = "target", out: str = "weight") -> DataFrame:
-    """ML-11: balanced weights n / (2 · n_class) from one aggregate (two rows, broadcast)."""
+    """ML-11: balanced weights n / (2 · n_class) from one aggregate; rows without a class are dropped.
+
+    The weights are literals, so that the fits that read the table later do not count its classes again.
+    """
     cls = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.count()
-    k = cls.count()
-    w = cls.select(target, (F.lit(float(tot)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), target)
+    rows = cls.limit(WEIGHT_CASES + 1).collect()
+    if len(rows) > WEIGHT_CASES:
+        tot, k = df.count(), cls.count()
+        w = cls.select(target, (F.lit(float(tot)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
+        return df.join(F.broadcast(w), target)
+    tot, k = sum(r["_nc"] for r in rows), len(rows)
+    weight = F.lit(None).cast("double")
+    for r in rows:
+        if r[target] is not None:
+            weight = F.when(F.col(target) == F.lit(r[target]), F.lit(float(tot) / (float(k) * r["_nc"]))).otherwise(weight)
+    return df.where(F.col(target).isNotNull()).select(target, *[c for c in df.columns if c != target], weight.alias(out))
 
 
 #: The deepest tree that the engine's estimators grow.
@@ -109,7 +123,7 @@ def make_estimator(name: str, task: str = BINARY, params: dict | None = None, se
         if name == "forest":
             return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), impurity=p.get("criterion", "gini"),
                                           maxDepth=_rf_depth(p.get("max_depth", 10)), featureSubsetStrategy=_subset(p),
-                                          bootstrap=bool(p.get("bootstrap", True)), seed=seed, **common, **wc)
+                                          bootstrap=bool(p.get("bootstrap", True)), seed=seed, cacheNodeIds=True, **common, **wc)
         if name == "xgboost":
             return GBTClassifier(maxIter=int(p.get("n_estimators", 20)), stepSize=float(p.get("learning_rate", 0.1)),
                                  maxDepth=_rf_depth(p.get("max_depth", 3)), featureSubsetStrategy=_subset(p, "all"), seed=seed, **common, **wc)
@@ -259,18 +273,19 @@ class AdaBoostR2:
 _POOL = "tabsift-fit"
 
 
-def concurrently(spark: SparkSession, fn, items, width: int = 4) -> list:
+def concurrently(spark: SparkSession, fn, items, width: int = 4, pool_name: str = _POOL) -> list:
     """Independent fits as concurrent jobs of one session; results in order.
 
-    A fit that is itself one of several runs its own parts one after the other, so at most ``width`` run at once.
+    A fit that is itself one of several runs its own parts one after the other, so at most ``width`` run at once;
+    what runs under another ``pool_name`` has that many for each of its threads.
     """
     from concurrent.futures import ThreadPoolExecutor
     from threading import current_thread
 
     from pyspark import inheritable_thread_target
-    if current_thread().name.startswith(_POOL):
+    if current_thread().name.startswith(pool_name):
         return [fn(i) for i in items]
-    with ThreadPoolExecutor(width, _POOL) as pool:
+    with ThreadPoolExecutor(width, pool_name) as pool:
         return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 

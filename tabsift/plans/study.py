@@ -1,13 +1,14 @@
 """A whole study that can be resumed: seeds → split → impute → jobs → verification, one committed partition a (seed, job).
 
 The plan is the list of cells; a cell whose predictions hold every size and model that it can have is stored and left alone,
-the rest is computed seed by seed (the jobs of a seed share their common steps) and written with dynamic partition
-overwrite. A study that was interrupted goes on where it stopped; the result table is what the summaries read.
+the rest is computed by seed (the jobs of a seed share their common steps) and written with dynamic partition
+overwrite, a few seeds at once. A study that was interrupted goes on where it stopped; the result table is what the summaries read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from ..sources.io import resume_plan, save_results
 from .jobs import job_name, resolved_jobs, run_jobs
 
 CELL = ["experiment", "seed", "job"]
+#: Seeds whose cells are computed side by side: the short jobs of one fill the cores that the other leaves idle.
+SEEDS_AT_ONCE = 2
 SCHEMA = T.StructType([T.StructField("n_top", T.LongType()), T.StructField("model", T.StringType()), T.StructField("id", T.LongType()),
                        T.StructField("y_true", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("score_kind", T.StringType()),
                        T.StructField("prob1", T.DoubleType()), T.StructField("y_pred", T.IntegerType()), T.StructField("experiment", T.StringType()),
@@ -62,10 +65,13 @@ def run_study(spark: SparkSession, base: DataFrame, features, path: str, experim
     jobs = resolved_jobs(jobs)
     plan = spark.createDataFrame([(experiment, int(s), job_name(j)) for s in seeds for j in jobs], "experiment string, seed long, job string")
     left = {(r["seed"], r["job"]) for r in resume_plan(plan, stored(spark, path), CELL).collect()}  # the plan's size
-    for seed in seeds:
+    base.count()  # a cached base is filled here, by all cores, and not by several seeds at once
+    writing = Lock()
+
+    def one_seed(seed):
         todo = [j for j in jobs if (int(seed), job_name(j)) in left]
         if not todo:
-            continue
+            return
         data = checkpointed(simple_impute(stratified_split(base, 0.3, int(seed)), features))
         for name, (frame, feats) in run_jobs(data, features, todo, {"n_top_features": list(n_tops), **(params or {})}).items():
             if not feats:
@@ -80,7 +86,10 @@ def run_study(spark: SparkSession, base: DataFrame, features, path: str, experim
             out = tables[0]
             for t in tables[1:]:
                 out = out.unionByName(t)
-            save_results(out.select("*", F.lit(experiment).alias("experiment"), F.lit(int(seed)).cast("long").alias("seed"), F.lit(name).alias("job")), path, CELL)
-            if on_cell is not None:
-                on_cell(int(seed), name)
+            with writing:  # one commit into the study's folder at a time
+                save_results(out.select("*", F.lit(experiment).alias("experiment"), F.lit(int(seed)).cast("long").alias("seed"), F.lit(name).alias("job")), path, CELL)
+                if on_cell is not None:
+                    on_cell(int(seed), name)
+
+    ml.concurrently(spark, one_seed, list(dict.fromkeys(seeds)), SEEDS_AT_ONCE, "tabsift-seed")
     return stored(spark, path)

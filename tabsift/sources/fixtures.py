@@ -30,7 +30,8 @@ def _study(df: DataFrame) -> DataFrame:
 
 
 def _count_chars(text, chars: str):
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Characters of ``text`` that are in ``chars`` (no bracket, caret, hyphen or backslash): what is left without runs of others."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
