@@ -43,15 +43,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows that are worth a task of their own in a table that is scanned many times.
-SPREAD_ROWS = 4096
+#: Rows that are worth a task of their own in a table that is scanned many times, and rows that fill one.
+SPREAD_ROWS, FULL_ROWS = 4096, 1 << 18
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``checkpointed``, and dealt out anew where its partitions are fewer than the cores that have rows to scan."""
+def spread(df: DataFrame, gathered: bool = False) -> DataFrame:
+    """``checkpointed``, and dealt out anew where its partitions are fewer than the cores that have rows to scan; with ``gathered`` also
+    where they are over twice as many as it takes, for scans whose tasks each send sums of their own."""
     rows = checkpointed(df)
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, rows.count() // SPREAD_ROWS)
-    return checkpointed(rows.repartition(tasks)) if rows.rdd.getNumPartitions() < tasks else rows
+    n, have = rows.count(), rows.rdd.getNumPartitions()
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, n // SPREAD_ROWS)
+    most = max(tasks, n // FULL_ROWS, 1)
+    if gathered and have > 2 * most:
+        return checkpointed(rows.repartition(most))
+    return checkpointed(rows.repartition(tasks)) if have < tasks else rows
 
 
 def _cols(cols) -> list[str]:
